@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cadenza.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from cadenza.llm.packing import op3_best_fit_packing
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op9_exact_dedup": op9_exact_dedup}
 ORACLE_SQL = {"op9_exact_dedup": OP9_SQL}
