@@ -3,7 +3,14 @@
 from __future__ import annotations
 
 from cadenza.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from cadenza.llm.mpeg import op4_mpeg_audio
 from cadenza.llm.packing import op3_best_fit_packing
+from cadenza.llm.secrets import op1_secret_ownership
 
-QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {
+    "op1_secret_ownership": op1_secret_ownership,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_mpeg_audio": op4_mpeg_audio,
+    "op9_exact_dedup": op9_exact_dedup,
+}
 ORACLE_SQL = {"op9_exact_dedup": OP9_SQL}
