@@ -47,11 +47,11 @@ def _bits_for(rows: int, max_bits: int) -> int:
     return bits
 
 
-def repeat_filter(keys: DataFrame, bits: int, hashes: int = 2) -> list[DataFrame]:
-    """For each hash function the bitmaps, by bucket, of the slots that at least two rows hit."""
+def repeat_filter(keys: DataFrame, bits: int, hashes: int = 2, least: int = 2) -> list[DataFrame]:
+    """For each hash function the bitmaps, by bucket, of the slots that at least ``least`` rows hit."""
     out = []
     for k in range(hashes):
-        hit = keys.groupBy(_slot(k, bits).alias("slot")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        hit = keys.groupBy(_slot(k, bits).alias("slot")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
         out.append(hit.groupBy(F.bitmap_bucket_number("slot").alias(f"__xd_bucket{k}")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias(f"__xd_map{k}")))
     return out
 
@@ -112,6 +112,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max
     return probed.filter("NOT __xd_maybe").unionByName(stay).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", max_bits: int = 1 << 27) -> DataFrame:
+    """The rows of docs whose id is not in the one column of gone: rows that miss its Bloom filter never shuffle."""
+    gone = stage(gone.toDF(KEY).distinct(), "gone")
+    bits = _bits_for(gone.count(), max_bits)
+    probed = probe(docs.withColumn(KEY, F.col(id_col)), [stage(m, "gone") for m in repeat_filter(gone, bits, least=1)], bits)
+    left = probed.filter("__xd_maybe").join(gone.withColumnRenamed(KEY, "__xd_gone"), F.col(KEY).eqNullSafe(F.col("__xd_gone")), "left_anti")
+    return probed.filter("NOT __xd_maybe").unionByName(left).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return duplicate_groups(table(spark, sf_dir, "documents"))
 

@@ -6,10 +6,12 @@ from cadenza.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from cadenza.llm.mpeg import op4_mpeg_audio
 from cadenza.llm.packing import op3_best_fit_packing
 from cadenza.llm.secrets import op1_secret_ownership
+from cadenza.llm.simhash import op2_simhash_near_dedup
 from cadenza.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_secret_ownership": op1_secret_ownership,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_mpeg_audio": op4_mpeg_audio,
     "op8_toxicity": op8_toxicity,
