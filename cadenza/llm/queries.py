@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cadenza.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from cadenza.llm.mixing import op10_temperature_mixing
 from cadenza.llm.mpeg import op4_mpeg_audio
 from cadenza.llm.packing import op3_best_fit_packing
 from cadenza.llm.secrets import op1_secret_ownership
@@ -16,5 +17,6 @@ QUERIES = {
     "op4_mpeg_audio": op4_mpeg_audio,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_temperature_mixing": op10_temperature_mixing,
 }
 ORACLE_SQL = {"op9_exact_dedup": OP9_SQL}
