@@ -6,6 +6,7 @@ from cadenza.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from cadenza.llm.mixing import op10_temperature_mixing
 from cadenza.llm.mpeg import op4_mpeg_audio
 from cadenza.llm.packing import op3_best_fit_packing
+from cadenza.llm.perspectives import OP5_SQL, op5_perspective_rotation
 from cadenza.llm.secrets import op1_secret_ownership
 from cadenza.llm.simhash import op2_simhash_near_dedup
 from cadenza.llm.toxicity import op8_toxicity
@@ -15,8 +16,9 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_mpeg_audio": op4_mpeg_audio,
+    "op5_perspective_rotation": op5_perspective_rotation,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_temperature_mixing": op10_temperature_mixing,
 }
-ORACLE_SQL = {"op9_exact_dedup": OP9_SQL}
+ORACLE_SQL = {"op5_perspective_rotation": OP5_SQL, "op9_exact_dedup": OP9_SQL}
