@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cadenza.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from cadenza.llm.licenses import op6_license_paragraphs
 from cadenza.llm.mixing import op10_temperature_mixing
 from cadenza.llm.mpeg import op4_mpeg_audio
 from cadenza.llm.packing import op3_best_fit_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_mpeg_audio": op4_mpeg_audio,
     "op5_perspective_rotation": op5_perspective_rotation,
+    "op6_license_paragraphs": op6_license_paragraphs,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_temperature_mixing": op10_temperature_mixing,
