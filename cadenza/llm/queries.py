@@ -10,6 +10,7 @@ from cadenza.llm.packing import op3_best_fit_packing
 from cadenza.llm.perspectives import OP5_SQL, op5_perspective_rotation
 from cadenza.llm.secrets import op1_secret_ownership
 from cadenza.llm.simhash import op2_simhash_near_dedup
+from cadenza.llm.substrings import op7_suffix_array_dedup
 from cadenza.llm.toxicity import op8_toxicity
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_mpeg_audio": op4_mpeg_audio,
     "op5_perspective_rotation": op5_perspective_rotation,
     "op6_license_paragraphs": op6_license_paragraphs,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_temperature_mixing": op10_temperature_mixing,
