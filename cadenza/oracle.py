@@ -101,9 +101,9 @@ def _adaptive() -> str:
 
 
 def _freq() -> str:
-    # the threshold depends on the largest count, 30 blocks of 32 without zeros: powers are never zero
-    cut = limits(30 * SK_M, 3.0)
-    return f"WITH {B}, t AS (SELECT ichan, ipol, CAST(sum(s1) AS BIGINT) AS s1, CAST(sum(s2) AS BIGINT) AS s2, CAST(sum(n) AS BIGINT) AS n FROM b WHERE iw < 30 GROUP BY ALL) SELECT ichan, CAST(max(CASE WHEN {EST} BETWEEN {cut.lower!r} AND {cut.upper!r} THEN 0 ELSE 1 END) AS INTEGER) AS bad FROM t GROUP BY ALL"
+    # the threshold depends on the largest count, 3 blocks of 32 without zeros: powers are never zero
+    cut = limits(3 * SK_M, 3.0)
+    return f"WITH {B}, t AS (SELECT ichan, ipol, CAST(sum(s1) AS BIGINT) AS s1, CAST(sum(s2) AS BIGINT) AS s2, CAST(sum(n) AS BIGINT) AS n FROM b WHERE iw < 3 GROUP BY ALL) SELECT ichan, CAST(max(CASE WHEN {EST} BETWEEN {cut.lower!r} AND {cut.upper!r} THEN 0 ELSE 1 END) AS INTEGER) AS bad FROM t GROUP BY ALL"
 
 
 DELAYS = dict(dispersion_delays(Signal(None, META), 50.0))
@@ -137,8 +137,8 @@ ORACLE = {
     "chan_pol_select": f"WITH {D} SELECT idat, ichan - 1 AS ichan, ipol - 1 AS ipol, v FROM d WHERE ichan BETWEEN 1 AND 2 AND ipol = 1",
     "fzoom": f"WITH {D} SELECT idat, ichan - 1 AS ichan, ipol, v FROM d WHERE 1250 + 100 * ichan + 50 > 1360 AND 1250 + 100 * ichan - 50 < 1540",
     "truncate": f"WITH {D} SELECT * FROM d WHERE idat < 100",
-    "chomp": f"WITH {D} SELECT * FROM d WHERE idat < 448",
-    "resize": f"WITH {D} SELECT * FROM d WHERE idat < 463",
+    "chomp": f"WITH {D} SELECT d.* FROM d, nd WHERE idat < least(500, ndat) // 64 * 64",
+    "resize": f"WITH {D} SELECT d.* FROM d, nd WHERE idat < least(500, ndat) - 37",
     "delay_start": f"WITH {D} SELECT idat - 50 AS idat, ichan, ipol, v FROM d WHERE idat >= 50",
     "channel_order": f"WITH {D} SELECT idat, CAST((ichan + 2) % 4 AS INTEGER) AS ichan, ipol, v FROM d",
     "stats": f"WITH {D}, a AS (SELECT ichan, ipol, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * v) AS BIGINT) AS total_sq FROM d GROUP BY ALL) SELECT *, {six('total / n', 'mean')}, {six('sqrt(total_sq / n - (total / n) * (total / n))', 'sigma')} FROM a",
@@ -179,7 +179,7 @@ ORACLE = {
     "superposition": f"SELECT idat, CAST(0 AS INTEGER) AS ichan, CAST(0 AS INTEGER) AS ipol, CAST(sum(v) AS BIGINT) AS v FROM ({train(5000, 37, 5, 3)} UNION ALL {train(5000, 41, 7)} UNION ALL {train(5000, 64, 1)}) GROUP BY idat",
     "multiplex": f"WITH {D} SELECT (idat // 16 * 2 + ipol) * 16 + idat % 16 AS idat, v FROM d WHERE ichan = 0",
     "dual": f"WITH {D} SELECT idat, CAST(0 AS INTEGER) AS ichan, CAST(CASE WHEN ichan = 3 THEN 1 ELSE 0 END AS INTEGER) AS ipol, v FROM d WHERE ipol = 0 AND ichan IN (0, 3)",
-    "serial_concat": f"WITH {D} SELECT idat, ichan, ipol, v FROM d WHERE idat < 400 UNION ALL SELECT idat + 400, ichan, ipol, v + 1 FROM d WHERE idat < 400",
+    "serial_concat": f"WITH {D} SELECT idat, ichan, ipol, v FROM d, nd WHERE idat < least(400, ndat) UNION ALL SELECT idat + least(400, ndat), ichan, ipol, v + 1 FROM d, nd WHERE idat < least(400, ndat)",
     "difference_rms": f"WITH {D} SELECT ichan, ipol, {six('sqrt(avg((idat % 3) * (idat % 3)))', 'rms')}, count(*) FILTER (WHERE idat % 3 <> 0) AS differ FROM d GROUP BY ALL",
     "autocorrelation": f"WITH {D} SELECT a.ichan, a.ipol, b.idat - a.idat AS lag, CAST(sum(a.v * b.v) AS BIGINT) AS acf FROM d a JOIN d b ON a.ichan = b.ichan AND a.ipol = b.ipol AND b.idat BETWEEN a.idat AND a.idat + 3 GROUP BY ALL",
     "cyclic_fold": f"WITH {Z} SELECT a.ichan, a.ipol, {ibin('(a.idat + b.idat + 1) * 500', 32_000, 8)} AS ibin, CAST(b.idat - a.idat AS INTEGER) AS lag, CAST(sum(a.re * b.re + a.im * b.im) AS BIGINT) AS re, CAST(sum(a.im * b.re - a.re * b.im) AS BIGINT) AS im, count(*) AS hits FROM z a JOIN z b ON a.ichan = b.ichan AND a.ipol = b.ipol AND b.idat BETWEEN a.idat AND a.idat + 3 GROUP BY ALL",

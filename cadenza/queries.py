@@ -242,7 +242,7 @@ def q_sk_time_freq(s, d):
 
 
 def q_sk_freq(s, d):
-    return kurtosis.freq(_blocks(s, d).filter("iw < 30"), 3.0)
+    return kurtosis.freq(_blocks(s, d).filter("iw < 3"), 3.0)
 
 
 def q_sk_time(s, d):
@@ -329,7 +329,7 @@ def q_dual(s, d):
 
 def q_serial_concat(s, d):
     sig = selection.chomp(powers(s, d), 400)
-    after = Signal(sig.df.withColumn("v", F.col("v") + 1), sig.meta.but(start_us=400_000))
+    after = Signal(sig.df.withColumn("v", F.col("v") + 1), sig.meta.but(start_us=sig.meta.ndat * 1000))
     return _samples(integration.serial([sig, after]))
 
 
@@ -390,7 +390,7 @@ def q_inverse_filterbank(s, d):
 
 
 def q_dedisperse(s, d):
-    return frames.dedisperse(voltages(s, d), 0.001, 256).df.select("idat", "ichan", "ipol", *six("re", "im"))
+    return frames.dedisperse(voltages(s, d), 0.001, 64).df.select("idat", "ichan", "ipol", *six("re", "im"))
 
 
 def q_phase_locked_filterbank(s, d):
