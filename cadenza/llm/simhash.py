@@ -28,7 +28,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,7 +194,8 @@ def plan(distinct: DataFrame, radius: int = 4, key_cost: float = 40.0) -> list[t
                 keys = comb(len(g), t)
                 # pairs within t meet under every key that masks their differing bits
                 met = sum(np.diff(near, prepend=0)[d] * comb(len(g) - d, t - d) for d in range(t + 1))
-                cost[i, t + 1] = n * keys * key_cost + n * n / 2 * met
+                rows = max(n, 1)  # an empty table has a plan too
+                cost[i, t + 1] = rows * keys * key_cost + rows * rows / 2 * met
         found, thresholds = allocate(cost, total)
         if best is None or found < best[0]:
             best = found, [(g, t) for g, t in zip(groups, thresholds) if t >= 0]
@@ -210,10 +211,11 @@ def masks(bits: list[int], threshold: int) -> list[int]:
     return [int(np.uint64(full - sum(1 << b for b in out)).astype(np.int64)) for out in combinations(bits, threshold)]
 
 
-def _keys(partitions_: list[tuple[list[int], int]]) -> Column:
-    """All keys of a fingerprint: mask number in the high digits, masked value hashed with it."""
+def _keyed(distinct: DataFrame, partitions_: list[tuple[list[int], int]]) -> DataFrame:
+    """fp, n and each of its keys: the number of a mask hashed with the masked value. Masks are one literal, so the plan stays small."""
     every = [m for bits, t in partitions_ for m in masks(bits, t)]
-    return F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(every)))
+    rows = distinct.select("fp", "n", F.posexplode(F.array(*map(F.lit, every)) if every else F.lit([])).alias("i", "m"))
+    return rows.select("fp", "n", F.xxhash64("i", F.col("fp").bitwiseAND(F.col("m"))).alias("key"))
 
 
 def _forest(close: np.ndarray) -> list[tuple[int, int]]:
@@ -282,7 +284,7 @@ def _linked(rows: DataFrame, radius: int, keys: list[str]) -> DataFrame:
 
 def links(distinct: DataFrame, radius: int = 4, chunk: int = 1024) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (fp, n) whose components are those of all pairs within radius."""
-    keyed = distinct.select("fp", "n", F.explode(_keys(plan(distinct, radius))).alias("key"))
+    keyed = _keyed(distinct, plan(distinct, radius))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("n", "fp")).alias("hub")).filter("size > 1")
     sizes = stage(sizes.select("key", "size", F.col("hub.fp").alias("hub")), "buckets")
     large = sizes.filter(F.col("size") > chunk)
