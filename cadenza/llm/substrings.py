@@ -6,12 +6,12 @@ anywhere else. All windows of all documents are judged; what brings equal window
 1. segments: a window's anchor is its leftmost smallest hash of 32 bytes. A run of windows with the same anchor is a segment,
    at most 169 windows; its key is the anchor's hash. Equal windows have equal keys.
 2. counts, over the corpus, of equal segments by key: segments that occur twice are repeated as a whole; a key with one
-   segment is done with. What is left are keys with different segments, around edits and the ends of passages.
-3. blocks: the different segments of a key, each once, are joined by separators, and a suffix array (gsaca.py) of each block
+   segment is done with. What is left are keys with different segments, around edits and the ends of passages. These are
+   cut into pieces of at most 32 windows that share 169 bytes, a sharper key, and counted once more.
+3. blocks: the different pieces of a key, each once, are joined by separators, and a suffix array (gsaca.py) of each block
    puts equal windows side by side: neighbours are compared byte by byte.
-4. a key with more than ``block_segments`` different segments (a large group of near copies) is cut finer, which makes most of
-   its segments equal: first to runs of 16 windows that also share their common 185 bytes, then, where these still differ,
-   to single windows, which counting settles. Nothing is dropped or capped, and no block outgrows a task.
+4. a key with more than ``block_segments`` different pieces (a large group of near copies) is cut into single windows instead, which
+   counting settles. Nothing is dropped or capped, and no block outgrows a task.
 5. the repeated ranges of a text are united, and the text is read again to take them out.
 
 Shuffles carry keys and hashes, one row for about 85 bytes, and the bytes of undecided segments; texts are joined to their ranges
@@ -29,94 +29,106 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from cadenza.llm._common import partitions, stage, table
 from cadenza.llm.gsaca import suffix_arrays
 
 GRAM = 32
-FINE, CORE = 16, 185  # windows of a fine run; the bytes that all of them share
-CHUNK = 1 << 21  # bytes of text hashed at a time
+FINE = 32  # windows of a piece
+CHUNK = 1 << 20  # bytes of text hashed at a time
 A, B, C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
-def mix(*parts: np.ndarray) -> np.ndarray:
-    h = parts[0]
-    for p in parts[1:]:
-        h = h * A + p.astype(np.uint64) * B
-        h = h ^ h >> np.uint64(29)
-    h = h * C
-    return h ^ h >> np.uint64(32)
-
-
-def gram_hashes(raw: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
-    """Hash of the bytes from each position, for sizes that are powers of two."""
-    h, s, out = mix(raw.astype(np.uint64) + C), 1, {}
-    while True:
-        if s in sizes:
-            out[s] = h
-        if s >= max(sizes) or len(h) <= s:
-            break
+def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes (a power of two) from each position."""
+    h, s = (raw.astype(np.uint64) + np.uint64(1)) * C, 1
+    while s < size:
         h = h[:-s] * A + h[s:] * B
         h ^= h >> np.uint64(29)
-        h *= C
         s *= 2
-    return out
+    return h
 
 
-def leftmost_least(h: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` values the position of the least, the leftmost of equals."""
-    at, span = np.arange(len(h), dtype=np.int32), 1
+def least_of(h: np.ndarray, width: int) -> np.ndarray:
+    """Least of each run of ``width`` values."""
+    span = 1
     while span < width:
         shift = min(span, width - span)
-        left, right = at[:-shift], at[shift:]
-        at = np.where(h[right] < h[left], right, left)
+        h = np.minimum(h[:-shift], h[shift:])
         span += shift
-    return at
+    return h
+
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Concatenated ranges start .. start + size."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - np.append(0, np.cumsum(sizes)[:-1]), sizes)
 
-class Windows:
-    """Hashes, anchors and documents of all windows of some texts that lie side by side."""
+
+class Segments:
+    """Runs of windows with the same anchor, of texts that lie side by side: start, n, anchor, doc and the anchor's hash."""
 
     def __init__(self, raw: np.ndarray, bounds: np.ndarray, length: int = 200) -> None:
-        self.length, self.raw, self.bounds = length, raw, bounds
+        self.length, self.raw, self.bounds, width = length, raw, bounds, length - GRAM + 1
         sizes = np.maximum(np.diff(bounds) - length + 1, 0)
-        total = int(sizes.sum())
-        self.start = np.arange(total) + np.repeat(bounds[:-1] - np.append(0, np.cumsum(sizes)[:-1]), sizes)
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)
-        if total:
-            h = gram_hashes(raw, (8, GRAM, 64, 128))
-            self.h128, n = h[128], len(raw) - length + 1
-            self.hash = mix(h[128][:n], h[64][128 : 128 + n], h[8][192 : 192 + n])
-            self.gram = h[GRAM]
-            self.anchor = leftmost_least(h[GRAM], length - GRAM + 1)[self.start].astype(np.int64)
-
-    def runs(self, level: int, hot) -> dict[str, np.ndarray]:
-        """Segments at a level: 0 whole runs, 1 fine runs of keys in hot[0], 2 windows of keys in hot[0] and hot[1].
-
-        hot[k] says of keys of level k whether they may be cut finer.
-        """
-        start, doc, anchor = self.start, self.doc, self.anchor
-        key = mix(self.gram[anchor])
-        if level:
-            keep = hot[0](key)
-            start, doc, anchor, key = start[keep], doc[keep], anchor[keep], key[keep]
-            piece = (anchor - start) // FINE
-            # all windows of a piece hold the bytes from the piece's last window's start on
-            core = anchor - FINE * piece
-            fine = mix(key, piece, self.h128[core], self.h128[core + CORE - 128])
-            if level == 2:
-                keep = hot[1](fine)
-                start, doc, key = start[keep], doc[keep], fine[keep]
-                return {"key": key, "seg": self.hash[start], "doc": doc, "start": start - self.bounds[doc], "n": np.ones(len(start), np.int64)}
-            key, anchor = fine, anchor * 16 + piece
-        new = np.ones(len(start), dtype=bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
-        at = np.flatnonzero(new)
-        n = np.diff(np.append(at, len(start)))
-        s, d = start[at], doc[at]
-        return {"key": key[at], "seg": mix(self.hash[s], self.hash[s + n - 1], n), "doc": d, "start": s - self.bounds[d], "n": n}
+        start = spread(bounds[:-1], sizes)
+        found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+        if len(start):
+            h = gram_hashes(raw, GRAM)
+            doc, least = np.repeat(np.arange(len(sizes)), sizes), least_of(h, width)[start]
+            new = np.ones(len(start), dtype=bool)
+            new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+            at = np.flatnonzero(new)
+            s, n, d, value = start[at], np.diff(np.append(at, len(start))), doc[at], least[at]
+            views = np.lib.stride_tricks.sliding_window_view(h, width)
+            while len(s):  # the leftmost place of the least hash; where an equal one takes over, a segment ends
+                anchor = s + np.argmax(views[s] == value[:, None], axis=1)
+                take = np.minimum(n, anchor - s + 1)
+                for column, part in zip(found, (s, take, anchor, d)):
+                    column.append(part)
+                more = n > take
+                s, n, d, value = (s + take)[more], (n - take)[more], d[more], value[more]
+            self.hash = h
+        self.start, self.n, self.anchor, self.doc = map(np.concatenate, found)
+        self.key = self.hash[self.anchor] if len(start) else np.zeros(0, np.uint64)
+
+    def _named(self, key, start, n, doc) -> dict[str, np.ndarray]:
+        """Segments with the hash of their bytes."""
+        body = memoryview(np.ascontiguousarray(self.raw))
+        reach = self.length - 1
+        seg = [xxh3_64_intdigest(body[s:e]) for s, e in zip(start.tolist(), (start + n + reach).tolist())]
+        return {"key": key, "seg": np.array(seg, dtype=np.uint64), "doc": doc, "start": start - self.bounds[doc], "n": n}
+
+    def pieces(self, open_keys) -> tuple[np.ndarray, ...]:
+        """(key, start, n, doc) of the segments of open keys, cut where a window's distance to its anchor is a multiple of FINE; the key is
+        the hash of the bytes that all windows at these distances share."""
+        keep = open_keys(self.key)
+        start, n, anchor, doc, key = self.start[keep], self.n[keep], self.anchor[keep], self.doc[keep], self.key[keep]
+        low, high = (anchor - start - n + 1) // FINE, (anchor - start) // FINE
+        count = high - low + 1
+        piece = spread(low, count)
+        start, n, anchor, doc, key = (np.repeat(x, count) for x in (start, n, anchor, doc, key))
+        core = anchor - FINE * piece
+        first = np.maximum(start, core - FINE + 1)
+        n = np.minimum(start + n, core + 1) - first
+        body, share = memoryview(np.ascontiguousarray(self.raw)), self.length - FINE + 1
+        seeds = (key + piece.astype(np.uint64) * C).tolist()
+        fine = np.array([xxh3_64_intdigest(body[c : c + share], seed) for c, seed in zip(core.tolist(), seeds)], dtype=np.uint64)
+        return fine, first, n, doc
+
+    def level(self, level: int, tests: list) -> dict[str, np.ndarray]:
+        """0: all segments; 1: pieces of keys that pass tests[0]; 2: single windows of pieces whose keys pass tests[1]."""
+        if not level:
+            return self._named(self.key, self.start, self.n, self.doc)
+        key, start, n, doc = self.pieces(tests[0])
+        if level == 1:
+            return self._named(key, start, n, doc)
+        keep = tests[1](key)
+        key, start, n, doc = key[keep], start[keep], n[keep], doc[keep]
+        return self._named(np.repeat(key, n), spread(start, n), np.ones(int(n.sum()), np.int64), np.repeat(doc, n))
 
 
 class Slice:
@@ -166,10 +178,12 @@ def _filter(spark, bitmaps: bytes | None, bits: int):
 def key_filter(keys: DataFrame, filter_bits: int):
     """A test for keys(key): may hold for others, holds for all of them. Its size depends on their number up to filter_bits."""
     n, bits = keys.count(), 1 << 15
-    if not n:
-        return _filter(keys.sparkSession, None, bits)
     while bits < min(64 * n, filter_bits):
         bits *= 2
+    return _bitmap(keys, bits)
+
+
+def _bitmap(keys: DataFrame, bits: int):
     slot = F.col("key").bitwiseAND(F.lit(bits - 1)) + 1
     rows = keys.groupBy(F.bitmap_bucket_number(slot).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("map")).collect()
     whole = bytearray(bits // 8)
@@ -184,31 +198,26 @@ def _columns(part: Slice, found: dict[str, np.ndarray]) -> list[pa.Array]:
     return [pa.array(found["key"].view(np.int64)), pa.array(found["seg"].view(np.int64)), digest, start, pa.array(found["n"].astype(np.int32))]
 
 
-def segments(docs: DataFrame, level: int, hot, length: int, text: str) -> DataFrame:
+def segments(docs: DataFrame, level: int, tests: list, length: int, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, length):
-                windows = Windows(part.raw, part.bounds, length)
-                if len(windows.start):
-                    yield pa.RecordBatch.from_arrays(_columns(part, windows.runs(level, hot)), ["key", "seg", "doc", "start", "n"])
+                yield pa.RecordBatch.from_arrays(_columns(part, Segments(part.raw, part.bounds, length).level(level, tests)), ["key", "seg", "doc", "start", "n"])
 
     return docs.select(text).mapInArrow(run, SEGMENTS)
 
 
-def undecided(docs: DataFrame, cold, length: int, text: str) -> DataFrame:
-    """Level 0 segments of the keys that ``cold`` lets through, with their bytes."""
+def undecided(docs: DataFrame, tests: list, length: int, text: str) -> DataFrame:
+    """Pieces of keys that pass tests[0] whose own keys pass tests[1], with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, length):
-                windows = Windows(part.raw, part.bounds, length)
-                if not len(windows.start):
-                    continue
-                found = windows.runs(0, None)
-                keep = np.flatnonzero(cold(found["key"]))
-                found = {k: v[keep] for k, v in found.items()}
-                first = (found["start"] + part.bounds[found["doc"]]).tolist()
-                piece = [part.raw[s : s + n + length - 1].tobytes() for s, n in zip(first, found["n"].tolist())]
+                whole = Segments(part.raw, part.bounds, length)
+                key, start, n, doc = whole.pieces(tests[0])
+                keep = tests[1](key)
+                found = whole._named(key[keep], start[keep], n[keep], doc[keep])
+                piece = [part.raw[s : s + k + length - 1].tobytes() for s, k in zip(start[keep].tolist(), n[keep].tolist())]
                 yield pa.RecordBatch.from_arrays([*_columns(part, found), pa.array(piece, pa.binary())], ["key", "seg", "doc", "start", "n", "piece"])
 
     return docs.select(text).mapInArrow(run, SEGMENTS + ", piece binary")
@@ -232,14 +241,10 @@ def repeated_in_blocks(pieces: list[bytes], block: np.ndarray, length: int) -> n
     a, b = order[:-1], order[1:]
     near = np.flatnonzero((left[a] >= length) & (left[b] >= length) & (blocks[a] == blocks[b]))
     a, b = a[near], b[near]
+    words = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
     for step in [*range(0, length - 7, 8), length - 8]:  # eight bytes at a time
-        word = np.zeros(len(a), dtype=bool)
-        wa, wb = np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64)
-        for k in range(8):
-            wa = wa << np.uint64(8) | raw[a + step + k]
-            wb = wb << np.uint64(8) | raw[b + step + k]
-        word = wa == wb
-        a, b = a[word], b[word]
+        same = words[a + step] == words[b + step]
+        a, b = a[same], b[same]
         if not len(a):
             break
     hit = np.zeros(int(ends[-1]), dtype=bool)
@@ -253,7 +258,7 @@ def _runs_of(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist()))
 
 
-BLOCK_BYTES = 1 << 20  # of blocks sorted at a time
+BLOCK_BYTES = 1 << 21  # of blocks of one size class sorted at a time
 
 
 def settle(blocks: DataFrame, length: int) -> DataFrame:
@@ -277,63 +282,91 @@ def settle(blocks: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], ["doc", "start", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held, key = [], 0, None
+        # blocks of about one size are sorted together: they take about as many steps
+        waiting: dict[int, list[tuple]] = {}
+        held: dict[int, int] = {}
+        block: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != key and held >= BLOCK_BYTES:
-                    yield work(rows)
-                    rows, held = [], 0
-                key = row[0]
-                rows.append(row)
-                held += len(row[4])
-        if rows:
-            yield work(rows)
+                if block and row[0] != block[0][0]:
+                    if ready := put(block, waiting, held):
+                        yield work(ready)
+                    block = []
+                block.append(row)
+        if block and (ready := put(block, waiting, held)):
+            yield work(ready)
+        for rows in waiting.values():
+            if rows:
+                yield work(rows)
+
+    def put(block: list[tuple], waiting: dict[int, list[tuple]], held: dict[int, int]) -> list[tuple]:
+        size = sum(len(r[4]) for r in block)
+        kind = size.bit_length()
+        waiting.setdefault(kind, []).extend(block)
+        held[kind] = held.get(kind, 0) + size
+        if held[kind] < BLOCK_BYTES:
+            return []
+        held[kind] = 0
+        return waiting.pop(kind)
 
     dealt = blocks.select("key", "doc", "start", "once", "piece").repartition(partitions(blocks.sparkSession), "key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "doc binary, start int, n int")
 
 
-def _counted(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, seg) that occur more than once, and keys with different segments of which one occurs once (key, kinds)."""
-    counts = stage(found.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("times")), "counts")
+def _counted(found: DataFrame, filter_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Ranges of segments that occur more than once, and keys with different segments of which one occurs once (key, kinds).
+
+    Most keys occur once. A bitmap of the slots that two keys hit takes them out before segments meet.
+    """
+    slots, bits = found.count(), 1 << 15
+    while bits < min(16 * slots, filter_bits):
+        bits *= 2
+    slot = F.col("key").bitwiseAND(F.lit(bits - 1)).alias("key")
+    twice = found.groupBy(slot).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    maybe = _bitmap(twice, bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(maybe(batch.column(0).to_numpy().view(np.uint64))))
+
+    kept = stage(found.mapInArrow(run, SEGMENTS), "kept")
+    counts = stage(kept.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("times")), "counts")
     keys = counts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least")).filter("kinds > 1 AND least = 1").select("key", "kinds")
-    return counts.filter("times > 1").select("key", "seg"), stage(keys, "open")
+    many = counts.filter("times > 1").select("key", "seg")
+    return kept.join(many, ["key", "seg"]).select("doc", "start", "n"), stage(keys, "open")
 
 
 def repeated_ranges(docs: DataFrame, length: int = 200, text: str = "text", block_segments: int = 128, filter_bits: int = 1 << 27) -> DataFrame:
     """(doc, start, n): runs of repeated windows, by the MD5 of the text; ranges may overlap."""
-    found = stage(segments(docs, 0, None, length, text), "segments")
-    many, open_keys = _counted(found)
-    ranges = [found.join(many, ["key", "seg"]).select("doc", "start", "n")]
-    small, large = open_keys.filter(F.col("kinds") <= block_segments), open_keys.filter(F.col("kinds") > block_segments)
-    if not small.isEmpty():
-        rows = undecided(docs, key_filter(small.select("key"), filter_bits), length, text)
-        # each different segment once; of one that occurs once this is its only row
-        kinds = rows.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("times"), F.first(F.struct("doc", "start", "piece")).alias("one"))
-        kinds = kinds.select("key", "one.*", (F.col("times") == 1).alias("once"))
-        ranges.append(settle(kinds.join(small.select("key"), "key", "left_semi"), length))
-    if not large.isEmpty():
-        hot = [key_filter(large.select("key"), filter_bits)]
-        fine = stage(segments(docs, 1, hot, length, text), "fine")
-        many, open_keys = _counted(fine)
-        ranges.append(fine.join(many, ["key", "seg"]).select("doc", "start", "n"))
-        if not open_keys.isEmpty():
-            single = stage(segments(docs, 2, [*hot, key_filter(open_keys.select("key"), filter_bits)], length, text), "windows")
-            ranges.append(single.join(_counted(single)[0], ["key", "seg"]).select("doc", "start", "n"))
+    whole, open_keys = _counted(stage(segments(docs, 0, [], length, text), "segments"), filter_bits)
+    ranges = [whole]
+    if not open_keys.isEmpty():
+        first = key_filter(open_keys.select("key"), filter_bits)
+        fine, open_keys = _counted(stage(segments(docs, 1, [first], length, text), "pieces"), filter_bits)
+        ranges.append(fine)
+        small, large = open_keys.filter(F.col("kinds") <= block_segments), open_keys.filter(F.col("kinds") > block_segments)
+        if not small.isEmpty():
+            rows = undecided(docs, [first, key_filter(small.select("key"), filter_bits)], length, text)
+            # each different piece once; of one that occurs once this is its only row
+            kinds = rows.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("times"), F.first(F.struct("doc", "start", "piece")).alias("one"))
+            kinds = kinds.select("key", "one.*", (F.col("times") == 1).alias("once"))
+            ranges.append(settle(kinds.join(small.select("key"), "key", "left_semi"), length))
+        if not large.isEmpty():
+            single = segments(docs, 2, [first, key_filter(large.select("key"), filter_bits)], length, text)
+            ranges.append(_counted(stage(single, "windows"), filter_bits)[0])
     out = ranges[0]
     for more in ranges[1:]:
         out = out.unionByName(more)
     return stage(out.distinct(), "ranges")
 
 
-def cut(raw: bytes, spans: list[tuple[int, int]], length: int) -> tuple[int, int, bytes]:
-    """Bytes removed, maximal removed runs, and what is left, for ranges (start, n) of repeated windows."""
-    if not spans:
+def cut(raw: bytes, starts: np.ndarray, counts: np.ndarray, length: int) -> tuple[int, int, bytes]:
+    """Bytes removed, maximal removed runs, and what is left, for ranges of repeated windows (their starts and numbers)."""
+    if not len(starts):
         return 0, 0, raw
-    starts = np.array([s for s, _ in spans], dtype=np.int64)
-    ends = starts + np.array([n for _, n in spans]) + length - 1
     by = np.argsort(starts, kind="stable")
-    starts, reach = starts[by], np.maximum.accumulate(ends[by])
+    starts = starts[by].astype(np.int64)
+    reach = np.maximum.accumulate(starts + counts[by] + length - 1)
     new = np.append(True, starts[1:] > reach[:-1])
     starts, ends = starts[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
     left = b"".join(raw[e:s] for e, s in zip([0, *ends.tolist()], [*starts.tolist(), len(raw)]))
@@ -356,11 +389,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, body, spans in zip(*(c for c in batch.columns)):
+            out, spans = [], batch.column(2)
+            flat = spans.flatten()
+            starts, counts = (flat.field(i).to_numpy() for i in (0, 1))
+            ends = np.cumsum(np.array(pc.fill_null(pc.list_value_length(spans), 0)))
+            for doc, body, low, high in zip(batch.column(0).to_pylist(), batch.column(1), [0, *ends.tolist()], ends.tolist()):
                 raw = body.as_py().encode()
-                removed, n, left = cut(raw, [(s["start"], s["n"]) for s in spans.as_py() or ()], length)
-                out.append((doc.as_py(), len(raw), removed, n, hashlib.sha256(left).hexdigest(), *[left] * keep_text))
+                removed, n, left = cut(raw, starts[low:high], counts[low:high], length)
+                out.append((doc, len(raw), removed, n, hashlib.sha256(left).hexdigest(), *[left] * keep_text))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * keep_text)
             names = [c.split()[0] for c in RESULT.split(", ")] + ["kept"] * keep_text
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * len(types), types)], names)
