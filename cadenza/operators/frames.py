@@ -113,6 +113,20 @@ def convolve(s: Signal, responses: Callable[[int], np.ndarray], nfft: int, pos:
     return s.then("convolve", df, ndat=parts * step, start_us=s.meta.start_us + round(pos / s.meta.rate * 1e6))
 
 
+def dynamic_filter(s: Signal, responses: dict[int, np.ndarray], bucket: int, nfft: int) -> Signal:
+    """Multiplies the spectrum of each part by the response of the latest time bucket (part start div bucket) not after it, or of the first."""
+    known = sorted(responses)
+    parts = s.meta.ndat // nfft
+
+    def one(p, c, q, x):
+        at = np.searchsorted(known, p * nfft // bucket, side="right") - 1
+        y = np.fft.ifft(np.fft.fft(x) * responses[known[max(at, 0)]])
+        return pd.DataFrame({"idat": p * nfft + np.arange(nfft), "ichan": c, "ipol": q, "re": y.real, "im": y.imag})
+
+    df = map_frames(to_frames(s, nfft), one, "idat long, ichan int, ipol int, re double, im double")
+    return s.then("dynamic_filter", df, ndat=parts * nfft)
+
+
 def dedisperse(s: Signal, dm: float, nfft: int | None = None) -> Signal:
     """Coherent dedispersion of complex samples, channel by channel."""
     from cadenza.functions.response import best_nfft, dispersion_kernel, impulse_samples

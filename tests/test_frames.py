@@ -69,6 +69,12 @@ def test_jones_response_acts_on_both_polarizations(spark, noise):
     assert np.allclose(got, want)
 
 
+def test_dynamic_filter_picks_the_response_by_time(spark, noise):
+    got = array(frames.dynamic_filter(signal(spark, noise), {0: np.ones(32), 2: np.full(32, 3.0)}, 64, 32))
+    want = noise * np.where(np.arange(512) < 128, 1, 3)[:, None, None]
+    assert np.allclose(got, want)
+
+
 def test_dedispersion_undoes_dispersion(spark, noise):
     x, dm = noise[:, :1, :1], 0.01
     kernel = dispersion_kernel(512, 1400.0, 1.0, dm)
