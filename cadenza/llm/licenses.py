@@ -211,9 +211,13 @@ def scan(docs: DataFrame, model: Model, least_containment: float = 0.6, id_col:
 
 
 def sample(docs: DataFrame, sample_rows: int = 300, id_col: str = "doc_id", text: str = "text") -> list[str]:
-    """Paragraphs of the documents whose ids and texts hash lowest."""
-    kept = docs.select(F.xxhash64(id_col, text).alias("h"), text).orderBy("h", text).limit(sample_rows).collect()
-    return [p for r in kept for p in (r[1] or "").split("\n") if p][: 20 * sample_rows]
+    """Paragraphs of the documents whose ids and texts hash lowest; tasks send hashes to the driver, and only the chosen texts."""
+    h = F.xxhash64(id_col, text)
+    lowest = [r[0] for r in docs.select(h.alias("h")).orderBy("h").limit(sample_rows).collect()]
+    if not lowest:
+        return []
+    kept = docs.filter(h <= max(lowest)).select(text).limit(sample_rows).collect()
+    return [p for (t,) in sorted(kept, key=lambda r: r[0] or "") for p in (t or "").split("\n") if p][: 20 * sample_rows]
 
 
 def op6_license_paragraphs(spark, sf_dir):
