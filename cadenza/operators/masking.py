@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions.response import bandpass_mask
 from cadenza.meta import Signal
 
 
@@ -45,6 +47,19 @@ def merge_intervals(intervals: DataFrame) -> DataFrame:
     return rows.groupBy("g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("g")
 
 
+def rfi_filter(s: Signal, window: int = 21) -> tuple[Signal, list[float]]:
+    """Zeroes the channels that bandpass_mask() finds in the power integrated over time and polarization; with the mask itself.
+
+    The bandpass is one row a channel and goes to the driver, where the rounds of masking run; the mask comes back as a literal.
+    """
+    rows = s.df.groupBy("ichan").agg(F.sum("v").alias("p")).toPandas().set_index("ichan")["p"]
+    spectrum = np.array([float(rows.get(i, 0.0)) for i in range(s.meta.nchan)])
+    good = bandpass_mask(spectrum, window).tolist()
+    keep = F.element_at(F.array(*map(F.lit, good)), F.col("ichan") + 1) > 0
+    v = F.when(keep, F.col("v")).otherwise(F.lit(0)).cast(dict(s.df.dtypes)["v"])
+    return s.then("rfi_filter", s.df.withColumn("v", v)), good
+
+
 # --- weights: iw (block of ndat_per_weight samples), ichan, ipol, weight -------------------------------------------------
 
 

@@ -191,6 +191,14 @@ def q_mask_times(s, d):
     return _samples(masking.mask_times(powers(s, d), s.createDataFrame(CELLS, "start long, end long")))
 
 
+def q_rfi_filter(s, d):
+    """128 channels of noise made from the events, one of them a hundred times as strong."""
+    sig = powers(s, d)
+    df = sig.df.select("idat", F.expr("cast((idat * 8 + ichan * 2 + ipol) % 128 as int)").alias("ichan"), F.lit(0).alias("ipol"), "v")
+    df = df.withColumn("v", F.when(F.col("ichan") == 77, F.col("v") * 100).otherwise(F.col("v")))
+    return _samples(masking.rfi_filter(Signal(df, sig.meta.but(nchan=128, npol=1)))[0])
+
+
 def q_weights_mask(s, d):
     return masking.mask_weights(weights(powers(s, d)))
 

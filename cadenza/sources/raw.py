@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from cadenza.meta import ANALYTIC, ObsMeta, Signal
+from cadenza.meta import ANALYTIC, NYQUIST, ObsMeta, Signal
 from cadenza.operators.digitize import unpack_bytes
-from cadenza.sources.headers import ascii_header, ascii_meta, filterbank_meta, filterbank_values, parse_ascii, read_filterbank_header, write_filterbank_header
+from cadenza.sources.headers import ascii_header, ascii_meta, filterbank_meta, filterbank_values, parse_ascii, read_filterbank_header, vdif_header, write_filterbank_header
 
 VOLTAGES = "idat long, ichan int, ipol int, re int, im int"
 POWERS = "idat long, ichan int, ipol int, v int"
@@ -123,6 +123,40 @@ def read_filterbank(spark: SparkSession, path: str) -> Signal:
     return Signal(rows.select("content").mapInPandas(run, POWERS), meta)
 
 
+def read_vdif(spark: SparkSession, path: str, rate: float, frames_per_row: int = 4096) -> Signal:
+    """Real or complex samples of a VDIF file, threads as polarizations; codes are offset binary, and invalid frames give no samples.
+
+    Frames have one size, so the file is dealt into runs of whole frames before anything is decoded.
+    """
+    rows = spark.read.format("binaryFile").load(path)
+    h = vdif_header(bytes(rows.select(F.substring("content", 1, 32).alias("h")).first()["h"]))
+    size, head = h["bytes"], 16 if h["legacy"] else 32
+    total = rows.select("length").first()["length"] // size
+    per = (size - head) * 8 // (h["nbit"] * h["nchan"] * (1 + h["complex"]))
+    meta = ObsMeta(nchan=h["nchan"], ndim=1 + h["complex"], nbit=h["nbit"], rate=rate, state=ANALYTIC if h["complex"] else NYQUIST)
+    run_bytes = frames_per_row * size
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, total - 1) // frames_per_row)))
+    parts = rows.select("content", at.alias("k")).select(F.expr(f"substring(content, cast(k * {run_bytes} + 1 as int), {run_bytes})").alias("part"))
+
+    def run(batches):
+        for pdf in batches:
+            for part in pdf["part"]:
+                for start in range(0, len(part) - size + 1, size):
+                    f = vdif_header(part[start : start + 32])
+                    if f["invalid"]:
+                        continue
+                    v = unpack_bytes(part[start + head : start + size], h["nbit"], signed=False) - (1 << h["nbit"] - 1)
+                    v = v[: per * meta.nchan * meta.ndim].reshape(per, meta.nchan, meta.ndim)
+                    first = round((f["seconds"] - h["seconds"]) * rate) + f["frame"] * per
+                    idat, chan = np.indices((per, meta.nchan)).reshape(2, -1)
+                    out = {"idat": first + idat.astype(np.int64), "ichan": chan.astype(np.int32), "ipol": np.int32(f["thread"])}
+                    flat = v.reshape(-1, meta.ndim).astype(np.int32)
+                    yield pd.DataFrame(out | ({"re": flat[:, 0], "im": flat[:, 1]} if meta.ndim == 2 else {"v": flat[:, 0]}))
+
+    df = parts.mapInPandas(run, VOLTAGES if meta.ndim == 2 else POWERS)
+    return Signal(df, meta)
+
+
 def raw_blocks(s: Signal, samples: int = 4096) -> DataFrame:
     """(block, raw): bytes of ``samples`` samples each, in time, channel, polarization, dimension order, for any sink of binary rows."""
     meta = s.meta
@@ -168,4 +202,4 @@ def write_profiles(profiles: DataFrame, path: str, by: str = "division") -> None
     profiles.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
-__all__ = ["ANALYTIC", "RawSource", "decode", "raw_blocks", "read_filterbank", "read_raw", "register", "write_filterbank", "write_profiles", "write_raw"]
+__all__ = ["ANALYTIC", "RawSource", "decode", "raw_blocks", "read_filterbank", "read_raw", "read_vdif", "register", "write_filterbank", "write_profiles", "write_raw"]

@@ -45,3 +45,10 @@ def test_entry_points(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_rfi_filter_zeroes_the_strong_channel(spark, sf_dir):
+    from cadenza.queries import QUERIES
+
+    rows = QUERIES["rfi_filter"](spark, sf_dir).groupBy("ichan").sum("v").toPandas().set_index("ichan")["sum(v)"]
+    assert rows[77] == 0 and (rows > 0).sum() >= 120

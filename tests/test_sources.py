@@ -68,3 +68,30 @@ def test_two_bit_levels_are_monotone():
 def test_excision_limits_hold_noise():
     low, high = digitize.excision_limits(512)
     assert low < 0.6827 * 512 < high
+
+
+@pytest.mark.parametrize(("nbit", "is_complex"), [(2, 0), (8, 1)])
+def test_vdif(spark, tmp_path, nbit, is_complex):
+    rng, frames, payload, want = np.random.default_rng(5), b"", 64, set()
+    per = payload * 8 // (nbit * 2 * (1 + is_complex))
+    for second in (100, 101):
+        for frame in range(3):
+            for thread in (0, 1):
+                codes = rng.integers(0, 1 << nbit, per * 2 * (1 + is_complex))
+                packed = (codes.reshape(-1, 8 // nbit) << np.arange(8 // nbit) * nbit).sum(1).astype(np.uint8).tobytes()
+                bad = second == 101 and frame == 2
+                head = np.array([bad << 31 | second, frame, 1 << 24 | (payload + 32) // 8, is_complex << 31 | nbit - 1 << 26 | thread << 16, 0, 0, 0, 0], dtype="<u4").tobytes()
+                frames += head + packed
+                v = codes.reshape(per, 2, -1) - (1 << nbit - 1)
+                if not bad:
+                    want |= {((second - 100) * 3 * per + frame * per + i, c, thread, *v[i, c].tolist()) for i in range(per) for c in (0, 1)}
+    path = tmp_path / "x.vdif"
+    path.write_bytes(frames)
+    got = raw.read_vdif(spark, str(path), 3.0 * per, frames_per_row=5)
+    assert {tuple(r) for r in got.df.collect()} == want and got.df.count() == len(want) and got.meta.nchan == 2
+
+
+def test_fold_bins():
+    from cadenza.operators.folding import choose_nbin
+
+    assert [choose_nbin(p, 100) for p in (100, 400, 2000, 10**9)] == [1, 2, 16, 1024]
