@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.meta import Signal
+from cadenza.operators.integration import lag_pairs
 
 
 def choose_nbin(period_us: float, sample_us: float, most: int = 1024) -> int:
@@ -85,10 +86,8 @@ def cyclic_fold(s: Signal, period_us: int, nbin: int, nlag: int, epoch_us: int =
     b = F.expr(f"idat div {size}")
     halo = F.when((F.col("idat") % size < nlag - 1) & (F.col("idat") >= size), F.array(b - 1, b)).otherwise(F.array(b))
     rows = s.df.select("idat", "ichan", "ipol", "re", "im", F.explode(halo).alias("b"))
-    series = rows.groupBy("ichan", "ipol", "b").agg(F.collect_list(F.struct("idat", "re", "im")).alias("x"))
-    first = series.select("ichan", "ipol", "b", "x", F.explode("x").alias("e")).filter(F.expr(f"e.idat div {size} = b"))
-    later = F.filter("x", lambda o: (o["idat"] >= F.col("e.idat")) & (o["idat"] < F.col("e.idat") + nlag))
-    pairs = first.select("ichan", "ipol", "e", F.explode(later).alias("o"))
+    series = rows.groupBy("ichan", "ipol", "b").agg(F.array_sort(F.collect_list(F.struct("idat", "re", "im"))).alias("x"))
+    pairs = series.select("ichan", "ipol", F.explode(lag_pairs("x", nlag, size)).alias("p")).select("ichan", "ipol", "p.*")
     lag = (F.col("o.idat") - F.col("e.idat")).cast("int")
     us = F.lit(s.meta.start_us) + F.round((F.col("e.idat") + F.col("o.idat") + 1) * (0.5e6 / s.meta.rate)).cast("long")
     re = F.col("e.re") * F.col("o.re") + F.col("e.im") * F.col("o.im")

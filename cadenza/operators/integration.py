@@ -60,6 +60,13 @@ def fourth_moment(stokes: Signal) -> DataFrame:
     return p.select("*", *((F.col(f"s{i}") * F.col(f"s{j}")).alias(f"s{i}{j}") for i in range(4) for j in range(i, 4)))
 
 
+def lag_pairs(x: str, nlag: int, size: int) -> Column:
+    """Pairs (e, o) of a block's sorted samples with o less than nlag samples after e, for each e of the block proper (column b), not of its halo."""
+    own = lambda e: (e["idat"] - e["idat"] % size) == F.col("b") * size
+    near = lambda e, i: F.filter(F.slice(x, i + 1, nlag), lambda o: (o["idat"] < e["idat"] + nlag) & own(e))
+    return F.flatten(F.transform(x, lambda e, i: F.transform(near(e, i), lambda o: F.struct(e.alias("e"), o.alias("o")))))
+
+
 def autocorrelation(s: Signal, nlag: int) -> DataFrame:
     """Sum of v(t) v(t + lag) by channel, polarization and lag below nlag.
 
@@ -70,9 +77,7 @@ def autocorrelation(s: Signal, nlag: int) -> DataFrame:
     halo = F.when((F.col("idat") % size < nlag - 1) & (F.col("idat") >= size), F.array(block - 1, block)).otherwise(F.array(block))
     rows = s.df.select("idat", "ichan", "ipol", "v", F.explode(halo).alias("b"))
     series = rows.groupBy("ichan", "ipol", "b").agg(F.array_sort(F.collect_list(F.struct("idat", "v"))).alias("x"))
-    first = series.select("ichan", "ipol", "b", "x", F.explode("x").alias("e")).filter(F.expr(f"e.idat div {size} = b"))
-    later = F.filter("x", lambda o: (o["idat"] >= F.col("e.idat")) & (o["idat"] < F.col("e.idat") + nlag))
-    out = first.select("ichan", "ipol", "e", F.explode(later).alias("o"))
+    out = series.select("ichan", "ipol", F.explode(lag_pairs("x", nlag, size)).alias("p")).select("ichan", "ipol", "p.*")
     return out.groupBy("ichan", "ipol", (F.col("o.idat") - F.col("e.idat")).alias("lag")).agg(F.sum(F.col("e.v") * F.col("o.v")).alias("acf"))
 
 
