@@ -100,32 +100,37 @@ class Segments:
         body = memoryview(np.ascontiguousarray(self.raw))
         reach = self.length - 1
         seg = [xxh3_64_intdigest(body[s:e]) for s, e in zip(start.tolist(), (start + n + reach).tolist())]
-        return {"key": key, "seg": np.array(seg, dtype=np.uint64), "doc": doc, "start": start - self.bounds[doc], "n": n}
+        return {"key": key, "seg": np.array(seg, dtype=np.uint64), "doc": doc, "start": start - self.bounds[doc], "n": n, "own": np.ones(len(key), bool)}
 
     def pieces(self, open_keys) -> tuple[np.ndarray, ...]:
-        """(key, start, n, doc) of the segments of open keys, cut where a window's distance to its anchor is a multiple of FINE; the key is
-        the hash of the bytes that all windows at these distances share."""
-        keep = open_keys(self.key)
+        """(key, start, n, doc, segment) of the segments of open keys, cut where a window's distance to its anchor is a multiple of FINE; the
+        key is the hash of the bytes that all windows at these distances share."""
+        keep = np.flatnonzero(open_keys(self.key))
         start, n, anchor, doc, key = self.start[keep], self.n[keep], self.anchor[keep], self.doc[keep], self.key[keep]
         low, high = (anchor - start - n + 1) // FINE, (anchor - start) // FINE
         count = high - low + 1
         piece = spread(low, count)
-        start, n, anchor, doc, key = (np.repeat(x, count) for x in (start, n, anchor, doc, key))
+        start, n, anchor, doc, key, keep = (np.repeat(x, count) for x in (start, n, anchor, doc, key, keep))
         core = anchor - FINE * piece
         first = np.maximum(start, core - FINE + 1)
         n = np.minimum(start + n, core + 1) - first
         body, share = memoryview(np.ascontiguousarray(self.raw)), self.length - FINE + 1
         seeds = (key + piece.astype(np.uint64) * C).tolist()
         fine = np.array([xxh3_64_intdigest(body[c : c + share], seed) for c, seed in zip(core.tolist(), seeds)], dtype=np.uint64)
-        return fine, first, n, doc
+        return fine, first, n, doc, keep
 
     def level(self, level: int, tests: list) -> dict[str, np.ndarray]:
-        """0: all segments; 1: pieces of keys that pass tests[0]; 2: single windows of pieces whose keys pass tests[1]."""
+        """0: all segments; 1: pieces of keys that pass tests[0], own where tests[1] takes their segment for one that occurs once; 2: single
+        windows of pieces whose keys pass tests[1]."""
         if not level:
             return self._named(self.key, self.start, self.n, self.doc)
-        key, start, n, doc = self.pieces(tests[0])
+        key, start, n, doc, segment = self.pieces(tests[0])
         if level == 1:
-            return self._named(key, start, n, doc)
+            out = self._named(key, start, n, doc)
+            asked = np.unique(segment)
+            once = np.zeros(len(self.key), dtype=bool)
+            once[asked] = tests[1](self._named(self.key[asked], self.start[asked], self.n[asked], self.doc[asked])["seg"])
+            return out | {"own": once[segment]}
         keep = tests[1](key)
         key, start, n, doc = key[keep], start[keep], n[keep], doc[keep]
         return self._named(np.repeat(key, n), spread(start, n), np.ones(int(n.sum()), np.int64), np.repeat(doc, n))
@@ -159,7 +164,8 @@ def _slices(batch: pa.RecordBatch, length: int) -> Iterator[Slice]:
         row = end
 
 
-SEGMENTS = "key long, seg long, doc binary, start int, n int"
+NAMES = ["key", "seg", "doc", "start", "n", "own"]
+SEGMENTS = "key long, seg long, doc binary, start int, n int, own boolean"
 
 
 def _filter(spark, bitmaps: bytes | None, bits: int):
@@ -195,14 +201,14 @@ def _bitmap(keys: DataFrame, bits: int):
 def _columns(part: Slice, found: dict[str, np.ndarray]) -> list[pa.Array]:
     digest = pa.array([part.names[d] for d in found["doc"].tolist()], pa.binary())
     start = pa.array((found["start"] + part.base).astype(np.int32))
-    return [pa.array(found["key"].view(np.int64)), pa.array(found["seg"].view(np.int64)), digest, start, pa.array(found["n"].astype(np.int32))]
+    return [pa.array(found["key"].view(np.int64)), pa.array(found["seg"].view(np.int64)), digest, start, pa.array(found["n"].astype(np.int32)), pa.array(found["own"])]
 
 
 def segments(docs: DataFrame, level: int, tests: list, length: int, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, length):
-                yield pa.RecordBatch.from_arrays(_columns(part, Segments(part.raw, part.bounds, length).level(level, tests)), ["key", "seg", "doc", "start", "n"])
+                yield pa.RecordBatch.from_arrays(_columns(part, Segments(part.raw, part.bounds, length).level(level, tests)), NAMES)
 
     return docs.select(text).mapInArrow(run, SEGMENTS)
 
@@ -214,11 +220,11 @@ def undecided(docs: DataFrame, tests: list, length: int, text: str) -> DataFrame
         for batch in batches:
             for part in _slices(batch, length):
                 whole = Segments(part.raw, part.bounds, length)
-                key, start, n, doc = whole.pieces(tests[0])
+                key, start, n, doc, _ = whole.pieces(tests[0])
                 keep = tests[1](key)
                 found = whole._named(key[keep], start[keep], n[keep], doc[keep])
                 piece = [part.raw[s : s + k + length - 1].tobytes() for s, k in zip(start[keep].tolist(), n[keep].tolist())]
-                yield pa.RecordBatch.from_arrays([*_columns(part, found), pa.array(piece, pa.binary())], ["key", "seg", "doc", "start", "n", "piece"])
+                yield pa.RecordBatch.from_arrays([*_columns(part, found), pa.array(piece, pa.binary())], [*NAMES, "piece"])
 
     return docs.select(text).mapInArrow(run, SEGMENTS + ", piece binary")
 
@@ -313,36 +319,39 @@ def settle(blocks: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc binary, start int, n int")
 
 
-def _counted(found: DataFrame, filter_bits: int) -> tuple[DataFrame, DataFrame]:
-    """Ranges of segments that occur more than once, and keys with different segments of which one occurs once (key, kinds).
-
-    Most keys occur once. A bitmap of the slots that two keys hit takes them out before segments meet.
-    """
-    slots, bits = found.count(), 1 << 15
-    while bits < min(16 * slots, filter_bits):
+def _sifted(found: DataFrame, filter_bits: int) -> DataFrame:
+    """found without most keys that occur once: a bitmap of the slots that two keys hit takes them out before segments meet."""
+    rows, bits = found.count(), 1 << 15
+    while bits < min(16 * rows, filter_bits):
         bits *= 2
     slot = F.col("key").bitwiseAND(F.lit(bits - 1)).alias("key")
-    twice = found.groupBy(slot).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    maybe = _bitmap(twice, bits)
+    maybe = _bitmap(found.groupBy(slot).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(maybe(batch.column(0).to_numpy().view(np.uint64))))
 
-    kept = stage(found.mapInArrow(run, SEGMENTS), "kept")
-    counts = stage(kept.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("times")), "counts")
+    return stage(found.mapInArrow(run, SEGMENTS), "kept")
+
+
+def _counted(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ranges of own segments that occur more than once; open keys, with different segments of which one occurs once (key, kinds);
+    and the hashes, as key, of these single segments."""
+    counts = stage(found.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("times")), "counts")
     keys = counts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least")).filter("kinds > 1 AND least = 1").select("key", "kinds")
-    many = counts.filter("times > 1").select("key", "seg")
-    return kept.join(many, ["key", "seg"]).select("doc", "start", "n"), stage(keys, "open")
+    keys, many = stage(keys, "open"), counts.filter("times > 1").select("key", "seg")
+    single = counts.filter("times = 1").join(keys.select("key"), "key", "left_semi").select(F.col("seg").alias("key"))
+    return found.filter("own").join(many, ["key", "seg"]).select("doc", "start", "n"), keys, single
 
 
 def repeated_ranges(docs: DataFrame, length: int = 200, text: str = "text", block_segments: int = 128, filter_bits: int = 1 << 27) -> DataFrame:
     """(doc, start, n): runs of repeated windows, by the MD5 of the text; ranges may overlap."""
-    whole, open_keys = _counted(stage(segments(docs, 0, [], length, text), "segments"), filter_bits)
+    whole, open_keys, single = _counted(_sifted(stage(segments(docs, 0, [], length, text), "segments"), filter_bits))
     ranges = [whole]
     if not open_keys.isEmpty():
         first = key_filter(open_keys.select("key"), filter_bits)
-        fine, open_keys = _counted(stage(segments(docs, 1, [first], length, text), "pieces"), filter_bits)
+        # pieces of segments that are repeated as a whole are counted, but their ranges are known
+        fine, open_keys, _ = _counted(stage(segments(docs, 1, [first, key_filter(single, filter_bits)], length, text), "pieces"))
         ranges.append(fine)
         small, large = open_keys.filter(F.col("kinds") <= block_segments), open_keys.filter(F.col("kinds") > block_segments)
         if not small.isEmpty():
@@ -352,8 +361,8 @@ def repeated_ranges(docs: DataFrame, length: int = 200, text: str = "text", bloc
             kinds = kinds.select("key", "one.*", (F.col("times") == 1).alias("once"))
             ranges.append(settle(kinds.join(small.select("key"), "key", "left_semi"), length))
         if not large.isEmpty():
-            single = segments(docs, 2, [first, key_filter(large.select("key"), filter_bits)], length, text)
-            ranges.append(_counted(stage(single, "windows"), filter_bits)[0])
+            windows = segments(docs, 2, [first, key_filter(large.select("key"), filter_bits)], length, text)
+            ranges.append(_counted(stage(windows, "windows"))[0])
     out = ranges[0]
     for more in ranges[1:]:
         out = out.unionByName(more)
