@@ -193,3 +193,22 @@ ORACLE = {
 }
 ORACLE["cyclic_spectrum"] = f"WITH c AS ({ORACLE['cyclic_fold']}) SELECT ichan, ipol, ibin, CAST(f AS INTEGER) AS ifreq, {six('sum(CASE WHEN lag IN (0, 3) THEN 1 ELSE 2 END * (re * cos(f * lag * 2 * pi() / 6) - im * sin(f * lag * 2 * pi() / 6)) / hits)', 'power')} FROM c, (SELECT range AS f FROM range(6)) GROUP BY ichan, ipol, ibin, f"
 ORACLE["fold_path"] = f"WITH {K}, x AS ({BAD}), y AS (SELECT idat * 1000 + 500 AS us, d.ichan, d.ipol, {masked('bad = 1')} AS v FROM d LEFT JOIN x ON idat // {SK_M} = x.iw AND d.ichan = x.ichan) SELECT us // 200000 AS division, ichan, ipol, {ibin('us', 64_000, 16)} AS ibin, CAST(sum(v) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE v <> 0) AS BIGINT) AS hits FROM y GROUP BY ALL"
+
+_A = "(-2 * pi() * (k - 2) * j / 4)"
+ORACLE["polyphase"] = f"""WITH {Z}, x AS (SELECT idat // 4 - o AS p, o * 4 + idat % 4 AS j, ichan, ipol, re, im FROM z, (SELECT range AS o FROM range(4))),
+    y AS (SELECT p AS idat, CAST(ichan * 4 + k AS INTEGER) AS ichan, ipol, sum((j + 1) / 16 * (re * cos({_A}) - im * sin({_A}))) AS re, sum((j + 1) / 16 * (re * sin({_A}) + im * cos({_A}))) AS im
+        FROM x, nd, (SELECT range AS k FROM range(4)) WHERE p >= 0 AND p < (ndat - 16) // 4 + 1 GROUP BY p, ichan, k, ipol)
+    SELECT idat, ichan, ipol, {six('re', 're')}, {six('im', 'im')} FROM y"""
+_B = "(2 * pi() * (ichan - 8) * n / 16)"
+ORACLE["inverse_filterbank"] = f"""WITH {Z}, {dft(4)}, s AS (SELECT idat * 16 + n AS idat, ipol, sum(re * cos({_B}) - im * sin({_B})) AS re, sum(re * sin({_B}) + im * cos({_B})) AS im
+    FROM y, (SELECT range AS n FROM range(16)) GROUP BY idat, n, ipol) SELECT idat, CAST(0 AS INTEGER) AS ichan, ipol, {six('re', 're')}, {six('im', 'im')} FROM s"""
+ORACLE["filterbank_path"] = f"""WITH {Z}, {dft(8)}, g AS (SELECT idat // 2 AS idat, ichan // 4 AS ichan, sum(re * re + im * im) AS v FROM y, nd WHERE idat < ndat // 8 // 2 * 2 GROUP BY y.idat // 2, y.ichan // 4),
+    m AS (SELECT ichan, avg(v) AS m, var_pop(v) AS q FROM g GROUP BY ichan)
+    SELECT idat, CAST(7 - ichan AS INTEGER) AS ichan, CAST(0 AS INTEGER) AS ipol, CAST(greatest(0, least(255, trunc((v - m) / sqrt(q) * 21.25::DOUBLE + 128.0::DOUBLE))) AS INTEGER) AS v FROM g JOIN m USING (ichan)"""
+_C = "(-2 * pi() * (f - 4) * (idat - first) / 8)"
+ORACLE["phase_locked_filterbank"] = f"""WITH {Z}, st AS (SELECT (idat * 1000 + 500) // 32000 AS turn, {ibin('idat * 1000 + 500', 32_000, 4)} AS ibin, min(idat) AS first FROM z GROUP BY ALL),
+    x AS (SELECT turn, ibin, ichan, ipol, f, sum(re * cos({_C}) - im * sin({_C})) AS r, sum(re * sin({_C}) + im * cos({_C})) AS i, count(*) AS c
+        FROM z JOIN st ON idat BETWEEN first AND first + 7, (SELECT range AS f FROM range(8)) GROUP BY turn, ibin, ichan, ipol, f)
+    SELECT ibin, ichan, ipol, CAST(f AS INTEGER) AS ifreq, {six('sum(r * r + i * i)', 'power')}, count(*) AS hits FROM x WHERE c = 8 GROUP BY ibin, ichan, ipol, f"""
+ORACLE["baseline_decay"] = f"""WITH {D}, b AS (SELECT a.idat, a.ichan, a.ipol, a.v, sum(o.v * pow(0.9375::DOUBLE, a.idat - o.idat) * CASE WHEN o.idat = 0 THEN 1 ELSE 0.0625::DOUBLE END) AS base
+    FROM d a JOIN d o ON a.ichan = o.ichan AND a.ipol = o.ipol AND o.idat <= a.idat GROUP BY ALL) SELECT idat, ichan, ipol, round(v - base, 3) + 0.0 AS v FROM b"""

@@ -406,7 +406,7 @@ def q_phase_locked_filterbank(s, d):
 
 
 def q_baseline_decay(s, d):
-    return rescale.baseline_decay(powers(s, d), 16.0).df.select("idat", "ichan", "ipol", *six("v"))
+    return rescale.baseline_decay(powers(s, d), 16.0).df.select("idat", "ichan", "ipol", (F.round("v", 3) + 0.0).alias("v"))
 
 
 def q_quantize_path(s, d):
