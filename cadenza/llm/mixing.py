@@ -152,9 +152,10 @@ def realise(rows: DataFrame, plan: DataFrame, block_rows: int) -> DataFrame:
 
     Narrow: the plan is one row a source, and a row's own hash says where it stands.
     """
-    rows = _dealt(rows.join(F.broadcast(plan), F.col("__mx_source").eqNullSafe(F.col("s"))).drop("s"), block_rows)
+    plan = plan.withColumnsRenamed({c: f"__mx_{c}" for c in ("s", "e1", "e2", "e3")})
+    rows = _dealt(rows.join(F.broadcast(plan), F.col("__mx_source").eqNullSafe(F.col("__mx_s"))).drop("__mx_s"), block_rows)
     rows = _ordered(rows, "__mx_last")
-    k1, k2, k3, e1, e2, e3 = map(F.col, ("__mx_k1", "__mx_k2", "__mx_k3", "e1", "e2", "e3"))
+    k1, k2, k3, e1, e2, e3 = map(F.col, ("__mx_k1", "__mx_k2", "__mx_k3", "__mx_e1", "__mx_e2", "__mx_e3"))
     upto = (k1 < e1) | (k1 == e1) & ((k2 < e2) | (k2 == e2) & (k3 <= e3))
     passes = F.col("__mx_last") + (F.coalesce(upto, F.lit(False)) & (F.col("__mx_rest") > 0)).cast("long")
     taken = rows.withColumn("__mx_passes", passes).filter("__mx_passes > 0")

@@ -335,7 +335,8 @@ def near_dedup(docs: DataFrame, radius: int = 4) -> DataFrame:
         return without_ids(docs, gone)
     # an id that several rows have names no row: these rows' own fingerprints decide
     rows = docs.join(again, F.col("doc_id").eqNullSafe(F.col("__sh_id")), "left_semi")
-    chosen = with_prints(rows).join(members, F.col("__sh_fp") == F.col("fp")).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
+    named = members.select(F.col("fp").alias("__sh_at"), F.col("root").alias("__sh_root"), F.col("component_id").alias("__sh_first"))
+    chosen = with_prints(rows).join(named, F.col("__sh_fp") == F.col("__sh_at")).filter(F.col("doc_id").eqNullSafe(F.col("__sh_first"))).dropDuplicates(["__sh_root"])
     return without_ids(docs, gone.unionByName(again.toDF("doc_id"))).unionByName(chosen.select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 

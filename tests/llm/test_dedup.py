@@ -46,6 +46,7 @@ def test_exact_groups(docs):
 
 @pytest.mark.parametrize("max_bits", [1 << 15, 1 << 20])
 def test_exact_keeps_one_row_a_group_and_all_columns(docs, max_bits):
+    docs = docs.withColumns({c: F.lit(1) for c in ("slot", "n", "best", "bucket", "map", "size")})
     kept = exact_dedup.exact_dedup(docs, max_bits=max_bits)
     assert kept.columns == docs.columns
     texts = [normal(r["text"]) for r in kept.collect()]
@@ -178,4 +179,7 @@ def test_near_groups_and_survivors(spark, docs):
     assert (least == known.component_id).all()
     kept = simhash.near_dedup(docs)
     assert kept.columns == docs.columns and kept.count() == marks.component_id.nunique()
+    clash = docs.withColumns({c: F.lit(1) for c in ("fp", "root", "component_id", "n", "key", "bucket", "map")})
+    again = simhash.near_dedup(clash)
+    assert again.columns == clash.columns and again.count() == kept.count()
     assert simhash.near_dedup(docs.limit(0)).count() == 0

@@ -60,6 +60,8 @@ def test_passes_are_different_permutations_and_the_last_is_a_prefix(docs):
 
 def test_mix_keeps_columns_and_empty_tables(docs):
     assert mixing.mix(docs).columns == docs.columns
+    clash = docs.withColumns({c: F.lit(1) for c in ("s", "e1", "t", "d", "k")})
+    assert mixing.mix(clash).columns == clash.columns and mixing.mix(clash).count() == mixing.mix(docs).count()
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix_order(docs.limit(0)).count() == 0
 
 
