@@ -212,3 +212,24 @@ ORACLE["phase_locked_filterbank"] = f"""WITH {Z}, st AS (SELECT (idat * 1000 + 5
     SELECT ibin, ichan, ipol, CAST(f AS INTEGER) AS ifreq, {six('sum(r * r + i * i)', 'power')}, count(*) AS hits FROM x WHERE c = 8 GROUP BY ibin, ichan, ipol, f"""
 ORACLE["baseline_decay"] = f"""WITH {D}, b AS (SELECT a.idat, a.ichan, a.ipol, a.v, sum(o.v * pow(0.9375::DOUBLE, a.idat - o.idat) * CASE WHEN o.idat = 0 THEN 1 ELSE 0.0625::DOUBLE END) AS base
     FROM d a JOIN d o ON a.ichan = o.ichan AND a.ipol = o.ipol AND o.idat <= a.idat GROUP BY ALL) SELECT idat, ichan, ipol, round(v - base, 3) + 0.0 AS v FROM b"""
+
+
+def _dedisperse(dm: float, nfft: int) -> str:
+    """Overlap-save as a circular convolution with each channel's impulse response, given as values."""
+    import numpy as np
+
+    from cadenza.functions.response import dispersion_kernel, impulse_samples
+
+    width = META.channel_width
+    reach = [impulse_samples(dm, META.frequency(i), width, META.rate) for i in range(META.nchan)]
+    pos, neg = max(p for p, _ in reach), max(n for _, n in reach)
+    step = nfft - pos - neg
+    taps = [np.fft.ifft(dispersion_kernel(nfft, META.frequency(i), width, dm)) for i in range(META.nchan)]
+    values = ", ".join(f"({c}, {m}, {h.real!r}::DOUBLE, {h.imag!r}::DOUBLE)" for c, t in enumerate(taps) for m, h in enumerate(t.tolist()))
+    return f"""WITH {Z}, h(c, m, hr, hi) AS (VALUES {values}), p AS (SELECT unnest(range(0, CASE WHEN ndat < {nfft} THEN 0 ELSE (ndat - {nfft}) // {step} + 1 END)) AS p FROM nd),
+    x AS (SELECT p, idat - p * {step} AS j, ichan, ipol, re, im FROM z JOIN p ON idat >= p * {step} AND idat < p * {step} + {nfft}),
+    y AS (SELECT p * {step} + (j + m) % {nfft} - {pos} AS idat, (j + m) % {nfft} AS n, ichan, ipol, sum(re * hr - im * hi) AS re, sum(re * hi + im * hr) AS im FROM x JOIN h ON c = ichan GROUP BY p, (j + m) % {nfft}, ichan, ipol)
+    SELECT idat, ichan, ipol, {six('re', 're')}, {six('im', 'im')} FROM y WHERE n >= {pos} AND n < {nfft - neg}"""
+
+
+ORACLE["dedisperse"] = _dedisperse(0.001, 64)
