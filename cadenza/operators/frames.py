@@ -17,7 +17,7 @@ from cadenza.meta import ANALYTIC, INTENSITY, NYQUIST, Signal
 
 
 def to_frames(s: Signal, nfft: int, step: int | None = None, keys: tuple[str, ...] = ("ichan", "ipol")) -> DataFrame:
-    """(ipart, keys, x): structs of a part's samples in order; parts without all their samples are dropped."""
+    """(ipart, keys, re and im or v): arrays of a part's samples in order; only parts that end within the signal."""
     step = step or nfft
     parts = (s.meta.ndat - nfft) // step + 1 if s.meta.ndat >= nfft else 0
     low = F.greatest(F.lit(0).cast("long"), F.expr(f"(idat - {nfft} + {step}) div {step}"))
@@ -26,13 +26,18 @@ def to_frames(s: Signal, nfft: int, step: int | None = None, keys: tuple[str, ..
     rows = s.df.filter(low <= high).withColumn("ipart", F.explode(F.sequence(low, high)))
     rest = [c for c in ("ichan", "ipol") if c not in keys]
     sort = F.struct("idat", *rest, *values)
-    return rows.groupBy("ipart", *keys).agg(F.array_sort(F.collect_list(sort)).alias("x"))
+    return _unzipped(rows.groupBy("ipart", *keys).agg(F.array_sort(F.collect_list(sort)).alias("x")), values)
 
 
-def _complex(x) -> np.ndarray:
-    if "re" in x[0]:
-        return np.array([e["re"] for e in x], dtype=float) + 1j * np.array([e["im"] for e in x], dtype=float)
-    return np.array([e["v"] for e in x], dtype=float)
+def _unzipped(frames: DataFrame, values: list[str]) -> DataFrame:
+    """Column x, an array of structs, as an array of doubles for each value: Arrow hands these to NumPy without a Python object a sample."""
+    return frames.select(*(c for c in frames.columns if c != "x"), *(F.col(f"x.{c}").cast("array<double>").alias(c) for c in values))
+
+
+def _samples(pdf: pd.DataFrame) -> list[np.ndarray]:
+    if "re" in pdf:
+        return [np.asarray(r) + 1j * np.asarray(i) for r, i in zip(pdf["re"], pdf["im"])]
+    return [np.asarray(v) for v in pdf["v"]]
 
 
 def map_frames(frames: DataFrame, fn: Callable[[int, int, int, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
@@ -40,7 +45,7 @@ def map_frames(frames: DataFrame, fn: Callable[[int, int, int, np.ndarray], pd.D
 
     def run(batches):
         for pdf in batches:
-            out = [fn(p, c, q, _complex(x)) for p, c, q, x in zip(pdf["ipart"], pdf["ichan"], pdf["ipol"], pdf["x"])]
+            out = [fn(p, c, q, x) for p, c, q, x in zip(pdf["ipart"], pdf["ichan"], pdf["ipol"], _samples(pdf))]
             if out:
                 yield pd.concat(out)
 
@@ -102,8 +107,8 @@ def convolve(s: Signal, responses: Callable[[int], np.ndarray], nfft: int, pos:
         def both(batches):
             for pdf in batches:
                 out = []
-                for p, c, x in zip(pdf["ipart"], pdf["ichan"], pdf["x"]):
-                    z = np.fft.fft(_complex(x).reshape(nfft, 2), axis=0)
+                for p, c, x in zip(pdf["ipart"], pdf["ichan"], _samples(pdf)):
+                    z = np.fft.fft(x.reshape(nfft, 2), axis=0)
                     y = np.fft.ifft(np.einsum("nij,nj->ni", held[c], z), axis=0)
                     out += [rows(p, c, q, y[:, q]) for q in (0, 1)]
                 if out:
@@ -168,8 +173,8 @@ def inverse_filterbank(s: Signal, nfft: int, overlap: int = 0, response: np.ndar
     def run(batches):
         for pdf in batches:
             out = []
-            for p, q, x in zip(pdf["ipart"], pdf["ipol"], pdf["x"]):
-                z = np.fft.fftshift(np.fft.fft(_complex(x).reshape(nfft, nchan).T, axis=1), axes=1)
+            for p, q, x in zip(pdf["ipart"], pdf["ipol"], _samples(pdf)):
+                z = np.fft.fftshift(np.fft.fft(x.reshape(nfft, nchan).T, axis=1), axes=1)
                 whole = np.concatenate([z[i, edge : edge + keep] for i in order])
                 whole = whole if response is None else whole * response
                 y = np.fft.ifft(np.fft.ifftshift(whole)) * nchan * keep / nfft
@@ -213,12 +218,13 @@ def phase_locked_filterbank(s: Signal, nchan: int, period_us: int, nbin: int, ep
     covered = starts.select("turn", "ibin", F.explode(F.sequence(F.col("first"), F.col("first") + nchan - 1)).alias("idat"))
     values = [c for c in ("re", "im", "v") if c in s.df.columns]
     frames = s.df.join(covered, "idat").groupBy("turn", "ibin", "ichan", "ipol").agg(F.array_sort(F.collect_list(F.struct("idat", *values))).alias("x")).filter(F.size("x") == nchan)
+    frames = _unzipped(frames, values)
 
     def run(batches):
         for pdf in batches:
             out = []
-            for b, c, q, x in zip(pdf["ibin"], pdf["ichan"], pdf["ipol"], pdf["x"]):
-                out.append(pd.DataFrame({"ibin": b, "ichan": c, "ipol": q, "ifreq": np.arange(nchan), "p": np.abs(np.fft.fftshift(np.fft.fft(_complex(x)))) ** 2}))
+            for b, c, q, x in zip(pdf["ibin"], pdf["ichan"], pdf["ipol"], _samples(pdf)):
+                out.append(pd.DataFrame({"ibin": b, "ichan": c, "ipol": q, "ifreq": np.arange(nchan), "p": np.abs(np.fft.fftshift(np.fft.fft(x))) ** 2}))
             if out:
                 yield pd.concat(out)
 
