@@ -31,7 +31,7 @@ def coarser(fine: DataFrame, factor: int, overlap: int = 1) -> DataFrame:
 
 def estimate(s1: Column, s2: Column, n: Column, nd: int = 1) -> Column:
     """(n Nd + 1) / (n - 1) * (n S2 / S1^2 - 1); null below two samples or without power."""
-    value = (n * nd + 1) / (n - 1) * (n * s2 / (s1.cast("double") * s1) - 1)
+    value = (n * nd + 1) / (n - 1) * (n.cast("double") * s2 / (s1.cast("double") * s1) - 1)
     return F.when((n > 1) & (s1 != 0), value)
 
 

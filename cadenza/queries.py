@@ -250,7 +250,7 @@ def q_sk_time_freq(s, d):
 
 
 def q_sk_freq(s, d):
-    return kurtosis.freq(_blocks(s, d).filter("iw < 3"), 3.0)
+    return kurtosis.freq(_blocks(s, d), 3.0)
 
 
 def q_sk_time(s, d):
