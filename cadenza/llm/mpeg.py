@@ -1,6 +1,7 @@
 """MPEG audio as a media column: a frame parser, and payload storage in Layer III frames.
 
-parse() reads any byte string: it skips ID3v2 tags and recognises ID3v1, APE and Lyrics3 ends, resynchronises on frame headers
+parse() reads any byte string: it skips ID3v2 tags and recognises ID3v1, APE and Lyrics3 ends behind the frames that a leading
+table counts (audio may hold their marks), resynchronises on frame headers
 (a header counts only if another consistent one, or the end of the audio, follows it), reads Xing, Info and VBRI
 tables, verifies checksums of protected frames, and gives exact durations in samples, with the byte offset of each frame
 for seeking. Broken bytes are skipped and counted; nothing raises.
@@ -169,23 +170,43 @@ def _vbr(frame: bytes, h: Header) -> dict | None:
     return None
 
 
+def _counted(data: bytes, at: int, end: int) -> int:
+    """Where the frames end that a table in the frame at ``at`` counts; where they are broken, by its byte count; ``at`` without either."""
+    h = header(data[at : at + 4])
+    found = _vbr(data[at : at + h.length], h) if h and h.layer == 3 and at + h.length <= end else None
+    if found is None:
+        return at
+    stop = at
+    for _ in range(found["frames"] + 1 if "frames" in found else 0):
+        n = header(data[stop : stop + 4])
+        if n is None or (n.version, n.layer, n.rate) != (h.version, h.layer, h.rate) or stop + n.length > end:
+            break
+        stop += n.length
+    else:
+        if stop > at:
+            return stop
+    stop = at + found.get("bytes", 0)
+    return stop if stop <= end else at
+
+
 def parse(data: bytes) -> Audio:
     out, at, end = Audio(), 0, len(data)
     while data[at : at + 3] == b"ID3" and at + 10 <= end and not any(x & 0x80 for x in data[at + 6 : at + 10]):
         stop = min(end, at + 10 + _synchsafe(data[at + 6 : at + 10]) + (10 if data[at + 5] & 0x10 else 0))
         out.tags.append(("ID3v2", at, stop))
         at = stop
+    floor = _counted(data, at, end)
     while True:
-        if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
+        if end - floor >= 128 and data[end - 128 : end - 125] == b"TAG":
             out.tags.append(("ID3v1", end - 128, end))
             end -= 128
-        elif end - at >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
+        elif end - floor >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
             n = int.from_bytes(data[end - 20 : end - 16], "little") + (32 if data[end - 9] & 0x80 else 0)
-            start = max(at, end - max(n, 32))
+            start = max(floor, end - max(n, 32))
             out.tags.append(("APE", start, end))
             end = start
-        elif end - at >= 15 and data[end - 9 : end] == b"LYRICS200" and data[end - 15 : end - 9].isdigit():
-            start = max(at, end - 15 - int(data[end - 15 : end - 9]))
+        elif end - floor >= 15 and data[end - 9 : end] == b"LYRICS200" and data[end - 15 : end - 9].isdigit():
+            start = max(floor, end - 15 - int(data[end - 15 : end - 9]))
             out.tags.append(("Lyrics3", start, end))
             end = start
         else:
@@ -274,6 +295,8 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ke
                 media = store(payload)
                 audio = parse(media)
                 back = payload_of(media, audio)
+                if back != payload:
+                    raise ValueError(f"document {doc}: the payload read back differs from the one stored")
                 rows.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), describe(audio), *[media] * keep_media))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * keep_media)
             names = [c.split()[0] for c in STORED.split(", ")] + ["media"] * keep_media
