@@ -10,8 +10,13 @@ at most ``max_features`` rows, checked), and only n-grams with a weight reach th
 such n-gram is of class none, as the training makes sure. The predicted family is confirmed when one of its templates
 has at least ``least_containment`` of its n-grams in the paragraph; otherwise the paragraph is reported as unknown.
 
-Defined cases: a null or empty text has no paragraph of a licence; repeated rows are reported once each; paragraphs are split at line
-feeds and numbered from 0; an empty table gives an empty result; extra columns are ignored.
+Every line is judged, and, as notices are usually wrapped, so is every run of lines that have words, joined: a line without words
+(blank, or a bare comment mark) ends it. A run has a row where it is confirmed by a template of which none of its lines has as much,
+or where none of its lines has a row; in the first case lines that share as many n-grams with that template as with their own
+are pieces of the same notice and have no row beside it.
+
+Defined cases: a null or empty text has no paragraph of a licence; repeated rows are reported once each; lines are split at line
+feeds and numbered from 0, a run has its first line's number; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm._common import table
@@ -183,19 +188,40 @@ def _grams_of(v: Column) -> Column:
     return F.array_distinct(F.concat(v, F.zip_with(v, F.slice(v, 2, F.greatest(F.size(v), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))))
 
 
+def _units(lines: Column, starts: Column) -> Column:
+    """Lines and joined runs: paragraph (number of the first line), lines, run (where it starts, with the line before it) and body."""
+    unit = lambda paragraph, n, run, body: F.struct(paragraph.alias("paragraph"), n.cast("int").alias("lines"), run.alias("run"), body.alias("body"))
+
+    def of_run(start: Column, k: Column) -> Column:
+        stop = F.coalesce(F.get(starts, k + 1), F.size(lines))
+        first = start + F.when((start > 0) | ~_worded(F.get(lines, F.lit(0))), 1).otherwise(0)
+        each = F.transform(F.slice(lines, start + 1, stop - start), lambda line, j: unit(start + j, F.lit(1), start, line))
+        joined = F.filter(F.array(unit(first, stop - first, start, F.array_join(F.slice(lines, first + 1, F.greatest(stop - first, F.lit(0))), "\n"))), lambda u: u["lines"] > 1)
+        return F.concat(each, joined)
+
+    return F.flatten(F.transform(starts, of_run))
+
+
+def _worded(line: Column) -> Column:
+    return F.lower(line).rlike("[a-z0-9]")
+
+
 def scan(docs: DataFrame, model: Model, least_containment: float = 0.6, id_col: str = "doc_id", text: str = "text", max_features: int = 4096) -> DataFrame:
-    """doc_id, paragraph, family, probability, template, containment, confirmed, label: one row for each paragraph that is not of class none."""
+    """doc_id, paragraph, lines, family, probability, template, containment, confirmed, label: one row for each paragraph that is not of class none."""
     if len(model.features) > max_features:
         raise ValueError("too many features to broadcast")
     spark, k, n = docs.sparkSession, len(CLASSES), len(TEMPLATES)
     held = [grams(t) for _, t in TEMPLATES]
     schema = "gram string, " + ", ".join(f"w{i} double" for i in range(k)) + ", " + ", ".join(f"t{i} int" for i in range(n))
     weights = spark.createDataFrame([(g, *map(float, model.weights[i]), *(int(g in h) for h in held)) for i, g in enumerate(model.features)], schema)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("paragraph", "body"))
-    rows = rows.select("doc_id", "row", "paragraph", _words_of(F.col("body")).alias("v"))
-    rows = rows.select("doc_id", "row", "paragraph", F.explode(_grams_of(F.col("v"))).alias("gram"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.split(F.coalesce(text, F.lit("")), "\n").alias("ls"))
+    wordless = F.filter(F.transform("ls", lambda line, i: F.when((i > 0) & ~_worded(line), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("starts", F.concat(F.array(F.lit(0)), wordless))
+    rows = rows.select("doc_id", "row", F.explode(_units(F.col("ls"), F.col("starts"))).alias("u")).select("doc_id", "row", "u.*")
+    rows = rows.select("doc_id", "row", "paragraph", "lines", "run", _words_of(F.col("body")).alias("v"))
+    rows = rows.select("doc_id", "row", "paragraph", "lines", "run", F.explode(_grams_of(F.col("v"))).alias("gram"))
     met = rows.join(F.broadcast(weights), "gram")
-    sums = met.groupBy("row", "doc_id", "paragraph").agg(F.array(*(F.sum(f"w{i}") + float(model.bias[i]) for i in range(k))).alias("z"), F.array(*(F.sum(f"t{i}") / float(len(held[i])) for i in range(n))).alias("c"))
+    sums = met.groupBy("row", "doc_id", "paragraph", "lines", "run").agg(F.array(*(F.sum(f"w{i}") + float(model.bias[i]) for i in range(k))).alias("z"), F.array(*(F.sum(f"t{i}") / float(len(held[i])) for i in range(n))).alias("c"))
     top = F.array_max("z")
     p = 1 / F.aggregate("z", F.lit(0.0), lambda acc, z: acc + F.exp(z - F.col("top")))
     named = F.array(*map(F.lit, CLASSES))
@@ -207,7 +233,16 @@ def scan(docs: DataFrame, model: Model, least_containment: float = 0.6, id_col:
     contained = F.round(F.coalesce(F.col("fit.c"), F.lit(0.0)), 6)
     confirmed = (F.col("probability") >= model.least) & (contained >= least_containment)
     label = F.when((F.col("family") != "unknown") & confirmed, F.col("family")).otherwise("unknown")
-    return sums.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), (-F.col("fit.i")).alias("template"), contained.alias("containment"), confirmed.alias("confirmed"), label.alias("label"))
+    sums = sums.withColumns({"contained": contained, "confirmed": confirmed, "label": label, "at": -F.col("fit.i")})
+    one, over = F.col("lines") == 1, Window.partitionBy("row", "run")
+    # of a confirmed run: its template, and how much of that each row has
+    sums = sums.withColumn("whole", F.max(F.when(~one & (F.col("label") != "unknown"), F.col("at"))).over(over))
+    sums = sums.withColumn("of_whole", F.element_at("c", F.col("whole") + 1))
+    sums = sums.withColumns({"spans": F.coalesce(F.max(F.when(~one, F.col("of_whole"))).over(over) > F.coalesce(F.max(F.when(one, F.col("of_whole"))).over(over), F.lit(0.0)), F.lit(False)), "n_lines": F.count(F.when(one, 1)).over(over)})
+    hits = lambda share, at: share * F.element_at(F.array(*(F.lit(float(len(h))) for h in held)), at + 1)
+    piece = F.col("spans") & F.coalesce(hits(F.col("of_whole"), F.col("whole")) >= hits(F.element_at("c", F.col("at") + 1), F.col("at")), F.lit(False))
+    sums = sums.filter(F.when(one, ~piece).otherwise(F.col("spans") | (F.col("n_lines") == 0)))
+    return sums.select("doc_id", "paragraph", "lines", "family", F.round("probability", 6).alias("probability"), F.col("at").alias("template"), F.col("contained").alias("containment"), "confirmed", "label")
 
 
 def sample(docs: DataFrame, sample_rows: int = 300, id_col: str = "doc_id", text: str = "text") -> list[str]:
