@@ -160,7 +160,7 @@ def q_chomp(s, d):
 
 
 def q_resize(s, d):
-    return _samples(selection.resize(selection.chomp(powers(s, d), 500), -37))
+    return _samples(selection.resize(powers(s, d), -37))
 
 
 def q_delay_start(s, d):
@@ -336,7 +336,7 @@ def q_dual(s, d):
 
 
 def q_serial_concat(s, d):
-    sig = selection.chomp(powers(s, d), 400)
+    sig = powers(s, d)
     after = Signal(sig.df.withColumn("v", F.col("v") + 1), sig.meta.but(start_us=sig.meta.ndat * 1000))
     return _samples(integration.serial([sig, after]))
 
