@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, size: int = 2048, id_col: str = "doc_id", text: str
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array([*tokens.encode(body.as_py() or "", vocabulary), end_id], dtype="<u4")
+                ids = np.array([*tokens.ids(body.as_py() or "", vocabulary), end_id], dtype="<u4")
                 for k, (start, length) in enumerate(cuts(len(ids), size)):
                     for column, value in zip(out, (doc, k, start, length, zlib.crc32(ids[start : start + length].tobytes()))):
                         column.append(value)

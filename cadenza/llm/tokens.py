@@ -26,6 +26,16 @@ def _slow(path: str):
     return made
 
 
+@lru_cache(maxsize=2)
+def _plain(path: str):
+    """The file's tokenizer as it is, and what its added tokens look like in a text; None where that depends on a normalizer."""
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    added = made.get_added_tokens_decoder().values()
+    return made, None if any(t.normalized for t in added) else tuple(t.content for t in added)
+
+
 @lru_cache(maxsize=2)
 def _fast(path: str):
     """The same vocabulary as ranks, or None where only the JSON file exists."""
@@ -47,3 +57,12 @@ def encode(text: str, path: str | None = None) -> list[int]:
     if text and len(text) < PLAIN_CHARS and max(text) < PLAIN_BELOW and (fast := _fast(path)) is not None:
         return fast.encode_ordinary(text)
     return _slow(path).encode(text, add_special_tokens=False).ids
+
+
+def ids(text: str, path: str | None = None) -> list[int]:
+    """The file's own ids: an added token in the text, as <|endoftext|>, is one id, where encode() takes it as plain characters."""
+    path = path or vocabulary()
+    plain, added = _plain(path)
+    if added is None or any(content in text for content in added):
+        return plain.encode(text, add_special_tokens=False).ids
+    return encode(text, path)
