@@ -10,8 +10,10 @@ anywhere else. All windows of all documents are judged; what brings equal window
    cut into pieces of at most 32 windows that share 169 bytes, a sharper key, and counted once more.
 3. blocks: the different pieces of a key, each once, are joined by separators, and a suffix array (gsaca.py) of each block
    puts equal windows side by side: neighbours are compared byte by byte.
-4. a key with more than ``block_segments`` different pieces (a large group of near copies) is cut into single windows instead, which
-   counting settles. Nothing is dropped or capped, and no block outgrows a task.
+4. a key with more than ``block_segments`` different pieces (a large group of near copies) is cut again: each different piece into
+   halves of 16 windows that share 185 bytes, which give sharper keys; equal halves are collapsed, and keys that are small
+   enough become blocks. What is still large is halved again, down to one window at most, whose key has one piece only. Each
+   round works on the different pieces of large keys alone, so no block outgrows a task, and nothing is dropped or capped.
 5. the repeated ranges of a text are united, and the text is read again to take them out.
 
 Shuffles carry keys and hashes, one row for about 85 bytes, and the bytes of undecided segments; texts are joined to their ranges
@@ -103,8 +105,8 @@ class Segments:
         return {"key": key, "seg": np.array(seg, dtype=np.uint64), "doc": doc, "start": start - self.bounds[doc], "n": n, "own": np.ones(len(key), bool)}
 
     def pieces(self, open_keys) -> tuple[np.ndarray, ...]:
-        """(key, start, n, doc, segment) of the segments of open keys, cut where a window's distance to its anchor is a multiple of FINE; the
-        key is the hash of the bytes that all windows at these distances share."""
+        """(key, start, n, doc, segment, lead) of the segments of open keys, cut where a window's distance to its anchor is a multiple of FINE; the
+        key is the hash of the bytes that all windows at these distances share, which start ``lead`` bytes after the piece."""
         keep = np.flatnonzero(open_keys(self.key))
         start, n, anchor, doc, key = self.start[keep], self.n[keep], self.anchor[keep], self.doc[keep], self.key[keep]
         low, high = (anchor - start - n + 1) // FINE, (anchor - start) // FINE
@@ -117,23 +119,18 @@ class Segments:
         body, share = memoryview(np.ascontiguousarray(self.raw)), self.length - FINE + 1
         seeds = (key + piece.astype(np.uint64) * C).tolist()
         fine = np.array([xxh3_64_intdigest(body[c : c + share], seed) for c, seed in zip(core.tolist(), seeds)], dtype=np.uint64)
-        return fine, first, n, doc, keep
+        return fine, first, n, doc, keep, core - first
 
     def level(self, level: int, tests: list) -> dict[str, np.ndarray]:
-        """0: all segments; 1: pieces of keys that pass tests[0], own where tests[1] takes their segment for one that occurs once; 2: single
-        windows of pieces whose keys pass tests[1]."""
+        """0: all segments; 1: pieces of keys that pass tests[0], own where tests[1] takes their segment for one that occurs once."""
         if not level:
             return self._named(self.key, self.start, self.n, self.doc)
-        key, start, n, doc, segment = self.pieces(tests[0])
-        if level == 1:
-            out = self._named(key, start, n, doc)
-            asked = np.unique(segment)
-            once = np.zeros(len(self.key), dtype=bool)
-            once[asked] = tests[1](self._named(self.key[asked], self.start[asked], self.n[asked], self.doc[asked])["seg"])
-            return out | {"own": once[segment]}
-        keep = tests[1](key)
-        key, start, n, doc = key[keep], start[keep], n[keep], doc[keep]
-        return self._named(np.repeat(key, n), spread(start, n), np.ones(int(n.sum()), np.int64), np.repeat(doc, n))
+        key, start, n, doc, segment, _ = self.pieces(tests[0])
+        out = self._named(key, start, n, doc)
+        asked = np.unique(segment)
+        once = np.zeros(len(self.key), dtype=bool)
+        once[asked] = tests[1](self._named(self.key[asked], self.start[asked], self.n[asked], self.doc[asked])["seg"])
+        return out | {"own": once[segment]}
 
 
 class Slice:
@@ -214,19 +211,78 @@ def segments(docs: DataFrame, level: int, tests: list, length: int, text: str) -
 
 
 def undecided(docs: DataFrame, tests: list, length: int, text: str) -> DataFrame:
-    """Pieces of keys that pass tests[0] whose own keys pass tests[1], with their bytes."""
+    """Pieces of keys that pass tests[0] whose own keys pass tests[1], with their bytes and the place of the shared ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, length):
                 whole = Segments(part.raw, part.bounds, length)
-                key, start, n, doc, _ = whole.pieces(tests[0])
+                key, start, n, doc, _, lead = whole.pieces(tests[0])
                 keep = tests[1](key)
                 found = whole._named(key[keep], start[keep], n[keep], doc[keep])
                 piece = [part.raw[s : s + k + length - 1].tobytes() for s, k in zip(start[keep].tolist(), n[keep].tolist())]
-                yield pa.RecordBatch.from_arrays([*_columns(part, found), pa.array(piece, pa.binary())], [*NAMES, "piece"])
+                yield pa.RecordBatch.from_arrays([*_columns(part, found), pa.array(lead[keep].astype(np.int32)), pa.array(piece, pa.binary())], [*NAMES, "lead", "piece"])
 
-    return docs.select(text).mapInArrow(run, SEGMENTS + ", piece binary")
+    return docs.select(text).mapInArrow(run, SEGMENTS + ", lead int, piece binary")
+
+
+HALVES = "key long, seg long, doc binary, start int, n int, lead int, once boolean, piece binary"
+
+
+def halved(pieces: DataFrame, width: int, length: int) -> DataFrame:
+    """The pieces (key, doc, start, lead, once, piece) of at most ``width`` windows, cut in two: the windows at a distance of half a width or more from
+    the shared bytes, and the others. The new key is the hash of what all windows of a half share."""
+    half = width // 2
+    share = length - half + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, doc, start, lead, once, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                n, cut_at = len(piece) - length + 1, max(0, lead - half + 1)
+                for side, first, end in ((1, 0, min(cut_at, n)), (0, cut_at, n)):
+                    if first < end:
+                        core = lead - half * side
+                        named = xxh3_64_intdigest(piece[core : core + share], (key + side) & 0xFFFFFFFFFFFFFFFF)
+                        body = piece[first : end + length - 1]
+                        out.append((named, xxh3_64_intdigest(body), doc, start + first, end - first, core - first, once, body))
+            columns = list(zip(*out)) or [()] * 8
+            signed = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in columns[:2]]
+            types = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*signed, *(pa.array(c, t) for c, t in zip(columns[2:], types))], [c.split()[0] for c in HALVES.split(", ")])
+
+    return pieces.select("key", "doc", "start", "lead", "once", "piece").mapInArrow(run, HALVES)
+
+
+def _different(rows: DataFrame) -> DataFrame:
+    """Each different piece of a key once, with once where this is its only row and no other had one before."""
+    one = F.first(F.struct("doc", "start", "lead", "piece")).alias("one")
+    return rows.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("times"), F.min("once").alias("once"), one).select("key", "seg", "one.*", ((F.col("times") == 1) & F.col("once")).alias("once"))
+
+
+def _kinds(different: DataFrame) -> DataFrame:
+    """(key, kinds) of the keys with two different pieces or more of which one occurs once: others are settled."""
+    return different.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("once").alias("some")).filter("kinds > 1 AND some").select("key", "kinds")
+
+
+def settle_open(rows: DataFrame, open_keys: DataFrame, length: int, block_segments: int) -> list[DataFrame]:
+    """Ranges of repeated windows among the pieces of open keys, by blocks; pieces of larger keys are halved until they fit."""
+    ranges, width = [], FINE
+    different = stage(_different(rows), "different")
+    while True:
+        last = width == 1
+        small = open_keys if last else open_keys.filter(F.col("kinds") <= block_segments)
+        ranges.append(settle(different.join(small.select("key"), "key", "left_semi"), length))
+        large = open_keys.filter(F.col("kinds") > block_segments)
+        if last or large.isEmpty():
+            return ranges
+        halves = stage(halved(different.join(large.select("key"), "key", "left_semi"), width, length), "halves")
+        width //= 2
+        different = stage(_different(halves), "different")
+        # halves that occur elsewhere too are repeated as a whole; the rest of the open keys goes on
+        again = different.filter("NOT once").select("key", "seg")
+        ranges.append(halves.filter("once").select("key", "seg", "doc", "start", "n").join(again, ["key", "seg"], "left_semi").select("doc", "start", "n"))
+        open_keys = stage(_kinds(different), "open")
 
 
 def repeated_in_blocks(pieces: list[bytes], block: np.ndarray, length: int) -> np.ndarray:
@@ -353,16 +409,9 @@ def repeated_ranges(docs: DataFrame, length: int = 200, text: str = "text", bloc
         # pieces of segments that are repeated as a whole are counted, but their ranges are known
         fine, open_keys, _ = _counted(stage(segments(docs, 1, [first, key_filter(single, filter_bits)], length, text), "pieces"))
         ranges.append(fine)
-        small, large = open_keys.filter(F.col("kinds") <= block_segments), open_keys.filter(F.col("kinds") > block_segments)
-        if not small.isEmpty():
-            rows = undecided(docs, [first, key_filter(small.select("key"), filter_bits)], length, text)
-            # each different piece once; of one that occurs once this is its only row
-            kinds = rows.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("times"), F.first(F.struct("doc", "start", "piece")).alias("one"))
-            kinds = kinds.select("key", "one.*", (F.col("times") == 1).alias("once"))
-            ranges.append(settle(kinds.join(small.select("key"), "key", "left_semi"), length))
-        if not large.isEmpty():
-            windows = segments(docs, 2, [first, key_filter(large.select("key"), filter_bits)], length, text)
-            ranges.append(_counted(stage(windows, "windows"))[0])
+        if not open_keys.isEmpty():
+            rows = undecided(docs, [first, key_filter(open_keys.select("key"), filter_bits)], length, text).withColumn("once", F.lit(True))
+            ranges += settle_open(rows, open_keys, length, block_segments)
     out = ranges[0]
     for more in ranges[1:]:
         out = out.unionByName(more)

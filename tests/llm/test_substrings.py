@@ -47,7 +47,7 @@ def brute(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize(("chunk", "settings"), [(1 << 20, {}), (1 << 20, {"block_segments": 1}), (600, {"block_segments": 4}), (1 << 20, {"filter_bits": 1 << 15})])
+@pytest.mark.parametrize(("chunk", "settings"), [(1 << 20, {}), (1 << 20, {"block_segments": 1}), (600, {"block_segments": 4}), (1 << 20, {"block_segments": 2}), (1 << 20, {"filter_bits": 1 << 15})])
 def test_removal_matches_brute_force(spark, monkeypatch, chunk, settings):
     monkeypatch.setattr(substrings, "CHUNK", chunk)
     texts = corpus()
@@ -73,3 +73,17 @@ def test_kept_bytes_and_empty_table(spark):
     rows = sorted((r["doc_id"], bytes(r["kept"]).decode()) for r in substrings.remove_repeats(docs, keep_text=True).collect())
     assert rows == [(1, "head "), (2, " tail"), (3, "alone"), (3, "alone")]
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_hot_keys_are_halved_until_suffix_arrays_take_them(spark, monkeypatch):
+    """Default settings, 400 near copies of one text that differ in one letter each, anywhere: keys with far more than 128 different pieces."""
+    a, sorted_rows, widths = word(900), [], []
+    near = [a[:i] + letter + a[i + 1 :] for i, letter in zip(RNG.integers(0, 900, 400).tolist(), RNG.choice(list("ABCDEFGH"), 400))]
+    near += [a[380:640] + str(i) for i in range(150)] + [str(i) + a[300:530] for i in range(150)]
+    real_settle, real_halved = substrings.settle, substrings.halved
+    monkeypatch.setattr(substrings, "settle", lambda blocks, length: (sorted_rows.append(blocks.groupBy("key").count().agg({"count": "max"}).first()[0] or 0), real_settle(blocks, length))[1])
+    monkeypatch.setattr(substrings, "halved", lambda pieces, width, length: (widths.append(width), real_halved(pieces, width, length))[1])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(near)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(near))] == brute(near)
+    assert widths and widths[0] == 32 and max(sorted_rows) <= 128
