@@ -8,7 +8,7 @@ partition, and shifted by the totals of the partitions before; every ``part_turn
 that is gathered. A perspective is one row a part, in order of ``part``; concatenated, the parts are the whole rendering. Spans
 count from the part's start.
 
-Defined cases: equal rows (conversation, turn, role, text) are one turn; rows with the same turn number follow each other by
+Defined cases: equal rows (conversation, turn, role, text) are one turn, rows that differ, if only by a null, are turns of their own; rows with the same turn number follow each other by
 role, then text; a null turn comes first; a null text is empty; a null or blank role is the speaker "unknown"; system roles are
 rendered as system messages and have no perspective; a conversation of system messages alone has one rendering with a null
 participant and no mask; an empty table gives an empty result; other columns are ignored. Marks inside texts are broken
@@ -32,7 +32,8 @@ def safe(text: Column) -> Column:
 def ranked(turns: DataFrame, part_turns: int) -> DataFrame:
     """conv, speaker, body, at (place within the part) and part; no conversation has to fit in a task."""
     name = F.trim(F.regexp_replace(safe(F.col("role")), r"[\r\n]+", " "))
-    rows = turns.select(F.col("conv_id").alias("conv"), "turn", F.when(name == "", "unknown").otherwise(name).alias("speaker"), F.coalesce("text", F.lit("")).alias("raw")).distinct()
+    rows = turns.select("conv_id", "turn", "role", "text").distinct()  # before names and texts are normalised: rows that differ stay apart
+    rows = rows.select(F.col("conv_id").alias("conv"), "turn", F.when(name == "", "unknown").otherwise(name).alias("speaker"), F.coalesce("text", F.lit("")).alias("raw"))
     order = ["turn", "speaker", "raw"]
     dealt = rows.repartitionByRange(partitions(turns.sparkSession), "conv", *order).withColumn("pid", F.spark_partition_id())
     dealt = stage(dealt, "turns")  # range bounds are sampled: keep what they gave
@@ -77,10 +78,10 @@ def op5_perspective_rotation(spark, sf_dir):
 
 OP5_SQL = r"""
 WITH t AS (
-  SELECT DISTINCT conv_id, turn,
+  SELECT conv_id, turn,
          coalesce(nullif(trim(regexp_replace(replace(coalesce(role, ''), '<|', '< |'), '[\r\n]+', ' ', 'g')), ''), 'unknown') AS speaker,
          coalesce(text, '') AS raw
-  FROM conversations),
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, raw) - 1 AS rk FROM t),
 p AS (SELECT conv_id, speaker AS participant FROM r WHERE speaker <> 'system' GROUP BY ALL),
 m AS (
