@@ -20,14 +20,78 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, pass long")
 
 
-def test_exponent_meets_targets():
-    tokens_ = [900, 60, 40]
-    shares = [t / 1000 for t in tokens_]
-    a = mixing.bisect_exponent(tokens_, 1000, 0.9, None)
-    assert mixing.entropy(mixing.weights_at(shares, a)) == pytest.approx(0.9, abs=1e-9)
-    a = mixing.bisect_exponent(tokens_, 1000, None, 2.0)
-    assert max(w * 1000 / t for w, t in zip(mixing.weights_at(shares, a), tokens_)) == pytest.approx(2.0, abs=1e-6)
-    assert mixing.bisect_exponent([5, 5], 10, 0.9, None) == 1.0
+def exponent(tokens_, budget, entropy, repeats):
+    return mixing.bisect_exponent(mixing.local_sums(tokens_), len(tokens_), min(tokens_), max(tokens_), budget, entropy, repeats)
+
+
+def by_scan(tokens_, budget, entropy, repeats):
+    """The exponent by a plain scan of weights, independent of the operator's own sums."""
+
+    def facts(a):
+        w = (np.array(tokens_) / max(tokens_)) ** a
+        w /= w.sum()
+        some = w[w > 0]
+        return -(some * np.log(some)).sum() / np.log(len(w)), (w * budget / np.array(tokens_)).max()
+
+    grid = np.arange(0, 60, 0.001)
+    met = 0.0 if entropy is None else next(a for a in grid if facts(a)[0] <= entropy)
+    if repeats is None or facts(met)[1] <= repeats:
+        return met
+    way = grid[(grid >= min(met, 1)) & (grid <= max(met, 1))]
+    allowed = [a for a in way if facts(a)[1] <= repeats]
+    if not allowed:  # not even the shares keep to the limit, which no other weights repeat less than
+        return 1.0
+    return min(allowed) if met < 1 else max(allowed)
+
+
+@pytest.mark.parametrize("case", [([900, 60, 40], 1000, 0.9, None), ([900, 60, 40], 1000, 0.9, 1.2), ([105, 100, 95], 300, 0.95, None), ([105, 100, 95], 300, 0.95, 1.5), ([900, 60, 40], 1000, None, 2.0), ([900, 60, 40], 1000, None, None), ([900, 60, 40], 1000, 0.2, None)])
+def test_exponent_meets_targets(case):
+    assert exponent(*case) == pytest.approx(by_scan(*case), abs=2e-3)
+
+
+def test_exponent_sharpens_near_level_sources_and_keeps_equal_ones():
+    assert exponent([105, 100, 95], 300, 0.95, None) > 1
+    assert exponent([5, 5], 10, 0.9, None) == 1.0  # any exponent gives the same weights: none meets 0.9
+    assert exponent([7], 7, 0.5, 4.0) == 1.0
+    assert exponent([9, 1], 10, 1.0, None) == 0.0
+
+
+def test_sums_over_sources_are_the_same_by_shuffle(spark):
+    t = [900, 60, 40, 40]
+    far = mixing.shuffled_sums(spark.createDataFrame([(x,) for x in t], "t long"), 900)
+    for a in (0.0, 0.4, 1.0, 7.5):
+        assert far(a) == pytest.approx(mixing.local_sums(t)(a))
+
+
+def test_many_sources_mix_alike(docs):
+    few, many = (mixing.mix_order(docs, **k).toPandas() for k in ({}, {"max_sources": 2}))
+    key = lambda d: sorted(zip(d["doc_id"], d["pass"]))
+    assert key(few) == key(many)
+
+
+def test_query_tempers_the_whole_table(spark):
+    """sf0.01: words counted in plain Python; realised shares meet entropy 0.95 within one document a source."""
+    d = "/root/testdata/sf0.01"
+    totals, longest = defaultdict(int), defaultdict(int)
+    for r in spark.read.parquet(f"{d}/documents.parquet").select("source", "text").collect():
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        totals[r.source], longest[r.source] = totals[r.source] + n, max(longest[r.source], n)
+    names = sorted(totals, key=str)
+    tokens_, budget = [totals[s] for s in names], sum(totals.values())
+    a = by_scan(tokens_, budget, 0.95, 4.0)
+    assert a != pytest.approx(1.0, abs=0.05)
+    got = QUERIES["op10_temperature_mixing"](spark, d).toPandas()
+    taken = got.groupby("source").n_tokens.sum()
+    w = np.array([t**a for t in map(float, np.array(tokens_) / max(tokens_))])
+    for s, want in zip(names, w / w.sum() * budget):
+        assert want * 0.995 - 1 <= taken.get(s, 0) <= want * 1.005 + longest[s]
+    share = np.array([taken.get(s, 0) for s in names]) / taken.sum()
+    entropy = -(share[share > 0] * np.log(share[share > 0])).sum() / np.log(len(names))
+    assert entropy == pytest.approx(0.95, abs=0.01)
+    counts = got.groupby(["source", "pass"]).doc_id.count()
+    docs_of = spark.read.parquet(f"{d}/documents.parquet").groupBy("source").count().toPandas().set_index("source")["count"]
+    partial = [s for (s, p), n in counts.items() if n < docs_of[s]]
+    assert partial and got["pass"].max() >= 1
 
 
 @pytest.mark.parametrize("settings", [{"block_rows": 1000}, {"block_rows": 7}, {"block_rows": 20, "budget": 3000}, {"target_entropy": None, "repeats": 3.0, "budget": 90_000}])
@@ -35,19 +99,22 @@ def test_quotas_are_met_to_one_document(docs, settings):
     got = mixing.mix_order(docs, **settings).toPandas()
     source = docs.toPandas()
     n = {r.doc_id: len(re.findall(r"\S+", r.text or "")) for r in source.itertuples()}
-    totals, longest = defaultdict(int), defaultdict(int)
+    totals, longest, taken = defaultdict(int), defaultdict(int), defaultdict(int)
     name = lambda s: s if isinstance(s, str) else None
     for r in source.itertuples():
         totals[name(r.source)] += n[r.doc_id]
         longest[name(r.source)] = max(longest[name(r.source)], n[r.doc_id])
     chosen = mixing.DEFAULTS | settings
-    quotas = mixing.source_quotas(sorted(totals.items(), key=lambda x: str(x[0])), chosen["budget"], chosen["target_entropy"], chosen["repeats"])
-    taken = defaultdict(int)
     for r in got.itertuples():
         taken[name(r.source)] += r.n_tokens
-    for s, (whole, rest) in quotas.items():
-        want = whole * totals[s] + rest
-        assert want <= taken[s] <= want + longest[s]
+    some = {s: t for s, t in totals.items() if t}
+    budget = chosen["budget"] or sum(some.values())
+    a = by_scan(list(some.values()), budget, chosen["target_entropy"], chosen["repeats"])
+    raised = {s: (t / max(some.values())) ** a for s, t in some.items()}
+    for s, x in raised.items():
+        want = x / sum(raised.values()) * budget
+        assert want * 0.99 - 1 <= taken[s] <= want * 1.01 + longest[s]
+    assert set(source[source.source == "void"].doc_id) <= set(got.doc_id)  # no tokens: once
     assert got.groupby(["doc_id", "pass"]).size().max() == 1
 
 
@@ -60,8 +127,11 @@ def test_passes_are_different_permutations_and_the_last_is_a_prefix(docs):
 
 def test_mix_keeps_columns_and_empty_tables(docs):
     assert mixing.mix(docs).columns == docs.columns
-    clash = docs.withColumns({c: F.lit(1) for c in ("s", "e1", "t", "d", "k")})
-    assert mixing.mix(clash).columns == clash.columns and mixing.mix(clash).count() == mixing.mix(docs).count()
+    clash = docs.withColumns({c: F.lit(1) for c in ("s", "e1", "t", "d", "k", "__mx_row", "__mx_doc", "__mx_k1", "__mx_id")})
+    mixed = mixing.mix(clash)
+    assert mixed.columns == clash.columns and mixed.count() == mixing.mix(docs).count() and mixed.filter("__mx_row = 1 AND __mx_doc = 1 AND __mx_k1 = 1").count() == mixed.count()
+    long = docs.limit(3).withColumn("text", F.repeat(F.lit("word "), 400_000))
+    assert mixing.mix(long).filter("length(text) = 2000000").count() > 0
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix_order(docs.limit(0)).count() == 0
 
 
@@ -112,14 +182,14 @@ def test_packing(spark):
     assert packing.pack(packing.pieces(docs.limit(0))).count() == 0
 
 
-TURNS = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|> there"), (1, 2, "bob", "hello"), (1, 2, "ann", None), (1, 3, "cleo\nx", "é!"), (1, 1, "ann", "hi <|im_end|> there"), (2, None, None, "alone"), (3, 0, "system", "only"), (None, 0, "ann", "lost"), (None, 1, "bob", "found")]
+TURNS = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|> there"), (1, 2, "bob", "hello"), (1, 2, "ann", None), (1, 3, "cleo\nx", "é!"), (1, 1, "ann", "hi <|im_end|> there"), (2, None, None, "alone"), (3, 0, "system", "only"), (None, 0, "ann", "lost"), (None, 1, "bob", "found"), (5, 0, None, "x"), (5, 0, " ", "x"), (5, 0, "unknown", "x"), (5, 0, "unknown", None), (5, 0, "unknown", ""), (5, 0, "unknown", "")]
 
 
 def chat(turns):
-    out, convs = {}, defaultdict(set)
-    for c, t, role, text in turns:
+    out, convs = {}, defaultdict(list)
+    for c, t, role, text in set(turns):
         clean = lambda s: s.replace("<|", "< |")
-        convs[c].add((t is not None, t or 0, (re.sub(r"[\r\n]+", " ", clean(role or "")).strip() or "unknown"), text or ""))
+        convs[c].append((t is not None, t or 0, (re.sub(r"[\r\n]+", " ", clean(role or "")).strip() or "unknown"), text or ""))
     for c, rows in convs.items():
         for p in sorted({r[2] for r in rows} - {"system"}) or [None]:
             text, mask = "", []
@@ -166,7 +236,8 @@ def test_queries_with_sql(spark, sf_dir, name):
 def test_queries_run_over_the_whole_table(spark, sf_dir, name):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     rows = QUERIES[name](spark, sf_dir).count()
-    assert rows > 0 if "license" in name else rows >= n
+    # paragraphs are fewer than documents, and a mix repeats some documents and leaves out others (test_query_tempers_the_whole_table)
+    assert rows > 0 if "license" in name or "mixing" in name else rows >= n
 
 
 def test_pipeline_against_its_stages_by_hand(spark, sf_dir):
