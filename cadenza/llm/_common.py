@@ -26,14 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "cadenza-stage")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, a folder a value of column ``by``, and read it back.
 
     Cuts lineage in a form that survives lost executors; Hadoop removes the folder when the JVM exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cadenza-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)

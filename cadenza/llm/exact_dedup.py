@@ -1,16 +1,17 @@
 """Exact duplicates behind a two-pass Bloom filter, with DataFrame functions only.
 
-Pass one hashes every text into two slot spaces and sets a bit for each slot that two or more rows hit;
-the bitmaps are a Bloom filter of the hashes seen at least twice. Pass two probes every row: a row
-that misses a bit has no equal and passes straight through; only the others shuffle and meet exactly.
+Pass one hashes every digest into a slot space and sets a bit for each slot that two or more rows hit; rows that hit such a slot are hashed
+anew, into a second space that only they fill. The two bitmaps are a Bloom filter of the hashes seen at least twice. Pass two probes
+every row: a row that misses a bit has no equal and passes straight through; only the others shuffle and meet exactly.
 
-The bitmaps hold ``max_bits`` bits each (2**27 bits, 16 MB) at most, whatever the input, so that they may be
-broadcast. Above that load more rows are taken for possible repeats; the result stays exact.
+The hash space is split into ranges, so that a range's bitmaps, which are broadcast, hold ``max_bits`` bits each (2**27 bits, 16 MB) at most
+whatever the input: their number follows the input, and ranges are taken one after the other, each reading its own share of the digests. So the filter
+stays as sharp at any size. What pass one shuffles is a slot number a distinct digest and task, never a row or a text.
 
 Defined cases: a null text counts as empty; equal texts are those identical after the deletion of
 ASCII white space (0x20, 0x09-0x0D); of equal rows the longest original text stays, then the smallest id, a null
 id last; of rows equal in id and text as well, one stays. An empty table gives an empty result. Extra
-columns are carried untouched; working columns have the prefix ``__xd_``.
+columns are carried untouched, inside one struct, so that no name can clash with a working column's.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from cadenza.llm._common import stage, table
 
 WHITE = " \t\n\x0b\x0c\r"
-KEY, SIZE = "__xd_key", "__xd_size"
+KEY, SIZE, ID, TEXT = "__xd_key", "__xd_size", "__xd_id", "__xd_text"
 
 
 def normalised(text: Column) -> Column:
@@ -47,78 +48,98 @@ def _bits_for(rows: int, max_bits: int) -> int:
     return bits
 
 
-def repeat_filter(keys: DataFrame, bits: int, hashes: int = 2, least: int = 2) -> list[DataFrame]:
-    """For each hash function the bitmaps, by bucket, of the slots that at least ``least`` rows hit."""
-    out = []
-    for k in range(hashes):
-        hit = keys.groupBy(_slot(k, bits).alias("slot")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-        out.append(hit.groupBy(F.bitmap_bucket_number("slot").alias(f"__xd_bucket{k}")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias(f"__xd_map{k}")))
+def bitmap(keys: DataFrame, k: int, bits: int, least: int) -> DataFrame:
+    """The bitmaps, by bucket, of the slots of hash function k that at least ``least`` rows hit."""
+    hit = keys.groupBy(_slot(k, bits).alias("slot")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    found = hit.groupBy(F.bitmap_bucket_number("slot").alias("__xd_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("__xd_map"))
+    return stage(found, "bitmap")
+
+
+def probe(rows: DataFrame, k: int, bits: int, found: DataFrame) -> DataFrame:
+    """rows with __xd_maybe: whether the bit of hash function k, and those of the functions before it, are set."""
+    at = f"__xd_at{k}"
+    rows = rows.withColumns({"__xd_bucket": F.bitmap_bucket_number(_slot(k, bits)), at: F.bitmap_bit_position(_slot(k, bits))})
+    rows = rows.join(F.broadcast(found), "__xd_bucket", "left")
+    byte = F.conv(F.hex(F.expr(f"substring(__xd_map, cast({at} div 8 as int) + 1, 1)")), 16, 10).cast("long")
+    hit = F.coalesce(F.getbit(byte, (F.col(at) % 8).cast("int")) == 1, F.lit(False))
+    return rows.withColumn("__xd_maybe", hit if k == 0 else F.col("__xd_maybe") & hit).drop("__xd_bucket", "__xd_map", at)
+
+
+def possible_repeats(keys: DataFrame, max_bits: int, bits_a_row: int = 16) -> DataFrame:
+    """keys (staged) with __xd_maybe, by ranges of their hash."""
+    rows = keys.count()
+    ranges = max(1, -(-rows * bits_a_row // max_bits))
+    out = None
+    if ranges > 1:
+        keys = stage(keys.withColumn("__xd_range", F.pmod(F.xxhash64(F.lit("range"), F.col(KEY)), F.lit(ranges)).cast("int")), "ranges", by="__xd_range")
+    for r in range(ranges):
+        part = keys.filter(F.col("__xd_range") == r).drop("__xd_range") if ranges > 1 else keys
+        bits = _bits_for(rows // ranges, max_bits)
+        probed = probe(part, 0, bits, bitmap(part, 0, bits, 2))
+        again = bitmap(probed.filter("__xd_maybe"), 1, bits, 2)
+        probed = stage(probe(probed, 1, bits, again), "probed")
+        out = probed if out is None else out.unionByName(probed)
     return out
 
 
-def probe(rows: DataFrame, maps: list[DataFrame], bits: int) -> DataFrame:
-    """rows with __xd_maybe: whether every hash function's bit is set."""
-    maybe = F.lit(True)
-    for k, bitmap in enumerate(maps):
-        at = f"__xd_at{k}"
-        rows = rows.withColumns({f"__xd_bucket{k}": F.bitmap_bucket_number(_slot(k, bits)), at: F.bitmap_bit_position(_slot(k, bits))})
-        rows = rows.join(F.broadcast(bitmap), f"__xd_bucket{k}", "left")
-        byte = F.conv(F.hex(F.expr(f"substring(__xd_map{k}, cast({at} div 8 as int) + 1, 1)")), 16, 10).cast("long")
-        maybe = maybe & F.coalesce(F.getbit(byte, (F.col(at) % 8).cast("int")) == 1, F.lit(False))
-    return rows.withColumn("__xd_maybe", maybe).drop(*(f"__xd_{x}{k}" for x in ("bucket", "map", "at") for k in range(len(maps))))
-
-
 def _winners(maybe: DataFrame, id_col: str) -> DataFrame:
     """For each digest the row that stays and the group's size; one row a task and digest leaves the map side."""
     best = F.struct((-F.col(SIZE)).alias("size"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"))
     return maybe.groupBy(KEY).agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("__xd_group")).select(KEY, "__xd_group", F.col("best.id").alias("__xd_keep"), (-F.col("best.size")).alias("__xd_keep_size"))
 
 
+def _keys(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return stage(digests(docs.select(F.col(id_col).alias(ID), F.col(text).alias(TEXT)), TEXT).select(ID, KEY, SIZE), "digests")
+
+
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_bits: int = 1 << 27) -> DataFrame:
     """One row for each row of docs: id, keep_id, group_size, kept, text_sha256.
 
     The texts are read once; only ids, digests and sizes are staged, and only those of possible repeats shuffle.
     """
-    keys = stage(digests(docs, text).select(F.col(id_col), KEY, SIZE), "digests")
-    bits = _bits_for(keys.count(), max_bits)
-    probed = probe(keys, [stage(m, "repeats") for m in repeat_filter(keys, bits)], bits)
+    probed = possible_repeats(_keys(docs, id_col, text), max_bits)
     maybe = probed.filter("__xd_maybe")
     # rows alike in id and text become one with a count: one of them stays
-    alike = maybe.groupBy(KEY, SIZE, id_col).agg(F.count(F.lit(1)).alias("__xd_alike"))
-    won = stage(_winners(maybe, id_col), "winners")
-    wins = F.col(id_col).eqNullSafe(F.col("__xd_keep")) & (F.col(SIZE) == F.col("__xd_keep_size"))
-    grouped = alike.join(won, KEY).select(
-        id_col, KEY, F.col("__xd_keep").alias("keep_id"), F.col("__xd_group").alias("group_size"), wins.alias("__xd_wins"), F.explode(F.sequence(F.lit(1).cast("long"), "__xd_alike")).alias("__xd_nth")
-    )
-    digest = F.lower(F.hex(KEY)).alias("text_sha256")
-    return probed.filter("NOT __xd_maybe").select(id_col, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest).unionByName(
-        grouped.select(id_col, "keep_id", "group_size", (F.col("__xd_wins") & (F.col("__xd_nth") == 1)).alias("kept"), digest)
-    )
+    alike = maybe.groupBy(KEY, SIZE, ID).agg(F.count(F.lit(1)).alias("__xd_alike"))
+    won = stage(_winners(maybe, ID), "winners")
+    wins = F.col(ID).eqNullSafe(F.col("__xd_keep")) & (F.col(SIZE) == F.col("__xd_keep_size"))
+    nth = F.explode(F.sequence(F.lit(1).cast("long"), "__xd_alike")).alias("__xd_nth")
+    grouped = alike.join(won, KEY).select(ID, KEY, F.col("__xd_keep").alias("keep_id"), F.col("__xd_group").alias("group_size"), wins.alias("__xd_wins"), nth)
+    named, digest = F.col(ID).alias(id_col), F.lower(F.hex(KEY)).alias("text_sha256")
+    alone = probed.filter("NOT __xd_maybe").select(named, F.col(ID).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest)
+    return alone.unionByName(grouped.select(named, "keep_id", "group_size", (F.col("__xd_wins") & (F.col("__xd_nth") == 1)).alias("kept"), digest))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_bits: int = 1 << 27) -> DataFrame:
     """The rows of docs that stay, with docs' columns.
 
-    A row that passes the filter never shuffles; of the possible repeats only winners' rows meet, by digest and id, so
-    that a group that holds a third of all rows spreads over the tasks.
+    The digests of groups of two rows or more make a filter of their own; a row that misses it never shuffles; of the others only winners'
+    rows meet, by digest and id, so that a group that holds a third of all rows spreads over the tasks.
     """
-    keys = stage(digests(docs, text).select(F.col(id_col), KEY, SIZE), "digests")
-    bits = _bits_for(keys.count(), max_bits)
-    maps = [stage(m, "repeats") for m in repeat_filter(keys, bits)]
-    won = stage(_winners(probe(keys, maps, bits).filter("__xd_maybe"), id_col), "winners").select(KEY, F.col("__xd_keep_size").alias(SIZE), "__xd_keep")
-    probed = probe(digests(docs, text), maps, bits)
-    same = [probed[KEY] == won[KEY], probed[SIZE] == won[SIZE], probed[id_col].eqNullSafe(won["__xd_keep"])]
-    stay = probed.filter("__xd_maybe").join(won, same, "left_semi").dropDuplicates([KEY, id_col])
-    return probed.filter("NOT __xd_maybe").unionByName(stay).select(*(F.col(f"`{c}`") for c in docs.columns))
+    maybe = possible_repeats(_keys(docs, id_col, text), max_bits).filter("__xd_maybe")
+    won = stage(_winners(maybe, ID).filter("__xd_group > 1"), "winners")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__xd_doc")
+    rows = digests(docs.select(whole, F.col(id_col).alias(ID), F.col(text).alias(TEXT)), TEXT).drop(TEXT)
+    bits = _bits_for(won.count(), max_bits)
+    for k in (0, 1):
+        rows = probe(rows, k, bits, bitmap(won, k, bits, 1))
+    # a row of a group stays if it is the winner; a row without a group that the filter holds for stays as well
+    meets = rows.filter("__xd_maybe").join(won.withColumnRenamed(KEY, "__xd_won"), F.col(KEY) == F.col("__xd_won"), "left")
+    wins = F.col(ID).eqNullSafe(F.col("__xd_keep")) & (F.col(SIZE) == F.col("__xd_keep_size"))
+    stay = meets.filter(F.col("__xd_won").isNull() | wins).dropDuplicates([KEY, ID])
+    return rows.filter("NOT __xd_maybe").select("__xd_doc.*").unionByName(stay.select("__xd_doc.*"))
 
 
 def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", max_bits: int = 1 << 27) -> DataFrame:
     """The rows of docs whose id is not in the one column of gone: rows that miss its Bloom filter never shuffle."""
     gone = stage(gone.toDF(KEY).distinct(), "gone")
     bits = _bits_for(gone.count(), max_bits)
-    probed = probe(docs.withColumn(KEY, F.col(id_col)), [stage(m, "gone") for m in repeat_filter(gone, bits, least=1)], bits)
-    left = probed.filter("__xd_maybe").join(gone.withColumnRenamed(KEY, "__xd_gone"), F.col(KEY).eqNullSafe(F.col("__xd_gone")), "left_anti")
-    return probed.filter("NOT __xd_maybe").unionByName(left).select(*(F.col(f"`{c}`") for c in docs.columns))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__xd_doc")
+    rows = docs.select(whole, F.col(id_col).alias(KEY))
+    for k in (0, 1):
+        rows = probe(rows, k, bits, bitmap(gone, k, bits, 1))
+    left = rows.filter("__xd_maybe").join(gone.withColumnRenamed(KEY, "__xd_gone"), F.col(KEY).eqNullSafe(F.col("__xd_gone")), "left_anti")
+    return rows.filter("NOT __xd_maybe").unionByName(left).select("__xd_doc.*")
 
 
 def op9_exact_dedup(spark, sf_dir):

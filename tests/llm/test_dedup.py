@@ -46,7 +46,7 @@ def test_exact_groups(docs):
 
 @pytest.mark.parametrize("max_bits", [1 << 15, 1 << 20])
 def test_exact_keeps_one_row_a_group_and_all_columns(docs, max_bits):
-    docs = docs.withColumns({c: F.lit(1) for c in ("slot", "n", "best", "bucket", "map", "size")})
+    docs = docs.withColumns({c: F.lit(1) for c in ("slot", "n", "best", "bucket", "map", "size", "__xd_key", "__xd_doc", "__xd_maybe", "__xd_id")})
     kept = exact_dedup.exact_dedup(docs, max_bits=max_bits)
     assert kept.columns == docs.columns
     texts = [normal(r["text"]) for r in kept.collect()]
@@ -55,9 +55,7 @@ def test_exact_keeps_one_row_a_group_and_all_columns(docs, max_bits):
 
 def test_exact_filter_has_no_false_negatives(spark):
     keys = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 4000).cast("string").alias("text"))
-    marked = exact_dedup.digests(keys)
-    bits = 1 << 15
-    probed = exact_dedup.probe(marked, exact_dedup.repeat_filter(marked, bits), bits)
+    probed = exact_dedup.possible_repeats(exact_dedup.digests(keys), 1 << 17)
     maybe = probed.filter("__xd_maybe").count()
     assert probed.filter("__xd_maybe AND doc_id % 4000 < 1000").count() == 2000 and maybe < 3500
 
@@ -69,6 +67,20 @@ def test_hot_group_and_empty_table(spark, docs):
     assert exact_dedup.duplicate_groups(docs.limit(0)).count() == 0 and exact_dedup.exact_dedup(docs.limit(0)).count() == 0
 
 
+def test_filter_stays_sharp_at_any_size(spark):
+    """A range's bitmaps hold 2**15 bits, for 2048 rows: 30,000 different rows make 15 ranges, and unique rows still pass straight."""
+    keys = spark.range(30_000).select(F.when(F.col("id") < 600, F.col("id") % 300).otherwise(F.col("id")).alias("doc_id"))
+    keys = keys.withColumn("text", F.concat(F.lit("text "), "doc_id"))
+    probed = exact_dedup.possible_repeats(exact_dedup.digests(keys), 1 << 15)
+    assert probed.count() == 30_000
+    assert probed.filter("doc_id < 300 AND NOT __xd_maybe").count() == 0
+    assert probed.filter("doc_id >= 600 AND __xd_maybe").count() < 300
+    kept = exact_dedup.exact_dedup(keys, max_bits=1 << 15)
+    assert kept.count() == kept.select("doc_id").distinct().count() == 29_700
+    groups = exact_dedup.duplicate_groups(keys, max_bits=1 << 15)
+    assert groups.filter("group_size = 2").count() == 600 and groups.filter("kept").count() == 29_700
+
+
 def test_without_ids(spark):
     left = exact_dedup.without_ids(spark.range(100).toDF("doc_id"), spark.range(0, 100, 3).toDF("gone"))
     assert sorted(r[0] for r in left.collect()) == [i for i in range(100) if i % 3]
