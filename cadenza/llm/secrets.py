@@ -2,8 +2,8 @@
 
 Every whole text is searched for three base kinds and for opaque tokens (20 or more characters of a key's alphabet that
 mix letters and digits). The value of each find is hashed; over the whole corpus each hash is counted by distinct
-owners and repositories. A value that ``min_owners`` owners or more hold is a widely copied example; one below that
-with enough entropy looks live and belongs to its owner. Base spans are always kept; an opaque token becomes a span only
+owners and repositories. A value that ``min_owners`` owners or ``min_repos`` repositories or more hold is a widely copied example (one
+owner's fixture in many repositories too); one below both with enough entropy looks live and belongs to its owner. Base spans are always kept; an opaque token becomes a span only
 where it looks live and no base span covers it.
 
 Counts are aggregated by (hash, owner, repository) before they meet by hash, so a value in a third of all rows is one
@@ -18,8 +18,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,6 +34,7 @@ ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:
 #: One class repeated: a run is maximal, so a least length in the pattern equals dropping short runs afterwards.
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
 OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+COUNTS = ("n_copied", "n_live", "most_owners", "most_repos")
 SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.binary()), ("entropy", pa.float64())])
 SCANNED = "doc_id long, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<kind:int,start:long,end:long,hash:binary,entropy:double>>"
 
@@ -48,9 +51,10 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
     out += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
     base = sorted(out)
+    starts, reach = [x[0] for x in base], list(accumulate((x[2] for x in base), max))
     for m in OPAQUE.finditer(text):
-        value = m[0]
-        if re.search("[0-9]", value) and re.search("[A-Za-z]", value) and not any(s < m.end() and m.start() < e for s, _, e, _ in base):
+        value, before = m[0], bisect_left(starts, m.end())  # base spans that start before this one ends
+        if re.search("[0-9]", value) and re.search("[A-Za-z]", value) and not (before and reach[before - 1] > m.start()):
             out.append((m.start(), 3, m.end(), value))
     return sorted(out)
 
@@ -79,22 +83,23 @@ def ownership(spans: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
 
 
-def secrets(scanned: DataFrame, min_owners: int = 3, min_entropy: float = 3.0) -> DataFrame:
-    """One row a document: base digest, all spans, and how many spans are widely copied or live-looking."""
+def secrets(scanned: DataFrame, min_owners: int = 3, min_repos: int = 5, min_entropy: float = 3.0) -> DataFrame:
+    """One row a document: base digest, all spans, how many of them are widely copied or live-looking, and the most owners and repositories that hold
+    one of its values."""
     rows = stage(scanned.withColumn("row", F.monotonically_increasing_id()), "secrets")
     kept = ["row", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]
     spans = rows.select(*kept, "owner", "repo", F.explode("found").alias("f")).select(*kept, "owner", "repo", "f.*")
     counts = stage(ownership(spans), "owners")
-    copied = F.col("owners") >= min_owners
+    copied = (F.col("owners") >= min_owners) | (F.col("repos") >= min_repos)
     live = ~copied & (F.col("entropy") >= min_entropy)
     shown = spans.join(counts, "hash").filter((F.col("kind") < 3) | live)
     listed = F.array_sort(F.collect_list(F.struct("start", "kind", "end")))
     name = F.array(*map(F.lit, KINDS))
     text = F.array_join(F.transform(listed, lambda x: F.concat_ws(":", name[x["kind"]], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    gathered = shown.groupBy("row").agg(text.alias("spans"), F.sum(copied.cast("long")).alias("n_copied"), F.sum(live.cast("long")).alias("n_live"))
+    gathered = shown.groupBy("row").agg(text.alias("spans"), F.sum(copied.cast("long")).alias("n_copied"), F.sum(live.cast("long")).alias("n_live"), F.max("owners").alias("most_owners"), F.max("repos").alias("most_repos"))
     some = F.size("found") > 0
-    nothing = [F.lit("").alias("spans"), *(F.lit(0).cast("long").alias(c) for c in ("n_copied", "n_live"))]
-    with_spans = rows.filter(some).select(*kept).join(gathered, "row", "left").fillna({"spans": "", "n_copied": 0, "n_live": 0})
+    nothing = [F.lit("").alias("spans"), *(F.lit(0).cast("long").alias(c) for c in COUNTS)]
+    with_spans = rows.filter(some).select(*kept).join(gathered, "row", "left").fillna({"spans": ""} | dict.fromkeys(COUNTS, 0))
     return with_spans.unionByName(rows.filter(~some).select(*kept, *nothing)).drop("row")
 
 
