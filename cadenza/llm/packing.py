@@ -95,19 +95,20 @@ def pack(cut: DataFrame, size: int = 2048, shard_rows: int = 4096, loose: float
     """Places the rows of pieces(): adds sequence_id and offset.
 
     A shard has about shard_rows pieces, whatever the input, so a task's memory is bounded. Sequences filled
-    below ``loose`` are opened again and their pieces meet in a later round with fewer shards.
+    below ``loose``, or below what half of the pieces reach where that is less, are opened again and their pieces meet in a later
+    round with fewer shards: at least half of the pieces are settled in each round, so that one shard takes the last ones.
     """
-    rows, done, round_no, before = stage(cut, "pieces"), [], 0, None
+    rows, done, round_no = stage(cut, "pieces"), [], 0
     while True:
-        n = rows.count()
-        shards = max(1, n // shard_rows)
+        shards = max(1, rows.count() // shard_rows)
         placed = stage(_place(rows, shards, size, round_no), "placed")
-        if shards == 1 or before == n:
+        if shards == 1:
             done.append(placed)
             break
-        tight = F.col("fill") >= int(loose * size)
+        middle = placed.agg(F.percentile_approx("fill", 0.5)).first()[0]
+        tight = F.col("fill") >= min(int(loose * size), middle)
         done.append(placed.filter(tight))
-        rows, round_no, before = placed.filter(~tight).drop("sequence_id", "offset", "fill"), round_no + 1, n
+        rows, round_no = placed.filter(~tight).drop("sequence_id", "offset", "fill"), round_no + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
