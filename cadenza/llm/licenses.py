@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import random
 import re
+import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -122,11 +123,15 @@ def _made_up(noise: list[str], rng: random.Random) -> str:
     return _altered(form.format(name, rng.randrange(1, 9)), noise, rng)
 
 
-def train(paragraphs: list[str], max_features: int = 4096, copies: int = 40, seed: int = 6) -> Model:
-    """paragraphs: of the corpus; those that mention a licence are left out, the others stand for class none."""
+def train(paragraphs: list[str], max_features: int = 4096, copies: int = 40, seed: int = 6, noise_paragraphs: int = 200, noise_words: int = 40) -> Model:
+    """paragraphs: of the corpus; those that mention a licence are left out, the others stand for class none.
+
+    Words put around altered notices are the first noise_words of each of noise_paragraphs paragraphs; the model has max_features n-grams at most.
+    These bounds hold for training alone.
+    """
     rng = random.Random(seed)
     plain = [p for p in paragraphs if not re.search("(?i)licen[sc]e|copyright|rights reserved|public domain", p)]
-    noise = sorted({w for p in plain[:200] for w in p.split()[:40]})
+    noise = sorted({w for p in plain[:noise_paragraphs] for w in p.split()[:noise_words]})
     rows = [(_altered(t, noise, rng), CLASSES.index(f)) for f, t in TEMPLATES for _ in range(copies)] + [(t, CLASSES.index(f)) for f, t in TEMPLATES]
     rows += [(_made_up(noise, rng), CLASSES.index("unknown")) for _ in range(10 * copies)]
     rows += [(p, CLASSES.index("none")) for p in plain] + [("", CLASSES.index("none"))] * 50
@@ -181,7 +186,8 @@ def train(paragraphs: list[str], max_features: int = 4096, copies: int = 40, see
 
 
 def _words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), WORD), lambda x: x != "")
+    """As words(): only A-Z are lower-cased, so that scan and model agree on letters beyond ASCII."""
+    return F.filter(F.split(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), WORD), lambda x: x != "")
 
 
 def _grams_of(v: Column) -> Column:
@@ -203,7 +209,7 @@ def _units(lines: Column, starts: Column) -> Column:
 
 
 def _worded(line: Column) -> Column:
-    return F.lower(line).rlike("[a-z0-9]")
+    return line.rlike("[A-Za-z0-9]")
 
 
 def scan(docs: DataFrame, model: Model, least_containment: float = 0.6, id_col: str = "doc_id", text: str = "text", max_features: int = 4096) -> DataFrame:
@@ -245,14 +251,15 @@ def scan(docs: DataFrame, model: Model, least_containment: float = 0.6, id_col:
     return sums.select("doc_id", "paragraph", "lines", "family", F.round("probability", 6).alias("probability"), F.col("at").alias("template"), F.col("contained").alias("containment"), "confirmed", "label")
 
 
-def sample(docs: DataFrame, sample_rows: int = 300, id_col: str = "doc_id", text: str = "text") -> list[str]:
-    """Paragraphs of the documents whose ids and texts hash lowest; tasks send hashes to the driver, and only the chosen texts."""
+def sample(docs: DataFrame, sample_rows: int = 300, most_paragraphs: int = 6000, id_col: str = "doc_id", text: str = "text") -> list[str]:
+    """Training paragraphs: up to most_paragraphs of the sample_rows documents whose ids and texts hash lowest; tasks send hashes to the driver, and only
+    the chosen texts. Both bounds are on what the classifier is fitted to; the scan reads everything."""
     h = F.xxhash64(id_col, text)
     lowest = [r[0] for r in docs.select(h.alias("h")).orderBy("h").limit(sample_rows).collect()]
     if not lowest:
         return []
     kept = docs.filter(h <= max(lowest)).select(text).limit(sample_rows).collect()
-    return [p for (t,) in sorted(kept, key=lambda r: r[0] or "") for p in (t or "").split("\n") if p][: 20 * sample_rows]
+    return [p for (t,) in sorted(kept, key=lambda r: r[0] or "") for p in (t or "").split("\n") if p][:most_paragraphs]
 
 
 def op6_license_paragraphs(spark, sf_dir):
