@@ -36,6 +36,8 @@ BITRATES = {
     (True, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
     (True, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
+#: Of Layer II: allocation bits and how many subbands have them, of MPEG-1 at 56 kbit/s a channel or more, below, and of the low sampling rates.
+ALLOCATION = {"high": ((4, 11), (3, 12), (2, 7)), "low": ((4, 2), (3, 10)), "half": ((4, 4), (3, 7), (2, 19))}
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 
 
@@ -109,13 +111,39 @@ def _crc_bits(data: bytes, bits: int, value: int) -> int:
     return value
 
 
+def _layer2_bits(frame: bytes, h: Header) -> int:
+    """How many bits behind the checksum it covers in Layer II: all allocations, and two for each channel of a subband that has samples."""
+    each = h.kbps // (1 if h.mono else 2)
+    if h.version != 3:
+        table_, limit = "half", 30
+    elif each < 56:
+        table_, limit = "low", 12 if h.rate == 32000 else 8
+    else:
+        table_, limit = "high", 30 if each >= 96 and h.rate != 48000 else 27
+    widths = [bits for bits, n in ALLOCATION[table_] for _ in range(n)][:limit]
+    bound = 0 if h.mono else limit if frame[3] >> 6 != 1 else min(limit, 4 * (h.mode_extension + 1))
+    body, at, selected = int.from_bytes(frame[6:134].ljust(128, b"\0"), "big"), 0, 0
+    for band, width in enumerate(widths):
+        channels = 2 if band < bound else 1
+        for _ in range(channels):
+            at += width
+            if body >> (1024 - at) & (1 << width) - 1:
+                selected += 1 if channels == 2 or h.mono else 2
+    return at + 2 * selected
+
+
 def checksum_ok(frame: bytes, h: Header) -> bool | None:
-    """Whether a protected frame's checksum holds; None where it has none that can be computed (Layer II needs its allocation table)."""
-    if not h.protected or h.layer == 2 or len(frame) < 6 + h.side:
+    """Whether a protected frame's checksum holds; None where it has none, or is too short for what it covers."""
+    if not h.protected or len(frame) < 6 + h.side:
         return None
     value = crc16(frame[2:4])
     if h.layer == 3:
         value = crc16(frame[6 : 6 + h.side], value)
+    elif h.layer == 2:
+        bits = _layer2_bits(frame, h)
+        if len(frame) * 8 < 48 + bits:
+            return None
+        value = _crc_bits(frame[6 : 6 + (bits + 7) // 8], bits, value)
     else:  # four allocation bits a subband and channel; joint subbands share theirs
         bound = 32 if h.mono or frame[3] >> 6 != 1 else 4 * (h.mode_extension + 1)
         value = _crc_bits(frame[6:38], 4 * (32 if h.mono else 2 * bound + 32 - bound), value)
