@@ -90,6 +90,15 @@ def deripple(taps: np.ndarray, n: int, roll: int = 0) -> np.ndarray:
     return np.roll(1 / np.maximum(h, 1e-12), roll)
 
 
+def interpolated(response: np.ndarray, n: int) -> np.ndarray:
+    """A response (FFT order) at n points: its impulse response, zero-padded between its positive and its negative times."""
+    have = len(response)
+    if have > n:
+        raise ValueError("the response has more points than the transform")
+    taps, half = np.fft.ifft(response), (have + 1) // 2
+    return np.fft.fft(np.concatenate([taps[:half], np.zeros(n - have), taps[half:]]))
+
+
 def best_nfft(discard: int, largest: int = 1 << 24) -> int:
     """Power of two with the least cost n log2 n / (n - discard) a kept sample."""
     n, best = 2, None
@@ -105,19 +114,16 @@ def best_nfft(discard: int, largest: int = 1 << 24) -> int:
     return best[1]
 
 
-def bandpass_mask(spectrum: np.ndarray, window: int = 21) -> np.ndarray:
-    """1 for good channels, 0 for outliers of a bandpass: squared residuals from a running median beyond 16 variances, or steps
-    between neighbours beyond 32, are taken out until none is left."""
-    n, half = len(spectrum), window // 2
-    smooth = np.array([np.median(spectrum[max(0, i - half) : i + half + 1]) for i in range(n)])
-    residual, good = (spectrum - smooth) ** 2, np.ones(n, dtype=bool)
-    variance = residual.mean()
-    while True:
-        cutoff = 16 * variance
-        step = np.abs(np.diff(residual, prepend=residual[:1]))
-        bad = good & ((residual > cutoff) | (step > 2 * cutoff))
-        if not bad.any():
-            return good.astype(float)
-        variance = max(0.0, variance - residual[bad].sum() / n)
-        good &= ~bad
-        residual = np.where(bad, 0.0, residual)
+def bandpass_mask(spectrum: np.ndarray, window: int = 51) -> np.ndarray:
+    """1 for good channels, 0 for outliers of a bandpass: in rounds, squared residuals from a running median that exceed 16 variances are taken out, and
+    the variance falls by what they held, until a round finds none.
+
+    A step of more than 32 variances to the channel before needs no test of its own: what is left in either channel is at most 16.
+    """
+    half = window // 2
+    smooth = np.array([np.median(spectrum[max(0, i - half) : i + half + 1]) for i in range(len(spectrum))])
+    residual = (spectrum - smooth) ** 2
+    good = np.ones(len(spectrum))
+    while len(bad := np.flatnonzero(residual > 16 * residual.mean())):
+        good[bad] = residual[bad] = 0.0
+    return good

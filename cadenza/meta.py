@@ -72,7 +72,7 @@ class ObsMeta:
         return self.start_us + (self.ndat / self.rate * 1e6 if self.ndat else 0)
 
     def bits_per_sample(self) -> int:
-        return self.nbit * self.npol * self.nchan * self.ndim
+        return abs(self.nbit) * self.npol * self.nchan * self.ndim
 
     def nbytes(self, nsamples: int) -> int:
         return nsamples * self.bits_per_sample() // 8
@@ -104,6 +104,13 @@ class ObsMeta:
             return replace(self, state=state, ndat=self.ndat // 2, rate=self.rate / 2, ndim=2)
         return replace(self, state=state)
 
+    def describe(self) -> str:
+        """Every field as a line, the operators applied last."""
+        from dataclasses import fields
+
+        lines = [f"{f.name} {getattr(self, f.name)}" for f in fields(self) if f.name != "path"]
+        return "\n".join([*lines, *(f"applied {name}" for name in self.path)])
+
     def but(self, **changes) -> ObsMeta:
         return replace(self, **changes)
 

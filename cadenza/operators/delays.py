@@ -15,16 +15,19 @@ def dispersion_delays(s: Signal, dm: float | None = None) -> list[tuple[int, int
     return [(i, int((dispersion_delay(dm, s.meta.frequency(i)) - reference) * s.meta.rate // 1 + (((dispersion_delay(dm, s.meta.frequency(i)) - reference) * s.meta.rate) % 1 >= 0.5))) for i in range(s.meta.nchan)]
 
 
-def sample_delay(s: Signal, delays: list[tuple[int, int]]) -> Signal:
-    """Takes each channel's sample idat + delay to idat; the output has the samples that all channels have.
+def sample_delay(s: Signal, delays: list[tuple[int, ...]]) -> Signal:
+    """Takes each channel's sample idat + delay to idat; the output has the samples that all have.
 
-    Delays are relative to the smallest. They are one number a channel, looked up in a literal: no join, no shuffle.
+    delays are (ichan, delay), for both polarizations alike, or (ichan, ipol, delay); they count from the smallest. They are one number a channel and
+    polarization, looked up in a literal: no join, no shuffle.
     """
-    base = min(d for _, d in delays)
-    shift = [0] * s.meta.nchan
-    for i, d in delays:
-        shift[i] = d - base
+    npol = s.meta.npol
+    each = [(i, p, d) for i, *at, d in delays for p in (at or range(npol))]
+    base = min(d for *_, d in each)
+    shift = [0] * (s.meta.nchan * npol)
+    for i, p, d in each:
+        shift[i * npol + p] = d - base
     n = max(0, s.meta.ndat - max(shift))
-    at = F.col("idat") - F.element_at(F.array(*(F.lit(x).cast("long") for x in shift)), F.col("ichan") + 1)
+    at = F.col("idat") - F.element_at(F.array(*(F.lit(x).cast("long") for x in shift)), F.col("ichan") * npol + F.col("ipol") + 1)
     df = s.df.withColumn("idat", at).filter(F.col("idat").between(0, n - 1))
     return s.then("sample_delay", df, ndat=n)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.meta import Signal
+from cadenza.operators.blocks import looking_back
 
 #: Output mean and scale of the voltage digitizer by bits (floats pass through).
 VOLTAGE = {1: (0.0, 1.0), 2: (-0.5, 1.03), 4: (-0.5, 3.14), 8: (-0.5, 10.1), 16: (-0.5, 1106.4), -32: (0.0, 1.0)}
@@ -51,53 +52,69 @@ def filterbank_digitize(s: Signal, nbit: int, rescaled: bool = True) -> Signal:
 
 def table_scale_offset(s: Signal, nsamp: int, nblock: int, nbit: int = 8) -> DataFrame:
     """scale and offset by block of nsamp samples, channel and polarization, averaged over the last nblock blocks."""
-    from pyspark.sql import Window
-
     top = UNSIGNED[nbit][2]
     one = s.df.groupBy(F.expr(f"idat div {nsamp}").alias("ib"), "ichan", "ipol").agg(F.avg("v").alias("m"), F.avg(F.col("v") * F.col("v")).alias("q"))
-    w = Window.partitionBy("ichan", "ipol").orderBy("ib").rowsBetween(-(nblock - 1), 0)
-    mean, square = F.avg("m").over(w), F.avg("q").over(w)
+    one = looking_back(one, "ib", nblock - 1, ("ichan", "ipol"), {"mean": F.avg("m"), "square": F.avg("q")})
+    mean, square = F.col("mean"), F.col("square")
     sd = F.sqrt(F.greatest(F.lit(0.0), square - mean * mean))
     scale = F.when(sd > 0, sd * 12 / (top + 1)).otherwise(1.0)
     return one.select("ib", "ichan", "ipol", scale.alias("scale"), (mean - scale * (top + 1) / 2).alias("offset"))
 
 
-def pack(s: Signal, nbit: int, samples_per_block: int = 4096) -> DataFrame:
-    """(ichan, ipol, block, raw): codes packed from the low-order bits up, one row a block of time."""
-    per = 8 // nbit if nbit < 8 else 1
+def table_digitize(s: Signal, scales: DataFrame, nsamp: int, nbit: int = 8) -> Signal:
+    """Unsigned codes of samples by the scale and offset of their block of nsamp samples, channel and polarization: (v - offset) / scale, rounded, clipped."""
+    rows = s.df.withColumn("ib", F.expr(f"idat div {nsamp}")).join(scales, ["ib", "ichan", "ipol"])
+    value = F.floor((F.col("v") - F.col("offset")) / F.col("scale") + 0.5)
+    code = F.greatest(F.lit(0), F.least(F.lit(UNSIGNED[nbit][2]), value)).cast("int")
+    return s.then("table_digitize", rows.select("idat", "ichan", "ipol", code.alias("v")), nbit=nbit)
+
+
+def _shifts(nbit: int, order: str) -> np.ndarray:
+    """Places of a byte's codes in time: from its highest bits down (msb), or from its lowest up (lsb)."""
+    if order not in ("msb", "lsb"):
+        raise ValueError("the bit order is msb or lsb")
+    return np.arange(8 // nbit)[:: -1 if order == "msb" else 1] * nbit
+
+
+def pack(s: Signal, nbit: int, samples_per_block: int = 4096, order: str = "lsb") -> DataFrame:
+    """(ichan, ipol, block, raw): codes packed in bytes by bit order (lsb: the first sample in the lowest bits), one row a block of time."""
     whole = s.df.filter(F.col("idat") < s.meta.ndat // samples_per_block * samples_per_block) if s.meta.ndat >= samples_per_block else s.df
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("idat")["v"].to_numpy().astype(np.int64)
-        if nbit < 8:
-            v = np.pad(v & (1 << nbit) - 1, (0, -len(v) % per)).reshape(-1, per)
-            raw = (v << np.arange(per) * nbit).sum(1).astype(np.uint8).tobytes()
-        else:
-            raw = v.astype(f"<i{nbit // 8}").tobytes()
+        raw = pack_codes(pdf.sort_values("idat")["v"].to_numpy(), nbit, order)
         return pd.DataFrame({"ichan": [pdf["ichan"].iloc[0]], "ipol": [pdf["ipol"].iloc[0]], "block": [pdf["b"].iloc[0]], "ndat": [len(pdf)], "raw": [raw]})
 
     rows = whole.withColumn("b", F.expr(f"idat div {samples_per_block}"))
     return rows.groupBy("ichan", "ipol", "b").applyInPandas(run, "ichan int, ipol int, block long, ndat long, raw binary")
 
 
-def unpack(blocks: DataFrame, nbit: int, samples_per_block: int = 4096, signed: bool = True) -> DataFrame:
+def pack_codes(v: np.ndarray, nbit: int, order: str = "lsb") -> bytes:
+    """Codes as bytes; wider ones are little-endian, signed or not alike."""
+    codes = np.asarray(v).astype(np.int64) & (1 << nbit) - 1
+    if nbit >= 8:
+        return codes.astype(f"<u{nbit // 8}").tobytes()
+    codes = np.pad(codes, (0, -len(codes) % (8 // nbit))).reshape(-1, 8 // nbit)
+    return (codes << _shifts(nbit, order)).sum(1).astype(np.uint8).tobytes()
+
+
+def unpack(blocks: DataFrame, nbit: int, samples_per_block: int = 4096, signed: bool = True, order: str = "lsb") -> DataFrame:
     """Samples (idat, ichan, ipol, v) of packed blocks."""
 
     def run(batches):
         for pdf in batches:
             out = []
             for c, p, b, n, raw in zip(pdf["ichan"], pdf["ipol"], pdf["block"], pdf["ndat"], pdf["raw"]):
-                v = unpack_bytes(raw, nbit, signed)[:n]
+                v = unpack_bytes(raw, nbit, signed, order)[:n]
                 out.append(pd.DataFrame({"idat": b * samples_per_block + np.arange(len(v)), "ichan": c, "ipol": p, "v": v}))
             yield pd.concat(out) if out else pd.DataFrame({"idat": [], "ichan": [], "ipol": [], "v": []})
 
     return blocks.mapInPandas(run, "idat long, ichan int, ipol int, v int")
 
 
-def unpack_bytes(raw: bytes, nbit: int, signed: bool = True) -> np.ndarray:
+def unpack_bytes(raw: bytes, nbit: int, signed: bool = True, order: str = "lsb") -> np.ndarray:
     if nbit >= 8:
         return np.frombuffer(raw, dtype=f"<{'i' if signed else 'u'}{nbit // 8}").astype(np.int32)
-    v = (np.frombuffer(raw, dtype=np.uint8)[:, None] >> np.arange(8 // nbit) * nbit & (1 << nbit) - 1).ravel().astype(np.int32)
+    v = (np.frombuffer(raw, dtype=np.uint8)[:, None] >> _shifts(nbit, order) & (1 << nbit) - 1).ravel().astype(np.int32)
     return np.where(v >= 1 << nbit - 1, v - (1 << nbit), v) if signed and nbit > 1 else v
 
 

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.meta import Signal
+from cadenza.meta import ObsMeta, Signal
 from cadenza.operators.integration import lag_pairs
 
 
@@ -52,6 +52,50 @@ def fold(df: DataFrame, us: Column, period_us: int, nbin: int, keys: tuple[str,
     return rows.groupBy(*by).agg(F.sum("v").alias("total"), hits.alias("hits"))
 
 
+def fold_many(df: DataFrame, us: Column, folds: list[tuple[int, int]], keys: tuple[str, ...] = ("ichan", "ipol"), epoch_us: int = 0) -> DataFrame:
+    """ifold, keys, ibin, total, hits for each (period_us, nbin), in one pass and one aggregate over the samples."""
+    bins = F.array(*(F.struct(F.lit(i).alias("ifold"), phase_bin(us, period, nbin, epoch_us).alias("ibin")) for i, (period, nbin) in enumerate(folds)))
+    rows = df.select(*keys, "v", F.explode(bins).alias("at")).select(*keys, "v", "at.*")
+    return rows.groupBy("ifold", *keys, "ibin").agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("hits"))
+
+
+def predicted(df: DataFrame, us: Column, segments: DataFrame, start_us: int, length_us: int, broadcast_rows: int = 100_000) -> DataFrame:
+    """df with turn and phase (in [0, 1)) by a predictor: segments (functions.predictor.SCHEMA) of length_us each, from start_us on.
+
+    A time knows its segment's number, so the interval join is an equi-join on one number; segments are broadcast only while they are few. Times
+    outside all segments go. Turns are whole numbers and phases fractions throughout: neither loses digits to the other.
+    """
+    few = segments.limit(broadcast_rows + 1).count() <= broadcast_rows
+    rows = df.withColumn("__us", us).withColumn("segment", turn(F.col("__us"), length_us, start_us))
+    rows = rows.join(F.broadcast(segments) if few else segments, "segment")
+    dt = (F.col("__us") - F.col("mid_us")) / 60e6
+    value = F.aggregate(F.reverse("coeffs"), F.lit(0.0), lambda acc, c: acc * dt + c)
+    whole = F.col("fraction") + 60 * F.col("f0") * dt + value
+    rows = rows.withColumn("__whole", whole)
+    rows = rows.withColumns({"turn": F.col("turns") + F.floor("__whole"), "phase": F.col("__whole") - F.floor("__whole")})
+    return rows.select(*(F.col(f"`{c}`") for c in df.columns), "turn", "phase")
+
+
+def fold_predicted(rows: DataFrame, nbin: int, keys: tuple[str, ...] = ("ichan", "ipol"), turns: int | None = None, reference_phase: float = 0.0, weight: Column | None = None, zeroed: bool = False) -> DataFrame:
+    """As fold(), of rows with turn and phase from predicted(); with turns, a division is that many turns. reference_phase is taken to phase 0."""
+    rows = rows.filter(weight != 0) if weight is not None else rows
+    shifted = F.col("phase") - F.lit(reference_phase)
+    at = F.least(F.floor((shifted - F.floor(shifted)) * nbin), F.lit(nbin - 1)).cast("int")
+    number = F.col("turn") + F.floor(shifted).cast("long")
+    by = [*([((number - F.pmod(number, F.lit(turns))) / turns).cast("long").alias("division")] if turns else []), *keys, at.alias("ibin")]
+    hits = F.sum((F.col("v") != 0).cast("long")) if zeroed else F.count(F.lit(1))
+    return rows.groupBy(*by).agg(F.sum("v").alias("total"), hits.alias("hits"))
+
+
+def bookkeeping(df: DataFrame, folded: DataFrame, rate: float, keys: tuple[str, ...] = (), division: Column | None = None) -> DataFrame:
+    """(division,) keys, ndat_total, ndat_folded, integration_us: samples offered, samples folded (hits), and the time that these cover."""
+    by = [*([division.alias("division")] if division is not None else []), *keys]
+    names = [*(["division"] if division is not None else []), *keys]
+    offered, taken = df.groupBy(*by).agg(F.count(F.lit(1)).alias("ndat_total")), folded.groupBy(*names).agg(F.sum("hits").alias("ndat_folded"))
+    both = offered.join(taken, names, "left") if names else offered.crossJoin(taken)  # without names both are one row
+    return both.withColumn("ndat_folded", F.coalesce("ndat_folded", F.lit(0).cast("long"))).withColumn("integration_us", F.col("ndat_folded") * (1e6 / rate))
+
+
 def by_seconds(us: Column, length_us: int, start_us: int = 0) -> Column:
     """Division number of fixed lengths of time."""
     return turn(us, length_us, start_us)
@@ -61,8 +105,10 @@ def by_turns(us: Column, period_us: int, turns: int, epoch_us: int = 0) -> Colum
     return turn(us, period_us * turns, epoch_us)
 
 
-def combine(parts: list[DataFrame]) -> DataFrame:
-    """Folds of the same shape, added."""
+def combine(parts: list[DataFrame], metas: list[ObsMeta] | None = None) -> DataFrame:
+    """Folds of the same shape, added; with their metadata, only of signals that may be combined."""
+    if metas and any(not metas[0].combinable(m) for m in metas[1:]):
+        raise ValueError("the signals differ in more than time")
     keys = [c for c in parts[0].columns if c not in ("total", "hits")]
     return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("hits").alias("hits"))
 

@@ -1,166 +1,240 @@
 """Operators on contiguous frames of samples: transforms run in NumPy on Arrow batches.
 
 Time is dealt into parts of ``nfft`` samples every ``step``; a part's samples are gathered once, by (part, channel, polarization) or, where
-channels or polarizations are needed together, by part. A part is the largest thing a task holds.
+channels or polarizations are needed together, by part. A part is the largest thing a task holds. All frames of a batch are transformed
+together, as rows of one array; parts that lack samples are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.meta import ANALYTIC, INTENSITY, NYQUIST, Signal
 
+VALUES = ("v", "re", "im")
+SAMPLE = "idat long, ichan int, ipol int, re double, im double"
+POWER = "idat long, ichan int, ipol int, v double"
+TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+AT_ONCE = 1 << 20  # samples transformed in one call
+
+Columns = dict[str, np.ndarray]
+
+
+def n_parts(ndat: int, nfft: int, step: int) -> int:
+    return (ndat - nfft) // step + 1 if ndat >= nfft else 0
+
 
 def to_frames(s: Signal, nfft: int, step: int | None = None, keys: tuple[str, ...] = ("ichan", "ipol")) -> DataFrame:
     """(ipart, keys, re and im or v): arrays of a part's samples in order; only parts that end within the signal."""
     step = step or nfft
-    parts = (s.meta.ndat - nfft) // step + 1 if s.meta.ndat >= nfft else 0
     low = F.greatest(F.lit(0).cast("long"), F.expr(f"(idat - {nfft} + {step}) div {step}"))
-    high = F.least(F.lit(parts - 1).cast("long"), F.expr(f"idat div {step}"))
-    values = [c for c in ("v", "re", "im") if c in s.df.columns]
+    high = F.least(F.lit(n_parts(s.meta.ndat, nfft, step) - 1).cast("long"), F.expr(f"idat div {step}"))
+    values = [c for c in VALUES if c in s.df.columns]
     rows = s.df.filter(low <= high).withColumn("ipart", F.explode(F.sequence(low, high)))
     rest = [c for c in ("ichan", "ipol") if c not in keys]
-    sort = F.struct("idat", *rest, *values)
-    return _unzipped(rows.groupBy("ipart", *keys).agg(F.array_sort(F.collect_list(sort)).alias("x")), values)
-
+    full = nfft * math.prod({"ichan": s.meta.nchan, "ipol": s.meta.npol}[c] for c in rest)
+    return gathered(rows, ["ipart", *keys], ["idat", *rest], values, full)
 
-def _unzipped(frames: DataFrame, values: list[str]) -> DataFrame:
-    """Column x, an array of structs, as an array of doubles for each value: Arrow hands these to NumPy without a Python object a sample."""
-    return frames.select(*(c for c in frames.columns if c != "x"), *(F.col(f"x.{c}").cast("array<double>").alias(c) for c in values))
 
+def gathered(rows: DataFrame, keys: list[str], order: list[str], values: list[str], full: int) -> DataFrame:
+    """The values of each key's ``full`` rows in order, as arrays of doubles: Arrow hands these to NumPy without a Python object a sample."""
+    frames = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *values))).alias("x")).filter(F.size("x") == full)
+    return frames.select(*keys, *(F.col(f"x.{c}").cast("array<double>").alias(c) for c in values))
 
-def _samples(pdf: pd.DataFrame) -> list[np.ndarray]:
-    if "re" in pdf:
-        return [np.asarray(r) + 1j * np.asarray(i) for r, i in zip(pdf["re"], pdf["im"])]
-    return [np.asarray(v) for v in pdf["v"]]
 
+def map_frames(frames: DataFrame, fn: Callable[[Columns, np.ndarray], list[np.ndarray]], schema: str) -> DataFrame:
+    """fn(keys, x) for frames of a batch: key columns of shape (rows, 1) and samples of shape (rows, n), complex where there are re and im. It returns the
+    schema's columns, as arrays that broadcast to one shape."""
+    names, types = zip(*((n, TYPES[t]) for n, t in (c.split() for c in schema.split(", "))))
 
-def map_frames(frames: DataFrame, fn: Callable[[int, int, int, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """fn(ipart, ichan, ipol, samples) for each frame; results are concatenated by Arrow batch."""
+    def plane(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        column = batch.column(name)
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    def run(batches):
-        for pdf in batches:
-            out = [fn(p, c, q, x) for p, c, q, x in zip(pdf["ipart"], pdf["ichan"], pdf["ipol"], _samples(pdf))]
-            if out:
-                yield pd.concat(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            if not whole.num_rows:
+                continue
+            rows = max(1, AT_ONCE // max(1, plane(whole.slice(0, 1), whole.schema.names[-1]).size))
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                keys = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[:, None] for c in batch.schema.names if c not in VALUES}
+                x = plane(batch, "re") + 1j * plane(batch, "im") if "re" in batch.schema.names else plane(batch, "v")
+                out = np.broadcast_arrays(*fn(keys, x))
+                yield pa.RecordBatch.from_arrays([pa.array(a.ravel().astype(t.to_pandas_dtype()), t) for a, t in zip(out, types)], list(names))
 
-    return frames.mapInPandas(run, schema)
+    return frames.mapInArrow(run, schema)
 
 
-SPECTRUM = "ipart long, ichan int, ipol int, ifreq int, re double, im double"
+def spectra(x: np.ndarray, n: int) -> np.ndarray:
+    """n points of each row's spectrum in order of frequency: all of a complex row, all but the last of a real one of 2 n samples."""
+    return np.fft.fftshift(np.fft.fft(x), axes=-1) if np.iscomplexobj(x) else np.fft.rfft(x)[..., :n]
 
 
-def channelize(s: Signal, nchan: int, taper: np.ndarray | None = None, response: np.ndarray | None = None) -> Signal:
-    """Splits each channel into nchan by transforms of consecutive parts (twice as long for real samples): complex output, in order of frequency."""
+def _split(s: Signal, nchan: int, freq_res: int, pos: int, neg: int, taper, response, emit, schema: str) -> tuple[DataFrame, dict]:
+    """Frames of nchan x freq_res points, split into sub-bands of freq_res points that are transformed back; emit makes the values of a block of
+    (rows, nchan, kept) complex samples. Also the changes of metadata."""
     real = s.meta.state == NYQUIST
-    n = nchan * 2 if real else nchan
-
-    def one(p, c, q, x):
-        x = x if taper is None else x * taper
-        y = np.fft.rfft(x)[:nchan] if real else np.fft.fftshift(np.fft.fft(x))
-        y = y if response is None else y * response
-        return pd.DataFrame({"idat": p, "ichan": c * nchan + np.arange(nchan), "ipol": q, "re": y.real, "im": y.imag})
-
-    df = map_frames(to_frames(s, n), one, "idat long, ichan int, ipol int, re double, im double")
-    return s.then("channelize", df, nchan=s.meta.nchan * nchan, ndat=s.meta.ndat // n, rate=s.meta.rate / n, state=ANALYTIC, ndim=2)
-
+    keep, points = freq_res - pos - neg, nchan * freq_res
+    if keep <= 0:
+        raise ValueError("the frequency resolution is not more than its wrap-around")
+    n, step = points * (1 + real), keep * nchan * (1 + real)
+    held: dict[int, np.ndarray] = {}
+
+    def one(k: Columns, x: np.ndarray) -> list[np.ndarray]:
+        y = spectra(x if taper is None else x * taper, points)
+        if response is not None:
+            chans = k["ichan"].ravel().tolist()
+            held.update((c, response(c)) for c in set(chans) - set(held))
+            y = y * np.stack([held[c] for c in chans])
+        y = y.reshape(len(y), nchan, freq_res)
+        if freq_res > 1:
+            y = np.fft.ifft(y, norm="forward")[:, :, pos : freq_res - neg]
+        at = k["ipart"][:, :, None] * keep + np.arange(keep)
+        return [at, (k["ichan"] * nchan + np.arange(nchan))[:, :, None], k["ipol"][:, :, None], *emit(y)]
+
+    df = map_frames(to_frames(s, n, step), one, schema)
+    return df, {"nchan": s.meta.nchan * nchan, "ndat": n_parts(s.meta.ndat, n, step) * keep, "rate": s.meta.rate / (nchan * (1 + real)), "start_us": s.meta.start_us + round(pos * nchan * (1 + real) / s.meta.rate * 1e6)}
+
+
+def channelize(s: Signal, nchan: int, taper: np.ndarray | None = None, response: Callable[[int], np.ndarray] | None = None, freq_res: int = 1, pos: int = 0, neg: int = 0) -> Signal:
+    """Splits each channel into nchan, complex, in order of frequency, by transforms of parts of nchan x freq_res points (twice as many real samples).
+
+    With freq_res > 1 each sub-band is transformed back (unnormalised, from its lowest frequency up), and pos samples at the start and neg at the end of
+    what comes out are discarded: parts overlap by as much. response(ichan), nchan x freq_res points in order of frequency, multiplies the spectrum of
+    an input channel, so that channelizing convolves.
+    """
+    df, changes = _split(s, nchan, freq_res, pos, neg, taper, response, lambda y: [y.real, y.imag], SAMPLE)
+    return s.then("channelize", df, **changes, state=ANALYTIC, ndim=2)
+
+
+def power_filterbank(s: Signal, nchan: int, sum_pols: bool = False, **settings) -> Signal:
+    """channelize() and square-law detection in one pass; settings as there."""
+    chosen = {"taper": None, "response": None, "freq_res": 1, "pos": 0, "neg": 0} | settings
+    df, changes = _split(s, nchan, emit=lambda y: [np.abs(y) ** 2], schema=POWER, **chosen)
+    if sum_pols:
+        df = df.groupBy("idat", "ichan").agg(F.sum("v").alias("v")).select("idat", "ichan", F.lit(0).alias("ipol"), "v")
+        changes |= {"npol": 1, "state": INTENSITY}
+    else:
+        changes |= {"state": "PPQQ" if s.meta.npol == 2 else INTENSITY}
+    return s.then("power_filterbank", df, ndim=1, **changes)
 
-def power_filterbank(s: Signal, nchan: int, sum_pols: bool = False) -> Signal:
-    """channelize() and square-law detection in one pass."""
-    real = s.meta.state == NYQUIST
-    n = nchan * 2 if real else nchan
 
-    def one(p, c, q, x):
-        y = np.fft.rfft(x)[:nchan] if real else np.fft.fftshift(np.fft.fft(x))
-        return pd.DataFrame({"idat": p, "ichan": c * nchan + np.arange(nchan), "ipol": q, "v": np.abs(y) ** 2})
+def dedispersing(s: Signal, nchan: int, dm: float, freq_res: int | None = None) -> dict:
+    """Settings with which channelize() and power_filterbank() also dedisperse: the response of each input channel over nchan x freq_res points, and the
+    wrap-around of the most smeared sub-band in output samples."""
+    from cadenza.functions.response import best_nfft, dispersion_kernel, impulse_samples
 
-    df = map_frames(to_frames(s, n), one, "idat long, ichan int, ipol int, v double")
-    if sum_pols:
-        df = df.groupBy("idat", "ichan").agg(F.sum("v").alias("v")).select("idat", "ichan", F.lit(0).alias("ipol"), "v")
-    changes = {"npol": 1, "state": INTENSITY} if sum_pols else {"state": "PPQQ" if s.meta.npol == 2 else INTENSITY}
-    return s.then("power_filterbank", df, nchan=s.meta.nchan * nchan, ndat=s.meta.ndat // n, rate=s.meta.rate / n, ndim=1, **changes)
+    width, rate = s.meta.channel_width, s.meta.rate / (nchan * (1 + (s.meta.state == NYQUIST)))
+    centres = [s.meta.frequency(i) + width * ((k + 0.5) / nchan - 0.5) for i in range(s.meta.nchan) for k in range(nchan)]
+    reach = [impulse_samples(dm, c, abs(width) / nchan, rate) for c in centres]
+    pos, neg = max(p for p, _ in reach), max(n for _, n in reach)
+    freq_res = freq_res or best_nfft(pos + neg)
+    meta = s.meta
+    return {"freq_res": freq_res, "pos": pos, "neg": neg, "response": lambda i: np.fft.fftshift(dispersion_kernel(nchan * freq_res, meta.frequency(i), width, dm))}
 
 
 def convolve(s: Signal, responses: Callable[[int], np.ndarray], nfft: int, pos: int, neg: int) -> Signal:
-    """Overlap-save convolution of complex samples with responses(ichan), nfft points in FFT order; pos samples at the start and neg at the end of each
-    part are discarded. A response of shape (nfft, 2, 2) acts on both polarizations together."""
+    """Overlap-save convolution with responses(ichan), nfft points; pos samples at the start and neg at the end of each part are discarded.
+
+    Of complex samples the response is in FFT order, and of shape (nfft, 2, 2) it acts on both polarizations together. Of real samples, 2 nfft a
+    part, it is in order of frequency; what comes out is complex (analytic), at half the rate, from the lowest frequency up.
+    """
+    real = s.meta.state == NYQUIST
     step = nfft - pos - neg
     if step <= 0:
         raise ValueError("the transform is not longer than its wrap-around")
-    held = {i: responses(i) for i in range(s.meta.nchan)}
-    parts = (s.meta.ndat - nfft) // step + 1 if s.meta.ndat >= nfft else 0
-
-    def rows(p, c, q, y):
-        y = y[pos : nfft - neg]
-        return pd.DataFrame({"idat": p * step + np.arange(step), "ichan": c, "ipol": q, "re": y.real, "im": y.imag})
-
-    schema = "idat long, ichan int, ipol int, re double, im double"
-    if held[0].ndim == 1:
-        df = map_frames(to_frames(s, nfft, step), lambda p, c, q, x: rows(p, c, q, np.fft.ifft(np.fft.fft(x) * held[c])), schema)
-    else:
-
-        def both(batches):
-            for pdf in batches:
-                out = []
-                for p, c, x in zip(pdf["ipart"], pdf["ichan"], _samples(pdf)):
-                    z = np.fft.fft(x.reshape(nfft, 2), axis=0)
-                    y = np.fft.ifft(np.einsum("nij,nj->ni", held[c], z), axis=0)
-                    out += [rows(p, c, q, y[:, q]) for q in (0, 1)]
-                if out:
-                    yield pd.concat(out)
-
-        df = to_frames(s, nfft, step, keys=("ichan",)).mapInPandas(both, schema)
-    return s.then("convolve", df, ndat=parts * step, start_us=s.meta.start_us + round(pos / s.meta.rate * 1e6))
-
-
-def dynamic_filter(s: Signal, responses: dict[int, np.ndarray], bucket: int, nfft: int) -> Signal:
-    """Multiplies the spectrum of each part by the response of the latest time bucket (part start div bucket) not after it, or of the first."""
-    known = sorted(responses)
-    parts = s.meta.ndat // nfft
+    jones = responses(0).ndim == 3
+    if jones and real:
+        raise ValueError("a matrix response acts on complex samples")
+    held: dict[int, np.ndarray] = {}
+
+    def of(k: Columns) -> np.ndarray:
+        chans = k["ichan"].ravel().tolist()
+        held.update((c, responses(c)) for c in set(chans) - set(held))
+        return np.stack([held[c] for c in chans])
+
+    def one(k: Columns, x: np.ndarray) -> list[np.ndarray]:
+        y = np.fft.ifft((np.fft.rfft(x)[:, :nfft] if real else np.fft.fft(x)) * of(k))[:, pos : nfft - neg]
+        return [k["ipart"] * step + np.arange(step), k["ichan"], k["ipol"], y.real, y.imag]
+
+    def both(k: Columns, x: np.ndarray) -> list[np.ndarray]:
+        z = np.fft.fft(x.reshape(len(x), nfft, 2), axis=1)
+        y = np.fft.ifft(np.einsum("rnij,rnj->rni", of(k), z), axis=1)[:, pos : nfft - neg]
+        at = (k["ipart"] * step + np.arange(step))[:, :, None]
+        return [at, k["ichan"][:, :, None], np.arange(2), y.real, y.imag]
+
+    frames = to_frames(s, nfft * (1 + real), step * (1 + real), keys=("ichan",) if jones else ("ichan", "ipol"))
+    df = map_frames(frames, both if jones else one, SAMPLE)
+    parts = n_parts(s.meta.ndat, nfft * (1 + real), step * (1 + real))
+    return s.then("convolve", df, ndat=parts * step, rate=s.meta.rate / (1 + real), start_us=s.meta.start_us + round(pos * (1 + real) / s.meta.rate * 1e6), state=ANALYTIC, ndim=2)
+
+
+def dynamic_filter(s: Signal, responses: dict[int, np.ndarray], bucket: int, nfft: int, pos: int = 0, neg: int = 0) -> Signal:
+    """Multiplies the spectrum of each part by the response of the latest time bucket (part start div bucket) not after it, or of the first.
+
+    Responses are in FFT order; one of fewer than nfft points is interpolated, by zero-padding its impulse response. pos samples at the start and neg
+    at the end of each part are discarded.
+    """
+    from cadenza.functions.response import interpolated
+
+    known = np.array(sorted(responses))
+    table = np.stack([interpolated(responses[b], nfft) for b in known])
+    step = nfft - pos - neg
 
-    def one(p, c, q, x):
-        at = np.searchsorted(known, p * nfft // bucket, side="right") - 1
-        y = np.fft.ifft(np.fft.fft(x) * responses[known[max(at, 0)]])
-        return pd.DataFrame({"idat": p * nfft + np.arange(nfft), "ichan": c, "ipol": q, "re": y.real, "im": y.imag})
+    def one(k: Columns, x: np.ndarray) -> list[np.ndarray]:
+        at = np.maximum(np.searchsorted(known, k["ipart"].ravel() * step // bucket, side="right") - 1, 0)
+        y = np.fft.ifft(np.fft.fft(x) * table[at])[:, pos : nfft - neg]
+        return [k["ipart"] * step + np.arange(step), k["ichan"], k["ipol"], y.real, y.imag]
 
-    df = map_frames(to_frames(s, nfft), one, "idat long, ichan int, ipol int, re double, im double")
-    return s.then("dynamic_filter", df, ndat=parts * nfft)
+    df = map_frames(to_frames(s, nfft, step), one, SAMPLE)
+    return s.then("dynamic_filter", df, ndat=n_parts(s.meta.ndat, nfft, step) * step, start_us=s.meta.start_us + round(pos / s.meta.rate * 1e6))
 
 
 def dedisperse(s: Signal, dm: float, nfft: int | None = None) -> Signal:
     """Coherent dedispersion of complex samples, channel by channel."""
     from cadenza.functions.response import best_nfft, dispersion_kernel, impulse_samples
 
-    width = s.meta.channel_width
-    reach = [impulse_samples(dm, s.meta.frequency(i), abs(width), s.meta.rate) for i in range(s.meta.nchan)]
+    meta, width = s.meta, s.meta.channel_width
+    reach = [impulse_samples(dm, meta.frequency(i), abs(width), meta.rate) for i in range(meta.nchan)]
     pos, neg = max(p for p, _ in reach), max(n for _, n in reach)
     nfft = nfft or best_nfft(pos + neg)
-    out = convolve(s, lambda i: dispersion_kernel(nfft, s.meta.frequency(i), width, dm), nfft, pos, neg)
+    out = convolve(s, lambda i: dispersion_kernel(nfft, meta.frequency(i), width, dm), nfft, pos, neg)
     return Signal(out.df, out.meta.but(dm=dm))
 
 
+def derotate(s: Signal, rm: float, nfft: int) -> Signal:
+    """Undoes Faraday rotation of complex samples of two circular polarizations, relative to each channel's centre."""
+    from cadenza.functions.response import derotation
+
+    meta = s.meta
+    out = convolve(s, lambda i: derotation(nfft, meta.frequency(i), meta.channel_width, rm), nfft, 0, 0)
+    return Signal(out.df, out.meta.but(rm=rm))
+
+
 def polyphase(s: Signal, taps: np.ndarray, nchan: int) -> Signal:
     """Polyphase filterbank of complex samples: ntaps blocks of nchan samples, weighted and summed, then transformed; a part every nchan samples."""
     ntap = len(taps) // nchan
     w = np.asarray(taps)[: ntap * nchan].reshape(ntap, nchan)
 
-    def one(p, c, q, x):
-        y = np.fft.fftshift(np.fft.fft((x.reshape(ntap, nchan) * w).sum(0)))
-        return pd.DataFrame({"idat": p, "ichan": c * nchan + np.arange(nchan), "ipol": q, "re": y.real, "im": y.imag})
+    def one(k: Columns, x: np.ndarray) -> list[np.ndarray]:
+        y = spectra((x.reshape(len(x), ntap, nchan) * w).sum(1), nchan)
+        return [k["ipart"], k["ichan"] * nchan + np.arange(nchan), k["ipol"], y.real, y.imag]
 
-    df = map_frames(to_frames(s, ntap * nchan, nchan), one, "idat long, ichan int, ipol int, re double, im double")
-    parts = max(0, (s.meta.ndat - ntap * nchan) // nchan + 1)
-    return s.then("polyphase", df, nchan=s.meta.nchan * nchan, ndat=parts, rate=s.meta.rate / nchan, state=ANALYTIC, ndim=2)
+    df = map_frames(to_frames(s, ntap * nchan, nchan), one, SAMPLE)
+    return s.then("polyphase", df, nchan=s.meta.nchan * nchan, ndat=n_parts(s.meta.ndat, ntap * nchan, nchan), rate=s.meta.rate / nchan, state=ANALYTIC, ndim=2)
 
 
 def inverse_filterbank(s: Signal, nfft: int, overlap: int = 0, response: np.ndarray | None = None) -> Signal:
     """Synthesis of one channel from all: each part of each channel is transformed, edges that oversampling repeats are cut off, the rest is put side by
-    side in order of frequency, and transformed back; overlap samples at both ends of a part are discarded."""
+    side in order of frequency, and transformed back; overlap samples at both ends of a part are discarded. The response, in order of frequency over
+    what is kept of all channels, may undo the ripple of the filterbank before."""
     over = s.meta.oversampling
     keep = nfft * over.denominator // over.numerator
     if keep * over.numerator != nfft * over.denominator or (keep * overlap) % nfft:
@@ -170,32 +244,24 @@ def inverse_filterbank(s: Signal, nfft: int, overlap: int = 0, response: np.ndar
     cut = overlap * keep // nfft * nchan
     out_step = keep * nchan - 2 * cut
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for p, q, x in zip(pdf["ipart"], pdf["ipol"], _samples(pdf)):
-                z = np.fft.fftshift(np.fft.fft(x.reshape(nfft, nchan).T, axis=1), axes=1)
-                whole = np.concatenate([z[i, edge : edge + keep] for i in order])
-                whole = whole if response is None else whole * response
-                y = np.fft.ifft(np.fft.ifftshift(whole)) * nchan * keep / nfft
-                y = y[cut : len(y) - cut]
-                out.append(pd.DataFrame({"idat": p * out_step + np.arange(out_step), "ichan": 0, "ipol": q, "re": y.real, "im": y.imag}))
-            if out:
-                yield pd.concat(out)
-
-    frames = to_frames(s, nfft, step, keys=("ipol",))
-    df = frames.mapInPandas(run, "idat long, ichan int, ipol int, re double, im double")
-    parts = (s.meta.ndat - nfft) // step + 1 if s.meta.ndat >= nfft else 0
-    return s.then("inverse_filterbank", df, nchan=1, ndat=parts * out_step, rate=s.meta.rate * nchan * keep / nfft, oversampling=type(over)(1))
+    def one(k: Columns, x: np.ndarray) -> list[np.ndarray]:
+        z = spectra(x.reshape(len(x), nfft, nchan).transpose(0, 2, 1)[:, order], nfft)[:, :, edge : edge + keep].reshape(len(x), -1)
+        z = z if response is None else z * response
+        y = np.fft.ifft(np.fft.ifftshift(z, axes=-1)) * nchan * keep / nfft
+        y = y[:, cut : keep * nchan - cut]
+        return [k["ipart"] * out_step + np.arange(out_step), np.zeros((1, 1)), k["ipol"], y.real, y.imag]
+
+    df = map_frames(to_frames(s, nfft, step, keys=("ipol",)), one, SAMPLE)
+    changes = {"nchan": 1, "ndat": n_parts(s.meta.ndat, nfft, step) * out_step, "rate": s.meta.rate * nchan * keep / nfft, "oversampling": type(over)(1)}
+    return s.then("inverse_filterbank", df, **changes, start_us=s.meta.start_us + round(overlap / s.meta.rate * 1e6))
 
 
 def lag_filterbank(s: Signal, nlag: int, spectrum: bool = False) -> DataFrame:
     """(ipart, ichan, ipol, k, v): circular autocorrelation of zero-padded parts of nlag samples, or their power spectrum."""
 
-    def one(p, c, q, x):
+    def one(k: Columns, x: np.ndarray) -> list[np.ndarray]:
         f = np.abs(np.fft.fft(x, 2 * nlag)) ** 2
-        y = f[:nlag] if spectrum else np.fft.ifft(f).real[:nlag]
-        return pd.DataFrame({"ipart": p, "ichan": c, "ipol": q, "k": np.arange(nlag), "v": y})
+        return [k["ipart"], k["ichan"], k["ipol"], np.arange(nlag), f[:, :nlag] if spectrum else np.fft.ifft(f).real[:, :nlag]]
 
     return map_frames(to_frames(s, nlag), one, "ipart long, ichan int, ipol int, k int, v double")
 
@@ -208,6 +274,20 @@ def bandpass(s: Signal, nchan: int) -> DataFrame:
     return powers.groupBy(F.expr(f"ichan div {nchan}").cast("int").alias("ichan"), "ipol", (F.col("ichan") % nchan).alias("ifreq")).agg(F.sum("v").alias("power"))
 
 
+def cross_bandpass(s: Signal, nchan: int) -> DataFrame:
+    """(ichan, ipol, ifreq, power): integrated spectra of complex samples of two polarizations: their powers, and as polarizations 2 and 3 the real and
+    imaginary parts of the cross spectrum conj(p) q."""
+
+    def one(k: Columns, x: np.ndarray) -> list[np.ndarray]:
+        z = spectra(x.reshape(len(x), nchan, 2).transpose(0, 2, 1), nchan)
+        cross = z[:, 0].conj() * z[:, 1]
+        y = np.stack([np.abs(z[:, 0]) ** 2, np.abs(z[:, 1]) ** 2, cross.real, cross.imag], axis=1)
+        return [k["ichan"][:, :, None], np.arange(4)[:, None], np.arange(nchan), y]
+
+    powers = map_frames(to_frames(s, nchan, keys=("ichan",)), one, "ichan int, ipol int, ifreq int, v double")
+    return powers.groupBy("ichan", "ipol", "ifreq").agg(F.sum("v").alias("power"))
+
+
 def phase_locked_filterbank(s: Signal, nchan: int, period_us: int, nbin: int, epoch_us: int = 0) -> DataFrame:
     """ibin, ichan, ipol, ifreq, power, hits: transforms that start at each phase bin of each turn, folded; hits counts transforms."""
     from cadenza.operators.folding import phase_bin, sample_us, turn
@@ -217,16 +297,10 @@ def phase_locked_filterbank(s: Signal, nchan: int, period_us: int, nbin: int, ep
     starts = rows.groupBy("turn", "ibin").agg(F.min("idat").alias("first"))
     covered = starts.select("turn", "ibin", F.explode(F.sequence(F.col("first"), F.col("first") + nchan - 1)).alias("idat"))
     values = [c for c in ("re", "im", "v") if c in s.df.columns]
-    frames = s.df.join(covered, "idat").groupBy("turn", "ibin", "ichan", "ipol").agg(F.array_sort(F.collect_list(F.struct("idat", *values))).alias("x")).filter(F.size("x") == nchan)
-    frames = _unzipped(frames, values)
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for b, c, q, x in zip(pdf["ibin"], pdf["ichan"], pdf["ipol"], _samples(pdf)):
-                out.append(pd.DataFrame({"ibin": b, "ichan": c, "ipol": q, "ifreq": np.arange(nchan), "p": np.abs(np.fft.fftshift(np.fft.fft(x))) ** 2}))
-            if out:
-                yield pd.concat(out)
-
-    powers = frames.mapInPandas(run, "ibin int, ichan int, ipol int, ifreq int, p double")
+    frames = gathered(s.df.join(covered, "idat"), ["turn", "ibin", "ichan", "ipol"], ["idat"], values, nchan)
+
+    def one(k: Columns, x: np.ndarray) -> list[np.ndarray]:
+        return [k["ibin"], k["ichan"], k["ipol"], np.arange(nchan), np.abs(np.fft.fftshift(np.fft.fft(x), axes=-1)) ** 2]
+
+    powers = map_frames(frames, one, "ibin int, ichan int, ipol int, ifreq int, p double")
     return powers.groupBy("ibin", "ichan", "ipol", "ifreq").agg(F.sum("p").alias("power"), F.count(F.lit(1)).alias("hits"))

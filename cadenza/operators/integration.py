@@ -15,16 +15,18 @@ def _floordiv(c: str, n: int) -> Column:
 
 
 def scrunch(s: Signal, time: int = 1, freq: int = 1) -> Signal:
-    """Sums of ``time`` samples and ``freq`` channels in one shuffle; tails shorter than a factor are dropped."""
+    """Sums of ``time`` samples and ``freq`` channels in one shuffle; tails shorter than a factor are dropped, and the band with them."""
     if time < 1 or freq < 1:
         raise ValueError("factors are positive")
     nchan, ndat = s.meta.nchan // freq, s.meta.ndat // time
-    if s.meta.nchan % freq:
-        raise ValueError("the frequency factor divides the number of channels")
+    if not nchan:
+        raise ValueError("the frequency factor is more than the number of channels")
+    lost = s.meta.channel_width * (s.meta.nchan - nchan * freq)
+    band = {"bandwidth": s.meta.bandwidth - lost, "centre_frequency": s.meta.centre_frequency - lost / 2} if lost else {}
     df = s.df.filter((F.col("idat") < ndat * time) & (F.col("ichan") < nchan * freq))
     keys = [_floordiv("idat", time).alias("idat"), _floordiv("ichan", freq).cast("int").alias("ichan"), F.col("ipol")]
     df = df.groupBy(*keys).agg(F.sum("v").alias("v"))
-    return s.then("scrunch", df, nchan=nchan, ndat=ndat, rate=s.meta.rate / time, scale=s.meta.scale * time * freq)
+    return s.then("scrunch", df, **band, nchan=nchan, ndat=ndat, rate=s.meta.rate / time, scale=s.meta.scale * time * freq)
 
 
 def tscrunch(s: Signal, factor: int) -> Signal:

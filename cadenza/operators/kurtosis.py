@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +39,14 @@ def estimate(s1: Column, s2: Column, n: Column, nd: int = 1) -> Column:
     return F.when((n > 1) & (s1 != 0), value)
 
 
+def within(blocks: DataFrame, include: list[tuple[int, int]] | None = None, exclude: list[tuple[int, int]] | None = None) -> DataFrame:
+    """The blocks of channels in one of the included ranges (all without any) and in none of the excluded ones; ends included. Detectors judge and average
+    only these."""
+    ranged = lambda ranges: reduce(Column.__or__, (F.col("ichan").between(a, b) for a, b in ranges))
+    out = blocks.filter(ranged(include)) if include else blocks
+    return out.filter(~ranged(exclude)) if exclude else out
+
+
 def time_freq(blocks: DataFrame, lower: float, upper: float, nd: int = 1) -> DataFrame:
     """iw, ichan, bad: a cell is bad if one of its polarizations is outside the limits."""
     sk = estimate(F.col("s1"), F.col("s2"), F.col("n"), nd)
@@ -42,13 +54,18 @@ def time_freq(blocks: DataFrame, lower: float, upper: float, nd: int = 1) -> Dat
 
 
 def freq(blocks: DataFrame, sigma: float, nd: int = 1) -> DataFrame:
-    """ichan, bad by the kurtosis of whole channels, thresholds for the number of samples summed."""
+    """ichan, bad by the kurtosis of whole channels, each against the thresholds of its own number of samples, computed once a distinct number."""
     total = blocks.groupBy("ichan", "ipol").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("n").alias("n"))
-    n = total.agg(F.max("n")).first()[0] or 0
-    if n < 2:
-        return total.groupBy("ichan").agg(F.lit(1).alias("bad"))
-    cut = limits(n, sigma, nd)
-    return total.groupBy("ichan").agg(F.max(F.coalesce(~estimate(F.col("s1"), F.col("s2"), F.col("n"), nd).between(cut.lower, cut.upper), F.lit(True)).cast("int")).alias("bad"))
+
+    def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [limits(n, sigma, nd) for n in pdf["n"]]
+            yield pdf.assign(lower=[c.lower for c in found], upper=[c.upper for c in found])
+
+    known = total.filter("n > 1").select("n").distinct().mapInPandas(cuts, "n long, lower double, upper double")
+    sk = estimate(F.col("s1"), F.col("s2"), F.col("n"), nd)
+    good = F.coalesce(sk.between(F.col("lower"), F.col("upper")), F.lit(False))
+    return total.join(known, "n", "left").groupBy("ichan").agg(F.max((~good).cast("int")).alias("bad"))
 
 
 def time(blocks: DataFrame, reach: float, nd: int = 1) -> DataFrame:

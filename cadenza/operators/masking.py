@@ -23,31 +23,32 @@ def parse_intervals(lines: list[str]) -> list[tuple[float, float]]:
 def mask_times(s: Signal, intervals: DataFrame, bucket: int = 1024, broadcast_rows: int = 100_000) -> Signal:
     """Zeroes samples in [start, end) of intervals(start, end), in samples.
 
-    A few intervals are broadcast as one sorted, merged array; more are dealt to the buckets of time that they touch, which
-    makes the interval join an equi-join.
+    Intervals are cut at buckets of time, which makes the interval join an equi-join, and united within each; a few buckets are broadcast.
     """
-    merged = merge_intervals(intervals)
-    n = merged.count()
+    by_bucket = united(intervals, bucket, s.meta.ndat).groupBy("b").agg(F.collect_list(F.struct("start", "end")).alias("iv"))
+    n = by_bucket.limit(broadcast_rows + 1).count()
     if not n:
         return s.then("mask_times", s.df)
-    touched = merged.select("start", "end", F.explode(F.sequence(F.expr(f"start div {bucket}"), F.expr(f"(end - 1) div {bucket}"))).alias("b"))
-    by_bucket = touched.groupBy("b").agg(F.collect_list(F.struct("start", "end")).alias("iv"))
     rows = s.df.withColumn("b", F.expr(f"idat div {bucket}"))
     joined = rows.join(F.broadcast(by_bucket) if n <= broadcast_rows else by_bucket, "b", "left")
     hit = F.coalesce(F.exists("iv", lambda i: (F.col("idat") >= i["start"]) & (F.col("idat") < i["end"])), F.lit(False))
     return s.then("mask_times", joined.select("idat", "ichan", "ipol", F.when(hit, F.lit(0)).otherwise(F.col("v")).cast(dict(s.df.dtypes)["v"]).alias("v")))
 
 
-def merge_intervals(intervals: DataFrame) -> DataFrame:
-    """Overlapping or touching intervals united. The running maximum is over the intervals alone."""
-    rows = intervals.select(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).filter("end > start")
-    before = F.max("end").over(Window.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("new", (before.isNull() | (F.col("start") > before)).cast("int"))
-    rows = rows.withColumn("g", F.sum("new").over(Window.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("g")
+def united(intervals: DataFrame, bucket: int, ndat: int) -> DataFrame:
+    """(b, start, end): the parts of the intervals in each bucket of time, overlapping or touching ones united. A window holds one bucket's different
+    parts, whatever the number of intervals."""
+    rows = intervals.select(F.greatest(F.lit(0), F.col("start").cast("long")).alias("s"), F.least(F.lit(ndat), F.col("end").cast("long")).alias("e")).filter("e > s")
+    rows = rows.select("s", "e", F.explode(F.sequence(F.expr(f"s div {bucket}"), F.expr(f"(e - 1) div {bucket}"))).alias("b"))
+    parts = rows.select("b", F.greatest("s", F.col("b") * bucket).alias("start"), F.least("e", (F.col("b") + 1) * bucket).alias("end")).distinct()
+    w = Window.partitionBy("b").orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("new", (before.isNull() | (F.col("start") > before)).cast("int"))
+    parts = parts.withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return parts.groupBy("b", "g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("g")
 
 
-def rfi_filter(s: Signal, window: int = 21) -> tuple[Signal, list[float]]:
+def rfi_filter(s: Signal, window: int = 51) -> tuple[Signal, list[float]]:
     """Zeroes the channels that bandpass_mask() finds in the power integrated over time and polarization; with the mask itself.
 
     The bandpass is one row a channel and goes to the driver, where the rounds of masking run; the mask comes back as a literal.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cadenza.meta import ANALYTIC, INTENSITY, NYQUIST, PP, QQ, Signal
+from cadenza.meta import ANALYTIC, COHERENCE, INTENSITY, NYQUIST, PP, PPQQ, QQ, Signal
 
 
 def chan_pol_select(s: Signal, chan: tuple[int, int] | None = None, pol: tuple[int, int] | None = None) -> Signal:
@@ -40,18 +40,20 @@ def poln_select(s: Signal, ipol: int) -> Signal:
 
 
 def poln_reshape(s: Signal, npol: int) -> Signal:
-    """Two complex polarizations as 4 or 2 real columns, or their sum: the rows of a sample become (re0, im0, re1, im1), (re, im) of the
-    detected pair, or PP + QQ."""
-    if npol == 4:
-        df = s.df.select("idat", "ichan", F.posexplode(F.array("re", "im")).alias("d", "v"), "ipol")
-        df = df.select("idat", "ichan", (F.col("ipol") * 2 + F.col("d")).alias("ipol"), "v")
-    elif npol == 2:
-        df = s.df.filter("ipol < 2").select("idat", "ichan", "ipol", F.col("re").alias("v"))
-    elif npol == 1:
-        df = s.df.filter("ipol < 2").groupBy("idat", "ichan").agg(F.sum("re").alias("v")).withColumn("ipol", F.lit(0))
-    else:
+    """Detected products stored as two polarizations of two dimensions, as real columns: polarization 0 holds PP and QQ, polarization 1 the real and
+    imaginary parts of the cross product. Four columns are all of these (Coherence), two are PP and QQ (PPQQ), one is PP + QQ (Intensity)."""
+    states = {4: COHERENCE, 2: PPQQ, 1: INTENSITY}
+    if npol not in states:
         raise ValueError("npol is 4, 2 or 1")
-    return s.then("poln_reshape", df.select("idat", "ichan", "ipol", "v"), npol=npol, ndim=1)
+    if s.meta.npol != 2 or s.meta.ndim != 2:
+        raise ValueError("two polarizations of two dimensions are needed")
+    if npol == 1:
+        df = s.df.filter("ipol = 0").select("idat", "ichan", F.lit(0).alias("ipol"), (F.col("re") + F.col("im")).alias("v"))
+    else:
+        df = s.df if npol == 4 else s.df.filter("ipol = 0")
+        df = df.select("idat", "ichan", F.posexplode(F.array("re", "im")).alias("d", "v"), "ipol")
+        df = df.select("idat", "ichan", (F.col("ipol") * 2 + F.col("d")).alias("ipol"), "v")
+    return s.then("poln_reshape", df, npol=npol, ndim=1, state=states[npol])
 
 
 def truncate(s: Signal, end_us: int) -> Signal:

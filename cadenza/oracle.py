@@ -1,11 +1,30 @@
-"""SQL that gives the same rows as the queries, for an independent engine over the same tables."""
+"""SQL that gives the same rows as the queries, for an independent engine over the same tables.
+
+Nothing here comes from the code under test: periods, thresholds, delays and responses are stated as numbers or derived anew.
+"""
 
 from __future__ import annotations
 
-from cadenza.functions.sk_limits import limits
-from cadenza.meta import Signal
-from cadenza.operators.delays import dispersion_delays
-from cadenza.queries import CELLS, META, NBIN, PERIOD, SK, SK_M
+import math
+
+#: Period and bins of the folds, samples of a kurtosis block, and the masked stretches.
+PERIOD, NBIN, SK_M = 86_400_000_000 // 7, 16, 32
+CELLS = [(3, 20), (15, 30), (100, 101), (400, 520)]
+#: Lower, upper and symmetric limits of the kurtosis of 32 samples at 3 deviations, and lower and upper ones of 32, 64 and 128 at 0.5;
+#: tests/test_functions.py checks them against the published density.
+SK_LOWER, SK_UPPER, SK_SYMMETRIC = 0.3877018068371802, 2.7314792352070207, 0.9996475388614486
+SK_NARROW = {32: (0.8098524295603275, 1.0999519616015343), 64: (0.864190615042742, 1.0821305297617374), 128: (0.9037910569861352, 1.0654753476809822)}
+#: Mean and unit of the voltage digitizer, by bits.
+VOLTAGE = {1: (0.0, 1.0), 2: (-0.5, 1.03), 4: (-0.5, 3.14), 8: (-0.5, 10.1)}
+#: Centre frequencies (MHz) of the four channels of 100 MHz, 1000 samples a second.
+CENTRES = (1250, 1350, 1450, 1550)
+
+
+def lag(dm: float, mhz: float) -> float:
+    """Samples behind infinite frequency, by the dispersion law with constant 2.41e-4."""
+    return 1000 * dm / (2.41e-4 * mhz * mhz)
+
+
 
 D = "d AS (SELECT event_id // 8 AS idat, CAST((event_id // 2) % 4 AS INTEGER) AS ichan, CAST(event_id % 2 AS INTEGER) AS ipol, CAST(round(value * 100) AS BIGINT) AS v FROM events), nd AS (SELECT count(*) // 8 AS ndat FROM events)"
 Z = D + ", z AS (SELECT idat, ichan, ipol, v % 41 - 20 AS re, (v // 7) % 37 - 18 AS im FROM d)"
@@ -48,8 +67,6 @@ def rescaled(n: int | None) -> str:
 
 
 def code(nbit: int, value: str) -> str:
-    from cadenza.operators.digitize import VOLTAGE
-
     mean, unit = VOLTAGE[nbit]
     if nbit == 1:
         return f"CAST({value} >= 0 AS INTEGER)"
@@ -84,32 +101,29 @@ def delayed(shift: dict[int, int]) -> str:
     return f"WITH {D}, s AS (SELECT idat - {case} AS idat, ichan, ipol, v FROM d) SELECT idat, ichan, ipol, v FROM s, nd WHERE idat >= 0 AND idat < ndat - {max(shift.values()) - least}"
 
 
-BAD = f"SELECT iw, ichan, CAST(max(CASE WHEN coalesce(sk < {SK.lower!r} OR sk > {SK.upper!r}, TRUE) THEN 1 ELSE 0 END) AS INTEGER) AS bad FROM k GROUP BY ALL"
+BAD = f"SELECT iw, ichan, CAST(max(CASE WHEN coalesce(sk < {SK_LOWER!r} OR sk > {SK_UPPER!r}, TRUE) THEN 1 ELSE 0 END) AS INTEGER) AS bad FROM k GROUP BY ALL"
 K = f"{B}, k AS (SELECT *, {EST} AS sk FROM b)"
 
 
 def _adaptive() -> str:
     parts, found = [B], None
     for m in (32, 64, 128):
-        f, cut = m // 32, limits(m, 0.5)
+        f, (lower, upper) = m // 32, SK_NARROW[m]
         use = "b" if found is None else f"(SELECT * FROM b WHERE (iw, ichan) NOT IN (SELECT iw, ichan FROM {found}))"
         parts.append(f"c{m} AS (SELECT iw // {f} AS iw, ichan, ipol, CAST(sum(s1) AS BIGINT) AS s1, CAST(sum(s2) AS BIGINT) AS s2, CAST(sum(n) AS BIGINT) AS n FROM {use} GROUP BY ALL)")
-        parts.append(f"g{m} AS (SELECT DISTINCT iw * {f} + o AS iw, ichan FROM (SELECT *, {EST} AS sk FROM c{m}), (SELECT range AS o FROM range({f})) WHERE coalesce(sk < {cut.lower!r} OR sk > {cut.upper!r}, TRUE))")
+        parts.append(f"g{m} AS (SELECT DISTINCT iw * {f} + o AS iw, ichan FROM (SELECT *, {EST} AS sk FROM c{m}), (SELECT range AS o FROM range({f})) WHERE coalesce(sk < {lower!r} OR sk > {upper!r}, TRUE))")
         parts.append(f"f{m} AS ({'' if found is None else f'SELECT * FROM {found} UNION '}SELECT iw, ichan FROM g{m})")
         found = f"f{m}"
     return f"WITH {', '.join(parts)} SELECT iw, ichan, CAST(1 AS INTEGER) AS bad FROM {found}"
 
 
-def _freq() -> str:
-    # the threshold depends on the largest count, 3 blocks of 32 without zeros: powers are never zero
-    cut = limits(3 * SK_M, 3.0)
-    return f"WITH {B}, t AS (SELECT ichan, ipol, CAST(sum(s1) AS BIGINT) AS s1, CAST(sum(s2) AS BIGINT) AS s2, CAST(sum(n) AS BIGINT) AS n FROM b WHERE iw < 3 GROUP BY ALL) SELECT ichan, CAST(max(CASE WHEN {EST} BETWEEN {cut.lower!r} AND {cut.upper!r} THEN 0 ELSE 1 END) AS INTEGER) AS bad FROM t GROUP BY ALL"
-
-
-DELAYS = dict(dispersion_delays(Signal(None, META), 50.0))
-FREQ_ORDER = sorted(range(4), key=lambda i: -META.frequency(i))
+DELAYS = {i: math.floor(lag(50, f) - lag(50, 1400) + 0.5) for i, f in enumerate(CENTRES)}
 MOMENTS = "SELECT *, avg(m) OVER w AS mm, avg(q) OVER w AS qq FROM (SELECT idat // 64 AS ib, ichan, ipol, avg(v) AS m, avg(v * v) AS q FROM d GROUP BY ALL) WINDOW w AS (PARTITION BY ichan, ipol ORDER BY ib ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
 
+#: Seven turns a day with a drift and a curvature by the day's number: phase at dt minutes from noon.
+PREDICTED = f"""sg AS (SELECT *, (us - {START} - {pmod(f'us - {START}', DAY)}) // {DAY} AS k FROM e), dt AS (SELECT *, (us - (k * {DAY} + {START + DAY // 2})) / 60e6::DOUBLE AS dt FROM sg WHERE k BETWEEN 0 AND 729),
+    ph AS (SELECT us, ichan, ipol, v, k * 7 AS turns, (k * 37 % 100) / 128.0::DOUBLE + 60 * (7.0::DOUBLE / 86400) * dt + ((((k % 3) / 16777216.0::DOUBLE) * dt + (k % 5) / 65536.0::DOUBLE) * dt + 0.0625::DOUBLE) AS x FROM dt)"""
+
 ORACLE = {
     "fold_period": f"WITH {E} SELECT ichan, ipol, {ibin('us')} AS ibin, {FOLD}, {six('sum(v) / count(*)', 'mean')} FROM e GROUP BY ALL",
     "fold_lineitem": f"WITH e AS (SELECT epoch_us(l_shipdate) + l_orderkey * 1000003 AS us, CAST(l_linenumber AS INTEGER) AS ichan, CAST(round(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem) SELECT ichan, {ibin('us', PERIOD, 64)} AS ibin, {FOLD} FROM e GROUP BY ALL",
@@ -118,6 +132,10 @@ ORACLE = {
     "subint_fold_seconds": f"WITH {E} {SUBINT}",
     "subint_fold_turns": f"WITH {E} SELECT (us - {START} - {pmod(f'us - {START}', PERIOD * 10)}) // {PERIOD * 10} AS division, ichan, ipol, {ibin(f'us - {START}')} AS ibin, {FOLD} FROM e GROUP BY ALL",
     "fold_combine": f"WITH {E} SELECT ichan, ipol, {ibin('us')} AS ibin, {FOLD} FROM e GROUP BY ALL",
+    "fold_predictor": f"WITH {E}, {PREDICTED} SELECT ichan, ipol, CAST(floor((x - floor(x)) * {NBIN}) AS INTEGER) AS ibin, {FOLD} FROM ph GROUP BY ALL",
+    "subint_fold_predictor": f"WITH {E}, {PREDICTED}, sh AS (SELECT *, x - floor(x) - 0.25::DOUBLE AS y, turns + CAST(floor(x) AS BIGINT) AS tn FROM ph), tu AS (SELECT *, tn + CAST(floor(y) AS BIGINT) AS t2 FROM sh) SELECT (t2 - {pmod('t2', 10)}) // 10 AS division, ichan, ipol, CAST(least(floor((y - floor(y)) * {NBIN}), {NBIN - 1}) AS INTEGER) AS ibin, {FOLD} FROM tu GROUP BY ALL",
+    "fold_bookkeeping": f"WITH {E} SELECT (us - {START} - {pmod(f'us - {START}', DAY)}) // {DAY} AS division, ichan, count(*) AS ndat_total, count(*) FILTER (WHERE v % 10 <> 0) AS ndat_folded, CAST(count(*) FILTER (WHERE v % 10 <> 0) * 1000 AS DOUBLE) AS integration_us FROM e GROUP BY ALL",
+    "unpack_msb": f"WITH {D} SELECT idat * 4 + j AS idat, ichan, ipol, CAST((v % 256) // CAST(pow(4, 3 - j) AS BIGINT) % 4 AS INTEGER) AS v FROM d, (SELECT range AS j FROM range(4))",
     "fold_drop_short": f"WITH {E}, f AS ({SUBINT}) SELECT * FROM f WHERE division IN (SELECT division FROM f GROUP BY division HAVING sum(hits) >= 0.9 * 330)",
     "tscrunch": scrunch(6, 1),
     "fscrunch": scrunch(1, 2),
@@ -131,14 +149,14 @@ ORACLE = {
     "detect_stokes": f"WITH {STOKES} " + four("s", ["s0", "s1", "s2", "s3"]),
     "fourth_moment": f"WITH {STOKES} SELECT idat, ichan, s0, s1, s2, s3, " + ", ".join(f"s{i} * s{j} AS s{i}{j}" for i in range(4) for j in range(i, 4)) + " FROM s",
     "poln_reshape4": f"WITH {Z} SELECT idat, ichan, CAST(ipol * 2 AS INTEGER) AS ipol, re AS v FROM z UNION ALL SELECT idat, ichan, CAST(ipol * 2 + 1 AS INTEGER), im FROM z",
-    "poln_reshape2": f"WITH {Z} SELECT idat, ichan, ipol, re AS v FROM z",
-    "poln_reshape1": f"WITH {Z} SELECT idat, ichan, CAST(0 AS INTEGER) AS ipol, CAST(sum(re) AS BIGINT) AS v FROM z GROUP BY ALL",
+    "poln_reshape2": f"WITH {Z} SELECT idat, ichan, CAST(0 AS INTEGER) AS ipol, re AS v FROM z WHERE ipol = 0 UNION ALL SELECT idat, ichan, CAST(1 AS INTEGER), im FROM z WHERE ipol = 0",
+    "poln_reshape1": f"WITH {Z} SELECT idat, ichan, CAST(0 AS INTEGER) AS ipol, re + im AS v FROM z WHERE ipol = 0",
     "poln_select": f"WITH {D} SELECT idat, ichan, CAST(0 AS INTEGER) AS ipol, v FROM d WHERE ipol = 1",
     "chan_pol_select": f"WITH {D} SELECT idat, ichan - 1 AS ichan, ipol - 1 AS ipol, v FROM d WHERE ichan BETWEEN 1 AND 2 AND ipol = 1",
     "fzoom": f"WITH {D} SELECT idat, ichan - 1 AS ichan, ipol, v FROM d WHERE 1250 + 100 * ichan + 50 > 1360 AND 1250 + 100 * ichan - 50 < 1540",
     "truncate": f"WITH {D} SELECT * FROM d WHERE idat < 100",
     "chomp": f"WITH {D} SELECT d.* FROM d, nd WHERE idat < least(500, ndat) // 64 * 64",
-    "resize": f"WITH {D} SELECT d.* FROM d, nd WHERE idat < least(500, ndat) - 37",
+    "resize": f"WITH {D} SELECT d.* FROM d, nd WHERE idat < ndat - 37",
     "delay_start": f"WITH {D} SELECT idat - 50 AS idat, ichan, ipol, v FROM d WHERE idat >= 50",
     "channel_order": f"WITH {D} SELECT idat, CAST((ichan + 2) % 4 AS INTEGER) AS ichan, ipol, v FROM d",
     "stats": f"WITH {D}, a AS (SELECT ichan, ipol, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * v) AS BIGINT) AS total_sq FROM d GROUP BY ALL) SELECT *, {six('total / n', 'mean')}, {six('sqrt(total_sq / n - (total / n) * (total / n))', 'sigma')} FROM a",
@@ -159,11 +177,14 @@ ORACLE = {
     "sk_overlap": f"WITH {B}, o AS (SELECT range AS o FROM range(2)) SELECT b.iw // 2 - o AS iw, ichan, ipol, CAST(sum(s1) AS BIGINT) AS s1, CAST(sum(s2) AS BIGINT) AS s2, CAST(sum(n) AS BIGINT) AS n FROM b, o WHERE b.iw // 2 - o >= 0 GROUP BY b.iw // 2 - o, ichan, ipol",
     "sk_estimate": f"WITH {K} SELECT iw, ichan, ipol, {six('sk', 'sk')} FROM k",
     "sk_time_freq": f"WITH {K} {BAD}",
-    "sk_freq": _freq(),
-    "sk_time": f"WITH {K}, m AS (SELECT iw, ipol, sum(sk * n) / sum(n) AS mean, CAST(sum(n) AS DOUBLE) * sum(n) / sum(n * n) AS e FROM k WHERE sk IS NOT NULL GROUP BY ALL) SELECT iw, CAST(max(CASE WHEN abs(mean - 1) > {SK.symmetric!r} / sqrt(e) THEN 1 ELSE 0 END) AS INTEGER) AS bad FROM m GROUP BY ALL",
+    "sk_time": f"WITH {K}, m AS (SELECT iw, ipol, sum(sk * n) / sum(n) AS mean, CAST(sum(n) AS DOUBLE) * sum(n) / sum(n * n) AS e FROM k WHERE sk IS NOT NULL GROUP BY ALL) SELECT iw, CAST(max(CASE WHEN abs(mean - 1) > {SK_SYMMETRIC!r} / sqrt(e) THEN 1 ELSE 0 END) AS INTEGER) AS bad FROM m GROUP BY ALL",
+    "sk_time_within": f"WITH {K}, m AS (SELECT iw, ipol, sum(sk * n) / sum(n) AS mean, CAST(sum(n) AS DOUBLE) * sum(n) / sum(n * n) AS e FROM k WHERE sk IS NOT NULL AND ichan IN (1, 3) GROUP BY ALL) SELECT iw, CAST(max(CASE WHEN abs(mean - 1) > {SK_SYMMETRIC!r} / sqrt(e) THEN 1 ELSE 0 END) AS INTEGER) AS bad FROM m GROUP BY ALL",
+    "sample_delay_pol": f"WITH {D}, s AS (SELECT idat - 3 * ichan - 7 * ipol AS idat, ichan, ipol, v FROM d) SELECT idat, ichan, ipol, v FROM s, nd WHERE idat >= 0 AND idat < ndat - 16",
+    "fscrunch_floor": f"WITH {D} SELECT idat, CAST(0 AS INTEGER) AS ichan, ipol, CAST(sum(v) AS BIGINT) AS v FROM d WHERE ichan < 3 GROUP BY idat, ipol",
+    "fold_many": f"WITH {E} " + " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS ifold, ichan, ipol, {ibin('us', p, n)} AS ibin, {FOLD} FROM e GROUP BY ALL" for i, (p, n) in enumerate(((PERIOD, 16), (PERIOD * 2, 8), (DAY, 24)))),
     "sk_excise": f"WITH {K}, x AS ({BAD}) SELECT idat, d.ichan, d.ipol, {masked('bad = 1')} AS v FROM d LEFT JOIN x ON idat // {SK_M} = x.iw AND d.ichan = x.ichan",
     "sk_adaptive": _adaptive(),
-    "zap_weight": f"WITH {K}, c AS (SELECT iw, ichan, max(CASE WHEN sk BETWEEN {SK.lower!r} AND {SK.upper!r} THEN 0 ELSE 1 END) AS o, max(CASE WHEN sk BETWEEN 0.2 AND 2.4 THEN 0 ELSE 1 END) AS g FROM k GROUP BY ALL) SELECT iw, ichan, CAST(CASE WHEN sum(g) OVER (PARTITION BY iw) > 1 THEN 1 ELSE o END AS INTEGER) AS bad FROM c",
+    "zap_weight": f"WITH {K}, c AS (SELECT iw, ichan, max(CASE WHEN sk BETWEEN {SK_LOWER!r} AND {SK_UPPER!r} THEN 0 ELSE 1 END) AS o, max(CASE WHEN sk BETWEEN 0.2 AND 2.4 THEN 0 ELSE 1 END) AS g FROM k GROUP BY ALL) SELECT iw, ichan, CAST(CASE WHEN sum(g) OVER (PARTITION BY iw) > 1 THEN 1 ELSE o END AS INTEGER) AS bad FROM c",
     "excision_nlow": f"WITH {D} SELECT idat // 32 AS iw, ichan, ipol, count(*) FILTER (WHERE abs(v) < 3000) AS nlow, CAST(CASE WHEN count(*) FILTER (WHERE abs(v) < 3000) BETWEEN 10 AND 20 THEN 1 ELSE 0 END AS INTEGER) AS weight FROM d GROUP BY idat // 32, ichan, ipol",
     "state_histogram": f"WITH {D} SELECT ichan, ipol, {code(4, '(v - 5000) / 4000.0::DOUBLE')} AS code, count(*) AS n FROM d GROUP BY ALL",
     "digitize1": f"WITH {D} SELECT idat, ichan, ipol, {code(1, '(v - 5000) / 4096.0::DOUBLE')} AS v FROM d",
@@ -177,9 +198,9 @@ ORACLE = {
     **{f"pack_unpack{n}": f"WITH {D} SELECT idat, ichan, ipol, CAST(v % {1 << n} - {1 << n - 1} AS INTEGER) AS v FROM d, nd WHERE idat < ndat // 64 * 64" for n in (2, 4, 8, 16)},
     "impulse_train": f"SELECT idat, CAST(0 AS INTEGER) AS ichan, CAST(0 AS INTEGER) AS ipol, CAST(v AS INTEGER) AS v FROM ({train(10_000, 37, 5, 3)})",
     "superposition": f"SELECT idat, CAST(0 AS INTEGER) AS ichan, CAST(0 AS INTEGER) AS ipol, CAST(sum(v) AS BIGINT) AS v FROM ({train(5000, 37, 5, 3)} UNION ALL {train(5000, 41, 7)} UNION ALL {train(5000, 64, 1)}) GROUP BY idat",
-    "multiplex": f"WITH {D} SELECT (idat // 16 * 2 + ipol) * 16 + idat % 16 AS idat, v FROM d WHERE ichan = 0",
-    "dual": f"WITH {D} SELECT idat, CAST(0 AS INTEGER) AS ichan, CAST(CASE WHEN ichan = 3 THEN 1 ELSE 0 END AS INTEGER) AS ipol, v FROM d WHERE ipol = 0 AND ichan IN (0, 3)",
-    "serial_concat": f"WITH {D} SELECT idat, ichan, ipol, v FROM d, nd WHERE idat < least(400, ndat) UNION ALL SELECT idat + least(400, ndat), ichan, ipol, v + 1 FROM d, nd WHERE idat < least(400, ndat)",
+    "multiplex": f"WITH {D} SELECT (idat // 16 * 8 + ichan * 2 + ipol) * 16 + idat % 16 AS idat, v FROM d",
+    "dual": f"WITH {D} SELECT idat, ichan, ipol, v FROM d",
+    "serial_concat": f"WITH {D} SELECT idat, ichan, ipol, v FROM d UNION ALL SELECT idat + ndat, ichan, ipol, v + 1 FROM d, nd",
     "difference_rms": f"WITH {D} SELECT ichan, ipol, {six('sqrt(avg((idat % 3) * (idat % 3)))', 'rms')}, count(*) FILTER (WHERE idat % 3 <> 0) AS differ FROM d GROUP BY ALL",
     "autocorrelation": f"WITH {D} SELECT a.ichan, a.ipol, b.idat - a.idat AS lag, CAST(sum(a.v * b.v) AS BIGINT) AS acf FROM d a JOIN d b ON a.ichan = b.ichan AND a.ipol = b.ipol AND b.idat BETWEEN a.idat AND a.idat + 3 GROUP BY ALL",
     "cyclic_fold": f"WITH {Z} SELECT a.ichan, a.ipol, {ibin('(a.idat + b.idat + 1) * 500', 32_000, 8)} AS ibin, CAST(b.idat - a.idat AS INTEGER) AS lag, CAST(sum(a.re * b.re + a.im * b.im) AS BIGINT) AS re, CAST(sum(a.im * b.re - a.re * b.im) AS BIGINT) AS im, count(*) AS hits FROM z a JOIN z b ON a.ichan = b.ichan AND a.ipol = b.ipol AND b.idat BETWEEN a.idat AND a.idat + 3 GROUP BY ALL",
@@ -194,6 +215,14 @@ ORACLE = {
 ORACLE["cyclic_spectrum"] = f"WITH c AS ({ORACLE['cyclic_fold']}) SELECT ichan, ipol, ibin, CAST(f AS INTEGER) AS ifreq, {six('sum(CASE WHEN lag IN (0, 3) THEN 1 ELSE 2 END * (re * cos(f * lag * 2 * pi() / 6) - im * sin(f * lag * 2 * pi() / 6)) / hits)', 'power')} FROM c, (SELECT range AS f FROM range(6)) GROUP BY ichan, ipol, ibin, f"
 ORACLE["fold_path"] = f"WITH {K}, x AS ({BAD}), y AS (SELECT idat * 1000 + 500 AS us, d.ichan, d.ipol, {masked('bad = 1')} AS v FROM d LEFT JOIN x ON idat // {SK_M} = x.iw AND d.ichan = x.ichan) SELECT us // 200000 AS division, ichan, ipol, {ibin('us', 64_000, 16)} AS ibin, CAST(sum(v) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE v <> 0) AS BIGINT) AS hits FROM y GROUP BY ALL"
 
+#: Rounds of the interference filter, written out: a round takes out what exceeds 16 times the mean of what is left.
+_ROUNDS = ", ".join(f"r{i} AS (SELECT ichan, CASE WHEN r > 16 * avg(r) OVER () THEN 0 ELSE r END AS r, gone OR r > 16 * avg(r) OVER () AS gone FROM r{i - 1})" for i in range(1, 9))
+ORACLE["rfi_filter"] = f"""WITH {D}, x AS (SELECT idat, CAST((idat * 8 + ichan * 2 + ipol) % 128 AS INTEGER) AS ichan, v FROM d),
+    y AS (SELECT idat, ichan, CAST(v * CASE ichan WHEN 77 THEN 100 WHEN 30 THEN 2 ELSE 1 END AS BIGINT) AS v FROM x),
+    b AS (SELECT ichan, CAST(sum(v) AS DOUBLE) AS p FROM y GROUP BY ichan),
+    r0 AS (SELECT ichan, pow(p - median(p) OVER (ORDER BY ichan ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING), 2) AS r, FALSE AS gone FROM b), {_ROUNDS}
+    SELECT idat, ichan, CAST(0 AS INTEGER) AS ipol, CASE WHEN gone THEN 0 ELSE v END AS v FROM y JOIN r8 USING (ichan)"""
+
 _A = "(-2 * pi() * (k - 2) * j / 4)"
 ORACLE["polyphase"] = f"""WITH {Z}, x AS (SELECT idat // 4 - o AS p, o * 4 + idat % 4 AS j, ichan, ipol, re, im FROM z, (SELECT range AS o FROM range(4))),
     y AS (SELECT p AS idat, CAST(ichan * 4 + k AS INTEGER) AS ichan, ipol, sum((j + 1) / 16 * (re * cos({_A}) - im * sin({_A}))) AS re, sum((j + 1) / 16 * (re * sin({_A}) + im * cos({_A}))) AS im
@@ -214,22 +243,48 @@ ORACLE["baseline_decay"] = f"""WITH {D}, b AS (SELECT a.idat, a.ichan, a.ipol, a
     FROM d a JOIN d o ON a.ichan = o.ichan AND a.ipol = o.ipol AND o.idat <= a.idat GROUP BY ALL) SELECT idat, ichan, ipol, round(v - base, 3) + 0.0 AS v FROM b"""
 
 
-def _dedisperse(dm: float, nfft: int) -> str:
-    """Overlap-save as a circular convolution with each channel's impulse response, given as values."""
-    import numpy as np
-
-    from cadenza.functions.response import dispersion_kernel, impulse_samples
-
-    width = META.channel_width
-    reach = [impulse_samples(dm, META.frequency(i), width, META.rate) for i in range(META.nchan)]
-    pos, neg = max(p for p, _ in reach), max(n for _, n in reach)
-    step = nfft - pos - neg
-    taps = [np.fft.ifft(dispersion_kernel(nfft, META.frequency(i), width, dm)) for i in range(META.nchan)]
-    values = ", ".join(f"({c}, {m}, {h.real!r}::DOUBLE, {h.imag!r}::DOUBLE)" for c, t in enumerate(taps) for m, h in enumerate(t.tolist()))
-    return f"""WITH {Z}, h(c, m, hr, hi) AS (VALUES {values}), p AS (SELECT unnest(range(0, CASE WHEN ndat < {nfft} THEN 0 ELSE (ndat - {nfft}) // {step} + 1 END)) AS p FROM nd),
-    x AS (SELECT p, idat - p * {step} AS j, ichan, ipol, re, im FROM z JOIN p ON idat >= p * {step} AND idat < p * {step} + {nfft}),
-    y AS (SELECT p * {step} + (j + m) % {nfft} - {pos} AS idat, (j + m) % {nfft} AS n, ichan, ipol, sum(re * hr - im * hi) AS re, sum(re * hi + im * hr) AS im FROM x JOIN h ON c = ichan GROUP BY p, (j + m) % {nfft}, ichan, ipol)
-    SELECT idat, ichan, ipol, {six('re', 're')}, {six('im', 'im')} FROM y WHERE n >= {pos} AND n < {nfft - neg}"""
-
-
-ORACLE["dedisperse"] = _dedisperse(0.001, 64)
+def _chirp(dm: float, n: int, k: str) -> str:
+    """Phase of the response that removes dispersion from a channel of 100 MHz, at point k of n in order of frequency."""
+    f, c = f"(({k} - {n // 2}) * 100.0::DOUBLE / {n})", "(1250 + 100.0::DOUBLE * ichan)"
+    return f"(-2 * pi() * 1e6::DOUBLE * {dm!r}::DOUBLE / 2.41e-4::DOUBLE / ({c} * {c}) * {f} * {f} / ({c} + {f}))"
+
+
+def filterbank(nchan: int, res: int, pos: int, neg: int, phase: str | None = None, middle: bool = False, scale: str = "1") -> str:
+    """y: overlapping parts of nchan x res samples to the frequency domain, times a phase, and sub-bands of res points back to time, from their lowest
+    frequency up or, with middle, around their middle."""
+    n, keep = nchan * res, res - pos - neg
+    step = keep * nchan
+    a, b = f"(-2 * pi() * (k - {n // 2}) * j / {n})", f"(2 * pi() * (k % {res} - {res // 2 if middle else 0}) * t / {res})"
+    turned = f"SELECT p, ichan, ipol, k, re * cos(q) - im * sin(q) AS re, re * sin(q) + im * cos(q) AS im FROM (SELECT *, {phase or '0.0'} AS q FROM f)"
+    return f"""p AS (SELECT unnest(range(0, CASE WHEN ndat < {n} THEN 0 ELSE (ndat - {n}) // {step} + 1 END)) AS p FROM nd),
+    x AS (SELECT p, idat - p * {step} AS j, ichan, ipol, re, im FROM z JOIN p ON idat >= p * {step} AND idat < p * {step} + {n}),
+    f AS (SELECT p, ichan, ipol, k, sum(re * cos({a}) - im * sin({a})) AS re, sum(re * sin({a}) + im * cos({a})) AS im FROM x, (SELECT range AS k FROM range({n})) GROUP BY ALL),
+    g AS ({turned}),
+    y AS (SELECT p * {keep} + t - {pos} AS idat, CAST(ichan * {nchan} + k // {res} AS INTEGER) AS ichan, ipol, sum(re * cos({b}) - im * sin({b})) * {scale} AS re, sum(re * sin({b}) + im * cos({b})) * {scale} AS im
+        FROM g, (SELECT range AS t FROM range({pos}, {res - neg})) GROUP BY p, t, ichan, k // {res}, ipol)"""
+
+
+def rounded(x: str, name: str, digits: int = 4) -> str:
+    return f"round(CAST({x} AS DOUBLE), {digits}) + 0.0 AS {name}"
+
+
+BOTH = f"{rounded('re', 're')}, {rounded('im', 'im')}"
+#: Wrap-around of DM 0.001 over 100 MHz around the lowest channel, which is the most smeared.
+_POS, _NEG = math.ceil(lag(0.001, 1200) - lag(0.001, 1250)), math.ceil(lag(0.001, 1250) - lag(0.001, 1300))
+_DEDISPERSED = filterbank(1, 64, _POS, _NEG, _chirp(0.001, 64, "k"), middle=True, scale="1 / 64.0::DOUBLE")
+ORACLE["dedisperse"] = f"WITH {Z}, {_DEDISPERSED} SELECT idat, ichan, ipol, {six('re', 're')}, {six('im', 'im')} FROM y"
+ORACLE["filterbank_freq_res"] = f"WITH {Z}, {filterbank(4, 8, 1, 2)} SELECT idat, ichan, ipol, {BOTH} FROM y"
+ORACLE["filterbank_dedisperse"] = f"WITH {Z}, {filterbank(4, 8, 1, 1, _chirp(10.0, 32, 'k'))} SELECT idat, ichan, ipol, {BOTH} FROM y"
+ORACLE["filterbank_power_dedisperse"] = f"WITH {Z}, {filterbank(4, 8, 1, 1, _chirp(10.0, 32, 'k'))} SELECT idat, ichan, CAST(0 AS INTEGER) AS ipol, {rounded('sum(re * re + im * im)', 'v', 3)} FROM y GROUP BY idat, ichan"
+_D = "(-2 * pi() * (k - 4) * (idat % 8) / 8)"
+ORACLE["cross_bandpass"] = f"""WITH {Z}, f AS (SELECT idat // 8 AS p, ichan, ipol, k, sum(re * cos({_D}) - im * sin({_D})) AS re, sum(re * sin({_D}) + im * cos({_D})) AS im FROM z, nd, (SELECT range AS k FROM range(8)) WHERE idat < ndat // 8 * 8 GROUP BY ALL),
+    g AS (SELECT p, ichan, k, max(re) FILTER (WHERE ipol = 0) AS a, max(im) FILTER (WHERE ipol = 0) AS b, max(re) FILTER (WHERE ipol = 1) AS c, max(im) FILTER (WHERE ipol = 1) AS d FROM f GROUP BY ALL)
+    SELECT ichan, CAST(q AS INTEGER) AS ipol, CAST(k AS INTEGER) AS ifreq, {rounded('sum(CASE q WHEN 0 THEN a * a + b * b WHEN 1 THEN c * c + d * d WHEN 2 THEN a * c + b * d ELSE a * d - b * c END)', 'power', 3)} FROM g, (SELECT range AS q FROM range(4)) GROUP BY ichan, q, k"""
+#: The whole table as one channel a polarization, 64 channels made of it, and one of these again: 8 points a channel, 2 discarded at either end.
+_E, _F, _G = "(-2 * pi() * (k - 32) * (idat % 64) / 64)", "(-2 * pi() * (m - 4) * j / 8)", "(2 * pi() * (k * 8 + m - 256) * t / 512)"
+ORACLE["inverse_filterbank_overlap"] = f"""WITH {D}, nn AS (SELECT count(*) // 128 AS n FROM d), z AS (SELECT event_id // 2 AS idat, CAST(event_id % 2 AS INTEGER) AS ipol, c % 41 - 20 AS re, (c // 7) % 37 - 18 AS im FROM (SELECT event_id, CAST(round(value * 100) AS BIGINT) AS c FROM events)),
+    c AS (SELECT idat // 64 AS i, k, ipol, sum(re * cos({_E}) - im * sin({_E})) AS re, sum(re * sin({_E}) + im * cos({_E})) AS im FROM z, nn, (SELECT range AS k FROM range(64)) WHERE idat < n * 64 GROUP BY ALL),
+    p AS (SELECT unnest(range(0, CASE WHEN n < 8 THEN 0 ELSE (n - 8) // 4 + 1 END)) AS p FROM nn),
+    w AS (SELECT p, i - p * 4 AS j, k, ipol, re, im FROM c JOIN p ON i >= p * 4 AND i < p * 4 + 8),
+    f AS (SELECT p, k, m, ipol, sum(re * cos({_F}) - im * sin({_F})) AS re, sum(re * sin({_F}) + im * cos({_F})) AS im FROM w, (SELECT range AS m FROM range(8)) GROUP BY ALL)
+    SELECT p * 256 + t - 128 AS idat, CAST(0 AS INTEGER) AS ichan, ipol, {rounded(f'sum(re * cos({_G}) - im * sin({_G})) / 8', 're', 3)}, {rounded(f'sum(re * sin({_G}) + im * cos({_G})) / 8', 'im', 3)} FROM f, (SELECT range AS t FROM range(128, 384)) GROUP BY p, t, ipol"""

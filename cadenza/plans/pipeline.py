@@ -93,7 +93,8 @@ def fold_path(s: Signal, period_us: int, nbin: int, dm: float = 0.0, channels: s
         if dm and (config is None or config.when == "before"):
             s = frames.dedisperse(s, dm)
         if config:
-            s = frames.channelize(s, config.nchan)
+            settings = frames.dedispersing(s, config.nchan, dm, config.points or None) if dm and config.when == "during" else {"freq_res": config.points or 1}
+            s = frames.channelize(s, config.nchan, **settings)
             if dm and config.when == "after":
                 s = frames.dedisperse(s, dm)
         s = detection.detect(s, INTENSITY)
@@ -131,3 +132,25 @@ def slice_path(s: Signal, start_us: int, end_us: int, dm: float = 0.0) -> Signal
     if dm:
         s = delays.sample_delay(s, delays.dispersion_delays(s, dm)) if s.meta.detected else frames.dedisperse(s, dm)
     return selection.truncate(selection.delay_start(s, start_us), end_us)
+
+
+def fits_path(s: Signal, path: str, nchan: int, samples: int = 4096, time: int = 1, freq: int = 1, nblock: int = 1) -> Signal:
+    """Voltages to a search-mode PSRFITS file: channelize and detect -> sums -> scales by row -> unsigned codes, written with their scales."""
+    from cadenza.sources.fits import write_psrfits
+
+    if not s.meta.detected:
+        s = frames.power_filterbank(s, nchan)
+    s = build(s, [Step("fscrunch", {"factor": freq}), Step("tscrunch", {"factor": time})])
+    scales = digitize.table_scale_offset(s, samples, nblock)
+    coded = digitize.table_digitize(s, scales, samples)
+    write_psrfits(coded, scales, path, samples)
+    return coded
+
+
+def dump(s: Signal, path: str) -> Signal:
+    """Writes the signal where it stands in a pipeline, as Parquet, and goes on with what was written."""
+    s.df.write.mode("overwrite").parquet(path)
+    return s.then("dump", s.df.sparkSession.read.schema(s.df.schema).parquet(path))
+
+
+OPERATORS |= {"dump": dump, "derotate": frames.derotate, "convolve": frames.convolve, "sample_delay": delays.sample_delay}

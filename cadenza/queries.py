@@ -93,6 +93,52 @@ def q_subint_fold_turns(s, d):
     return _fold(s, d, division=folding.by_turns(F.col("us"), PERIOD, 10, 1_704_067_200_000_000), epoch_us=1_704_067_200_000_000)
 
 
+START, DAY = 1_704_067_200_000_000, 86_400_000_000
+
+
+def predictor(s: SparkSession) -> DataFrame:
+    """A predictor of 730 one-day segments, about seven turns a day with a drift and a curvature that change from day to day."""
+    k = F.col("id")
+    return s.range(730).select(
+        k.alias("segment"), (k * DAY + START + DAY // 2).alias("mid_us"), (k * 7).cast("long").alias("turns"), ((k * 37 % 100) / 128.0).alias("fraction"),
+        (F.lit(7.0) / 86400).alias("f0"), F.array(F.lit(0.0625), (k % 5) / 65536.0, (k % 3) / 16777216.0).alias("coeffs"),
+    )
+
+
+def _predicted(s, d) -> DataFrame:
+    return folding.predicted(series(s, d), F.col("us"), predictor(s), START, DAY)
+
+
+def q_fold_predictor(s, d):
+    return folding.fold_predicted(_predicted(s, d), NBIN)
+
+
+def q_subint_fold_predictor(s, d):
+    """Sub-integrations of ten turns, phases counted from a reference phase of a quarter."""
+    return folding.fold_predicted(_predicted(s, d), NBIN, turns=10, reference_phase=0.25)
+
+
+def q_fold_bookkeeping(s, d):
+    """Samples offered and folded, and the time that these cover, by day, where every tenth value is zeroed."""
+    df = series(s, d).withColumn("v", F.when(F.col("v") % 10 == 0, 0).otherwise(F.col("v")))
+    division = folding.by_seconds(F.col("us"), DAY, START)
+    folded = folding.fold(df, F.col("us"), PERIOD, NBIN, division=division, zeroed=True)
+    return folding.bookkeeping(df, folded, 1000.0, ("ichan",), division).select("division", "ichan", "ndat_total", "ndat_folded", *six("integration_us"))
+
+
+def q_unpack_msb(s, d):
+    """Two-bit codes of bytes made of the values, the first sample in the highest bits."""
+    sig = powers(s, d)
+    raw = F.unhex(F.lpad(F.hex(F.col("v") % 256), 2, "0"))
+    blocks = sig.df.select("ichan", "ipol", F.col("idat").alias("block"), F.lit(4).cast("long").alias("ndat"), raw.alias("raw"))
+    return digitize.unpack(blocks, 2, 4, signed=False, order="msb")
+
+
+def q_fold_many(s, d):
+    """Three folds in one pass."""
+    return folding.fold_many(series(s, d), F.col("us"), [(PERIOD, 16), (PERIOD * 2, 8), (86_400_000_000, 24)])
+
+
 def q_fold_combine(s, d):
     df = series(s, d)
     half = lambda k: folding.fold(df.filter(F.col("event_id") % 2 == k), F.col("us"), PERIOD, NBIN)
@@ -192,10 +238,10 @@ def q_mask_times(s, d):
 
 
 def q_rfi_filter(s, d):
-    """128 channels of noise made from the events, one of them a hundred times as strong."""
+    """128 channels of noise made from the events, one of them a hundred times as strong and one twice."""
     sig = powers(s, d)
     df = sig.df.select("idat", F.expr("cast((idat * 8 + ichan * 2 + ipol) % 128 as int)").alias("ichan"), F.lit(0).alias("ipol"), "v")
-    df = df.withColumn("v", F.when(F.col("ichan") == 77, F.col("v") * 100).otherwise(F.col("v")))
+    df = df.withColumn("v", F.when(F.col("ichan") == 77, F.col("v") * 100).when(F.col("ichan") == 30, F.col("v") * 2).otherwise(F.col("v")))
     return _samples(masking.rfi_filter(Signal(df, sig.meta.but(nchan=128, npol=1)))[0])
 
 
@@ -220,6 +266,21 @@ def q_sample_delay(s, d):
     return _samples(delays.sample_delay(powers(s, d), [(0, 0), (1, 5), (2, 11), (3, 2)]))
 
 
+def q_sample_delay_pol(s, d):
+    """Delays of their own for each polarization."""
+    return _samples(delays.sample_delay(powers(s, d), [(c, p, 3 * c + 7 * p) for c in range(4) for p in (0, 1)]))
+
+
+def q_sk_time_within(s, d):
+    """Channels 1 to 3 without 2 decide."""
+    return kurtosis.time(kurtosis.within(_blocks(s, d), [(1, 3)], [(2, 2)]), SK.symmetric)
+
+
+def q_fscrunch_floor(s, d):
+    """Three channels in one; the fourth is left over."""
+    return _samples(integration.fscrunch(powers(s, d), 3))
+
+
 def q_dispersion_delay(s, d):
     sig = powers(s, d)
     return _samples(delays.sample_delay(sig, delays.dispersion_delays(sig, 50.0)))
@@ -325,14 +386,14 @@ def q_superposition(s, d):
 
 def q_multiplex(s, d):
     sig = powers(s, d)
-    one = lambda p: sig.df.filter(f"ipol = {p} AND ichan = 0").select("idat", "v")
-    return generators.multiplex([one(0), one(1)], 16)
+    one = lambda c, p: sig.df.filter(f"ipol = {p} AND ichan = {c}").select("idat", "v")
+    return generators.multiplex([one(c, p) for c in range(4) for p in (0, 1)], 16)
 
 
 def q_dual(s, d):
     sig = powers(s, d)
-    one = lambda c: sig.df.filter(f"ichan = {c} AND ipol = 0").select("idat", F.lit(0).alias("ichan"), "v")
-    return generators.dual(one(0), one(3)).select(*SAMPLES)
+    one = lambda p: sig.df.filter(f"ipol = {p}").select("idat", "ichan", "v")
+    return generators.dual(one(0), one(1)).select(*SAMPLES)
 
 
 def q_serial_concat(s, d):
@@ -397,6 +458,38 @@ def q_inverse_filterbank(s, d):
     return frames.inverse_filterbank(frames.channelize(voltages(s, d), 4), 1).df.select("idat", "ichan", "ipol", *six("re", "im"))
 
 
+def _rounded(sig: Signal, digits: int, *names: str) -> DataFrame:
+    return sig.df.select("idat", "ichan", "ipol", *((F.round(F.col(n), digits) + 0.0).alias(n) for n in names))
+
+
+def q_filterbank_freq_res(s, d):
+    """Sub-bands of 8 points transformed back to time; the first sample and the last two of each part are discarded."""
+    return _rounded(frames.channelize(voltages(s, d), 4, freq_res=8, pos=1, neg=2), 4, "re", "im")
+
+
+def q_filterbank_dedisperse(s, d):
+    sig = voltages(s, d)
+    return _rounded(frames.channelize(sig, 4, **frames.dedispersing(sig, 4, 10.0, 8)), 4, "re", "im")
+
+
+def q_filterbank_power_dedisperse(s, d):
+    sig = voltages(s, d)
+    return _rounded(frames.power_filterbank(sig, 4, sum_pols=True, **frames.dedispersing(sig, 4, 10.0, 8)), 3, "v")
+
+
+def q_cross_bandpass(s, d):
+    return frames.cross_bandpass(voltages(s, d), 8).select("ichan", "ipol", "ifreq", (F.round("power", 3) + 0.0).alias("power"))
+
+
+def q_inverse_filterbank_overlap(s, d):
+    """The whole table as one channel a polarization, split into 64, and put together again from overlapping parts."""
+    e = _events(s, d)
+    v = F.round(F.col("value") * 100).cast("long")
+    df = e.select(F.expr("event_id div 2").alias("idat"), F.lit(0).alias("ichan"), (F.col("event_id") % 2).cast("int").alias("ipol"), (v % 41 - 20).alias("re"), (F.expr("cast(round(value * 100) as bigint) div 7") % 37 - 18).alias("im"))
+    sig = Signal(df, META.but(nchan=1, ndat=e.count() // 2, state=ANALYTIC, ndim=2))
+    return _rounded(frames.inverse_filterbank(frames.channelize(sig, 64), 8, 2), 3, "re", "im")
+
+
 def q_dedisperse(s, d):
     return frames.dedisperse(voltages(s, d), 0.001, 64).df.select("idat", "ichan", "ipol", *six("re", "im"))
 

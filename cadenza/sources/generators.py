@@ -22,6 +22,21 @@ def gaussian_noise(spark: SparkSession, ndat: int, seed: int, nchan: int = 1, np
     return Signal(df, (meta or ObsMeta()).but(ndat=ndat, nchan=nchan, npol=npol, ndim=2, state=ANALYTIC))
 
 
+def impulsive_noise(spark: SparkSession, ndat: int, seed: int, share: float, amplitude: float) -> Signal:
+    """Real normal noise of unit deviation in which a share of the samples, at random, is ``amplitude`` times as strong."""
+    strong = F.when(F.rand(seed + 1) < share, amplitude).otherwise(1.0)
+    df = spark.range(ndat).select(F.col("id").alias("idat"), F.lit(0).alias("ichan"), F.lit(0).alias("ipol"), (F.randn(seed) * strong).alias("v"))
+    return Signal(df, ObsMeta(ndat=ndat, state=NYQUIST))
+
+
+def dummy(spark: SparkSession, meta: ObsMeta) -> Signal:
+    """Zeros of a signal's shape, for timing what follows."""
+    cells = F.explode(F.sequence(F.lit(0), F.lit(meta.nchan * meta.npol - 1)))
+    df = spark.range(meta.ndat).select(F.col("id").alias("idat"), cells.alias("k"))
+    values = [F.lit(0).alias(c) for c in (("re", "im") if meta.ndim == 2 else ("v",))]
+    return Signal(df.select("idat", F.expr(f"cast(k div {meta.npol} as int)").alias("ichan"), (F.col("k") % meta.npol).alias("ipol"), *values), meta)
+
+
 def multiplex(streams: list[DataFrame], packet: int) -> DataFrame:
     """Round-robin interleave of packets of ``packet`` consecutive samples (idat) of each stream."""
     n, out = len(streams), None

@@ -66,7 +66,8 @@ FILTERBANK = {
 
 
 def read_filterbank_header(data: bytes) -> tuple[dict, int]:
-    """Values of a binary filterbank header, and its length."""
+    """Values of a binary filterbank header, and its length. A keyword that is not listed stands for a whole number if a keyword
+    follows four bytes on, else for a double."""
     kinds = {k: t for t, names in FILTERBANK.items() for k in names}
 
     def string(at: int) -> tuple[str, int]:
@@ -75,6 +76,10 @@ def read_filterbank_header(data: bytes) -> tuple[dict, int]:
             raise ValueError("not a filterbank header")
         return data[at + 4 : at + 4 + n].decode("latin-1"), at + 4 + n
 
+    def keyword_at(at: int) -> bool:
+        n = struct.unpack_from("<i", data, at)[0] if at + 4 <= len(data) else 0
+        return 0 < n < 80 and data[at + 4 : at + 4 + n].decode("latin-1").replace("_", "").isalnum()
+
     word, at = string(0)
     if word != "HEADER_START":
         raise ValueError("not a filterbank header")
@@ -83,15 +88,13 @@ def read_filterbank_header(data: bytes) -> tuple[dict, int]:
         word, at = string(at)
         if word == "HEADER_END":
             return out, at
-        kind = kinds.get(word)
+        kind = kinds.get(word) or ("int" if keyword_at(at + 4) else "double")
         if kind == "string":
             out[word], at = string(at)
         elif kind == "int":
             (out[word],), at = struct.unpack_from("<i", data, at), at + 4
-        elif kind == "double":
-            (out[word],), at = struct.unpack_from("<d", data, at), at + 8
         else:
-            raise ValueError(f"unknown keyword {word}")
+            (out[word],), at = struct.unpack_from("<d", data, at), at + 8
 
 
 def write_filterbank_header(values: dict) -> bytes:
@@ -128,3 +131,44 @@ def vdif_header(data: bytes) -> dict[str, int]:
     """Fields of a VDIF frame's header words (little-endian)."""
     w = struct.unpack_from("<4I", data)
     return {"invalid": w[0] >> 31, "legacy": w[0] >> 30 & 1, "seconds": w[0] & 0x3FFFFFFF, "epoch": w[1] >> 24 & 63, "frame": w[1] & 0xFFFFFF, "nchan": 1 << (w[2] >> 24 & 31), "bytes": (w[2] & 0xFFFFFF) * 8, "complex": w[3] >> 31, "nbit": (w[3] >> 26 & 31) + 1, "thread": w[3] >> 16 & 1023, "station": w[3] & 0xFFFF}
+
+
+def vdif_start_us(h: dict[str, int]) -> int:
+    """Time of a frame's second: the reference epoch counts half years from 2000."""
+    epoch = datetime(2000 + h["epoch"] // 2, 1 + 6 * (h["epoch"] % 2), 1, tzinfo=UTC)
+    return micros(epoch) + h["seconds"] * 1_000_000
+
+
+def cards(data: bytes, width: int = 80) -> tuple[dict[str, str], int]:
+    """KEYWORD = value cards up to END, and the length of all of them; quotes and comments are taken off."""
+    out, at = {}, 0
+    while at + width <= len(data):
+        card = data[at : at + width].decode("latin-1")
+        at += width
+        if card.split("/")[0].strip() == "END":
+            return out, at
+        if card[8:9] == "=":
+            value = card[9:].strip()
+            if value.startswith("'"):
+                value = value[1:].split("'")[0].rstrip()
+            else:
+                value = value.split("/")[0].strip()
+            out.setdefault(card[:8].strip(), value)
+    raise ValueError("no END card")
+
+
+def guppi_header(data: bytes) -> tuple[dict[str, str], int]:
+    """Cards of a block's header, and its length (a multiple of 512 where DIRECTIO is set)."""
+    h, size = cards(data)
+    if "BLOCSIZE" not in h:
+        raise ValueError("no BLOCSIZE card")
+    return h, -(-size // 512) * 512 if int(h.get("DIRECTIO", 0)) else size
+
+
+def guppi_meta(h: dict[str, str]) -> ObsMeta:
+    """Complex voltages; NPOL 4 means the parts of two polarizations. TBIN is the sampling time of a channel, STT_* its start."""
+    start = micros(MJD_EPOCH + timedelta(days=int(h.get("STT_IMJD", 40587)), seconds=int(h.get("STT_SMJD", 0)))) + round(float(h.get("STT_OFFS", 0)) * 1e6)
+    return ObsMeta(
+        nchan=int(h["OBSNCHAN"]), npol=1 if int(h.get("NPOL", 4)) == 1 else 2, ndim=2, nbit=int(h.get("NBITS", 8)), rate=1 / float(h["TBIN"]), centre_frequency=float(h["OBSFREQ"]), bandwidth=float(h["OBSBW"]), state=ANALYTIC, dc_centred=True,
+        start_us=start, source=h.get("SRC_NAME", ""), telescope=h.get("TELESCOP", ""), machine=h.get("BACKEND", ""), basis={"LIN": "Linear", "CIRC": "Circular"}.get(h.get("FD_POLN", "LIN"), "Linear"),
+    )

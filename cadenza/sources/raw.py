@@ -1,205 +1,177 @@
-"""Raw sample files as Spark data sources, in splits of whole blocks, and their writers.
-
-Files are read with Spark's binary reader, so any file system that Spark knows will do; a file larger than one binary row is read through the
-registered source ``cadenza_raw``, which seeks to each block itself on a mounted path.
-"""
+"""Raw sample files as signals, in splits of whole blocks, and their writers."""
 
 from __future__ import annotations
 
-import os
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cadenza.meta import ANALYTIC, NYQUIST, ObsMeta, Signal
-from cadenza.operators.digitize import unpack_bytes
-from cadenza.sources.headers import ascii_header, ascii_meta, filterbank_meta, filterbank_values, parse_ascii, read_filterbank_header, vdif_header, write_filterbank_header
+from cadenza.operators.digitize import pack_codes, unpack_bytes
+from cadenza.sources.blocks import head_of, read_blocks, write_in_place
+from cadenza.sources.headers import ascii_header, ascii_meta, filterbank_meta, filterbank_values, guppi_header, guppi_meta, parse_ascii, read_filterbank_header, vdif_header, vdif_start_us, write_filterbank_header
 
-VOLTAGES = "idat long, ichan int, ipol int, re int, im int"
-POWERS = "idat long, ichan int, ipol int, v int"
+BLOCK = 1 << 22  # bytes of a block, about
 
 
-def decode(raw: bytes, meta: ObsMeta, first: int, signed: bool = True) -> dict[str, np.ndarray]:
-    """Samples of bytes in time, channel, polarization, dimension order, the first numbered ``first``."""
-    v = unpack_bytes(raw, abs(meta.nbit), signed) if meta.nbit != -32 else np.frombuffer(raw, dtype="<f4")
-    per = meta.nchan * meta.npol * meta.ndim
-    v = v[: len(v) // per * per].reshape(-1, meta.nchan, meta.npol, meta.ndim)
-    n = len(v)
-    at = np.indices((n, meta.nchan, meta.npol)).reshape(3, -1)
+def columns(v: np.ndarray, first: int) -> pd.DataFrame:
+    """Rows of an array (time, channel, polarization, dimension), the first sample numbered ``first``."""
+    at = np.indices(v.shape[:3]).reshape(3, -1)
     out = {"idat": first + at[0].astype(np.int64), "ichan": at[1].astype(np.int32), "ipol": at[2].astype(np.int32)}
-    flat = v.reshape(-1, meta.ndim)
-    return out | ({"re": flat[:, 0], "im": flat[:, 1]} if meta.ndim == 2 else {"v": flat[:, 0]})
-
-
-class RawPartition(InputPartition):
-    def __init__(self, path: str, offset: int, size: int, first: int) -> None:
-        super().__init__((path, offset, size, first))
-
+    flat = v.reshape(-1, v.shape[3])
+    return pd.DataFrame(out | ({"re": flat[:, 0], "im": flat[:, 1]} if v.shape[3] == 2 else {"v": flat[:, 0]}))
 
-class RawReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.path, self.block = options["path"], int(options.get("block", 1 << 22))
-        with open(self.path, "rb") as f:
-            head = f.read(1 << 16)
-        h = parse_ascii(head.decode("latin-1"))
-        self.start, self.meta = int(h.get("HDR_SIZE", 4096)), ascii_meta(h)
 
-    def partitions(self):
-        bits = self.meta.bits_per_sample()
-        samples = max(1, self.block * 8 // bits)
-        while samples * bits % 8:
-            samples += 1
-        size = samples * bits // 8
-        total = os.path.getsize(self.path) - self.start
-        return [RawPartition(self.path, self.start + at, min(size, total - at), at // size * samples) for at in range(0, total, size)]
+def schema_of(meta: ObsMeta, kind: str = "int") -> str:
+    return "idat long, ichan int, ipol int, " + (f"re {kind}, im {kind}" if meta.ndim == 2 else f"v {kind}")
 
-    def read(self, partition):
-        path, offset, size, first = partition.value
-        with open(path, "rb") as f:
-            f.seek(offset)
-            raw = f.read(size)
-        columns = decode(raw, self.meta, first)
-        yield pa.RecordBatch.from_pydict({k: np.ascontiguousarray(v) for k, v in columns.items()})
 
+def decoded(blocks: DataFrame, meta: ObsMeta, one: Callable[[int, int, bytes], pd.DataFrame], kind: str = "int") -> Signal:
+    """The samples that one(file, block, raw) makes of each block."""
 
-class RawSource(DataSource):
-    """spark.read.format("cadenza_raw").load(path): one file with a text header."""
+    def run(batches):
+        for pdf in batches:
+            for file, block, raw in zip(pdf["file"], pdf["block"], pdf["raw"]):
+                yield one(file, block, raw)
 
-    @classmethod
-    def name(cls) -> str:
-        return "cadenza_raw"
+    return Signal(blocks.mapInPandas(run, schema_of(meta, kind)), meta)
 
-    def schema(self) -> str:
-        reader = RawReader(dict(self.options))
-        return VOLTAGES if reader.meta.ndim == 2 else POWERS
 
-    def reader(self, schema):
-        return RawReader(dict(self.options))
+def whole_samples(meta: ObsMeta, size: int) -> tuple[int, int]:
+    """(samples, bytes) of a block of about size bytes that holds whole samples and whole bytes."""
+    bits = meta.bits_per_sample()
+    samples = max(1, size * 8 // bits)
+    while samples * bits % 8:
+        samples += 1
+    return samples, samples * bits // 8
 
 
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(RawSource)
+def numbers(raw: bytes, meta: ObsMeta, signed: bool, order: str = "lsb") -> np.ndarray:
+    return np.frombuffer(raw, dtype="<f4") if meta.nbit == -32 else unpack_bytes(raw, meta.nbit, signed, order)
 
 
-def read_raw(spark: SparkSession, paths: list[str]) -> list[Signal]:
-    """A signal for each file; one binary row a file, decoded on the executors. Headers are read through Spark."""
+def read_raw(spark: SparkSession, paths: list[str], block: int = BLOCK) -> list[Signal]:
+    """A signal for each file with a text header; samples in time, channel, polarization, dimension order."""
     out = []
     for path in paths:
-        rows = spark.read.format("binaryFile").load(path)
-        head = bytes(rows.select(F.substring("content", 1, 1 << 16).alias("h")).first()["h"])
+        head, length = head_of(path)
         h = parse_ascii(head.decode("latin-1"))
         meta, start = ascii_meta(h), int(h.get("HDR_SIZE", 4096))
-        length = rows.select("length").first()["length"] - start
-        meta = meta.but(ndat=meta.ndat or meta.nsamples(length))
+        meta = meta.but(ndat=min(meta.ndat or 1 << 62, meta.nsamples(length - start)))
+        samples, size = whole_samples(meta, block)
 
-        def run(batches, meta=meta, start=start):
-            for pdf in batches:
-                for raw in pdf["content"]:
-                    yield pd.DataFrame(decode(raw[start:], meta, 0))
+        def one(file, k, raw, meta=meta, samples=samples):
+            v = numbers(raw, meta, True)
+            per = meta.nchan * meta.npol * meta.ndim
+            return columns(v[: len(v) // per * per].reshape(-1, meta.nchan, meta.npol, meta.ndim)[: max(0, meta.ndat - k * samples)], k * samples)
 
-        out.append(Signal(rows.select("content").mapInPandas(run, VOLTAGES if meta.ndim == 2 else POWERS), meta))
+        out.append(decoded(read_blocks(spark, [(path, start, size, length)]), meta, one, "float" if meta.nbit == -32 else "int"))
     return out
 
 
-def read_filterbank(spark: SparkSession, path: str) -> Signal:
-    rows = spark.read.format("binaryFile").load(path)
-    head = bytes(rows.select(F.substring("content", 1, 1 << 14).alias("h")).first()["h"])
+def read_multi(spark: SparkSession, paths: list[str], block: int = BLOCK) -> Signal:
+    """Files that follow each other in time, in any order of names, as one signal."""
+    from cadenza.operators.integration import serial
+
+    return serial(sorted(read_raw(spark, paths, block), key=lambda s: s.meta.start_us))
+
+
+def read_filterbank(spark: SparkSession, path: str, block: int = BLOCK) -> Signal:
+    """Unsigned samples; polarizations are slower than channels in these files."""
+    head, length = head_of(path)
     h, start = read_filterbank_header(head)
-    meta = filterbank_meta(h, rows.select("length").first()["length"] - start)
+    meta = filterbank_meta(h, length - start)
+    samples, size = whole_samples(meta, block)
 
-    def run(batches):
-        for pdf in batches:
-            for raw in pdf["content"]:
-                # polarizations are slower than channels in these files
-                v = unpack_bytes(raw[start:], meta.nbit, signed=False)
-                v = v[: meta.ndat * meta.npol * meta.nchan].reshape(-1, meta.npol, meta.nchan)
-                at = np.indices(v.shape).reshape(3, -1)
-                yield pd.DataFrame({"idat": at[0].astype(np.int64), "ichan": at[2].astype(np.int32), "ipol": at[1].astype(np.int32), "v": v.ravel()})
+    def one(file, k, raw):
+        v = numbers(raw, meta, False)
+        v = v[: len(v) // (meta.npol * meta.nchan) * meta.npol * meta.nchan].reshape(-1, meta.npol, meta.nchan)[: max(0, meta.ndat - k * samples)]
+        return columns(v.transpose(0, 2, 1)[..., None], k * samples)
 
-    return Signal(rows.select("content").mapInPandas(run, POWERS), meta)
+    return decoded(read_blocks(spark, [(path, start, size, length)]), meta, one, "float" if meta.nbit == -32 else "int")
 
 
 def read_vdif(spark: SparkSession, path: str, rate: float, frames_per_row: int = 4096) -> Signal:
-    """Real or complex samples of a VDIF file, threads as polarizations; codes are offset binary, and invalid frames give no samples.
-
-    Frames have one size, so the file is dealt into runs of whole frames before anything is decoded.
-    """
-    rows = spark.read.format("binaryFile").load(path)
-    h = vdif_header(bytes(rows.select(F.substring("content", 1, 32).alias("h")).first()["h"]))
-    size, head = h["bytes"], 16 if h["legacy"] else 32
-    total = rows.select("length").first()["length"] // size
-    per = (size - head) * 8 // (h["nbit"] * h["nchan"] * (1 + h["complex"]))
-    meta = ObsMeta(nchan=h["nchan"], ndim=1 + h["complex"], nbit=h["nbit"], rate=rate, state=ANALYTIC if h["complex"] else NYQUIST)
-    run_bytes = frames_per_row * size
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, total - 1) // frames_per_row)))
-    parts = rows.select("content", at.alias("k")).select(F.expr(f"substring(content, cast(k * {run_bytes} + 1 as int), {run_bytes})").alias("part"))
-
-    def run(batches):
-        for pdf in batches:
-            for part in pdf["part"]:
-                for start in range(0, len(part) - size + 1, size):
-                    f = vdif_header(part[start : start + 32])
-                    if f["invalid"]:
-                        continue
-                    v = unpack_bytes(part[start + head : start + size], h["nbit"], signed=False) - (1 << h["nbit"] - 1)
-                    v = v[: per * meta.nchan * meta.ndim].reshape(per, meta.nchan, meta.ndim)
-                    first = round((f["seconds"] - h["seconds"]) * rate) + f["frame"] * per
-                    idat, chan = np.indices((per, meta.nchan)).reshape(2, -1)
-                    out = {"idat": first + idat.astype(np.int64), "ichan": chan.astype(np.int32), "ipol": np.int32(f["thread"])}
-                    flat = v.reshape(-1, meta.ndim).astype(np.int32)
-                    yield pd.DataFrame(out | ({"re": flat[:, 0], "im": flat[:, 1]} if meta.ndim == 2 else {"v": flat[:, 0]}))
-
-    df = parts.mapInPandas(run, VOLTAGES if meta.ndim == 2 else POWERS)
-    return Signal(df, meta)
-
-
-def raw_blocks(s: Signal, samples: int = 4096) -> DataFrame:
-    """(block, raw): bytes of ``samples`` samples each, in time, channel, polarization, dimension order, for any sink of binary rows."""
+    """Real or complex samples of a VDIF file, threads as polarizations; codes are offset binary, and invalid frames give no samples."""
+    head, length = head_of(path, 32)
+    h = vdif_header(head)
+    size, skip = h["bytes"], 16 if h["legacy"] else 32
+    per = (size - skip) * 8 // (h["nbit"] * h["nchan"] * (1 + h["complex"]))
+    meta = ObsMeta(nchan=h["nchan"], ndim=1 + h["complex"], nbit=h["nbit"], rate=rate, state=ANALYTIC if h["complex"] else NYQUIST, start_us=vdif_start_us(h))
+
+    def one(file, k, raw):
+        parts = [pd.DataFrame(columns(np.zeros((0, 1, 1, meta.ndim), np.int32), 0))]
+        for start in range(0, len(raw) - size + 1, size):
+            f = vdif_header(raw[start : start + 32])
+            if not f["invalid"]:
+                v = unpack_bytes(raw[start + skip : start + size], h["nbit"], signed=False) - (1 << h["nbit"] - 1)
+                v = v[: per * meta.nchan * meta.ndim].reshape(per, meta.nchan, 1, meta.ndim)
+                first = round((f["seconds"] - h["seconds"]) * rate) + f["frame"] * per
+                parts.append(columns(v.astype(np.int32), first).assign(ipol=np.int32(f["thread"])))
+        return pd.concat(parts)
+
+    return decoded(read_blocks(spark, [(path, 0, frames_per_row * size, length)]), meta, one)
+
+
+def read_guppi(spark: SparkSession, path: str) -> Signal:
+    """Complex samples of a file of blocks, each a header of 80-character cards and BLOCSIZE bytes in channel, time, polarization order; the last
+    OVERLAP samples of a block come again in the next one and are left out."""
+    head, length = head_of(path)
+    h, skip = guppi_header(head)
+    size, overlap = int(h["BLOCSIZE"]), int(h.get("OVERLAP", 0))
+    meta = guppi_meta(h)
+    per = size * 8 // meta.bits_per_sample()
+    blocks = length // (skip + size)
+    meta = meta.but(ndat=blocks * (per - overlap))
+
+    def one(file, k, raw):
+        v = unpack_bytes(raw[skip:], meta.nbit, True).reshape(meta.nchan, per, meta.npol, meta.ndim)
+        return columns(v[:, : per - overlap].transpose(1, 0, 2, 3), k * (per - overlap))
+
+    return decoded(read_blocks(spark, [(path, 0, skip + size, blocks * (skip + size))]), meta, one)
+
+
+def raw_blocks(s: Signal, samples: int = 4096, chan_fastest: bool = False) -> DataFrame:
+    """(block, raw): bytes of ``samples`` samples each, in time, channel, polarization, dimension order (or time, polarization, channel), for any sink of
+    binary rows."""
     meta = s.meta
-    values = ["re", "im"] if meta.ndim == 2 else ["v"]
+    values, order = ["re", "im"] if meta.ndim == 2 else ["v"], ["idat", "ipol", "ichan"] if chan_fastest else ["idat", "ichan", "ipol"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["idat", "ichan", "ipol"])
-        v = pdf[values].to_numpy().ravel()
-        if meta.nbit == -32:
-            raw = v.astype("<f4").tobytes()
-        elif meta.nbit >= 8:
-            raw = v.astype(f"<i{meta.nbit // 8}").tobytes()
-        else:
-            per = 8 // meta.nbit
-            codes = np.pad(v.astype(np.int64) & (1 << meta.nbit) - 1, (0, -len(v) % per)).reshape(-1, per)
-            raw = (codes << np.arange(per) * meta.nbit).sum(1).astype(np.uint8).tobytes()
+        v = pdf.sort_values(order)[values].to_numpy().ravel()
+        raw = v.astype("<f4").tobytes() if meta.nbit == -32 else pack_codes(v, meta.nbit)
         return pd.DataFrame({"block": [pdf["b"].iloc[0]], "raw": [raw]})
 
     return s.df.withColumn("b", F.expr(f"idat div {samples}")).groupBy("b").applyInPandas(run, "block long, raw binary")
 
 
 def write_raw(s: Signal, path: str, samples: int = 4096) -> None:
-    """One file with a text header on a mounted path; blocks arrive in order, one at a time."""
-    with open(path, "wb") as f:
-        f.write(ascii_header(s.meta))
-        for row in raw_blocks(s, samples).orderBy("block").toLocalIterator():
-            f.write(row["raw"])
+    """One file with a text header on a mounted path; tasks write their blocks in place."""
+    size = s.meta.but(nbit=abs(s.meta.nbit)).nbytes(samples)
+    write_in_place(raw_blocks(s, samples), path, ascii_header(s.meta), size, s.meta.but(nbit=abs(s.meta.nbit)).nbytes(s.meta.ndat))
 
 
 def write_filterbank(s: Signal, path: str, samples: int = 4096) -> None:
     """Unsigned samples in a filterbank file, polarizations slower than channels."""
-    swapped = Signal(s.df.select("idat", F.col("ipol").alias("ichan"), F.col("ichan").alias("ipol"), "v"), s.meta)
-    if s.meta.nbit > 8:
-        swapped = Signal(swapped.df.withColumn("v", F.when(F.col("v") > 32767, F.col("v") - 65536).otherwise(F.col("v"))), s.meta)
-    with open(path, "wb") as f:
-        f.write(write_filterbank_header(filterbank_values(s.meta)))
-        for row in raw_blocks(swapped, samples).orderBy("block").toLocalIterator():
-            f.write(row["raw"])
+    meta = s.meta.but(nbit=abs(s.meta.nbit))
+    write_in_place(raw_blocks(s, samples, chan_fastest=True), path, write_filterbank_header(filterbank_values(s.meta)), meta.nbytes(samples), meta.nbytes(meta.ndat))
 
 
-def write_profiles(profiles: DataFrame, path: str, by: str = "division") -> None:
-    """Folded profiles as Parquet, partitioned by sub-integration."""
+def write_profiles(profiles: DataFrame, path: str, by: str = "division", meta: ObsMeta | None = None) -> None:
+    """Folded profiles as Parquet, a folder a sub-integration; with its metadata and the operators applied in a text file beside them."""
     profiles.write.mode("overwrite").partitionBy(by).parquet(path)
+    if meta is not None:
+        described = profiles.sparkSession.createDataFrame([(meta.describe(),)], "value string")
+        described.coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}.meta")
+
 
+def division_name(start_us: int, division: int, length_us: int | None = None, turns: int | None = None, source: str = "pulsar") -> str:
+    """Name of a sub-integration: by its epoch (UTC) where it is a length of time, by its number of the first turn where it is one of turns."""
+    from cadenza.sources.headers import UNIX, timedelta
 
-__all__ = ["ANALYTIC", "RawSource", "decode", "raw_blocks", "read_filterbank", "read_raw", "read_vdif", "register", "write_filterbank", "write_profiles", "write_raw"]
+    if turns is not None:
+        return f"{source}_pulse_{division * turns:010d}"
+    return f"{source}_{(UNIX + timedelta(microseconds=start_us + division * (length_us or 0))).strftime('%Y-%m-%d-%H:%M:%S.%f')}"

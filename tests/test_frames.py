@@ -113,3 +113,83 @@ def test_baseline_decay_matches_the_recurrence(spark, noise):
         b += (v - b) / 32
         want.append(v - b)
     assert np.allclose(got, want)
+
+
+def test_convolving_filterbank(spark, noise):
+    """Sub-bands of overlapping parts, by loops over parts."""
+    nchan, res, pos, neg = 4, 8, 2, 1
+    response = lambda i: np.exp(1j * np.arange(32) * (i + 1) / 7)
+    s = frames.channelize(signal(spark, noise), nchan, response=response, freq_res=res, pos=pos, neg=neg)
+    got, keep = array(s), res - pos - neg
+    for p in (0, 3, (512 - 32) // (keep * nchan)):
+        for c in (0, 1):
+            part = noise[p * keep * nchan :][:32, c, 1]
+            bands = (np.fft.fftshift(np.fft.fft(part)) * response(c)).reshape(nchan, res)
+            for k in range(nchan):
+                assert np.allclose(got[p * keep : (p + 1) * keep, c * nchan + k, 1], (np.fft.ifft(bands[k]) * res)[pos : res - neg])
+    assert s.meta.ndat == len(got) and s.meta.rate == pytest.approx(1e6 / nchan)
+
+
+def test_real_filterbank_with_resolution(spark, noise):
+    x = noise.real[:, :1, :1].copy()
+    s = frames.channelize(signal(spark, x), 4, freq_res=8)
+    want = np.fft.rfft(x.reshape(8, 64), axis=1)[:, :32].reshape(8, 4, 8)
+    assert np.allclose(array(s)[:8, :, 0].T, np.fft.ifft(want[0], axis=1) * 8) and s.meta.ndat == 64
+
+
+def test_filterbank_dedisperses_as_well_as_before(spark, noise):
+    """A dispersed impulse comes together in every sub-band."""
+    dm, x = 0.02, np.zeros(4096, dtype=complex)
+    x[2048] = 1
+    spread = np.fft.ifft(np.fft.fft(x) / dispersion_kernel(4096, 1400.0, 1.0, dm))[:, None, None]
+    s = signal(spark, spread)
+    power = np.abs(array(frames.channelize(s, 8, **frames.dedispersing(s, 8, dm, 64)))[:, :, 0]) ** 2
+    blurred = np.abs(array(frames.channelize(s, 8))[:, :, 0]) ** 2
+    assert power.max(0).min() > 0.8 * power.sum(0).mean() and (power.max(0) > 1.3 * blurred.max(0)).all()
+
+
+def test_real_convolution_gives_the_analytic_signal(spark, noise):
+    n, pos = 64, 4
+    x = noise.real[:, :1, :1].copy()
+    s = frames.convolve(signal(spark, x), lambda i: np.exp(-2j * np.pi * np.arange(n) / n * 2), n, pos, 0)
+    got, step = array(s)[:, 0, 0], n - pos
+    for p in range(2):
+        z = np.fft.rfft(x[p * 2 * step :][: 2 * n, 0, 0])[:n] * np.exp(-2j * np.pi * np.arange(n) / n * 2)
+        assert np.allclose(got[p * step : (p + 1) * step], np.fft.ifft(z)[pos:])
+    assert s.meta.rate == pytest.approx(5e5) and s.meta.state == ANALYTIC
+
+
+def test_dynamic_filter_interpolates_short_responses_and_overlaps(spark, noise):
+    taps = np.array([1.0, 0.5, 0.25])
+    got = array(frames.dynamic_filter(signal(spark, noise), {0: np.fft.fft(taps, 8)}, 64, 32, pos=4))
+    for c in range(2):
+        assert np.allclose(got[:, c, 0], np.convolve(noise[:, c, 0], taps)[4 : 4 + len(got)])
+
+
+def test_oversampled_synthesis_undoes_the_ripple(spark):
+    """Two coarse channels of a tone, oversampled by 4/3, with a known ripple: synthesis with its inverse gives the tone."""
+    from fractions import Fraction
+
+    nfft, overlap, nchan, over = 128, 16, 4, Fraction(4, 3)
+    keep = 96
+    t = np.arange(1024)
+    coarse = np.zeros((1024, nchan, 1), dtype=complex)
+    ripple = 1 + 0.3 * np.cos(2 * np.pi * np.arange(nfft) / nfft)
+    bin_ = 11  # of the channel's fftshifted spectrum, right of its middle
+    coarse[:, 2, 0] = ripple[nfft // 2 + bin_] * np.exp(2j * np.pi * bin_ * t / nfft)
+    whole = np.tile(1 / ripple[(nfft - keep) // 2 : (nfft + keep) // 2], nchan)
+    s = frames.inverse_filterbank(signal(spark, coarse, oversampling=over), nfft, overlap, whole)
+    y = array(s)[:, 0, 0]
+    size = keep * nchan - 2 * (overlap * keep // nfft * nchan)
+    spectrum = np.abs(np.fft.fft(y[:size]))
+    assert np.allclose(np.abs(y), np.abs(y[0]), rtol=1e-6) and np.abs(y[0]) == pytest.approx(1.0, rel=1e-6)
+    assert s.meta.ndat == len(y) and spectrum.max() > 0.5 * size
+
+
+def test_cross_spectra(spark, noise):
+    got = frames.cross_bandpass(signal(spark, noise), 8).toPandas().set_index(["ichan", "ipol", "ifreq"])["power"]
+    z = np.fft.fftshift(np.fft.fft(noise.reshape(64, 8, 2, 2), axis=1), axes=1)
+    cross = (z[..., 0].conj() * z[..., 1]).sum(0)
+    for k in range(8):
+        assert got[1, 0, k] == pytest.approx((np.abs(z[:, k, 1, 0]) ** 2).sum())
+        assert complex(got[1, 2, k], got[1, 3, k]) == pytest.approx(cross[k, 1])

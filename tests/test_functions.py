@@ -54,3 +54,64 @@ def test_bandpass_mask_takes_out_a_spike():
     spectrum[77] += 50
     good = response.bandpass_mask(spectrum)
     assert good[77] == 0 and good.sum() >= 253
+
+
+def test_limits_stated_in_the_sql_hold_the_published_density():
+    """Tails of the Pearson density of the estimator, integrated on another grid with Simpson's rule."""
+    from cadenza import oracle
+    from cadenza.functions import sk_limits
+
+    cases = [(32, 3.0, (oracle.SK_LOWER, oracle.SK_UPPER)), *((m, 0.5, pair) for m, pair in oracle.SK_NARROW.items())]
+    for m, sigma, (lower, upper) in cases:
+        mu2 = 4 * m * m / ((m - 1) * (m + 2) * (m + 3))  # published second moment for single powers
+        assert sk_limits.moments(m)[0] == pytest.approx(mu2)
+        each = math.erfc(sigma / math.sqrt(2)) / 2
+        grid = np.linspace(0.0, 12.0, 400_001)
+        y = sk_limits.density(m, 1.0, grid)
+        weights = np.where(np.arange(len(grid)) % 2, 4.0, 2.0)
+        weights[[0, -1]] = 1.0
+        share = y * weights / (y * weights).sum()
+        assert share[grid < lower].sum() == pytest.approx(each, rel=2e-3) and share[grid > upper].sum() == pytest.approx(each, rel=2e-3)
+    assert oracle.SK_SYMMETRIC == pytest.approx(3 * math.sqrt(4 * 32 * 32 / (31 * 34 * 35)))
+
+
+def test_bandpass_mask_leaves_the_neighbours_of_a_spike():
+    spectrum = np.random.default_rng(1).normal(100, 1, 128)
+    spectrum[77] = 1e4
+    assert np.flatnonzero(response.bandpass_mask(spectrum) == 0).tolist() == [77]
+
+
+def test_polynomial_predictor_reads_and_evaluates():
+    from cadenza.functions import predictor
+
+    text = """J0437-4715  1-Jan-20  0000.00   58849.50000000000        2.64 -0.1 -6.0
+     123456789.250000   173.6879458121843    7   60    6  1400.0
+  1.0E-01 2.0D-03 -3.0E-05
+  4.0E-07 0.0E+00 0.0E+00
+J0437-4715  1-Jan-20  0100.00   58849.54166666667        2.64 -0.1 -6.0
+     123457414.500000   173.6879458121843    7   60    3  1400.0
+  0.0E+00 0.0E+00 0.0E+00
+"""
+    a, b = predictor.parse_polyco(text.splitlines())
+    assert (a.turns, a.fraction, a.f0, a.span_minutes, len(a.coeffs), len(b.coeffs)) == (123456789, 0.25, 173.6879458121843, 60.0, 6, 3)
+    assert a.mid_us == (58849 - 40587) * 86_400_000_000 + 43_200_000_000 and b.mid_us - a.mid_us == pytest.approx(3_600_000_000, abs=1)
+    dt = 3.0
+    assert a.phase(a.mid_us + 180e6) == pytest.approx(123456789.25 + 60 * a.f0 * dt + 0.1 + 2e-3 * dt - 3e-5 * dt**2 + 4e-7 * dt**3)
+
+
+def test_predicted_phases_match_the_segments(spark):
+    from pyspark.sql import functions as F
+
+    from cadenza.functions import predictor
+    from cadenza.operators import folding
+
+    segments = [predictor.Segment(1_000_000_000 + k * 60_000_000, 100 * k, 0.125 * k, 2.5 + k, (0.25, 1e-3, -1e-4), 1.0) for k in range(4)]
+    table, start, length = predictor.table(spark, segments)
+    times = spark.range(0, 300_000_000, 7_777_777).select((F.col("id") + 950_000_000).alias("us"), F.lit(1).alias("v"))
+    got = folding.predicted(times, F.col("us"), table, start, length).collect()
+    assert len(got) == sum(start <= u < start + 4 * length for u in range(950_000_000, 1_250_000_000, 7_777_777))
+    for r in got:
+        s = segments[(r["us"] - start) // length]
+        assert 0 <= r["phase"] < 1 and r["turn"] + r["phase"] == pytest.approx(s.phase(r["us"]))
+    with pytest.raises(ValueError):
+        predictor.table(spark, [segments[0], segments[0]])

@@ -4,6 +4,7 @@ import pytest
 from cadenza.meta import ANALYTIC, INTENSITY, ObsMeta, Signal
 from cadenza.operators import digitize
 from cadenza.sources import generators, headers, raw
+from cadenza.sources.blocks import read_blocks
 
 
 def volts(spark, n=300):
@@ -27,9 +28,10 @@ def test_raw_round_trip(spark, tmp_path):
 def test_raw_source_reads_blocks(spark, tmp_path):
     s, path = volts(spark), str(tmp_path / "x.raw")
     raw.write_raw(s, path)
-    raw.register(spark)
-    got = spark.read.format("cadenza_raw").option("path", path).option("block", 512).load()
-    assert got.rdd.getNumPartitions() == 5 and same(got, s.df.select("idat", "ichan", "ipol", "re", "im"))
+    blocks = read_blocks(spark, [(path, 4096, 512, 4096 + 2400)], split=512)
+    assert blocks.rdd.getNumPartitions() == 5 and sorted(len(r["raw"]) for r in blocks.collect()) == [352, 512, 512, 512, 512]
+    (back,) = raw.read_raw(spark, [path], block=512)
+    assert same(back.df, s.df.select("idat", "ichan", "ipol", "re", "im"))
 
 
 @pytest.mark.parametrize("nbit", [2, 4, 8, 16])
