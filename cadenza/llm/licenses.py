@@ -24,7 +24,7 @@ from __future__ import annotations
 import random
 import re
 import string
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -102,6 +102,7 @@ class Model:
     weights: np.ndarray  # features x classes, divided by the temperature
     bias: np.ndarray
     least: float  # a family's probability below this means unknown
+    seen: dict[str, int] = field(default_factory=dict)  # how often the training paragraphs have each word
 
     def predict(self, text: str) -> tuple[str, float]:
         at = {g: i for i, g in enumerate(self.features)}
@@ -110,6 +111,26 @@ class Model:
         return CLASSES[int(z.argmax())], float(p.max() / p.sum())
 
 
+def strong_words(model: Model) -> list[str]:
+    """Words of which a paragraph has at least one unless its class is certainly none.
+
+    Each n-gram's weights, as far as they favour a class over none, count for its rarest word. The commonest words are taken for weak as long as all weak
+    words together cannot make up, for any class, what the bias of none is ahead; the others are strong.
+    """
+    ahead = model.bias[-1] - model.bias[:-1]
+    gain: dict[str, np.ndarray] = {}
+    for g, w in zip(model.features, np.maximum(model.weights[:, :-1] - model.weights[:, -1:], 0)):
+        rarest = min(g.split(), key=lambda x: (model.seen.get(x, 0), x))
+        gain[rarest] = gain.get(rarest, 0) + w
+    left, strong = ahead - 1e-6, []
+    for word in sorted(gain, key=lambda x: (-model.seen.get(x, 0), x)):
+        if (gain[word] < left).all():
+            left = left - gain[word]
+        else:
+            strong.append(word)
+    return strong
+
+
 def _altered(text: str, noise: list[str], rng: random.Random) -> str:
     w = [x for x in text.split() if rng.random() > 0.12] if len(text.split()) > 5 else text.split()
     around = [rng.choice(noise) for _ in range(rng.randrange(0, 8))] if noise and rng.random() < 0.5 else []
@@ -179,7 +200,10 @@ def train(paragraphs: list[str], max_features: int = 4096, copies: int = 40, see
     family = best < len(NOTICES)
     wrong = np.sort(top[family & (best != yh)])
     least = float(np.clip(wrong[int(0.9 * (len(wrong) - 1))] + 1e-3 if len(wrong) else 0.5, 0.5, 0.95))
-    model = Model(features, w / temperature, b / temperature, least)
+    seen: dict[str, int] = {}
+    for x in (x for t in plain for x in words(t)):
+        seen[x] = seen.get(x, 0) + 1
+    model = Model(features, w / temperature, b / temperature, least, seen)
     if model.predict("")[0] != "none":  # a paragraph without features must be of class none
         model.bias[-1] = model.bias.max() + 1e-6
     return model
@@ -220,11 +244,14 @@ def scan(docs: DataFrame, model: Model, least_containment: float = 0.6, id_col:
     held = [grams(t) for _, t in TEMPLATES]
     schema = "gram string, " + ", ".join(f"w{i} double" for i in range(k)) + ", " + ", ".join(f"t{i} int" for i in range(n))
     weights = spark.createDataFrame([(g, *map(float, model.weights[i]), *(int(g in h) for h in held)) for i, g in enumerate(model.features)], schema)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.split(F.coalesce(text, F.lit("")), "\n").alias("ls"))
+    # texts, and then paragraphs, without a strong word are of class none: they need no n-grams
+    strong = F.array(*map(F.lit, strong_words(model))).cast("array<string>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(text, F.lit("")).alias("body"))
+    rows = rows.filter(F.arrays_overlap(_words_of(F.col("body")), strong)).select("doc_id", "row", F.split("body", "\n").alias("ls"))
     wordless = F.filter(F.transform("ls", lambda line, i: F.when((i > 0) & ~_worded(line), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("starts", F.concat(F.array(F.lit(0)), wordless))
     rows = rows.select("doc_id", "row", F.explode(_units(F.col("ls"), F.col("starts"))).alias("u")).select("doc_id", "row", "u.*")
-    rows = rows.select("doc_id", "row", "paragraph", "lines", "run", _words_of(F.col("body")).alias("v"))
+    rows = rows.select("doc_id", "row", "paragraph", "lines", "run", _words_of(F.col("body")).alias("v")).filter(F.arrays_overlap("v", strong))
     rows = rows.select("doc_id", "row", "paragraph", "lines", "run", F.explode(_grams_of(F.col("v"))).alias("gram"))
     met = rows.join(F.broadcast(weights), "gram")
     sums = met.groupBy("row", "doc_id", "paragraph", "lines", "run").agg(F.array(*(F.sum(f"w{i}") + float(model.bias[i]) for i in range(k))).alias("z"), F.array(*(F.sum(f"t{i}") / float(len(held[i])) for i in range(n))).alias("c"))
