@@ -110,11 +110,12 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     return alone.unionByName(grouped.select(named, "keep_id", "group_size", (F.col("__xd_wins") & (F.col("__xd_nth") == 1)).alias("kept"), digest))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_bits: int = 1 << 27) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_bits: int = 1 << 27, hot_groups: int = 10_000) -> DataFrame:
     """The rows of docs that stay, with docs' columns.
 
-    The digests of groups of two rows or more make a filter of their own; a row that misses it never shuffles; of the others only winners'
-    rows meet, by digest and id, so that a group that holds a third of all rows spreads over the tasks.
+    The digests of groups of two rows or more make a filter of their own, and a row that misses it never shuffles. The winners of the hot_groups largest
+    groups are broadcast (a row a group), so that their rows, be they a third of all, are judged where they are; the others meet their
+    winners by digest.
     """
     maybe = possible_repeats(_keys(docs, id_col, text), max_bits).filter("__xd_maybe")
     won = stage(_winners(maybe, ID).filter("__xd_group > 1"), "winners")
@@ -124,9 +125,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max
     for k in (0, 1):
         rows = probe(rows, k, bits, bitmap(won, k, bits, 1))
     # a row of a group stays if it is the winner; a row without a group that the filter holds for stays as well
-    meets = rows.filter("__xd_maybe").join(won.withColumnRenamed(KEY, "__xd_won"), F.col(KEY) == F.col("__xd_won"), "left")
     wins = F.col(ID).eqNullSafe(F.col("__xd_keep")) & (F.col(SIZE) == F.col("__xd_keep_size"))
-    stay = meets.filter(F.col("__xd_won").isNull() | wins).dropDuplicates([KEY, ID])
+    won = won.withColumnRenamed(KEY, "__xd_won")
+    hot = stage(won.orderBy(F.desc("__xd_group"), "__xd_won").limit(hot_groups), "hot")
+    near = rows.filter("__xd_maybe").join(F.broadcast(hot), F.col(KEY) == F.col("__xd_won"), "left")
+    first = near.filter(F.col("__xd_won").isNotNull() & wins).select("__xd_doc", KEY, ID)
+    far = near.filter("__xd_won IS NULL").select("__xd_doc", KEY, SIZE, ID).join(won, F.col(KEY) == F.col("__xd_won"), "left")
+    stay = first.unionByName(far.filter(F.col("__xd_won").isNull() | wins).select("__xd_doc", KEY, ID)).dropDuplicates([KEY, ID])
     return rows.filter("NOT __xd_maybe").select("__xd_doc.*").unionByName(stay.select("__xd_doc.*"))
 
 
