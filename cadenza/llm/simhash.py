@@ -23,6 +23,7 @@ takes part but cannot name a component unless all its members' ids are null; ext
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -282,32 +283,54 @@ def _linked(rows: DataFrame, radius: int, keys: list[str]) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def links(distinct: DataFrame, radius: int = 4, chunk: int = 1024) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (fp, n) whose components are those of all pairs within radius."""
-    keyed = _keyed(distinct, plan(distinct, radius))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("n", "fp")).alias("hub")).filter("size > 1")
-    sizes = stage(sizes.select("key", "size", F.col("hub.fp").alias("hub")), "buckets")
-    large = sizes.filter(F.col("size") > chunk)
-    rows = keyed.join(sizes, "key")
-    small = _linked(rows.filter(F.col("size") <= chunk), radius, ["key"])
-    if large.isEmpty():
-        return small.distinct()
-    hot = rows.filter(F.col("size") > chunk)
-    near_hub = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= radius
-    hot = stage(hot.select("key", "fp", "hub", near_hub.alias("near")), "hot")
-    counts = stage(hot.groupBy("key").agg(F.sum((~F.col("near")).cast("long")).alias("far")), "far").filter("far > 0")
-    # far rows meet all others: a tile is (far chunk, any chunk); within radius of the hub nothing needs a comparison
+def _sharper(rows: DataFrame, radius: int, level: int) -> DataFrame:
+    """rows(key, ...) once for each of radius + 1 groups of all 64 bits, the key sharpened by the group's value: two fingerprints within the radius agree in
+    one group at least. Groups differ by level: every so many bits, runs of bits, then runs of three."""
+    n = radius + 1
+    group = (lambda b: b % n, lambda b: min(b * n // 64, radius), lambda b: b // 3 % n)[level % 3]
+    each = [int(np.uint64(sum(1 << b for b in range(64) if group(b) == j)).astype(np.int64)) for j in range(n)]
+    rows = rows.select("*", F.posexplode(F.array(*map(F.lit, each))).alias("j", "m"))
+    return rows.withColumn("key", F.xxhash64("key", F.lit(level), "j", F.col("fp").bitwiseAND(F.col("m")))).drop("j", "m")
+
+
+def links(distinct: DataFrame, radius: int = 4, chunk: int = 1024, levels: int = 3) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (fp, n) whose components are those of all pairs within radius.
+
+    A bucket of up to ``chunk`` fingerprints is compared in one go. In a larger one, those within the radius of its hub (the most frequent fingerprint) are
+    linked to that, and only pairs with one beyond are open: the bucket is dealt anew by sharper keys, in which such pairs still meet, up to
+    ``levels`` times. What is larger even then is compared in tiles.
+    """
+    rows = _keyed(distinct, plan(distinct, radius)).withColumn("far", F.lit(True))
+    edges: list[DataFrame] = []
+    for level in range(levels + 1):
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("n", "fp")).alias("hub"), F.max("far").alias("open")).filter("size > 1 AND open")
+        sizes = stage(sizes.select("key", "size", F.col("hub.fp").alias("hub")), "buckets")
+        met = rows.join(sizes, "key")
+        edges.append(_linked(met.filter(F.col("size") <= chunk), radius, ["key"]))
+        if sizes.filter(F.col("size") > chunk).isEmpty():
+            break
+        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= radius
+        hot = stage(met.filter(F.col("size") > chunk).select("key", "fp", "n", "hub", (~near).alias("far")), "hot")
+        edges.append(hot.filter("NOT far AND fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")))
+        if level == levels:
+            edges.append(_tiled(hot, radius, chunk))
+        else:
+            rows = _sharper(hot.select("key", "fp", "n", "far"), radius, level)
+    return reduce(DataFrame.unionByName, edges).distinct()
+
+
+def _tiled(hot: DataFrame, radius: int, chunk: int) -> DataFrame:
+    """Edges of the open pairs of large buckets: rows beyond the hub's radius meet all others; a tile is (far chunk, any chunk)."""
+    counts = stage(hot.groupBy("key").agg(F.sum(F.col("far").cast("long")).alias("n_far"), F.count(F.lit(1)).alias("all")), "far").filter("n_far > 0")
     tiles = lambda c: F.ceil(F.col(c) / (chunk / 2)).cast("int")
-    hot = hot.join(counts, "key").withColumn("chunks", tiles("far"))
+    hot = hot.join(counts, "key").withColumn("chunks", tiles("n_far"))
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    others = hot.groupBy("key").agg(F.count(F.lit(1)).alias("all"))
-    hot = hot.join(others, "key").withColumns({"c": F.when(~F.col("near"), mine), "side": F.pmod(F.xxhash64("fp"), tiles("all")).cast("int")})
+    hot = hot.withColumns({"c": F.when(F.col("far"), mine), "side": F.pmod(F.xxhash64("fp"), tiles("all")).cast("int")})
     every_far = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(x.alias("x"), F.col("side").alias("y")))
     every_side = F.transform(F.sequence(F.lit(0), tiles("all") - 1), lambda y: F.struct(F.col("c").alias("x"), y.alias("y")))
-    tile = F.when(F.col("near"), every_far).otherwise(F.array_union(every_far, every_side))
+    tile = F.when(~F.col("far"), every_far).otherwise(F.array_union(every_far, every_side))
     tiled = hot.select("key", "fp", F.explode(tile).alias("t")).select("key", F.col("t.x").alias("x"), F.col("t.y").alias("y"), "fp")
-    stars = stage(rows.filter(F.col("size") > chunk).filter(near_hub & (F.col("fp") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("fp").alias("b")), "stars")
-    return small.unionByName(_linked(tiled, radius, ["key", "x", "y"])).unionByName(stars).distinct()
+    return _linked(tiled, radius, ["key", "x", "y"])
 
 
 def members_of(marks: DataFrame, radius: int = 4) -> DataFrame:
@@ -334,10 +357,11 @@ def near_dedup(docs: DataFrame, radius: int = 4) -> DataFrame:
     if again.isEmpty():
         return without_ids(docs, gone)
     # an id that several rows have names no row: these rows' own fingerprints decide
-    rows = docs.join(again, F.col("doc_id").eqNullSafe(F.col("__sh_id")), "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__sh_doc")
+    rows = docs.select(whole, F.col("doc_id").alias("__sh_doc_id"), "text").join(again, F.col("__sh_doc_id").eqNullSafe(F.col("__sh_id")), "left_semi")
     named = members.select(F.col("fp").alias("__sh_at"), F.col("root").alias("__sh_root"), F.col("component_id").alias("__sh_first"))
-    chosen = with_prints(rows).join(named, F.col("__sh_fp") == F.col("__sh_at")).filter(F.col("doc_id").eqNullSafe(F.col("__sh_first"))).dropDuplicates(["__sh_root"])
-    return without_ids(docs, gone.unionByName(again.toDF("doc_id"))).unionByName(chosen.select(*(F.col(f"`{c}`") for c in docs.columns)))
+    chosen = with_prints(rows).join(named, F.col("__sh_fp") == F.col("__sh_at")).filter(F.col("__sh_doc_id").eqNullSafe(F.col("__sh_first"))).dropDuplicates(["__sh_root"])
+    return without_ids(docs, gone.unionByName(again.toDF("doc_id"))).unionByName(chosen.select("__sh_doc.*"))
 
 
 def op2_simhash_near_dedup(spark, sf_dir):
