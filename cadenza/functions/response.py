@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -71,6 +72,39 @@ def derotation(n: int, centre: float, width: float, rm: float) -> np.ndarray:
     return out
 
 
+@dataclass(frozen=True)
+class Response:
+    """A frequency response in order of frequency, and the samples that its impulse response takes before and after."""
+
+    points: np.ndarray
+    pos: int = 0
+    neg: int = 0
+
+    def __mul__(self, other: Response) -> Response:
+        """Both in series: points multiply, and what each wraps around adds up."""
+        if len(self.points) != len(other.points):
+            raise ValueError("responses have as many points")
+        return Response(product([self.points, other.points]), self.pos + other.pos, self.neg + other.neg)
+
+    def fft_order(self) -> np.ndarray:
+        """The points from zero frequency up, then those below, as convolve() takes them."""
+        return np.fft.ifftshift(self.points, axes=0)
+
+    def channel(self, k: int, nchan: int) -> Response:
+        """The part of the band that channel k of nchan has."""
+        n = len(self.points) // nchan
+        if n * nchan != len(self.points):
+            raise ValueError("the channels divide the points")
+        return Response(self.points[k * n : (k + 1) * n], self.pos, self.neg)
+
+    def decimated(self, n: int) -> Response:
+        """Means of neighbouring points: n are left."""
+        each = len(self.points) // n
+        if each * n != len(self.points):
+            raise ValueError("the new length divides the old one")
+        return Response(self.points.reshape(n, each, *self.points.shape[1:]).mean(1), self.pos, self.neg)
+
+
 def product(responses: list[np.ndarray]) -> np.ndarray:
     """Responses in series: scalars multiply, Jones matrices compose, a scalar scales a matrix."""
 

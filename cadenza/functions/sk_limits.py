@@ -37,7 +37,10 @@ def inverse_erf(p: float) -> float:
 
 
 def moments(m: int, nd: float = 1.0) -> tuple[float, float, float]:
-    """Second, third and fourth central moments of the estimator for m samples of nd integrated powers each; its mean is 1."""
+    """Second, third and fourth central moments of the estimator for m samples of nd integrated powers each; its mean is 1.
+
+    Published formulas: Nita and Gary, MNRAS 406, L60 (2010), equation 9.
+    """
     n = m * nd
     over = lambda k: 1 / math.prod(n + i for i in range(2, k + 2))  # noqa: E731  gamma(n + 2) / gamma(n + 2 + k)
     c, r = nd * (nd + 1) * m, m / (m - 1)
@@ -48,7 +51,7 @@ def moments(m: int, nd: float = 1.0) -> tuple[float, float, float]:
 
 
 def kappa(b1: float, b2: float) -> float:
-    """Pearson's criterion from squared skewness and kurtosis."""
+    """Pearson's criterion from squared skewness and kurtosis; the published formula of his system of curves, as used in equation 10 of the same paper."""
     return b1 * (b2 + 3) ** 2 / (4 * (4 * b2 - 3 * b1) * (2 * b2 - 3 * b1 - 6))
 
 
@@ -59,13 +62,13 @@ def density(m: int, nd: float, x: np.ndarray) -> np.ndarray:
     k = kappa(b1, b2)
     if k < 0:
         raise ValueError("Pearson type I is not supported: M is too small")
-    if k <= 1:  # type IV
+    if k <= 1:  # type IV, by the published method of moments
         r = 6 * (b2 - b1 - 1) / (2 * b2 - 3 * b1 - 6)
         root = 16 * (r - 1) - b1 * (r - 2) ** 2
         width, shape = 0.25 * math.sqrt(mu2 * root), -r * (r - 2) * math.sqrt(b1) / math.sqrt(root)
         z = (x - 1 + 0.25 * (r - 2) * math.sqrt(mu2 * b1)) / width
         log = -(r + 2) / 2 * np.log1p(z * z) - shape * np.arctan(z)
-    else:  # type VI: a shifted beta prime
+    else:  # type VI, by the same: a shifted beta prime
         root = math.sqrt(16 * mu2**4 + (4 * mu2 + 1) * mu3**2)
         beta = 3 + 2 * mu2 / mu3**2 * (4 * mu2**2 + root)
         alpha = (32 * mu2**5 - 4 * mu3 * mu2**3 + 8 * mu3**2 * mu2**2 + mu3**2 * mu2 - mu3**3 + (8 * mu2**3 - mu3 * mu2 + mu3**2) * root) / mu3**3

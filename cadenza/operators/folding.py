@@ -97,7 +97,7 @@ def bookkeeping(df: DataFrame, folded: DataFrame, rate: float, keys: tuple[str,
 
 
 def by_seconds(us: Column, length_us: int, start_us: int = 0) -> Column:
-    """Division number of fixed lengths of time."""
+    """Division number of fixed lengths of time. Of sample_us(), the middle of a sample, edges fall on the nearest sample."""
     return turn(us, length_us, start_us)
 
 
@@ -123,23 +123,33 @@ def profile(folded: DataFrame) -> DataFrame:
     return folded.withColumn("mean", F.col("total") / F.col("hits"))
 
 
-def cyclic_fold(s: Signal, period_us: int, nbin: int, nlag: int, epoch_us: int = 0) -> DataFrame:
+def cyclic_fold(s: Signal, period_us: int, nbin: int, nlag: int, epoch_us: int = 0, products: int = 2) -> DataFrame:
     """ichan, ipol, ibin, lag, re, im, hits: x(t) conj(x(t + lag)) folded at the middle of its two samples.
 
-    Blocks of time carry a halo of nlag - 1 samples, so that lags meet inside a block.
+    products is 1 for the sum of two polarizations, 2 for each of its own, 4 for these and, as polarizations 2 and 3, p(t) conj(q(t + lag)) and
+    q(t) conj(p(t + lag)). Blocks of time carry a halo of nlag - 1 samples, so that lags meet inside a block.
     """
+    if products not in (1, 2, 4) or products != 2 and s.meta.npol != 2:
+        raise ValueError("products are 1, 2 or 4, of two polarizations unless 2")
     size = max(16 * nlag, 1024)
     b = F.expr(f"idat div {size}")
     halo = F.when((F.col("idat") % size < nlag - 1) & (F.col("idat") >= size), F.array(b - 1, b)).otherwise(F.array(b))
-    rows = s.df.select("idat", "ichan", "ipol", "re", "im", F.explode(halo).alias("b"))
-    series = rows.groupBy("ichan", "ipol", "b").agg(F.array_sort(F.collect_list(F.struct("idat", "re", "im"))).alias("x"))
+    if products == 4:
+        each = lambda c, p: F.max(F.when(F.col("ipol") == p, F.col(c))).alias(f"{c}{p}")
+        values = ["re0", "im0", "re1", "im1"]
+        rows = s.df.groupBy("idat", "ichan").agg(*(each(c, p) for p in (0, 1) for c in ("re", "im"))).withColumn("ipol", F.lit(0))
+        made = [(0, "0", "0"), (1, "1", "1"), (2, "0", "1"), (3, "1", "0")]
+    else:
+        values, rows, made = ["re", "im"], s.df, [(None, "", "")]
+    rows = rows.select("idat", "ichan", "ipol", *values, F.explode(halo).alias("b"))
+    series = rows.groupBy("ichan", "ipol", "b").agg(F.array_sort(F.collect_list(F.struct("idat", *values))).alias("x"))
     pairs = series.select("ichan", "ipol", F.explode(lag_pairs("x", nlag, size)).alias("p")).select("ichan", "ipol", "p.*")
     lag = (F.col("o.idat") - F.col("e.idat")).cast("int")
     us = F.lit(s.meta.start_us) + F.round((F.col("e.idat") + F.col("o.idat") + 1) * (0.5e6 / s.meta.rate)).cast("long")
-    re = F.col("e.re") * F.col("o.re") + F.col("e.im") * F.col("o.im")
-    im = F.col("e.im") * F.col("o.re") - F.col("e.re") * F.col("o.im")
-    pairs = pairs.select("ichan", "ipol", lag.alias("lag"), phase_bin(us, period_us, nbin, epoch_us).alias("ibin"), re.alias("re"), im.alias("im"))
-    return pairs.groupBy("ichan", "ipol", "ibin", "lag").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.count(F.lit(1)).alias("hits"))
+    e, o = (lambda side: lambda c, k: F.col(f"{side}.{c}{k}"))("e"), (lambda side: lambda c, k: F.col(f"{side}.{c}{k}"))("o")
+    product = lambda p, i, j: F.struct((F.col("ipol") * (0 if products == 1 else 1) if p is None else F.lit(p)).alias("ipol"), (e("re", i) * o("re", j) + e("im", i) * o("im", j)).alias("re"), (e("im", i) * o("re", j) - e("re", i) * o("im", j)).alias("im"))
+    found = pairs.select("ichan", lag.alias("lag"), phase_bin(us, period_us, nbin, epoch_us).alias("ibin"), F.explode(F.array(*(product(*m) for m in made))).alias("c"))
+    return found.groupBy("ichan", "c.ipol", "ibin", "lag").agg(F.sum("c.re").alias("re"), F.sum("c.im").alias("im"), F.count(F.lit(1)).alias("hits"))
 
 
 def cyclic_spectrum(folded: DataFrame, nlag: int) -> DataFrame:

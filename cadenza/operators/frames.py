@@ -33,10 +33,14 @@ def n_parts(ndat: int, nfft: int, step: int) -> int:
 def to_frames(s: Signal, nfft: int, step: int | None = None, keys: tuple[str, ...] = ("ichan", "ipol")) -> DataFrame:
     """(ipart, keys, re and im or v): arrays of a part's samples in order; only parts that end within the signal."""
     step = step or nfft
-    low = F.greatest(F.lit(0).cast("long"), F.expr(f"(idat - {nfft} + {step}) div {step}"))
-    high = F.least(F.lit(n_parts(s.meta.ndat, nfft, step) - 1).cast("long"), F.expr(f"idat div {step}"))
-    values = [c for c in VALUES if c in s.df.columns]
-    rows = s.df.filter(low <= high).withColumn("ipart", F.explode(F.sequence(low, high)))
+    values, parts = [c for c in VALUES if c in s.df.columns], n_parts(s.meta.ndat, nfft, step)
+    last = F.expr(f"idat div {step}")
+    if step >= nfft:  # a sample is in one part at most
+        rows = s.df.withColumn("ipart", last).filter((F.col("ipart") < parts) & (F.col("idat") % step < nfft))
+    else:
+        low = F.greatest(F.lit(0).cast("long"), F.expr(f"(idat - {nfft} + {step}) div {step}"))
+        high = F.least(F.lit(parts - 1).cast("long"), last)
+        rows = s.df.filter(low <= high).withColumn("ipart", F.explode(F.sequence(low, high)))
     rest = [c for c in ("ichan", "ipol") if c not in keys]
     full = nfft * math.prod({"ichan": s.meta.nchan, "ipol": s.meta.npol}[c] for c in rest)
     return gathered(rows, ["ipart", *keys], ["idat", *rest], values, full)

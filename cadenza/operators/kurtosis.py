@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -82,24 +84,52 @@ def excise(s: Signal, mask: DataFrame, m: int, keys: tuple[str, ...] = ("iw", "i
     return s.then("excise", rows.select("idat", "ichan", "ipol", v.alias("v")))
 
 
-def adaptive(s: Signal, resolutions: list[int], sigma: float = 5.0, nd: int = 1, omit_outliers: bool = True) -> DataFrame:
-    """iw (of the finest resolution), ichan, bad: united masks of the resolutions, from the finest up; with omit_outliers cells that a finer one
-    found are left out of the coarser sums."""
-    resolutions = sorted(resolutions)
-    finest = resolutions[0]
+@dataclass(frozen=True)
+class Resolution:
+    """M samples a block, of which ``overlap`` start within each M; ranges of channels as in within()."""
+
+    m: int
+    overlap: int = 1
+    include: tuple[tuple[int, int], ...] = ()
+    exclude: tuple[tuple[int, int], ...] = ()
+
+
+def parse_config(text: str) -> list[Resolution]:
+    """Resolutions of a configuration in JSON, or YAML where a parser is installed: one or a list of M, overlap, include and exclude; a range is a pair or a
+    list of pairs, ends included."""
+    try:
+        found = json.loads(text)
+    except json.JSONDecodeError:
+        import yaml
+
+        found = yaml.safe_load(text)
+    pairs = lambda x: tuple(tuple(map(int, r)) for r in (x if x and isinstance(x[0], (list, tuple)) else [x] if x else []))
+    out = []
+    for one in found if isinstance(found, list) else [found]:
+        if "M" not in one:
+            raise ValueError("a resolution has no M")
+        out.append(Resolution(int(one["M"]), int(one.get("overlap", 1)), pairs(one.get("include")), pairs(one.get("exclude"))))
+    return out
+
+
+def adaptive(s: Signal, resolutions: list[int | Resolution], sigma: float = 5.0, nd: int = 1, omit_outliers: bool = True) -> DataFrame:
+    """iw (of the finest step), ichan, bad: united masks of the resolutions, from the finest up; with omit_outliers cells that a finer one
+    found are left out of the coarser sums. A step is the finest distance between the starts of blocks."""
+    chosen = sorted((Resolution(r) if isinstance(r, int) else r for r in resolutions), key=lambda r: r.m)
+    finest = min(r.m // r.overlap for r in chosen)
+    if any(r.m % r.overlap or r.m // r.overlap % finest or r.m % finest for r in chosen):
+        raise ValueError("blocks and their distances are multiples of the finest distance")
     blocks, found = sums(s, finest), None
-    for m in resolutions:
-        if m % finest:
-            raise ValueError("resolutions are multiples of the finest")
-        factor = m // finest
-        now = blocks
+    for r in chosen:
+        factor, now = r.m // finest, within(blocks, list(r.include), list(r.exclude))
         if found is not None and omit_outliers:
             now = now.join(found, ["iw", "ichan"], "left_anti")
-        now = coarser(now, factor) if factor > 1 else now
-        cut = limits(m, sigma, nd)
+        now = coarser(now, factor, r.overlap) if factor > 1 else now
+        cut = limits(r.m, sigma, nd)
         bad = time_freq(now, cut.lower, cut.upper, nd).filter("bad = 1").select("iw", "ichan")
         if factor > 1:
-            bad = bad.select(F.explode(F.sequence(F.col("iw") * factor, F.col("iw") * factor + factor - 1)).alias("iw"), "ichan")
+            first = F.col("iw") * (factor // r.overlap)
+            bad = bad.select(F.explode(F.sequence(first, first + factor - 1)).alias("iw"), "ichan").distinct()
         found = bad if found is None else found.unionByName(bad).distinct()
     return found.withColumn("bad", F.lit(1))
 

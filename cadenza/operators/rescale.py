@@ -48,6 +48,11 @@ def rescale(s: Signal, method=mean_std, nsample: int | None = None) -> Signal:
     return s.then("rescale", rows.select("idat", *KEYS, ((F.col("v") + F.col("offset")) * F.col("scale")).alias("v")), scale=1.0)
 
 
+def write_scales(scales: DataFrame, path: str) -> None:
+    """Offsets and scales of mean_std() or median_mad() as Parquet, a folder an interval."""
+    scales.write.mode("overwrite").partitionBy("iv").parquet(path)
+
+
 def constant_rescale(s: Signal, method=mean_std, nsample: int = 1) -> Signal:
     """The first interval's offset and scale hold for all samples."""
     first = method(Signal(s.df.filter(F.col("idat") < nsample), s.meta)).drop("iv")

@@ -212,6 +212,18 @@ ORACLE = {
     "convolve_shift": f"WITH {Z}, nk AS (SELECT (ndat - 64) // 61 + 1 AS parts FROM nd) SELECT idat, ichan, ipol, CAST(re AS DOUBLE) AS re, CAST(im AS DOUBLE) AS im FROM z, nk WHERE idat < parts * 61",
     "quantize_path": f"WITH {D}, x AS (SELECT idat, ichan - 1 AS ichan, ipol, v FROM d WHERE ichan BETWEEN 1 AND 2 AND ipol = 0), m AS (SELECT ichan, ipol, avg(v) AS m, var_pop(v) AS q FROM x GROUP BY ALL) SELECT idat, x.ichan, x.ipol, {code(8, '(v - m) * (1 / sqrt(q))')} AS v FROM x JOIN m USING (ichan, ipol)",
 }
+_PAIRS = "z a JOIN z b ON a.ichan = b.ichan AND b.idat BETWEEN a.idat AND a.idat + 3"
+_PRODUCT = "CAST(b.idat - a.idat AS INTEGER) AS lag, CAST(sum(a.re * b.re + a.im * b.im) AS BIGINT) AS re, CAST(sum(a.im * b.re - a.re * b.im) AS BIGINT) AS im, count(*) AS hits"
+_MIDDLE = ibin("(a.idat + b.idat + 1) * 500", 32_000, 8)
+ORACLE["cyclic_fold_cross"] = f"WITH {Z} SELECT a.ichan, CAST(CASE WHEN a.ipol = b.ipol THEN a.ipol ELSE 2 + a.ipol END AS INTEGER) AS ipol, {_MIDDLE} AS ibin, {_PRODUCT} FROM {_PAIRS} GROUP BY a.ichan, a.ipol, b.ipol, {_MIDDLE}, b.idat - a.idat"
+ORACLE["cyclic_fold_sum"] = f"WITH {Z} SELECT a.ichan, CAST(0 AS INTEGER) AS ipol, {_MIDDLE} AS ibin, {_PRODUCT} FROM {_PAIRS} AND a.ipol = b.ipol GROUP BY a.ichan, {_MIDDLE}, b.idat - a.idat"
+_L64, _L128 = SK_NARROW[64], SK_NARROW[128]
+ORACLE["sk_configured"] = f"""WITH {D}, f AS (SELECT idat // 64 AS iw, ichan, ipol, CAST(sum(v) AS BIGINT) AS s1, CAST(sum(v * v) AS BIGINT) AS s2, count(*) AS n FROM d, nd WHERE v <> 0 AND idat < ndat // 64 * 64 GROUP BY ALL),
+    g1 AS (SELECT DISTINCT iw, ichan FROM (SELECT *, {EST} AS sk FROM f WHERE ichan < 2) WHERE coalesce(sk < {_L64[0]!r} OR sk > {_L64[1]!r}, TRUE)),
+    r AS (SELECT * FROM f WHERE ichan <> 2 AND (iw, ichan) NOT IN (SELECT iw, ichan FROM g1)),
+    c AS (SELECT iw - o AS iw, ichan, ipol, CAST(sum(s1) AS BIGINT) AS s1, CAST(sum(s2) AS BIGINT) AS s2, CAST(sum(n) AS BIGINT) AS n FROM r, (SELECT range AS o FROM range(2)) WHERE iw - o >= 0 GROUP BY iw - o, ichan, ipol),
+    g2 AS (SELECT DISTINCT iw + o AS iw, ichan FROM (SELECT *, {EST} AS sk FROM c), (SELECT range AS o FROM range(2)) WHERE coalesce(sk < {_L128[0]!r} OR sk > {_L128[1]!r}, TRUE))
+    SELECT iw, ichan, CAST(1 AS INTEGER) AS bad FROM (SELECT * FROM g1 UNION SELECT * FROM g2)"""
 ORACLE["cyclic_spectrum"] = f"WITH c AS ({ORACLE['cyclic_fold']}) SELECT ichan, ipol, ibin, CAST(f AS INTEGER) AS ifreq, {six('sum(CASE WHEN lag IN (0, 3) THEN 1 ELSE 2 END * (re * cos(f * lag * 2 * pi() / 6) - im * sin(f * lag * 2 * pi() / 6)) / hits)', 'power')} FROM c, (SELECT range AS f FROM range(6)) GROUP BY ichan, ipol, ibin, f"
 ORACLE["fold_path"] = f"WITH {K}, x AS ({BAD}), y AS (SELECT idat * 1000 + 500 AS us, d.ichan, d.ipol, {masked('bad = 1')} AS v FROM d LEFT JOIN x ON idat // {SK_M} = x.iw AND d.ichan = x.ichan) SELECT us // 200000 AS division, ichan, ipol, {ibin('us', 64_000, 16)} AS ibin, CAST(sum(v) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE v <> 0) AS BIGINT) AS hits FROM y GROUP BY ALL"
 

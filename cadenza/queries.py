@@ -326,6 +326,12 @@ def q_sk_adaptive(s, d):
     return kurtosis.adaptive(powers(s, d), [32, 64, 128], 0.5).select("iw", "ichan", "bad")
 
 
+def q_sk_configured(s, d):
+    """Blocks of 128 that start every 64 samples, without channel 2, after blocks of 64 of channels 0 and 1."""
+    text = '[{"M": 64, "include": [0, 1]}, {"M": 128, "overlap": 2, "exclude": [[2, 2]]}]'
+    return kurtosis.adaptive(powers(s, d), kurtosis.parse_config(text), 0.5).select("iw", "ichan", "bad")
+
+
 def q_zap_weight(s, d):
     return kurtosis.zap_weight(_blocks(s, d), SK.lower, SK.upper, 0.2, 2.4, 1)
 
@@ -416,6 +422,14 @@ def q_cyclic_fold(s, d):
     return folding.cyclic_fold(voltages(s, d), 32_000, 8, 4)
 
 
+def q_cyclic_fold_cross(s, d):
+    return folding.cyclic_fold(voltages(s, d), 32_000, 8, 4, products=4)
+
+
+def q_cyclic_fold_sum(s, d):
+    return folding.cyclic_fold(voltages(s, d), 32_000, 8, 4, products=1)
+
+
 def q_cyclic_spectrum(s, d):
     return folding.cyclic_spectrum(q_cyclic_fold(s, d), 4).select("ichan", "ipol", "ibin", "ifreq", *six("power"))
 

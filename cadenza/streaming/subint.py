@@ -31,6 +31,13 @@ def streaming_levels(samples: DataFrame, seconds: int, late: str = "1 minute", t
     return agg.select(F.col("w.start").alias("start"), "ichan", "ipol", "n", "mean", "variance")
 
 
+def streaming_bandpass(samples: DataFrame, seconds: int, late: str = "1 minute", time: str = "ts") -> DataFrame:
+    """Power of each channel and polarization of detected samples, summed over windows of ``seconds``."""
+    rows = samples.withWatermark(time, late)
+    agg = rows.groupBy(F.window(time, f"{seconds} seconds").alias("w"), "ichan", "ipol").agg(F.sum("v").alias("power"), F.count("v").alias("n"))
+    return agg.select(F.col("w.start").alias("start"), "ichan", "ipol", "power", "n")
+
+
 def streaming_scrunch(samples: DataFrame, factor: int, stride: int | None = None) -> DataFrame:
     """Sums (double) of ``factor`` consecutive samples of each channel and polarization, as they arrive; the tail waits in state for the next batch.
 

@@ -193,3 +193,21 @@ def test_cross_spectra(spark, noise):
     for k in range(8):
         assert got[1, 0, k] == pytest.approx((np.abs(z[:, k, 1, 0]) ** 2).sum())
         assert complex(got[1, 2, k], got[1, 3, k]) == pytest.approx(cross[k, 1])
+
+
+def test_derotation_turns_each_hand_its_own_way(spark, noise):
+    out = frames.derotate(signal(spark, noise), 3.0, 64)
+    got = array(out)
+    for c in range(2):
+        jones = derotation(64, 1399.5 + c, 1.0, 3.0)
+        for p in (0, 1):
+            want = np.fft.ifft(np.fft.fft(noise[:64, c, p]) * jones[:, p, p])
+            assert np.allclose(got[:64, c, p], want)
+    assert out.meta.rm == 3.0
+
+
+def test_parts_that_lack_samples_are_left_out(spark, noise):
+    s = signal(spark, noise)
+    holed = Signal(s.df.filter("NOT (idat = 20 AND ichan = 1 AND ipol = 0)"), s.meta)
+    left = frames.channelize(holed, 8).df.groupBy("ichan", "ipol").count().toPandas().set_index(["ichan", "ipol"])["count"]
+    assert left[8, 0] == 63 and left[0, 0] == left[8, 1] == 64

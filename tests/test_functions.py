@@ -115,3 +115,13 @@ def test_predicted_phases_match_the_segments(spark):
         assert 0 <= r["phase"] < 1 and r["turn"] + r["phase"] == pytest.approx(s.phase(r["us"]))
     with pytest.raises(ValueError):
         predictor.table(spark, [segments[0], segments[0]])
+
+
+def test_responses_in_series_add_what_they_wrap_around():
+    a, b = response.Response(np.arange(8) + 1j, 2, 1), response.Response(np.full(8, 2.0), 3, 0)
+    c = a * b
+    assert np.array_equal(c.points, 2 * a.points) and (c.pos, c.neg) == (5, 1)
+    assert np.array_equal(c.fft_order(), np.roll(c.points, -4)) and np.array_equal(c.channel(1, 4).points, c.points[2:4])
+    assert np.array_equal(c.decimated(4).points, (c.points[::2] + c.points[1::2]) / 2)
+    with pytest.raises(ValueError):
+        a * response.Response(np.ones(4))
