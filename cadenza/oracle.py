@@ -286,8 +286,8 @@ _POS, _NEG = math.ceil(lag(0.001, 1200) - lag(0.001, 1250)), math.ceil(lag(0.001
 _DEDISPERSED = filterbank(1, 64, _POS, _NEG, _chirp(0.001, 64, "k"), middle=True, scale="1 / 64.0::DOUBLE")
 ORACLE["dedisperse"] = f"WITH {Z}, {_DEDISPERSED} SELECT idat, ichan, ipol, {six('re', 're')}, {six('im', 'im')} FROM y"
 ORACLE["filterbank_freq_res"] = f"WITH {Z}, {filterbank(4, 8, 1, 2)} SELECT idat, ichan, ipol, {BOTH} FROM y"
-ORACLE["filterbank_dedisperse"] = f"WITH {Z}, {filterbank(4, 8, 1, 1, _chirp(10.0, 32, 'k'))} SELECT idat, ichan, ipol, {BOTH} FROM y"
-ORACLE["filterbank_power_dedisperse"] = f"WITH {Z}, {filterbank(4, 8, 1, 1, _chirp(10.0, 32, 'k'))} SELECT idat, ichan, CAST(0 AS INTEGER) AS ipol, {rounded('sum(re * re + im * im)', 'v', 3)} FROM y GROUP BY idat, ichan"
+ORACLE["filterbank_dedisperse"] = f"WITH {Z}, {filterbank(4, 8, 1, 1, _chirp(0.01, 32, 'k'))} SELECT idat, ichan, ipol, {rounded('re', 're', 3)}, {rounded('im', 'im', 3)} FROM y"
+ORACLE["filterbank_power_dedisperse"] = f"WITH {Z}, {filterbank(4, 8, 1, 1, _chirp(0.01, 32, 'k'))} SELECT idat, ichan, CAST(0 AS INTEGER) AS ipol, {rounded('sum(re * re + im * im)', 'v', 2)} FROM y GROUP BY idat, ichan"
 _D = "(-2 * pi() * (k - 4) * (idat % 8) / 8)"
 ORACLE["cross_bandpass"] = f"""WITH {Z}, f AS (SELECT idat // 8 AS p, ichan, ipol, k, sum(re * cos({_D}) - im * sin({_D})) AS re, sum(re * sin({_D}) + im * cos({_D})) AS im FROM z, nd, (SELECT range AS k FROM range(8)) WHERE idat < ndat // 8 * 8 GROUP BY ALL),
     g AS (SELECT p, ichan, k, max(re) FILTER (WHERE ipol = 0) AS a, max(im) FILTER (WHERE ipol = 0) AS b, max(re) FILTER (WHERE ipol = 1) AS c, max(im) FILTER (WHERE ipol = 1) AS d FROM f GROUP BY ALL)

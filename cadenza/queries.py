@@ -483,12 +483,12 @@ def q_filterbank_freq_res(s, d):
 
 def q_filterbank_dedisperse(s, d):
     sig = voltages(s, d)
-    return _rounded(frames.channelize(sig, 4, **frames.dedispersing(sig, 4, 10.0, 8)), 4, "re", "im")
+    return _rounded(frames.channelize(sig, 4, **frames.dedispersing(sig, 4, 0.01, 8)), 3, "re", "im")
 
 
 def q_filterbank_power_dedisperse(s, d):
     sig = voltages(s, d)
-    return _rounded(frames.power_filterbank(sig, 4, sum_pols=True, **frames.dedispersing(sig, 4, 10.0, 8)), 3, "v")
+    return _rounded(frames.power_filterbank(sig, 4, sum_pols=True, **frames.dedispersing(sig, 4, 0.01, 8)), 2, "v")
 
 
 def q_cross_bandpass(s, d):
