@@ -209,9 +209,13 @@ def train(paragraphs: list[str], max_features: int = 4096, copies: int = 40, see
     return model
 
 
-def _words_of(text: Column) -> Column:
-    """As words(): only A-Z are lower-cased, so that scan and model agree on letters beyond ASCII."""
-    return F.filter(F.split(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), WORD), lambda x: x != "")
+def _lowered(text: Column) -> Column:
+    """As in words(), only A-Z are lower-cased, so that scan and model agree on letters beyond ASCII."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
+def _words_of(lowered: Column) -> Column:
+    return F.filter(F.split(lowered, WORD), lambda x: x != "")
 
 
 def _grams_of(v: Column) -> Column:
@@ -233,7 +237,7 @@ def _units(lines: Column, starts: Column) -> Column:
 
 
 def _worded(line: Column) -> Column:
-    return line.rlike("[A-Za-z0-9]")
+    return line.rlike("[a-z0-9]")
 
 
 def scan(docs: DataFrame, model: Model, least_containment: float = 0.6, id_col: str = "doc_id", text: str = "text", max_features: int = 4096) -> DataFrame:
@@ -244,14 +248,16 @@ def scan(docs: DataFrame, model: Model, least_containment: float = 0.6, id_col:
     held = [grams(t) for _, t in TEMPLATES]
     schema = "gram string, " + ", ".join(f"w{i} double" for i in range(k)) + ", " + ", ".join(f"t{i} int" for i in range(n))
     weights = spark.createDataFrame([(g, *map(float, model.weights[i]), *(int(g in h) for h in held)) for i, g in enumerate(model.features)], schema)
-    # texts, and then paragraphs, without a strong word are of class none: they need no n-grams
+    # lines without a strong word are of class none, and so are runs of such lines: they need no n-grams
     strong = F.array(*map(F.lit, strong_words(model))).cast("array<string>")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(text, F.lit("")).alias("body"))
-    rows = rows.filter(F.arrays_overlap(_words_of(F.col("body")), strong)).select("doc_id", "row", F.split("body", "\n").alias("ls"))
+    lines = F.split(_lowered(F.coalesce(text, F.lit(""))), "\n")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), lines.alias("ls"))
+    rows = rows.withColumn("flags", F.transform("ls", lambda line: F.arrays_overlap(_words_of(line), strong))).filter(F.exists("flags", lambda x: x))
     wordless = F.filter(F.transform("ls", lambda line, i: F.when((i > 0) & ~_worded(line), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("starts", F.concat(F.array(F.lit(0)), wordless))
-    rows = rows.select("doc_id", "row", F.explode(_units(F.col("ls"), F.col("starts"))).alias("u")).select("doc_id", "row", "u.*")
-    rows = rows.select("doc_id", "row", "paragraph", "lines", "run", _words_of(F.col("body")).alias("v")).filter(F.arrays_overlap("v", strong))
+    kept = F.filter(_units(F.col("ls"), F.col("starts")), lambda u: F.exists(F.slice("flags", u["paragraph"] + 1, u["lines"]), lambda x: x))
+    rows = rows.select("doc_id", "row", F.explode(kept).alias("u")).select("doc_id", "row", "u.*")
+    rows = rows.select("doc_id", "row", "paragraph", "lines", "run", _words_of(F.col("body")).alias("v"))
     rows = rows.select("doc_id", "row", "paragraph", "lines", "run", F.explode(_grams_of(F.col("v"))).alias("gram"))
     met = rows.join(F.broadcast(weights), "gram")
     sums = met.groupBy("row", "doc_id", "paragraph", "lines", "run").agg(F.array(*(F.sum(f"w{i}") + float(model.bias[i]) for i in range(k))).alias("z"), F.array(*(F.sum(f"t{i}") / float(len(held[i])) for i in range(n))).alias("c"))
