@@ -87,3 +87,23 @@ def test_texts_without_strong_words_are_of_class_none(spark):
     rng = random.Random(4)
     texts = [" ".join(f"{a} {b}" for a in weak for b in weak), *(" ".join(rng.choices(weak, k=rng.randrange(1, 60))) for _ in range(200))]
     assert {model.predict(t)[0] for t in texts} == {"none"}
+
+
+@pytest.mark.parametrize("name", ["op5_perspective_rotation", "op6_license_paragraphs", "op9_exact_dedup"])
+def test_native_queries_have_no_python_in_their_plans(spark, name, monkeypatch):
+    """Neither the last plan nor any that is staged on the way runs Python workers."""
+    from cadenza.llm import _common, exact_dedup, perspectives
+    from cadenza.llm.queries import QUERIES
+
+    plans = []
+    real = _common.stage
+
+    def watched(df, label, by=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, label, by)
+
+    for module in (exact_dedup, perspectives):
+        monkeypatch.setattr(module, "stage", watched)
+    plans.append(QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
+    for plan in plans:
+        assert not any(node in plan for node in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"))
