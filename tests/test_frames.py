@@ -211,3 +211,17 @@ def test_parts_that_lack_samples_are_left_out(spark, noise):
     holed = Signal(s.df.filter("NOT (idat = 20 AND ichan = 1 AND ipol = 0)"), s.meta)
     left = frames.channelize(holed, 8).df.groupBy("ichan", "ipol").count().toPandas().set_index(["ichan", "ipol"])["count"]
     assert left[8, 0] == 63 and left[0, 0] == left[8, 1] == 64
+
+
+def test_synthesis_of_256_channels_puts_a_tone_at_its_frequency(spark):
+    """Two parts of 128 points, 16 discarded at either end: a tone in one coarse channel stays one tone, across the parts' seam as well."""
+    nfft, nchan, overlap, chan, bin_ = 128, 256, 16, 37, 9
+    t = np.arange(2 * nfft - 2 * overlap)
+    coarse = np.zeros((len(t), nchan, 1), dtype=complex)
+    coarse[:, chan, 0] = np.exp(2j * np.pi * bin_ * t / nfft)
+    s = frames.inverse_filterbank(signal(spark, coarse), nfft, overlap)
+    y, size = array(s)[:, 0, 0], (nfft - 2 * overlap) * nchan
+    assert len(y) == s.meta.ndat == 2 * size and s.meta.nchan == 1
+    frequency = (chan * nfft + nfft // 2 + bin_ - nchan * nfft // 2) / (nchan * nfft)  # cycles a sample
+    want = np.exp(2j * np.pi * frequency * (np.arange(2 * size) + overlap * nchan))
+    assert np.allclose(y / y[0] * want[0], want, atol=1e-9)
