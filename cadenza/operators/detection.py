@@ -8,10 +8,10 @@ from cadenza.meta import ANALYTIC, COHERENCE, INTENSITY, NYQUIST, PP, PPQQ, QQ,
 
 
 def detect(s: Signal, state: str = INTENSITY) -> Signal:
-    """Powers, as column v. Intensity sums polarizations; Coherence is PP, QQ, Re and Im of conj(p) q; Stokes is I, Q, U, V."""
+    """Powers, as column v, of complex samples (re, im) or real ones (v). Intensity sums polarizations; Coherence is PP, QQ, Re and Im of conj(p) q; Stokes is I, Q, U, V."""
     if s.meta.state not in (NYQUIST, ANALYTIC):
         raise ValueError("the signal is detected already")
-    power = F.col("re") * F.col("re") + (F.col("im") * F.col("im") if s.meta.state == ANALYTIC else F.lit(0))
+    power = F.col("re") * F.col("re") + F.col("im") * F.col("im") if s.meta.state == ANALYTIC else F.col("v") * F.col("v")
     if state == INTENSITY:
         df = s.df.select("idat", "ichan", power.alias("v"))
         if s.meta.npol > 1:

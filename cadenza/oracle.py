@@ -15,7 +15,7 @@ CELLS = [(3, 20), (15, 30), (100, 101), (400, 520)]
 SK_LOWER, SK_UPPER, SK_SYMMETRIC = 0.3877018068371802, 2.7314792352070207, 0.9996475388614486
 SK_NARROW = {32: (0.8098524295603275, 1.0999519616015343), 64: (0.864190615042742, 1.0821305297617374), 128: (0.9037910569861352, 1.0654753476809822)}
 #: Mean and unit of the voltage digitizer, by bits.
-VOLTAGE = {1: (0.0, 1.0), 2: (-0.5, 1.03), 4: (-0.5, 3.14), 8: (-0.5, 10.1)}
+VOLTAGE = {1: (0.0, 1.0), 2: (-0.5, 1.03), 4: (-0.5, 3.14), 8: (-0.5, 10.1), 16: (-0.5, 1106.4)}
 #: Centre frequencies (MHz) of the four channels of 100 MHz, 1000 samples a second.
 CENTRES = (1250, 1350, 1450, 1550)
 
@@ -143,6 +143,8 @@ ORACLE = {
     "pscrunch_intensity": f"WITH {D} SELECT idat, ichan, CAST(0 AS INTEGER) AS ipol, CAST(sum(v) AS BIGINT) AS v FROM d GROUP BY ALL",
     "pscrunch_pp": f"WITH {D} SELECT * FROM d WHERE ipol = 0",
     "detect_intensity": f"WITH {Z} SELECT idat, ichan, CAST(0 AS INTEGER) AS ipol, CAST(sum(re*re + im*im) AS BIGINT) AS v FROM z GROUP BY ALL",
+    "detect_nyquist": f"WITH {D} SELECT idat, ichan, CAST(0 AS INTEGER) AS ipol, CAST(sum((v % 41 - 20) * (v % 41 - 20)) AS BIGINT) AS v FROM d GROUP BY ALL",
+    "slice_path": f"WITH x AS ({delayed(DELAYS)}) SELECT idat - 50 AS idat, ichan, ipol, v FROM x WHERE idat >= 50 AND idat < 100",
     "detect_ppqq": f"WITH {Z} SELECT idat, ichan, ipol, re*re + im*im AS v FROM z",
     "detect_pp": f"WITH {Z} SELECT idat, ichan, ipol, re*re + im*im AS v FROM z WHERE ipol = 0",
     "detect_coherence": f"WITH {PAIR} " + four("p", ["a*a + b*b", "c*c + d*d", "a*c + b*d", "a*d - b*c"]),
@@ -191,6 +193,8 @@ ORACLE = {
     "digitize2": f"WITH {D} SELECT idat, ichan, ipol, {code(2, '(v - 5000) / 4096.0::DOUBLE')} AS v FROM d",
     "digitize4": f"WITH {D} SELECT idat, ichan, ipol, {code(4, '(v - 5000) / 4096.0::DOUBLE')} AS v FROM d",
     "digitize8": f"WITH {D} SELECT idat, ichan, ipol, {code(8, '(v - 5000) / 4096.0::DOUBLE')} AS v FROM d",
+    "digitize16": f"WITH {D} SELECT idat, ichan, ipol, {code(16, '(v - 5000) / 4096.0::DOUBLE')} AS v FROM d",
+    "table_digitize": f"WITH {D}, m AS (SELECT idat // 64 AS ib, ichan, ipol, avg(v) AS m, avg(v * v) AS q FROM d GROUP BY ALL), s AS (SELECT *, CASE WHEN q - m * m > 0 THEN sqrt(q - m * m) * 12 / 256 ELSE 1.0 END AS sc FROM m) SELECT idat, d.ichan, d.ipol, CAST(greatest(0, least(255, floor((v - (m - sc * 256 / 2)) / sc + 0.5::DOUBLE))) AS INTEGER) AS v FROM d JOIN s ON idat // 64 = ib AND d.ichan = s.ichan AND d.ipol = s.ipol",
     "filterbank_digitize": f"WITH {D} SELECT idat, CAST(3 - ichan AS INTEGER) AS ichan, ipol, CAST(greatest(0, least(255, trunc((v - 5000) / 4096.0::DOUBLE * 21.25::DOUBLE + 127.5::DOUBLE + 0.5::DOUBLE))) AS INTEGER) AS v FROM d",
     "table_scale_offset": f"WITH {D}, m AS ({MOMENTS}), s AS (SELECT *, CASE WHEN qq - mm * mm > 0 THEN sqrt(qq - mm * mm) * 12 / 256 ELSE 1.0 END AS sc FROM m) SELECT ib, ichan, ipol, {six('sc', 'scale')}, {six('mm - sc * 256 / 2', '\"offset\"')} FROM s",
     "level_lookup": f"WITH {D} SELECT idat, ichan, ipol, CAST((v % 4 - 1.5) * 2 / 4 AS DOUBLE) AS v FROM d",

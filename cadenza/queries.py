@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.response import taper
 from cadenza.functions.sk_limits import limits
-from cadenza.meta import ANALYTIC, COHERENCE, INTENSITY, PP, PPQQ, STOKES, ObsMeta, Signal
+from cadenza.meta import ANALYTIC, COHERENCE, INTENSITY, NYQUIST, PP, PPQQ, STOKES, ObsMeta, Signal
 from cadenza.operators import delays, detection, digitize, folding, frames, integration, kurtosis, masking, rescale, selection
 from cadenza.plans import pipeline
 from cadenza.sources import generators
@@ -177,6 +177,17 @@ def _detect(state):
     return lambda s, d: _samples(detection.detect(voltages(s, d), state))
 
 
+def q_detect_nyquist(s, d):
+    """Real samples, both polarizations summed."""
+    sig = powers(s, d)
+    return _samples(detection.detect(Signal(sig.df.withColumn("v", F.col("v") % 41 - 20), sig.meta.but(state=NYQUIST)), INTENSITY))
+
+
+def q_slice_path(s, d):
+    """Samples 50 to 99 of a dedispersed signal."""
+    return _samples(pipeline.slice_path(powers(s, d), 50_000, 100_000, 50.0))
+
+
 def q_fourth_moment(s, d):
     return integration.fourth_moment(detection.detect(voltages(s, d), STOKES))
 
@@ -357,6 +368,12 @@ def q_filterbank_digitize(s, d):
     return _samples(digitize.filterbank_digitize(Signal(sig.df.withColumn("v", (F.col("v") - 5000) / 4096.0), sig.meta), 8))
 
 
+def q_table_digitize(s, d):
+    """Eight-bit codes by the scale and offset of each block of 64 samples."""
+    sig = powers(s, d)
+    return _samples(digitize.table_digitize(sig, digitize.table_scale_offset(sig, 64, 1), 64))
+
+
 def q_table_scale_offset(s, d):
     return digitize.table_scale_offset(powers(s, d), 64, 4).select("ib", "ichan", "ipol", *six("scale", "offset"))
 
@@ -544,6 +561,7 @@ QUERIES = {k[2:]: f for k, f in globals().items() if k.startswith("q_")} | {
     "digitize2": _digitize(2),
     "digitize4": _digitize(4),
     "digitize8": _digitize(8),
+    "digitize16": _digitize(16),
     "pack_unpack2": _round_trip(2),
     "pack_unpack4": _round_trip(4),
     "pack_unpack8": _round_trip(8),
