@@ -204,6 +204,7 @@ ORACLE = {
     "superposition": f"SELECT idat, CAST(0 AS INTEGER) AS ichan, CAST(0 AS INTEGER) AS ipol, CAST(sum(v) AS BIGINT) AS v FROM ({train(5000, 37, 5, 3)} UNION ALL {train(5000, 41, 7)} UNION ALL {train(5000, 64, 1)}) GROUP BY idat",
     "multiplex": f"WITH {D} SELECT (idat // 16 * 8 + ichan * 2 + ipol) * 16 + idat % 16 AS idat, v FROM d",
     "dual": f"WITH {D} SELECT idat, ichan, ipol, v FROM d",
+    "parallel_input": f"WITH {D} SELECT idat, ichan, ipol, v * 2 AS v FROM d",
     "serial_concat": f"WITH {D} SELECT idat, ichan, ipol, v FROM d UNION ALL SELECT idat + ndat, ichan, ipol, v + 1 FROM d, nd",
     "difference_rms": f"WITH {D} SELECT ichan, ipol, {six('sqrt(avg((idat % 3) * (idat % 3)))', 'rms')}, count(*) FILTER (WHERE idat % 3 <> 0) AS differ FROM d GROUP BY ALL",
     "autocorrelation": f"WITH {D} SELECT a.ichan, a.ipol, b.idat - a.idat AS lag, CAST(sum(a.v * b.v) AS BIGINT) AS acf FROM d a JOIN d b ON a.ichan = b.ichan AND a.ipol = b.ipol AND b.idat BETWEEN a.idat AND a.idat + 3 GROUP BY ALL",

@@ -419,6 +419,13 @@ def q_dual(s, d):
     return generators.dual(one(0), one(1)).select(*SAMPLES)
 
 
+def q_parallel_input(s, d):
+    """Four streams of one channel each, twice as strong, as one signal."""
+    sig = powers(s, d)
+    one = lambda c: Signal(sig.df.filter(f"ichan = {c}").select("idat", F.lit(0).alias("ichan"), "ipol", (F.col("v") * 2).alias("v")), sig.meta.but(nchan=1, bandwidth=100.0, centre_frequency=1250.0 + 100 * c))
+    return _samples(generators.parallel([one(c) for c in range(4)]))
+
+
 def q_serial_concat(s, d):
     sig = powers(s, d)
     after = Signal(sig.df.withColumn("v", F.col("v") + 1), sig.meta.but(start_us=sig.meta.ndat * 1000))

@@ -50,3 +50,18 @@ def multiplex(streams: list[DataFrame], packet: int) -> DataFrame:
 def dual(first: DataFrame, second: DataFrame) -> DataFrame:
     """Two synchronous one-polarization inputs as polarizations 0 and 1."""
     return first.withColumn("ipol", F.lit(0)).unionByName(second.withColumn("ipol", F.lit(1)))
+
+
+def parallel(signals: list[Signal]) -> Signal:
+    """Synchronous streams of neighbouring bands, in order, as the channels of one signal."""
+    first, out, at = signals[0].meta, None, 0
+    for s in signals:
+        m = s.meta
+        if (m.rate, m.ndat, m.start_us, m.npol, m.ndim, m.state) != (first.rate, first.ndat, first.start_us, first.npol, first.ndim, first.state) or abs(m.channel_width - first.channel_width) > 1e-9:
+            raise ValueError("streams differ in time, polarizations, state or channel width")
+        if at and abs(m.frequency(0) - signals[0].meta.frequency(0) - at * m.channel_width) > 1e-6:
+            raise ValueError("bands do not follow each other")
+        df = s.df.withColumn("ichan", (F.col("ichan") + at).cast("int"))
+        out, at = df if out is None else out.unionByName(df), at + m.nchan
+    width = first.channel_width
+    return signals[0].then("parallel", out, nchan=at, bandwidth=width * at, centre_frequency=first.frequency(0) + width * (at - 1) / 2)

@@ -160,6 +160,11 @@ def write_filterbank(s: Signal, path: str, samples: int = 4096) -> None:
     write_in_place(raw_blocks(s, samples, chan_fastest=True), path, write_filterbank_header(filterbank_values(s.meta)), meta.nbytes(samples), meta.nbytes(meta.ndat))
 
 
+def write_text(s: Signal, path: str) -> None:
+    """Samples as lines of text, in files sorted by time."""
+    s.df.repartitionByRange("idat").sortWithinPartitions("idat", "ichan", "ipol").write.mode("overwrite").option("sep", " ").csv(path)
+
+
 def write_profiles(profiles: DataFrame, path: str, by: str = "division", meta: ObsMeta | None = None) -> None:
     """Folded profiles as Parquet, a folder a sub-integration; with its metadata and the operators applied in a text file beside them."""
     profiles.write.mode("overwrite").partitionBy(by).parquet(path)

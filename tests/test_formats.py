@@ -112,3 +112,28 @@ def test_metadata_and_operators_applied_are_written(spark, tmp_path):
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "p.meta")).collect()]
     assert "applied rescale" in lines and "nchan 4" in lines
     assert raw.division_name(0, 2, length_us=30_000_000) == "pulsar_1970-01-01-00:01:00.000000" and raw.division_name(0, 3, turns=10, source="x") == "x_pulse_0000000030"
+
+
+def test_search_file_path_and_dump(spark, tmp_path):
+    """Voltages to a search-mode file by the pipeline: within half a step of the detected filterbank that a dump on the way holds."""
+    from cadenza.plans import pipeline
+
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(2048, 2)) + 1j * rng.normal(size=(2048, 2))
+    rows_ = [(t, 0, p, float(z[t, p].real), float(z[t, p].imag)) for t in range(2048) for p in (0, 1)]
+    df = spark.createDataFrame(rows_, "idat long, ichan int, ipol int, re double, im double")
+    s = Signal(df, ObsMeta(nchan=1, npol=2, ndim=2, ndat=2048, rate=1e6, state=ANALYTIC, centre_frequency=1400.0, bandwidth=1.0, source="J2"))
+    path, kept = str(tmp_path / "z.sf"), str(tmp_path / "kept")
+    detected = pipeline.build(s, [pipeline.Step("power_filterbank", {"nchan": 4}), pipeline.Step("dump", {"path": kept})])
+    assert detected.meta.path[-1] == "dump" and detected.df.count() == spark.read.parquet(kept).count() == 512 * 4 * 2
+    coded = pipeline.fits_path(s, path, 4, samples=64, time=2)
+    back = registry.open_signal(spark, path)
+    assert (back.meta.ndat, back.meta.nchan, back.meta.npol, coded.meta.nbit) == (256, 4, 2, 8) and back.meta.rate == pytest.approx(125_000)
+    power = np.abs(np.fft.fftshift(np.fft.fft(z.reshape(512, 4, 2), axis=1), axes=1)) ** 2
+    want = power.reshape(256, 2, 4, 2).sum(1)
+    got = np.zeros_like(want)
+    for r in back.df.collect():
+        got[r["idat"], r["ichan"], r["ipol"]] = r["v"]
+    step = want.reshape(4, 64, 4, 2).std(1) * 12 / 256
+    inside = np.abs(want.reshape(4, 64, 4, 2) - want.reshape(4, 64, 4, 2).mean(1, keepdims=True)) < 5.9 * want.reshape(4, 64, 4, 2).std(1, keepdims=True)
+    assert (np.abs(got - want).reshape(4, 64, 4, 2) <= 0.51 * step[:, None])[inside].all()

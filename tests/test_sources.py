@@ -97,3 +97,20 @@ def test_fold_bins():
     from cadenza.operators.folding import choose_nbin
 
     assert [choose_nbin(p, 100) for p in (100, 400, 2000, 10**9)] == [1, 2, 16, 1024]
+
+
+def test_parallel_streams_must_follow_each_other(spark):
+    s = volts(spark, 20)
+    low = Signal(s.df, s.meta.but(centre_frequency=1400.0))
+    high = Signal(s.df, s.meta.but(centre_frequency=1400.0 + s.meta.bandwidth))
+    both = generators.parallel([low, high])
+    assert both.meta.nchan == 4 and both.df.count() == 2 * s.df.count()
+    assert [both.meta.frequency(i) for i in range(4)] == pytest.approx([low.meta.frequency(0), low.meta.frequency(1), high.meta.frequency(0), high.meta.frequency(1)])
+    with pytest.raises(ValueError):
+        generators.parallel([low, low])
+
+
+def test_text_lines(spark, tmp_path):
+    raw.write_text(volts(spark, 30), str(tmp_path / "t"))
+    lines = [tuple(map(int, r["value"].split())) for r in spark.read.text(str(tmp_path / "t")).collect()]
+    assert sorted(lines) == sorted(map(tuple, volts(spark, 30).df.select("idat", "ichan", "ipol", "re", "im").collect()))
