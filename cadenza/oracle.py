@@ -260,6 +260,23 @@ ORACLE["baseline_decay"] = f"""WITH {D}, b AS (SELECT a.idat, a.ichan, a.ipol, a
     FROM d a JOIN d o ON a.ichan = o.ichan AND a.ipol = o.ipol AND o.idat <= a.idat GROUP BY ALL) SELECT idat, ichan, ipol, round(v - base, 3) + 0.0 AS v FROM b"""
 
 
+def _two_bit_levels(n: int) -> str:
+    """Rows (n_low, low, high): root mean squares of normal noise below and above the threshold that a share n_low / n is within, in units of it."""
+    from statistics import NormalDist
+
+    normal, rows = NormalDist(), []
+    for k in range(n + 1):
+        p = min(max(k, 0.5), n - 0.5) / n
+        t = normal.inv_cdf((1 + p) / 2)
+        edge = 2 * t * normal.pdf(t)
+        rows.append(f"({k}, {math.sqrt(1 - edge / p) / t!r}::DOUBLE, {math.sqrt(1 + edge / (1 - p)) / t!r}::DOUBLE)")
+    return ", ".join(rows)
+
+
+ORACLE["two_bit_optimal"] = f"""WITH {D}, x AS (SELECT idat, ichan, ipol, v % 4 AS c, sum(CASE WHEN v % 4 IN (1, 2) THEN 1 ELSE 0 END) OVER (PARTITION BY idat // 64, ichan, ipol) AS n FROM d),
+    l(k, low, high) AS (VALUES {_two_bit_levels(64)}) SELECT idat, ichan, ipol, {six('(CASE WHEN c IN (1, 2) THEN low ELSE high END) * (CASE WHEN c >= 2 THEN 1 ELSE -1 END)', 'v')} FROM x JOIN l ON n = k"""
+
+
 def _chirp(dm: float, n: int, k: str) -> str:
     """Phase of the response that removes dispersion from a channel of 100 MHz, at point k of n in order of frequency."""
     f, c = f"(({k} - {n // 2}) * 100.0::DOUBLE / {n})", "(1250 + 100.0::DOUBLE * ichan)"

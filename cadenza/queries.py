@@ -389,6 +389,14 @@ def q_two_bit_correct(s, d):
     return _samples(digitize.two_bit_correct(Signal(sig.df.withColumn("v", F.col("v") % 4), sig.meta), levels, 64))
 
 
+def q_two_bit_optimal(s, d):
+    """Levels that Gaussian noise with a block's share of low codes would have."""
+    sig = powers(s, d)
+    levels = s.createDataFrame(digitize.optimal_two_bit_levels(64), "nlow long, low double, high double")
+    out = digitize.two_bit_correct(Signal(sig.df.withColumn("v", F.col("v") % 4), sig.meta), levels, 64)
+    return out.df.select("idat", "ichan", "ipol", *six("v"))
+
+
 def _round_trip(nbit):
     def run(s, d):
         sig = powers(s, d)
