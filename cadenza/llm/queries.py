@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cadenza.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from cadenza.llm.fill_middle import OP12_SQL, op12_fill_middle
 from cadenza.llm.licenses import op6_license_paragraphs
 from cadenza.llm.mixing import op10_temperature_mixing
 from cadenza.llm.mpeg import op4_mpeg_audio
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_temperature_mixing": op10_temperature_mixing,
+    "op12_fill_middle": op12_fill_middle,
 }
-ORACLE_SQL = {"op5_perspective_rotation": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLE_SQL = {"op5_perspective_rotation": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op12_fill_middle": OP12_SQL}
