@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cadenza.llm.alignment import op11_token_alignment
+from cadenza.llm.embeddings import op13_embedding_near_dedup
 from cadenza.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from cadenza.llm.fill_middle import OP12_SQL, op12_fill_middle
 from cadenza.llm.licenses import op6_license_paragraphs
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_temperature_mixing": op10_temperature_mixing,
     "op11_token_alignment": op11_token_alignment,
     "op12_fill_middle": op12_fill_middle,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
 ORACLE_SQL = {"op5_perspective_rotation": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op12_fill_middle": OP12_SQL}
