@@ -5,8 +5,8 @@ N(g)**2 over all gaps becomes smallest (N(g) falls, N(g - length) rises); a new
 which saves sequences against opening one whenever that keeps the sum lower. Large pieces come first.
 A document longer than a sequence is cut: all pieces but the first are full and need no search.
 
-Tokens never shuffle: a task that reads a text emits one small row a piece. Pieces are dealt to shards by a hash, so
-that a hot source or a group of copies spreads evenly; the pieces of each shard's worst-filled sequences then meet in
+Tokens never shuffle: a task that reads a text emits one small row a piece. Pieces are dealt to shards by a hash of what they are
+and where they lie in the written table, so that a hot source, a group of copies or rows that are alike in everything spread evenly; the pieces of each shard's worst-filled sequences then meet in
 fewer shards, round after round, until one shard takes the rest.
 
 Defined cases: a null or empty text is one piece that holds the closing id alone; repeated rows are packed once each;
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from cadenza.llm import tokens
 from cadenza.llm._common import stage, table
 
+SHARD_SEQUENCES = 1 << 20  # numbers that a shard has for its sequences
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -84,10 +86,13 @@ def _place(rows: DataFrame, shards: int, size: int, round_no: int) -> DataFrame:
         length = part["length"].to_numpy()
         where, offset = sum_of_squares(length, size)
         fill = np.bincount(where, length).astype(np.int64)[where]
-        base = (round_no << 58) + (part["shard"][0].as_py() << 16)
+        if len(where) and where.max() >= SHARD_SEQUENCES or fill.max(initial=0) > size:
+            raise ValueError("a shard has more sequences than numbers, or a sequence more tokens than it holds")
+        base = (round_no << 58) + part["shard"][0].as_py() * SHARD_SEQUENCES
         return part.drop_columns(["shard"]).append_column("sequence_id", pa.array(where + base)).append_column("offset", pa.array(offset)).append_column("fill", pa.array(fill))
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_no)), F.lit(shards)).alias("shard")
+    # rows is a written table, so a row's number is the same whenever a task runs again
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_no), F.monotonically_increasing_id()), F.lit(shards)).alias("shard")
     return rows.select("*", shard).groupBy("shard").applyInArrow(one, f"{PIECES}, sequence_id long, offset long, fill long")
 
 
