@@ -3,10 +3,11 @@
 Features are the presence of character n-grams of 2 to 8 characters (lower case, a space at each end) in 2**20
 hashed buckets. Each is scaled by its log-count ratio between labelled toxic and clean documents; logistic regression on the
 scaled features is trained in one task, on at most ``per_class`` (2000) toxic and twice as many clean labelled documents, chosen by a hash of
-the id: a bound on rows that does not grow with the corpus. Scoring reads whole texts in one narrow pass with a 4 MB table.
+the id: one row an id, whole texts, of which the ``most_chars`` (32 million characters in all; texts of over a million are not learned
+from) bound what the task holds, whatever the corpus. Scoring reads whole texts, a piece of a long one at a time, in one narrow pass with a 4 MB table.
 
 Defined cases: null text counts as empty; an empty text gets the score of no features; null labels are not
-learned from; an id with several labels counts as toxic if one says so; without both classes every document gets the
+learned from; an id with several labels counts as toxic if one says so; of rows with one id the text of least hash is learned from; without both classes every document gets the
 toxic share of the labels (0 without labels); repeated rows are scored once each; extra columns are carried.
 """
 
@@ -17,18 +18,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm._common import table
 
 ORDERS = (2, 3, 4, 5, 6, 7, 8)
 BITS = 20
+PIECE = 1 << 15  # characters of a text whose n-grams are held at once
+ROWS = 256  # rows of a batch that are passed on at once
 
 
-def grams(text: str | None, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
-    """Bucket of each character n-gram of a whole text, repeats included."""
-    raw = np.frombuffer(f" {text or ''} ".lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+def grams(text: str | None, orders: tuple[int, ...] = ORDERS, padded: bool = False) -> np.ndarray:
+    """Bucket of each character n-gram of a text, repeats included; spaces are put around it unless it has them."""
+    raw = np.frombuffer((text if padded else f" {text or ''} ").lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     code, out = np.zeros(len(raw) + 1, dtype=np.uint64), []
     for n in range(1, max(orders) + 1):
         if len(raw) < n:
@@ -46,8 +49,9 @@ class Model:
     bias: float
 
     def score(self, text: str | None) -> float:
-        seen = grams(text)
-        used = np.unique(seen[self.weights[seen] != 0])
+        body = f" {text or ''} "
+        found = [s[self.weights[s] != 0] for s in (grams(body[k : k + PIECE + max(ORDERS) - 1], padded=True) for k in range(0, len(body), PIECE))]
+        used = np.unique(np.concatenate(found))
         return float(1 / (1 + np.exp(-np.clip(float(self.weights[used].sum(dtype=np.float64)) + self.bias, -500, 500))))
 
     def logit(self, seen: np.ndarray) -> float:
@@ -129,12 +133,17 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_chars: int = 32_000_000) -> Model:
     """Fits in one task, which holds the bounded sample; the driver gets the weights only."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("__tx_label")).filter(~held_out())
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.filter("__tx_label = 1").orderBy(*order).limit(per_class).unionByName(known.filter("__tx_label = 0").orderBy(*order).limit(2 * per_class))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "__tx_label")
+    # one row an id, decided by partial aggregates, before anything meets in one task
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= 1_000_000).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "__tx_label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")).select("doc_id", "least.text", "__tx_label")
+    # a window over three times per_class rows at most
+    upto = F.sum(F.length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__tx_upto", upto).filter(F.col("__tx_upto") <= most_chars).drop("__tx_upto")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -151,12 +160,18 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model:
     return Model(weights, float(weight[bucket < 0][0]) if len(bucket) else -500.0)
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             found = np.array([shared.value.score(x.as_py()) for x in batch.column(2)], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found), pa.array((found >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -169,7 +184,7 @@ def reject_toxic(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             yield batch.filter(pa.array([shared.value.score(x.as_py()) < below for x in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
