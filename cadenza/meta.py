@@ -10,6 +10,8 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame
 
+from cadenza.weights import Weights
+
 NYQUIST, ANALYTIC, INTENSITY, PPQQ, COHERENCE, STOKES, PP, QQ = "Nyquist", "Analytic", "Intensity", "PPQQ", "Coherence", "Stokes", "PP", "QQ"
 DETECTED = (INTENSITY, PPQQ, COHERENCE, STOKES, PP, QQ)
 
@@ -115,15 +117,42 @@ class ObsMeta:
         return replace(self, **changes)
 
 
+#: What the layout of weights depends on, and the mark of an operator that leaves weights as they are.
+LAYOUT, SAME = ("nchan", "npol", "ndat", "rate", "start_us"), object()
+
+
 @dataclass(frozen=True)
 class Signal:
-    """Samples (idat, ichan, ipol and v, or re and im) with their metadata."""
+    """Samples (idat, ichan, ipol and v, or re and im) with their metadata, and weights where some are known."""
 
     df: DataFrame
     meta: ObsMeta
-
-    def then(self, name: str, df: DataFrame, **changes) -> Signal:
-        return Signal(df, replace(self.meta, path=(*self.meta.path, name), **changes))
+    weights: Weights | None = None
+
+    def then(self, name: str, df: DataFrame, weights: Weights | None | object = SAME, **changes) -> Signal:
+        """The result of an operator. One that changes the layout and has no rule for weights refuses a weighted signal."""
+        if weights is SAME:
+            weights = self.weights
+            if weights is not None and any(changes.get(k, getattr(self.meta, k)) != getattr(self.meta, k) for k in LAYOUT):
+                raise ValueError(f"{name} has no rule for weights: take them off with without_weights(), or apply them first")
+        return Signal(df, replace(self.meta, path=(*self.meta.path, name), **changes), weights)
+
+    def with_weights(self, weights: DataFrame, per: int, **layout) -> Signal:
+        """weights (iw, ichan, ipol, weight) hold for blocks of ``per`` samples each; layout as in Weights."""
+        return replace(self, weights=Weights(weights, per, **layout))
+
+    def without_weights(self) -> Signal:
+        return replace(self, weights=None)
+
+    def weighed(self) -> DataFrame:
+        """Samples with a column weight."""
+        if self.weights is None:
+            raise ValueError("the signal has no weights")
+        return self.weights.attach(self.df)
+
+    def carry(self, rule: str, *args, **kwargs) -> Weights | None:
+        """The weights after one of their rules, or None where there are none."""
+        return None if self.weights is None else getattr(self.weights, rule)(*args, **kwargs)
 
     def apply(self, operator, *args, **kwargs) -> Signal:
         return operator(self, *args, **kwargs)

@@ -30,4 +30,4 @@ def sample_delay(s: Signal, delays: list[tuple[int, ...]]) -> Signal:
     n = max(0, s.meta.ndat - max(shift))
     at = F.col("idat") - F.element_at(F.array(*(F.lit(x).cast("long") for x in shift)), F.col("ichan") * npol + F.col("ipol") + 1)
     df = s.df.withColumn("idat", at).filter(F.col("idat").between(0, n - 1))
-    return s.then("sample_delay", df, ndat=n)
+    return s.then("sample_delay", df, s.carry("delay", shift, s.meta.nchan, npol, n), ndat=n)

@@ -17,11 +17,11 @@ def detect(s: Signal, state: str = INTENSITY) -> Signal:
         if s.meta.npol > 1:
             df = df.groupBy("idat", "ichan").agg(F.sum("v").alias("v"))
         df = df.select("idat", "ichan", F.lit(0).alias("ipol"), "v")
-        return s.then("detect", df, state=state, npol=1, ndim=1)
+        return s.then("detect", df, s.carry("merge", 1, s.meta.npol, s.meta.nchan, s.meta.npol), state=state, npol=1, ndim=1)
     if state in (PP, QQ, PPQQ):
         keep = {PP: [0], QQ: [1], PPQQ: [0, 1]}[state]
         df = s.df.filter(F.col("ipol").isin(keep)).select("idat", "ichan", (F.col("ipol") - keep[0]).alias("ipol"), power.alias("v"))
-        return s.then("detect", df, state=state, npol=len(keep), ndim=1)
+        return s.then("detect", df, s.carry("select", (0, s.meta.nchan - 1), (keep[0], keep[-1])), state=state, npol=len(keep), ndim=1)
     if state not in (COHERENCE, STOKES) or s.meta.state != ANALYTIC or s.meta.npol != 2:
         raise ValueError("cross products need two complex polarizations")
     pol = lambda i, c: F.max(F.when(F.col("ipol") == i, F.col(c)))
@@ -30,4 +30,4 @@ def detect(s: Signal, state: str = INTENSITY) -> Signal:
     pp, qq, re, im = a * a + b * b, c * c + d * d, a * c + b * d, a * d - b * c
     four = (pp, qq, re, im) if state == COHERENCE else (pp + qq, pp - qq, 2 * re, 2 * im)
     df = pair.select("idat", "ichan", F.posexplode(F.array(*four)).alias("ipol", "v"))
-    return s.then("detect", df, state=state, npol=4, ndim=1)
+    return s.then("detect", df, s.carry("over_pols", s.meta.nchan, 2, 4), state=state, npol=4, ndim=1)

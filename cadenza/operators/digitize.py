@@ -47,7 +47,7 @@ def filterbank_digitize(s: Signal, nbit: int, rescaled: bool = True) -> Signal:
     new = [order.index(i) for i in range(s.meta.nchan)]
     at = F.element_at(F.array(*map(F.lit, new)), F.col("ichan") + 1)
     df = s.df.select("idat", at.alias("ichan"), "ipol", unsigned_code(F.col("v"), nbit, rescaled, F.col("ipol") > 1).alias("v"))
-    return s.then("filterbank_digitize", df, nbit=nbit, bandwidth=-abs(s.meta.bandwidth), swap=False, nsub_swap=0)
+    return s.then("filterbank_digitize", df, s.carry("reorder", new, s.meta.npol), nbit=nbit, bandwidth=-abs(s.meta.bandwidth), swap=False, nsub_swap=0)
 
 
 def table_scale_offset(s: Signal, nsamp: int, nblock: int, nbit: int = 8) -> DataFrame:

@@ -52,6 +52,13 @@ def fold(df: DataFrame, us: Column, period_us: int, nbin: int, keys: tuple[str,
     return rows.groupBy(*by).agg(F.sum("v").alias("total"), hits.alias("hits"))
 
 
+def fold_signal(s: Signal, period_us: int, nbin: int, **settings) -> DataFrame:
+    """fold() of a signal's samples at their times; those of weight 0 are skipped, in their own channel and polarization. With zeroed in the
+    settings, bad samples count as zeros instead."""
+    rows = s.df if s.weights is None or settings.get("zeroed") else s.weights.good(s.df)
+    return fold(rows, sample_us(s), period_us, nbin, **settings)
+
+
 def fold_many(df: DataFrame, us: Column, folds: list[tuple[int, int]], keys: tuple[str, ...] = ("ichan", "ipol"), epoch_us: int = 0) -> DataFrame:
     """ifold, keys, ibin, total, hits for each (period_us, nbin), in one pass and one aggregate over the samples."""
     bins = F.array(*(F.struct(F.lit(i).alias("ifold"), phase_bin(us, period, nbin, epoch_us).alias("ibin")) for i, (period, nbin) in enumerate(folds)))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.meta import ANALYTIC, INTENSITY, NYQUIST, Signal
+from cadenza.weights import Weights
 
 VALUES = ("v", "re", "im")
 SAMPLE = "idat long, ichan int, ipol int, re double, im double"
@@ -81,9 +83,9 @@ def spectra(x: np.ndarray, n: int) -> np.ndarray:
     return np.fft.fftshift(np.fft.fft(x), axes=-1) if np.iscomplexobj(x) else np.fft.rfft(x)[..., :n]
 
 
-def _split(s: Signal, nchan: int, freq_res: int, pos: int, neg: int, taper, response, emit, schema: str) -> tuple[DataFrame, dict]:
+def _split(s: Signal, nchan: int, freq_res: int, pos: int, neg: int, taper, response, emit, schema: str) -> tuple[DataFrame, dict, Weights | None]:
     """Frames of nchan x freq_res points, split into sub-bands of freq_res points that are transformed back; emit makes the values of a block of
-    (rows, nchan, kept) complex samples. Also the changes of metadata."""
+    (rows, nchan, kept) complex samples. Also the changes of metadata, and the weights."""
     real = s.meta.state == NYQUIST
     keep, points = freq_res - pos - neg, nchan * freq_res
     if keep <= 0:
@@ -104,7 +106,9 @@ def _split(s: Signal, nchan: int, freq_res: int, pos: int, neg: int, taper, resp
         return [at, (k["ichan"] * nchan + np.arange(nchan))[:, :, None], k["ipol"][:, :, None], *emit(y)]
 
     df = map_frames(to_frames(s, n, step), one, schema)
-    return df, {"nchan": s.meta.nchan * nchan, "ndat": n_parts(s.meta.ndat, n, step) * keep, "rate": s.meta.rate / (nchan * (1 + real)), "start_us": s.meta.start_us + round(pos * nchan * (1 + real) / s.meta.rate * 1e6)}
+    ndat = n_parts(s.meta.ndat, n, step) * keep
+    weights = s.carry("transform", s.meta.ndat, n, step, nchan * (1 + real), ndat, nchan)
+    return df, {"nchan": s.meta.nchan * nchan, "ndat": ndat, "rate": s.meta.rate / (nchan * (1 + real)), "start_us": s.meta.start_us + round(pos * nchan * (1 + real) / s.meta.rate * 1e6)}, weights
 
 
 def channelize(s: Signal, nchan: int, taper: np.ndarray | None = None, response: Callable[[int], np.ndarray] | None = None, freq_res: int = 1, pos: int = 0, neg: int = 0) -> Signal:
@@ -114,20 +118,21 @@ def channelize(s: Signal, nchan: int, taper: np.ndarray | None = None, response:
     what comes out are discarded: parts overlap by as much. response(ichan), nchan x freq_res points in order of frequency, multiplies the spectrum of
     an input channel, so that channelizing convolves.
     """
-    df, changes = _split(s, nchan, freq_res, pos, neg, taper, response, lambda y: [y.real, y.imag], SAMPLE)
-    return s.then("channelize", df, **changes, state=ANALYTIC, ndim=2)
+    df, changes, weights = _split(s, nchan, freq_res, pos, neg, taper, response, lambda y: [y.real, y.imag], SAMPLE)
+    return s.then("channelize", df, weights, **changes, state=ANALYTIC, ndim=2)
 
 
 def power_filterbank(s: Signal, nchan: int, sum_pols: bool = False, **settings) -> Signal:
     """channelize() and square-law detection in one pass; settings as there."""
     chosen = {"taper": None, "response": None, "freq_res": 1, "pos": 0, "neg": 0} | settings
-    df, changes = _split(s, nchan, emit=lambda y: [np.abs(y) ** 2], schema=POWER, **chosen)
+    df, changes, weights = _split(s, nchan, emit=lambda y: [np.abs(y) ** 2], schema=POWER, **chosen)
     if sum_pols:
         df = df.groupBy("idat", "ichan").agg(F.sum("v").alias("v")).select("idat", "ichan", F.lit(0).alias("ipol"), "v")
         changes |= {"npol": 1, "state": INTENSITY}
+        weights = weights and weights.merge(1, s.meta.npol, s.meta.nchan * nchan, s.meta.npol)
     else:
         changes |= {"state": "PPQQ" if s.meta.npol == 2 else INTENSITY}
-    return s.then("power_filterbank", df, ndim=1, **changes)
+    return s.then("power_filterbank", df, weights, ndim=1, **changes)
 
 
 def dedispersing(s: Signal, nchan: int, dm: float, freq_res: int | None = None) -> dict:
@@ -177,7 +182,9 @@ def convolve(s: Signal, responses: Callable[[int], np.ndarray], nfft: int, pos:
     frames = to_frames(s, nfft * (1 + real), step * (1 + real), keys=("ichan",) if jones else ("ichan", "ipol"))
     df = map_frames(frames, both if jones else one, SAMPLE)
     parts = n_parts(s.meta.ndat, nfft * (1 + real), step * (1 + real))
-    return s.then("convolve", df, ndat=parts * step, rate=s.meta.rate / (1 + real), start_us=s.meta.start_us + round(pos * (1 + real) / s.meta.rate * 1e6), state=ANALYTIC, ndim=2)
+    weights = s.carry("over_pols", s.meta.nchan, 2, 2) if jones else s.weights
+    weights = weights and weights.transform(s.meta.ndat, nfft * (1 + real), step * (1 + real), 1 + real, parts * step)
+    return s.then("convolve", df, weights, ndat=parts * step, rate=s.meta.rate / (1 + real), start_us=s.meta.start_us + round(pos * (1 + real) / s.meta.rate * 1e6), state=ANALYTIC, ndim=2)
 
 
 def dynamic_filter(s: Signal, responses: dict[int, np.ndarray], bucket: int, nfft: int, pos: int = 0, neg: int = 0) -> Signal:
@@ -210,7 +217,7 @@ def dedisperse(s: Signal, dm: float, nfft: int | None = None) -> Signal:
     pos, neg = max(p for p, _ in reach), max(n for _, n in reach)
     nfft = nfft or best_nfft(pos + neg)
     out = convolve(s, lambda i: dispersion_kernel(nfft, meta.frequency(i), width, dm), nfft, pos, neg)
-    return Signal(out.df, out.meta.but(dm=dm))
+    return replace(out, meta=out.meta.but(dm=dm))
 
 
 def derotate(s: Signal, rm: float, nfft: int) -> Signal:
@@ -219,7 +226,7 @@ def derotate(s: Signal, rm: float, nfft: int) -> Signal:
 
     meta = s.meta
     out = convolve(s, lambda i: derotation(nfft, meta.frequency(i), meta.channel_width, rm), nfft, 0, 0)
-    return Signal(out.df, out.meta.but(rm=rm))
+    return replace(out, meta=out.meta.but(rm=rm))
 
 
 def polyphase(s: Signal, taps: np.ndarray, nchan: int) -> Signal:
@@ -232,7 +239,9 @@ def polyphase(s: Signal, taps: np.ndarray, nchan: int) -> Signal:
         return [k["ipart"], k["ichan"] * nchan + np.arange(nchan), k["ipol"], y.real, y.imag]
 
     df = map_frames(to_frames(s, ntap * nchan, nchan), one, SAMPLE)
-    return s.then("polyphase", df, nchan=s.meta.nchan * nchan, ndat=n_parts(s.meta.ndat, ntap * nchan, nchan), rate=s.meta.rate / nchan, state=ANALYTIC, ndim=2)
+    ndat = n_parts(s.meta.ndat, ntap * nchan, nchan)
+    weights = s.carry("transform", s.meta.ndat, ntap * nchan, nchan, nchan, ndat, nchan)
+    return s.then("polyphase", df, weights, nchan=s.meta.nchan * nchan, ndat=ndat, rate=s.meta.rate / nchan, state=ANALYTIC, ndim=2)
 
 
 def inverse_filterbank(s: Signal, nfft: int, overlap: int = 0, response: np.ndarray | None = None) -> Signal:
@@ -257,7 +266,8 @@ def inverse_filterbank(s: Signal, nfft: int, overlap: int = 0, response: np.ndar
 
     df = map_frames(to_frames(s, nfft, step, keys=("ipol",)), one, SAMPLE)
     changes = {"nchan": 1, "ndat": n_parts(s.meta.ndat, nfft, step) * out_step, "rate": s.meta.rate * nchan * keep / nfft, "oversampling": type(over)(1)}
-    return s.then("inverse_filterbank", df, **changes, start_us=s.meta.start_us + round(overlap / s.meta.rate * 1e6))
+    weights = s.weights and s.weights.merge(nchan, 1, nchan, s.meta.npol).convolve(s.meta.ndat, nfft, step).stretch(nchan * keep, nfft)
+    return s.then("inverse_filterbank", df, weights, **changes, start_us=s.meta.start_us + round(overlap / s.meta.rate * 1e6))
 
 
 def lag_filterbank(s: Signal, nlag: int, spectrum: bool = False) -> DataFrame:

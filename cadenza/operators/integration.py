@@ -26,7 +26,8 @@ def scrunch(s: Signal, time: int = 1, freq: int = 1) -> Signal:
     df = s.df.filter((F.col("idat") < ndat * time) & (F.col("ichan") < nchan * freq))
     keys = [_floordiv("idat", time).alias("idat"), _floordiv("ichan", freq).cast("int").alias("ichan"), F.col("ipol")]
     df = df.groupBy(*keys).agg(F.sum("v").alias("v"))
-    return s.then("scrunch", df, **band, nchan=nchan, ndat=ndat, rate=s.meta.rate / time, scale=s.meta.scale * time * freq)
+    weights = s.weights and s.weights.scrunch(time, ndat).merge(freq, 1, s.meta.nchan, s.meta.npol)
+    return s.then("scrunch", df, weights, **band, nchan=nchan, ndat=ndat, rate=s.meta.rate / time, scale=s.meta.scale * time * freq)
 
 
 def tscrunch(s: Signal, factor: int) -> Signal:
@@ -46,7 +47,11 @@ def pscrunch(s: Signal, state: str = INTENSITY) -> Signal:
     else:
         keep = {PP: [0], QQ: [1], PPQQ: [0, 1]}[state]
         df = s.df.filter(F.col("ipol").isin(keep)).withColumn("ipol", F.col("ipol") - keep[0])
-    return s.then("pscrunch", df, npol=2 if state == PPQQ else 1, state=state)
+    if state == INTENSITY:
+        weights = s.carry("merge", 1, 2, s.meta.nchan, 2)
+    else:
+        weights = s.carry("select", (0, s.meta.nchan - 1), (keep[0], keep[-1]))
+    return s.then("pscrunch", df, weights, npol=2 if state == PPQQ else 1, state=state)
 
 
 def stats(s: Signal) -> DataFrame:
@@ -86,7 +91,12 @@ def autocorrelation(s: Signal, nlag: int) -> DataFrame:
 def superpose(signals: list[Signal]) -> Signal:
     """Sum, sample by sample, of signals of the same shape."""
     df = reduce(DataFrame.unionByName, (x.df for x in signals)).groupBy("idat", "ichan", "ipol").agg(F.sum("v").alias("v"))
-    return signals[0].then("superpose", df)
+    weights = None
+    if any(x.weights for x in signals):
+        if not all(x.weights for x in signals):
+            raise ValueError("all signals have weights, or none has")
+        weights = reduce(lambda a, b: a.add(b, signals[0].meta.nchan, signals[0].meta.npol), (x.weights for x in signals))
+    return signals[0].then("superpose", df, weights)
 
 
 def serial(signals: list[Signal]) -> Signal:

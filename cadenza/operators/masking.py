@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza import weights
 from cadenza.functions.response import bandpass_mask
 from cadenza.meta import Signal
 
@@ -64,32 +65,29 @@ def rfi_filter(s: Signal, window: int = 51) -> tuple[Signal, list[float]]:
 # --- weights: iw (block of ndat_per_weight samples), ichan, ipol, weight -------------------------------------------------
 
 
-def mask_weights(weights: DataFrame) -> DataFrame:
+def mask_weights(rows: DataFrame) -> DataFrame:
     """A block that is bad in one channel or polarization is bad in all."""
-    bad = weights.groupBy("iw").agg((F.min("weight") == 0).alias("bad"))
-    return weights.join(bad, "iw").select("iw", "ichan", "ipol", F.when(F.col("bad"), 0).otherwise(F.col("weight")).alias("weight"))
+    bad = rows.groupBy("iw").agg((F.min("weight") == 0).alias("bad"))
+    return rows.join(bad, "iw").select("iw", "ichan", "ipol", F.when(F.col("bad"), 0).otherwise(F.col("weight")).alias("weight"))
 
 
-def convolve_weights(weights: DataFrame, nfft: int, step: int, ndat_per_weight: int) -> DataFrame:
-    """Weights of FFT parts: part p covers samples [p step, p step + nfft) and is bad if one of its blocks is.
+def convolve_weights(rows: DataFrame, nfft: int, step: int, ndat_per_weight: int, ndat: int) -> DataFrame:
+    """Weights of blocks before transforms of nfft samples every step: blocks that hold what a transform keeps are bad if one that it reads is.
 
-    A block knows the parts that it touches, so no window runs over a whole channel.
+    A block knows the parts that read it, so no window runs over a whole channel.
     """
-    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("iw") * ndat_per_weight - nfft) / step) + 1)
-    last = F.expr(f"(iw * {ndat_per_weight} + {ndat_per_weight} - 1) div {step}")
-    rows = weights.filter(first <= last).select("ichan", "ipol", "weight", F.explode(F.sequence(first, last)).alias("ipart"))
-    return rows.groupBy("ipart", "ichan", "ipol").agg(F.when(F.min("weight") == 0, 0).otherwise(F.max("weight")).cast("int").alias("weight"))
+    return weights.convolve(rows, ndat, nfft, step, ndat_per_weight)
 
 
-def scrunch_weights(weights: DataFrame, n: int) -> DataFrame:
-    """n weights in one: 0 if one is 0, else their integer mean."""
-    total = F.expr(f"sum(weight) div {n}")
-    agg = weights.groupBy(F.expr(f"iw div {n}").alias("iw"), "ichan", "ipol").agg(F.when(F.min("weight") == 0, F.lit(0).cast("long")).otherwise(total).alias("weight"), F.count(F.lit(1)).alias("n"))
-    return agg.filter(F.col("n") == n).drop("n")
+def scrunch_weights(rows: DataFrame, n: int, ndat_per_weight: int = 1) -> tuple[DataFrame, int]:
+    """Weights after sums of n samples, and their new block length: blocks of n samples or more stay, of shorter ones n make one, the rest at
+    the end one more."""
+    return weights.scrunch(rows, n, ndat_per_weight)
 
 
-def apply_weights(s: Signal, weights: DataFrame, ndat_per_weight: int) -> Signal:
-    """Zeroes the samples of blocks with weight 0."""
-    rows = s.df.withColumn("iw", F.expr(f"idat div {ndat_per_weight}")).join(weights, ["iw", "ichan", "ipol"], "left")
-    v = F.when(F.col("weight") == 0, F.lit(0)).otherwise(F.col("v")).cast(dict(s.df.dtypes)["v"])
-    return s.then("apply_weights", rows.select("idat", "ichan", "ipol", v.alias("v")))
+def apply_weights(s: Signal, rows: DataFrame | None = None, ndat_per_weight: int = 1) -> Signal:
+    """Zeroes the samples of blocks with weight 0: of the signal's own weights, or of rows."""
+    if rows is not None:
+        s = s.with_weights(rows, ndat_per_weight)
+    v = lambda c: F.when(F.col("weight") == 0, F.lit(0)).otherwise(F.col(c)).cast(dict(s.df.dtypes)[c]).alias(c)
+    return s.then("apply_weights", s.weighed().select("idat", "ichan", "ipol", *(v(c) for c in ("v", "re", "im") if c in s.df.columns)))

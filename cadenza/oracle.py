@@ -30,6 +30,17 @@ D = "d AS (SELECT event_id // 8 AS idat, CAST((event_id // 2) % 4 AS INTEGER) AS
 Z = D + ", z AS (SELECT idat, ichan, ipol, v % 41 - 20 AS re, (v // 7) % 37 - 18 AS im FROM d)"
 E = "e AS (SELECT event_id, epoch_us(ts) AS us, CAST(user_id % 4 AS INTEGER) AS ichan, CAST(0 AS INTEGER) AS ipol, CAST(round(value * 100) AS BIGINT) AS v FROM events)"
 W = D + ", w AS (SELECT DISTINCT idat // 16 AS iw, ichan, ipol, CAST((idat // 16 * 7 + ichan * 3 + ipol) % 6 AS INTEGER) AS weight FROM d)"
+WD = W + ", wd AS (SELECT idat, d.ichan, d.ipol, v, weight FROM d JOIN w ON idat // 16 = iw AND d.ichan = w.ichan AND d.ipol = w.ipol)"
+MEAN = "CAST(CASE WHEN min(weight) = 0 THEN 0 ELSE sum(weight) // count(*) END AS BIGINT) AS weight"
+
+
+def flagged(nfft: int, step: int) -> str:
+    """fl: weights of blocks of 16, 0 where a block holds what is kept of a transform that reads a bad block."""
+    return f"""tp AS (SELECT unnest(range((ndat - {nfft}) // {step} + 1)) AS part FROM nd), tb AS (SELECT DISTINCT part, ichan, ipol FROM tp JOIN w ON iw * 16 < part * {step} + {nfft} AND iw * 16 + 16 > part * {step} WHERE weight = 0),
+    th AS (SELECT DISTINCT w.iw, w.ichan, w.ipol, TRUE AS hit FROM w JOIN tb ON w.ichan = tb.ichan AND w.ipol = tb.ipol AND iw * 16 < part * {step} + {step} AND iw * 16 + 16 > part * {step}),
+    fl AS (SELECT w.iw, w.ichan, w.ipol, CAST(CASE WHEN hit THEN 0 ELSE weight END AS INTEGER) AS weight FROM w LEFT JOIN th ON w.iw = th.iw AND w.ichan = th.ichan AND w.ipol = th.ipol)"""
+
+
 B = f"{D}, b AS (SELECT idat // {SK_M} AS iw, ichan, ipol, CAST(sum(v) AS BIGINT) AS s1, CAST(sum(v * v) AS BIGINT) AS s2, count(*) AS n FROM d, nd WHERE v <> 0 AND idat < ndat // {SK_M} * {SK_M} GROUP BY ALL)"
 EST = "CASE WHEN n > 1 AND s1 <> 0 THEN (n + 1) / (n - 1) * (n * s2 / (CAST(s1 AS DOUBLE) * s1) - 1) END"
 
@@ -169,8 +180,15 @@ ORACLE = {
     "running_mean": f"WITH {D} SELECT idat, ichan, ipol, {six('avg(v) OVER (PARTITION BY ichan, ipol ORDER BY idat ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)', 'v')} FROM d",
     "mask_times": f"WITH {D} SELECT idat, ichan, ipol, {masked(times(CELLS))} AS v FROM d",
     "weights_mask": f"WITH {W} SELECT iw, ichan, ipol, CASE WHEN min(weight) OVER (PARTITION BY iw) = 0 THEN 0 ELSE weight END AS weight FROM w",
-    "weights_convolve": f"WITH {W}, p AS (SELECT range AS ipart FROM range(100000)) SELECT ipart, ichan, ipol, CAST(CASE WHEN min(weight) = 0 THEN 0 ELSE max(weight) END AS INTEGER) AS weight FROM w JOIN p ON iw * 16 < ipart * 48 + 64 AND iw * 16 + 15 >= ipart * 48 GROUP BY ALL",
-    "weights_scrunch": f"WITH {W} SELECT iw // 3 AS iw, ichan, ipol, CAST(CASE WHEN min(weight) = 0 THEN 0 ELSE sum(weight) // 3 END AS BIGINT) AS weight FROM w GROUP BY iw // 3, ichan, ipol HAVING count(*) = 3",
+    "weights_convolve": f"WITH {W}, {flagged(64, 48)} SELECT iw, ichan, ipol, weight FROM fl",
+    "weights_scrunch": f"WITH {W} SELECT iw // 3 AS iw, ichan, ipol, CAST(CASE WHEN min(weight) = 0 THEN 0 ELSE sum(weight) // count(*) END AS BIGINT) AS weight FROM w GROUP BY iw // 3, ichan, ipol",
+    "weighted_select": f"WITH {W} SELECT idat, CAST(d.ichan - 1 AS INTEGER) AS ichan, CAST(0 AS INTEGER) AS ipol, v, weight FROM d JOIN w ON idat // 16 = iw AND d.ichan = w.ichan AND d.ipol = w.ipol WHERE d.ipol = 1 AND d.ichan IN (1, 2)",
+    "weighted_cut": f"WITH {W} SELECT idat - 37 AS idat, d.ichan, d.ipol, v, weight FROM d JOIN w ON idat // 16 = iw AND d.ichan = w.ichan AND d.ipol = w.ipol WHERE idat >= 37 AND idat < 190",
+    "weighted_tscrunch": f"WITH {WD} SELECT idat // 6 AS idat, ichan, ipol, CAST(sum(v) AS BIGINT) AS v, {MEAN} FROM wd, nd WHERE idat < ndat // 6 * 6 GROUP BY ALL",
+    "weighted_pscrunch": f"WITH {WD}, f AS (SELECT idat, ichan // 2 AS ichan, ipol, sum(v) AS v, {MEAN} FROM wd GROUP BY ALL) SELECT idat, CAST(ichan AS INTEGER) AS ichan, CAST(0 AS INTEGER) AS ipol, CAST(sum(v) AS BIGINT) AS v, {MEAN} FROM f GROUP BY ALL",
+    "weighted_delay": f"WITH {WD}, s AS (SELECT idat - CASE ichan WHEN 0 THEN 0 WHEN 1 THEN 5 WHEN 2 THEN 11 ELSE 2 END AS idat, ichan, ipol, v, weight FROM wd), k AS (SELECT s.* FROM s, nd WHERE idat >= 0 AND idat < ndat - 11), b AS (SELECT idat // 16 AS iw, ichan, ipol, {MEAN} FROM k GROUP BY ALL) SELECT idat, k.ichan, k.ipol, v, b.weight FROM k JOIN b ON idat // 16 = iw AND k.ichan = b.ichan AND k.ipol = b.ipol",
+    "weighted_channelize": f"WITH {W}, {flagged(64, 40)}, o AS (SELECT unnest(range((SELECT (ndat - 64) // 40 + 1 FROM nd) * 5)) AS idat) SELECT idat, CAST(ichan * 8 + k AS INTEGER) AS ichan, ipol, weight FROM o JOIN fl ON idat * 8 // 16 = iw, (SELECT range AS k FROM range(8))",
+    "weighted_fold": f"WITH {WD}, t AS (SELECT idat // 2 AS idat, ichan - 1 AS ichan, ipol, CAST(sum(v) AS BIGINT) AS v, {MEAN} FROM wd, nd WHERE ichan >= 1 AND idat < ndat // 2 * 2 GROUP BY ALL), s AS (SELECT idat - CASE ichan WHEN 0 THEN 0 WHEN 1 THEN 5 ELSE 3 END AS idat, ichan, ipol, v, weight FROM t), k AS (SELECT s.* FROM s, nd WHERE idat >= 0 AND idat < ndat // 2 - 5), b AS (SELECT idat // 8 AS iw, ichan, ipol, {MEAN} FROM k GROUP BY ALL) SELECT CAST(k.ichan AS INTEGER) AS ichan, k.ipol, CAST((idat * 2000 + 1000) % 64000 * 16 // 64000 AS INTEGER) AS ibin, {FOLD} FROM k JOIN b ON idat // 8 = iw AND k.ichan = b.ichan AND k.ipol = b.ipol WHERE b.weight <> 0 GROUP BY ALL",
     "apply_weights": f"WITH {W} SELECT idat, d.ichan, d.ipol, {masked('weight = 0')} AS v FROM d JOIN w ON idat // 16 = iw AND d.ichan = w.ichan AND d.ipol = w.ipol",
     "sample_delay": delayed({0: 0, 1: 5, 2: 11, 3: 2}),
     "dispersion_delay": delayed(DELAYS),

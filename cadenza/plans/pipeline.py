@@ -107,9 +107,8 @@ def fold_path(s: Signal, period_us: int, nbin: int, dm: float = 0.0, channels: s
         s, zeroed = kurtosis.excise(s, kurtosis.time_freq(kurtosis.sums(s, m), cut.lower, cut.upper), m), True
     if dm and s.meta.nchan > 1:
         s = delays.sample_delay(s, delays.dispersion_delays(s, dm))
-    us = folding.sample_us(s)
-    division = folding.by_seconds(us, subint_us, s.meta.start_us) if subint_us else None
-    return folding.fold(s.df, us, period_us, nbin, division=division, zeroed=zeroed)
+    division = folding.by_seconds(folding.sample_us(s), subint_us, s.meta.start_us) if subint_us else None
+    return folding.fold_signal(s, period_us, nbin, division=division, zeroed=zeroed)
 
 
 def filterbank_path(s: Signal, nchan: int, time: int = 1, freq: int = 1, dm: float = 0.0, nbit: int = 8, rescale_interval: int | None = None) -> Signal:

@@ -261,11 +261,54 @@ def q_weights_mask(s, d):
 
 
 def q_weights_convolve(s, d):
-    return masking.convolve_weights(weights(powers(s, d)), 64, 48, 16)
+    sig = powers(s, d)
+    return masking.convolve_weights(weights(sig), 64, 48, 16, sig.meta.ndat)
 
 
 def q_weights_scrunch(s, d):
-    return masking.scrunch_weights(weights(powers(s, d)), 3)
+    """Three weights in one; what is left makes one more."""
+    return masking.scrunch_weights(weights(powers(s, d)), 3)[0]
+
+
+def weighted(sig: Signal) -> Signal:
+    return sig.with_weights(weights(sig), 16)
+
+
+def _weighed(sig: Signal) -> DataFrame:
+    return sig.weighed().select(*SAMPLES, "weight")
+
+
+def q_weighted_select(s, d):
+    return _weighed(selection.chan_pol_select(weighted(powers(s, d)), (1, 2), (1, 1)))
+
+
+def q_weighted_cut(s, d):
+    """What is left behind a start that cuts a block, up to an end that cuts one."""
+    return _weighed(selection.truncate(selection.delay_start(weighted(powers(s, d)), 37_000), 190_000))
+
+
+def q_weighted_tscrunch(s, d):
+    """Sums of six samples, which blocks of 16 don't hold evenly."""
+    return _weighed(integration.tscrunch(weighted(powers(s, d)), 6))
+
+
+def q_weighted_pscrunch(s, d):
+    return _weighed(integration.pscrunch(integration.fscrunch(weighted(powers(s, d)), 2)))
+
+
+def q_weighted_delay(s, d):
+    return _weighed(delays.sample_delay(weighted(powers(s, d)), [(0, 0), (1, 5), (2, 11), (3, 2)]))
+
+
+def q_weighted_channelize(s, d):
+    """Sub-bands of eight points of which five are kept: transforms of 64 samples every 40."""
+    return frames.channelize(weighted(voltages(s, d)), 8, freq_res=8, pos=1, neg=2).weighed().select("idat", "ichan", "ipol", "weight")
+
+
+def q_weighted_fold(s, d):
+    """Selection, sums, delays and fold in one plan; bad samples are skipped channel by channel."""
+    sig = selection.chan_pol_select(weighted(powers(s, d)), (1, 3))
+    return folding.fold_signal(delays.sample_delay(integration.tscrunch(sig, 2), [(0, 0), (1, 5), (2, 3)]), 64_000, 16)
 
 
 def q_apply_weights(s, d):
