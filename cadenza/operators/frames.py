@@ -23,6 +23,7 @@ VALUES = ("v", "re", "im")
 SAMPLE = "idat long, ichan int, ipol int, re double, im double"
 POWER = "idat long, ichan int, ipol int, v double"
 TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+EACH = ("ichan", "ipol")  # a part is one channel's and polarization's
 AT_ONCE = 1 << 20  # samples transformed in one call
 
 Columns = dict[str, np.ndarray]
@@ -78,6 +79,15 @@ def map_frames(frames: DataFrame, fn: Callable[[Columns, np.ndarray], list[np.nd
     return frames.mapInArrow(run, schema)
 
 
+def over_frames(s: Signal, nfft: int, step: int, keys: tuple[str, ...], fn: Callable[[Columns, np.ndarray], list[np.ndarray]], schema: str) -> DataFrame:
+    """map_frames() over a signal's parts; of a stream, parts are put together across micro-batches."""
+    if s.df.isStreaming:
+        from cadenza.streaming.frames import map_stream
+
+        return map_stream(s, nfft, step, keys, [c for c in VALUES if c in s.df.columns], fn, schema)
+    return map_frames(to_frames(s, nfft, step, keys), fn, schema)
+
+
 def spectra(x: np.ndarray, n: int) -> np.ndarray:
     """n points of each row's spectrum in order of frequency: all of a complex row, all but the last of a real one of 2 n samples."""
     return np.fft.fftshift(np.fft.fft(x), axes=-1) if np.iscomplexobj(x) else np.fft.rfft(x)[..., :n]
@@ -105,7 +115,7 @@ def _split(s: Signal, nchan: int, freq_res: int, pos: int, neg: int, taper, resp
         at = k["ipart"][:, :, None] * keep + np.arange(keep)
         return [at, (k["ichan"] * nchan + np.arange(nchan))[:, :, None], k["ipol"][:, :, None], *emit(y)]
 
-    df = map_frames(to_frames(s, n, step), one, schema)
+    df = over_frames(s, n, step, EACH, one, schema)
     ndat = n_parts(s.meta.ndat, n, step) * keep
     weights = s.carry("transform", s.meta.ndat, n, step, nchan * (1 + real), ndat, nchan)
     return df, {"nchan": s.meta.nchan * nchan, "ndat": ndat, "rate": s.meta.rate / (nchan * (1 + real)), "start_us": s.meta.start_us + round(pos * nchan * (1 + real) / s.meta.rate * 1e6)}, weights
@@ -179,8 +189,7 @@ def convolve(s: Signal, responses: Callable[[int], np.ndarray], nfft: int, pos:
         at = (k["ipart"] * step + np.arange(step))[:, :, None]
         return [at, k["ichan"][:, :, None], np.arange(2), y.real, y.imag]
 
-    frames = to_frames(s, nfft * (1 + real), step * (1 + real), keys=("ichan",) if jones else ("ichan", "ipol"))
-    df = map_frames(frames, both if jones else one, SAMPLE)
+    df = over_frames(s, nfft * (1 + real), step * (1 + real), ("ichan",) if jones else EACH, both if jones else one, SAMPLE)
     parts = n_parts(s.meta.ndat, nfft * (1 + real), step * (1 + real))
     weights = s.carry("over_pols", s.meta.nchan, 2, 2) if jones else s.weights
     weights = weights and weights.transform(s.meta.ndat, nfft * (1 + real), step * (1 + real), 1 + real, parts * step)
@@ -238,7 +247,7 @@ def polyphase(s: Signal, taps: np.ndarray, nchan: int) -> Signal:
         y = spectra((x.reshape(len(x), ntap, nchan) * w).sum(1), nchan)
         return [k["ipart"], k["ichan"] * nchan + np.arange(nchan), k["ipol"], y.real, y.imag]
 
-    df = map_frames(to_frames(s, ntap * nchan, nchan), one, SAMPLE)
+    df = over_frames(s, ntap * nchan, nchan, EACH, one, SAMPLE)
     ndat = n_parts(s.meta.ndat, ntap * nchan, nchan)
     weights = s.carry("transform", s.meta.ndat, ntap * nchan, nchan, nchan, ndat, nchan)
     return s.then("polyphase", df, weights, nchan=s.meta.nchan * nchan, ndat=ndat, rate=s.meta.rate / nchan, state=ANALYTIC, ndim=2)
@@ -264,7 +273,7 @@ def inverse_filterbank(s: Signal, nfft: int, overlap: int = 0, response: np.ndar
         y = y[:, cut : keep * nchan - cut]
         return [k["ipart"] * out_step + np.arange(out_step), np.zeros((1, 1)), k["ipol"], y.real, y.imag]
 
-    df = map_frames(to_frames(s, nfft, step, keys=("ipol",)), one, SAMPLE)
+    df = over_frames(s, nfft, step, ("ipol",), one, SAMPLE)
     changes = {"nchan": 1, "ndat": n_parts(s.meta.ndat, nfft, step) * out_step, "rate": s.meta.rate * nchan * keep / nfft, "oversampling": type(over)(1)}
     weights = s.weights and s.weights.merge(nchan, 1, nchan, s.meta.npol).convolve(s.meta.ndat, nfft, step).stretch(nchan * keep, nfft)
     return s.then("inverse_filterbank", df, weights, **changes, start_us=s.meta.start_us + round(overlap / s.meta.rate * 1e6))
@@ -277,7 +286,7 @@ def lag_filterbank(s: Signal, nlag: int, spectrum: bool = False) -> DataFrame:
         f = np.abs(np.fft.fft(x, 2 * nlag)) ** 2
         return [k["ipart"], k["ichan"], k["ipol"], np.arange(nlag), f[:, :nlag] if spectrum else np.fft.ifft(f).real[:, :nlag]]
 
-    return map_frames(to_frames(s, nlag), one, "ipart long, ichan int, ipol int, k int, v double")
+    return over_frames(s, nlag, nlag, EACH, one, "ipart long, ichan int, ipol int, k int, v double")
 
 
 def bandpass(s: Signal, nchan: int) -> DataFrame:
