@@ -125,12 +125,12 @@ def deripple(taps: np.ndarray, n: int, roll: int = 0) -> np.ndarray:
 
 
 def interpolated(response: np.ndarray, n: int) -> np.ndarray:
-    """A response (FFT order) at n points: its impulse response, zero-padded between its positive and its negative times."""
-    have = len(response)
+    """Responses (FFT order, along the last axis) at n points: their impulse responses, zero-padded between positive and negative times."""
+    have = response.shape[-1]
     if have > n:
         raise ValueError("the response has more points than the transform")
     taps, half = np.fft.ifft(response), (have + 1) // 2
-    return np.fft.fft(np.concatenate([taps[:half], np.zeros(n - have), taps[half:]]))
+    return np.fft.fft(np.concatenate([taps[..., :half], np.zeros((*taps.shape[:-1], n - have)), taps[..., half:]], axis=-1))
 
 
 def best_nfft(discard: int, largest: int = 1 << 24) -> int:

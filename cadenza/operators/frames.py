@@ -56,7 +56,7 @@ def gathered(rows: DataFrame, keys: list[str], order: list[str], values: list[st
 
 
 def map_frames(frames: DataFrame, fn: Callable[[Columns, np.ndarray], list[np.ndarray]], schema: str) -> DataFrame:
-    """fn(keys, x) for frames of a batch: key columns of shape (rows, 1) and samples of shape (rows, n), complex where there are re and im. It returns the
+    """fn(keys, x) for frames of a batch: key columns of shape (rows, 1), other arrays and the samples of shape (rows, n), complex where there are re and im. It returns the
     schema's columns, as arrays that broadcast to one shape."""
     names, types = zip(*((n, TYPES[t]) for n, t in (c.split() for c in schema.split(", "))))
 
@@ -68,10 +68,10 @@ def map_frames(frames: DataFrame, fn: Callable[[Columns, np.ndarray], list[np.nd
         for whole in batches:
             if not whole.num_rows:
                 continue
-            rows = max(1, AT_ONCE // max(1, plane(whole.slice(0, 1), whole.schema.names[-1]).size))
+            rows = max(1, AT_ONCE // max(1, plane(whole.slice(0, 1), next(c for c in VALUES if c in whole.schema.names)).size))
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
-                keys = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[:, None] for c in batch.schema.names if c not in VALUES}
+                keys = {f.name: plane(batch, f.name) if pa.types.is_list(f.type) else batch.column(f.name).to_numpy(zero_copy_only=False).astype(np.int64)[:, None] for f in batch.schema if f.name not in VALUES}
                 x = plane(batch, "re") + 1j * plane(batch, "im") if "re" in batch.schema.names else plane(batch, "v")
                 out = np.broadcast_arrays(*fn(keys, x))
                 yield pa.RecordBatch.from_arrays([pa.array(a.ravel().astype(t.to_pandas_dtype()), t) for a, t in zip(out, types)], list(names))
@@ -197,24 +197,11 @@ def convolve(s: Signal, responses: Callable[[int], np.ndarray], nfft: int, pos:
 
 
 def dynamic_filter(s: Signal, responses: dict[int, np.ndarray], bucket: int, nfft: int, pos: int = 0, neg: int = 0) -> Signal:
-    """Multiplies the spectrum of each part by the response of the latest time bucket (part start div bucket) not after it, or of the first.
+    """operators.responses.respond() with a few responses for all channels: each holds from its stretch of ``bucket`` samples on."""
+    from cadenza.operators.responses import respond
 
-    Responses are in FFT order; one of fewer than nfft points is interpolated, by zero-padding its impulse response. pos samples at the start and neg
-    at the end of each part are discarded.
-    """
-    from cadenza.functions.response import interpolated
-
-    known = np.array(sorted(responses))
-    table = np.stack([interpolated(responses[b], nfft) for b in known])
-    step = nfft - pos - neg
-
-    def one(k: Columns, x: np.ndarray) -> list[np.ndarray]:
-        at = np.maximum(np.searchsorted(known, k["ipart"].ravel() * step // bucket, side="right") - 1, 0)
-        y = np.fft.ifft(np.fft.fft(x) * table[at])[:, pos : nfft - neg]
-        return [k["ipart"] * step + np.arange(step), k["ichan"], k["ipol"], y.real, y.imag]
-
-    df = map_frames(to_frames(s, nfft, step), one, SAMPLE)
-    return s.then("dynamic_filter", df, ndat=n_parts(s.meta.ndat, nfft, step) * step, start_us=s.meta.start_us + round(pos / s.meta.rate * 1e6))
+    rows = [(int(b) * bucket, i, np.real(h).astype(float).tolist(), np.imag(h).astype(float).tolist()) for b, h in responses.items() for i in range(s.meta.nchan)]
+    return respond(s, s.df.sparkSession.createDataFrame(rows, "epoch long, ichan int, re array<double>, im array<double>"), nfft, pos, neg)
 
 
 def dedisperse(s: Signal, dm: float, nfft: int | None = None) -> Signal:

@@ -136,6 +136,10 @@ PREDICTED = f"""sg AS (SELECT *, (us - {START} - {pmod(f'us - {START}', DAY)}) /
     ph AS (SELECT us, ichan, ipol, v, k * 7 AS turns, (k * 37 % 100) / 128.0::DOUBLE + 60 * (7.0::DOUBLE / 86400) * dt + ((((k % 3) / 16777216.0::DOUBLE) * dt + (k % 5) / 65536.0::DOUBLE) * dt + 0.0625::DOUBLE) AS x FROM dt)"""
 
 ORACLE = {
+    "dynamic_response": f"""WITH {Z}, r AS (SELECT idat AS epoch, ichan, v % 5 + 1 AS g, v % 3 AS m FROM d WHERE ipol = 0 AND (idat * 7 + ichan * 13) % 61 = 0),
+        f AS (SELECT ichan, arg_min(g, epoch) AS g0, arg_min(m, epoch) AS m0 FROM r GROUP BY ichan), p AS (SELECT DISTINCT idat // 8 * 8 AS start, ichan FROM d, nd WHERE idat < ndat // 8 * 8),
+        a AS (SELECT p.start, p.ichan, coalesce(r.g, g0) AS g, coalesce(r.m, m0) AS m FROM p ASOF LEFT JOIN r ON p.ichan = r.ichan AND p.start >= r.epoch JOIN f ON p.ichan = f.ichan)
+        SELECT start + (idat + m) % 8 AS idat, z.ichan, z.ipol, CAST(g * re AS DOUBLE) AS re, CAST(g * im AS DOUBLE) AS im FROM z JOIN a ON idat // 8 * 8 = start AND z.ichan = a.ichan""",
     "fold_period": f"WITH {E} SELECT ichan, ipol, {ibin('us')} AS ibin, {FOLD}, {six('sum(v) / count(*)', 'mean')} FROM e GROUP BY ALL",
     "fold_lineitem": f"WITH e AS (SELECT epoch_us(l_shipdate) + l_orderkey * 1000003 AS us, CAST(l_linenumber AS INTEGER) AS ichan, CAST(round(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem) SELECT ichan, {ibin('us', PERIOD, 64)} AS ibin, {FOLD} FROM e GROUP BY ALL",
     "fold_weighted": f"WITH {E} SELECT ichan, ipol, {ibin('us')} AS ibin, {FOLD} FROM e WHERE (event_id // 16 * 7 + ichan) % 5 <> 0 GROUP BY ALL",

@@ -6,13 +6,15 @@ time. All inputs are integers, so sums are exact in any order; what is fractiona
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions.response import taper
 from cadenza.functions.sk_limits import limits
 from cadenza.meta import ANALYTIC, COHERENCE, INTENSITY, NYQUIST, PP, PPQQ, STOKES, ObsMeta, Signal
-from cadenza.operators import delays, detection, digitize, folding, frames, integration, kurtosis, masking, rescale, selection
+from cadenza.operators import delays, detection, digitize, folding, frames, integration, kurtosis, masking, rescale, responses, selection
 from cadenza.plans import pipeline
 from cadenza.sources import generators
 
@@ -579,6 +581,15 @@ def q_inverse_filterbank_overlap(s, d):
     return _rounded(frames.inverse_filterbank(frames.channelize(sig, 64), 8, 2), 3, "re", "im")
 
 
+def q_dynamic_response(s, d):
+    """Gains and delays that change with time by channel, from the samples themselves: each part takes the last response before it."""
+    sig = voltages(s, d)
+    at = powers(s, d).df.filter("ipol = 0 AND (idat * 7 + ichan * 13) % 61 = 0")
+    point = lambda f: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (F.col("v") % 5 + 1) * f(k * (F.col("v") % 3) * (-2 * math.pi / 8)))
+    table = at.select(F.col("idat").alias("epoch"), "ichan", point(F.cos).alias("re"), point(F.sin).alias("im"))
+    return _rounded(responses.respond(sig, table, 8, bucket=64), 4, "re", "im")
+
+
 def q_dedisperse(s, d):
     return frames.dedisperse(voltages(s, d), 0.001, 64).df.select("idat", "ichan", "ipol", *six("re", "im"))
 
