@@ -136,6 +136,10 @@ PREDICTED = f"""sg AS (SELECT *, (us - {START} - {pmod(f'us - {START}', DAY)}) /
     ph AS (SELECT us, ichan, ipol, v, k * 7 AS turns, (k * 37 % 100) / 128.0::DOUBLE + 60 * (7.0::DOUBLE / 86400) * dt + ((((k % 3) / 16777216.0::DOUBLE) * dt + (k % 5) / 65536.0::DOUBLE) * dt + 0.0625::DOUBLE) AS x FROM dt)"""
 
 ORACLE = {
+    "fold_predictor_frequency": f"""WITH {E}, sg AS (SELECT *, (us - {START} - {pmod(f'us - {START}', DAY)}) // {DAY} AS k FROM e),
+        xy AS (SELECT *, 2 * (us - {START} - k * {DAY})::DOUBLE / {DAY} - 1 AS x, 2 * (ichan * 100 + 50.0::DOUBLE) / 400 - 1 AS y FROM sg WHERE k BETWEEN 0 AND 729),
+        ph AS (SELECT ichan, ipol, v, 3.5::DOUBLE + (k % 7) / 64.0::DOUBLE * y + 0.03125::DOUBLE * (2 * y * y - 1) + (3.5::DOUBLE + (k % 5) / 128.0::DOUBLE * y) * x + ((k % 3) / 32.0::DOUBLE - 0.015625::DOUBLE * y) * (2 * x * x - 1) AS w FROM xy)
+        SELECT ichan, ipol, CAST(least(floor((w - floor(w)) * {NBIN}), {NBIN - 1}) AS INTEGER) AS ibin, {FOLD} FROM ph GROUP BY ALL""",
     "dynamic_response": f"""WITH {Z}, r AS (SELECT idat AS epoch, ichan, v % 5 + 1 AS g, v % 3 AS m FROM d WHERE ipol = 0 AND (idat * 7 + ichan * 13) % 61 = 0),
         f AS (SELECT ichan, arg_min(g, epoch) AS g0, arg_min(m, epoch) AS m0 FROM r GROUP BY ichan), p AS (SELECT DISTINCT idat // 8 * 8 AS start, ichan FROM d, nd WHERE idat < ndat // 8 * 8),
         a AS (SELECT p.start, p.ichan, coalesce(r.g, g0) AS g, coalesce(r.m, m0) AS m FROM p ASOF LEFT JOIN r ON p.ichan = r.ichan AND p.start >= r.epoch JOIN f ON p.ichan = f.ichan)

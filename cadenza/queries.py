@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cadenza.functions.response import taper
 from cadenza.functions.sk_limits import limits
 from cadenza.meta import ANALYTIC, COHERENCE, INTENSITY, NYQUIST, PP, PPQQ, STOKES, ObsMeta, Signal
-from cadenza.operators import delays, detection, digitize, folding, frames, integration, kurtosis, masking, rescale, responses, selection
+from cadenza.operators import chebyshev, delays, detection, digitize, folding, frames, integration, kurtosis, masking, rescale, responses, selection
 from cadenza.plans import pipeline
 from cadenza.sources import generators
 
@@ -120,6 +120,19 @@ def q_subint_fold_predictor(s, d):
     return folding.fold_predicted(_predicted(s, d), NBIN, turns=10, reference_phase=0.25)
 
 
+def frequency_predictor(s: SparkSession) -> DataFrame:
+    """Segments of a day over 1200 to 1600 MHz, about seven turns each, with terms in time and frequency that change from day to day."""
+    k = F.col("id")
+    rows = F.array(F.array(F.lit(3.5), (k % 7) / 64.0, F.lit(0.03125)), F.array(F.lit(3.5), (k % 5) / 128.0), F.array((k % 3) / 32.0, F.lit(-0.015625)))
+    return s.range(730).select(k.alias("segment"), (k * DAY + START).alias("start_us"), F.lit(DAY).alias("length_us"), F.lit(1200.0).alias("f_low"), F.lit(1600.0).alias("f_high"), (k * 7).alias("turns"), rows.alias("coeffs"))
+
+
+def q_fold_predictor_frequency(s, d):
+    """Folds by a predictor that knows each channel's frequency."""
+    rows = chebyshev.predicted(series(s, d), F.col("us"), F.col("ichan") * 100 + 1250.0, frequency_predictor(s), START, DAY)
+    return folding.fold_predicted(rows, NBIN)
+
+
 def q_fold_bookkeeping(s, d):
     """Samples offered and folded, and the time that these cover, by day, where every tenth value is zeroed."""
     df = series(s, d).withColumn("v", F.when(F.col("v") % 10 == 0, 0).otherwise(F.col("v")))
