@@ -4,9 +4,10 @@ Pass one hashes every digest into a slot space and sets a bit for each slot that
 anew, into a second space that only they fill. The two bitmaps are a Bloom filter of the hashes seen at least twice. Pass two probes
 every row: a row that misses a bit has no equal and passes straight through; only the others shuffle and meet exactly.
 
-The hash space is split into ranges, so that a range's bitmaps, which are broadcast, hold ``max_bits`` bits each (2**27 bits, 16 MB) at most
-whatever the input: their number follows the input, and ranges are taken one after the other, each reading its own share of the digests. So the filter
-stays as sharp at any size. What pass one shuffles is a slot number a distinct digest and task, never a row or a text.
+The slot space follows the input, 16 slots a row, so that the filter stays as sharp at any size, and is kept as bitmaps of 2**15 slots. While all of them
+are ``max_bits`` bits (2**27, 16 MB) at most they are broadcast. A larger space meets the digests by number of the bitmap, in an equi-join of two written
+tables: the plan and the number of jobs are the same for any input, and what shuffles is digests with ids and sizes, never a text. Pass one
+shuffles a slot number a distinct digest and task.
 
 Defined cases: a null text counts as empty; equal texts are those identical after the deletion of
 ASCII white space (0x20, 0x09-0x0D); of equal rows the longest original text stays, then the smallest id, a null
@@ -41,9 +42,9 @@ def _slot(k: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(k), F.col(KEY)), F.lit(bits)) + 1
 
 
-def _bits_for(rows: int, max_bits: int) -> int:
+def _bits_for(rows: int, max_bits: int | None = None) -> int:
     bits = 1 << 15
-    while bits < min(16 * rows, max_bits):
+    while bits < (16 * rows if max_bits is None else min(16 * rows, max_bits)):
         bits *= 2
     return bits
 
@@ -55,31 +56,24 @@ def bitmap(keys: DataFrame, k: int, bits: int, least: int) -> DataFrame:
     return stage(found, "bitmap")
 
 
-def probe(rows: DataFrame, k: int, bits: int, found: DataFrame) -> DataFrame:
+def probe(rows: DataFrame, k: int, bits: int, found: DataFrame, small: bool = True) -> DataFrame:
     """rows with __xd_maybe: whether the bit of hash function k, and those of the functions before it, are set."""
     at = f"__xd_at{k}"
     rows = rows.withColumns({"__xd_bucket": F.bitmap_bucket_number(_slot(k, bits)), at: F.bitmap_bit_position(_slot(k, bits))})
-    rows = rows.join(F.broadcast(found), "__xd_bucket", "left")
+    rows = rows.join(F.broadcast(found) if small else found, "__xd_bucket", "left")
     byte = F.conv(F.hex(F.expr(f"substring(__xd_map, cast({at} div 8 as int) + 1, 1)")), 16, 10).cast("long")
     hit = F.coalesce(F.getbit(byte, (F.col(at) % 8).cast("int")) == 1, F.lit(False))
     return rows.withColumn("__xd_maybe", hit if k == 0 else F.col("__xd_maybe") & hit).drop("__xd_bucket", "__xd_map", at)
 
 
-def possible_repeats(keys: DataFrame, max_bits: int, bits_a_row: int = 16) -> DataFrame:
-    """keys (staged) with __xd_maybe, by ranges of their hash."""
-    rows = keys.count()
-    ranges = max(1, -(-rows * bits_a_row // max_bits))
-    out = None
-    if ranges > 1:
-        keys = stage(keys.withColumn("__xd_range", F.pmod(F.xxhash64(F.lit("range"), F.col(KEY)), F.lit(ranges)).cast("int")), "ranges", by="__xd_range")
-    for r in range(ranges):
-        part = keys.filter(F.col("__xd_range") == r).drop("__xd_range") if ranges > 1 else keys
-        bits = _bits_for(rows // ranges, max_bits)
-        probed = probe(part, 0, bits, bitmap(part, 0, bits, 2))
-        again = bitmap(probed.filter("__xd_maybe"), 1, bits, 2)
-        probed = stage(probe(probed, 1, bits, again), "probed")
-        out = probed if out is None else out.unionByName(probed)
-    return out
+def possible_repeats(keys: DataFrame, max_bits: int) -> DataFrame:
+    """keys (staged) with __xd_maybe."""
+    bits = _bits_for(keys.count())
+    small = bits <= max_bits
+    probed = probe(keys, 0, bits, bitmap(keys, 0, bits, 2), small)
+    probed = probed if small else stage(probed, "probed-once")
+    again = bitmap(probed.filter("__xd_maybe"), 1, bits, 2)
+    return stage(probe(probed, 1, bits, again, small), "probed")
 
 
 def _winners(maybe: DataFrame, id_col: str) -> DataFrame:

@@ -68,7 +68,7 @@ def test_hot_group_and_empty_table(spark, docs):
 
 
 def test_filter_stays_sharp_at_any_size(spark):
-    """A range's bitmaps hold 2**15 bits, for 2048 rows: 30,000 different rows make 15 ranges, and unique rows still pass straight."""
+    """2**15 bits are enough for 2048 rows: 30,000 different rows have 16 bitmaps, which meet them by number, and unique rows still pass straight."""
     keys = spark.range(30_000).select(F.when(F.col("id") < 600, F.col("id") % 300).otherwise(F.col("id")).alias("doc_id"))
     keys = keys.withColumn("text", F.concat(F.lit("text "), "doc_id"))
     probed = exact_dedup.possible_repeats(exact_dedup.digests(keys), 1 << 15)
@@ -81,6 +81,20 @@ def test_filter_stays_sharp_at_any_size(spark):
     assert groups.filter("group_size = 2").count() == 600 and groups.filter("kept").count() == 29_700
 
 
+def test_plan_and_jobs_do_not_grow_with_the_rows(spark):
+    seen = []
+    for n in (4000, 60_000):
+        keys = exact_dedup.digests(spark.range(n).selectExpr("id AS doc_id", "concat('text ', id % 3900) AS text"))
+        group = f"exact-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        out = exact_dedup.possible_repeats(exact_dedup.stage(keys, "keys"), 1 << 15)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext._jsc.clearJobGroup()
+        assert out.filter("NOT __xd_maybe").count() <= 3800
+        seen.append((jobs, len(out._jdf.queryExecution().optimizedPlan().toString().splitlines())))
+    assert seen[0] == seen[1]
+
+
 def test_without_ids(spark):
     left = exact_dedup.without_ids(spark.range(100).toDF("doc_id"), spark.range(0, 100, 3).toDF("gone"))
     assert sorted(r[0] for r in left.collect()) == [i for i in range(100) if i % 3]
