@@ -284,15 +284,17 @@ def scan(docs: DataFrame, model: Model, least_containment: float = 0.6, id_col:
     return sums.select("doc_id", "paragraph", "lines", "family", F.round("probability", 6).alias("probability"), F.col("at").alias("template"), F.col("contained").alias("containment"), "confirmed", "label")
 
 
-def sample(docs: DataFrame, sample_rows: int = 300, most_paragraphs: int = 6000, id_col: str = "doc_id", text: str = "text") -> list[str]:
-    """Training paragraphs: up to most_paragraphs of the sample_rows documents whose ids and texts hash lowest; tasks send hashes to the driver, and only
-    the chosen texts. Both bounds are on what the classifier is fitted to; the scan reads everything."""
+def sample(docs: DataFrame, sample_rows: int = 300, most_paragraphs: int = 6000, most_chars: int = 10_000, id_col: str = "doc_id", text: str = "text") -> list[str]:
+    """Training paragraphs: up to most_paragraphs, of most_chars characters at most each, of the sample_rows documents whose ids and texts hash lowest. Tasks
+    cut the documents, so the driver gets hashes and these paragraphs only. All bounds are on what the classifier is fitted to; the scan reads
+    everything."""
     h = F.xxhash64(id_col, text)
     lowest = [r[0] for r in docs.select(h.alias("h")).orderBy("h").limit(sample_rows).collect()]
     if not lowest:
         return []
-    kept = docs.filter(h <= max(lowest)).select(text).limit(sample_rows).collect()
-    return [p for (t,) in sorted(kept, key=lambda r: r[0] or "") for p in (t or "").split("\n") if p][:most_paragraphs]
+    kept = docs.filter(h <= max(lowest)).select(F.coalesce(F.col(text), F.lit("")).alias("text")).limit(sample_rows)
+    parts = kept.select("text", F.posexplode(F.split("text", "\n")).alias("at", "p")).filter((F.length("p") > 0) & (F.length("p") <= most_chars))
+    return [r[0] for r in parts.orderBy("text", "at").limit(most_paragraphs).select("p").collect()]
 
 
 def op6_license_paragraphs(spark, sf_dir):

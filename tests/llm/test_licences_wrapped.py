@@ -55,3 +55,15 @@ def test_single_lines_are_reported_as_before(spark, model):
 def test_a_notice_inside_a_wrapped_one_keeps_its_row(spark, model):
     rows = labels(spark, model, f"{GPL3}\n# All rights reserved.\n# Released under the MIT License.")
     assert {(r.paragraph, r.lines, r.label) for r in rows if r.lines == 1 and r.label != "unknown"} == {(4, 1, "proprietary"), (5, 1, "mit")}
+
+
+def test_training_paragraphs_are_bounded_and_those_of_the_lowest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, None if i == 3 else f"first {i}\n\nsecond {i}\n" + "z" * (50 * i)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id", "text")).collect()][:20]
+    texts = sorted(dict(rows)[i] or "" for i in order)
+    want = [p for t in texts for p in t.split("\n") if p and len(p) <= 1000]
+    assert licenses.sample(docs, 20, 6000, 1000) == want
+    assert licenses.sample(docs, 20, 7, 1000) == want[:7] and licenses.sample(docs.limit(0)) == []
