@@ -35,6 +35,7 @@ class ObsMeta:
     receiver: str = ""
     machine: str = ""
     mode: str = ""
+    cal_frequency: float = 0.0  # Hz, of a calibrator's signal
     dm: float = 0.0
     rm: float = 0.0
     dc_centred: bool = False

@@ -23,17 +23,29 @@ def choose_nbin(period_us: float, sample_us: float, most: int = 1024) -> int:
 
 
 def phase_bin(us: Column, period_us: int, nbin: int, epoch_us: int = 0) -> Column:
-    """Bin of a time: floor(frac(phase) nbin)."""
-    return F.floor(F.pmod(us - epoch_us, F.lit(period_us)) * nbin / period_us).cast("int") if nbin * period_us > (1 << 53) else _exact(F.pmod(us - epoch_us, F.lit(period_us)) * nbin, period_us)
-
-
-def _exact(scaled: Column, period_us: int) -> Column:
-    return ((scaled - F.pmod(scaled, F.lit(period_us))) / period_us).cast("int")
+    """Bin of a time: floor(frac(phase) nbin), in whole numbers throughout."""
+    if nbin * period_us >= 1 << 63:
+        raise ValueError("a period times its bins is less than 2**63 microseconds")
+    return F.call_function("div", F.pmod(us - epoch_us, F.lit(period_us)) * nbin, F.lit(period_us).cast("long")).cast("int")
 
 
 def turn(us: Column, period_us: int, epoch_us: int = 0) -> Column:
     """Number of whole turns since the epoch."""
-    return ((us - epoch_us - F.pmod(us - epoch_us, F.lit(period_us))) / period_us).cast("long")
+    return F.call_function("div", (us - epoch_us).cast("long") - F.pmod((us - epoch_us).cast("long"), F.lit(period_us).cast("long")), F.lit(period_us).cast("long"))
+
+
+def fold_period_us(meta: ObsMeta, period_us: int | None = None) -> int:
+    """The period asked for, or else that of a calibrator's signal."""
+    if period_us is None and meta.mode == "CAL" and meta.cal_frequency > 0:
+        return round(1e6 / meta.cal_frequency)
+    if not period_us:
+        raise ValueError("a period is needed: the observation is not of a calibrator of known frequency")
+    return period_us
+
+
+def folded_meta(s: Signal, period_us: int, nbin: int) -> ObsMeta:
+    """What describes a fold: as many samples as bins, one a bin's width."""
+    return s.meta.but(ndat=nbin, rate=nbin * 1e6 / period_us, path=(*s.meta.path, "fold"))
 
 
 def sample_us(s: Signal) -> Column:

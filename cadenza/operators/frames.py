@@ -299,18 +299,19 @@ def cross_bandpass(s: Signal, nchan: int) -> DataFrame:
 
 
 def phase_locked_filterbank(s: Signal, nchan: int, period_us: int, nbin: int, epoch_us: int = 0) -> DataFrame:
-    """ibin, ichan, ipol, ifreq, power, hits: transforms that start at each phase bin of each turn, folded; hits counts transforms."""
+    """ibin, ichan, ipol, ifreq, power, hits: transforms that start at each phase bin of each turn, folded; hits counts transforms. Real samples
+    make nchan channels of 2 nchan ones."""
     from cadenza.operators.folding import phase_bin, sample_us, turn
 
-    us = sample_us(s)
+    us, n = sample_us(s), nchan * (1 + (s.meta.state == NYQUIST))
     rows = s.df.withColumns({"ibin": phase_bin(us, period_us, nbin, epoch_us), "turn": turn(us, period_us, epoch_us)})
     starts = rows.groupBy("turn", "ibin").agg(F.min("idat").alias("first"))
-    covered = starts.select("turn", "ibin", F.explode(F.sequence(F.col("first"), F.col("first") + nchan - 1)).alias("idat"))
+    covered = starts.select("turn", "ibin", F.explode(F.sequence(F.col("first"), F.col("first") + n - 1)).alias("idat"))
     values = [c for c in ("re", "im", "v") if c in s.df.columns]
-    frames = gathered(s.df.join(covered, "idat"), ["turn", "ibin", "ichan", "ipol"], ["idat"], values, nchan)
+    frames = gathered(s.df.join(covered, "idat"), ["turn", "ibin", "ichan", "ipol"], ["idat"], values, n)
 
     def one(k: Columns, x: np.ndarray) -> list[np.ndarray]:
-        return [k["ibin"], k["ichan"], k["ipol"], np.arange(nchan), np.abs(np.fft.fftshift(np.fft.fft(x), axes=-1)) ** 2]
+        return [k["ibin"], k["ichan"], k["ipol"], np.arange(nchan), np.abs(spectra(x, nchan)) ** 2]
 
     powers = map_frames(frames, one, "ibin int, ichan int, ipol int, ifreq int, p double")
     return powers.groupBy("ibin", "ichan", "ipol", "ifreq").agg(F.sum("p").alias("power"), F.count(F.lit(1)).alias("hits"))

@@ -89,10 +89,6 @@ def masked(test: str) -> str:
     return f"CASE WHEN {test} THEN 0 ELSE v END"
 
 
-def train(n: int, period: int, amplitude: int, phase: int = 0) -> str:
-    return f"SELECT range AS idat, CASE WHEN range % {period} = {phase} THEN {amplitude} ELSE 0 END AS v FROM range({n})"
-
-
 def dft(n: int, taper: str = "1.0") -> str:
     """Spectra of parts of n complex samples, in order of frequency."""
     k = f"(k - {n // 2})"
@@ -226,8 +222,8 @@ ORACLE = {
     "level_lookup": f"WITH {D} SELECT idat, ichan, ipol, CAST((v % 4 - 1.5) * 2 / 4 AS DOUBLE) AS v FROM d",
     "two_bit_correct": f"WITH {D}, x AS (SELECT idat, ichan, ipol, v % 4 AS c, sum(CASE WHEN v % 4 IN (1, 2) THEN 1 ELSE 0 END) OVER (PARTITION BY idat // 64, ichan, ipol) AS n FROM d) SELECT idat, ichan, ipol, CAST((CASE WHEN c IN (1, 2) THEN n * 2 ELSE n * 5 + 1 END) * (CASE WHEN c >= 2 THEN 1 ELSE -1 END) AS BIGINT) AS v FROM x",
     **{f"pack_unpack{n}": f"WITH {D} SELECT idat, ichan, ipol, CAST(v % {1 << n} - {1 << n - 1} AS INTEGER) AS v FROM d, nd WHERE idat < ndat // 64 * 64" for n in (2, 4, 8, 16)},
-    "impulse_train": f"SELECT idat, CAST(0 AS INTEGER) AS ichan, CAST(0 AS INTEGER) AS ipol, CAST(v AS INTEGER) AS v FROM ({train(10_000, 37, 5, 3)})",
-    "superposition": f"SELECT idat, CAST(0 AS INTEGER) AS ichan, CAST(0 AS INTEGER) AS ipol, CAST(sum(v) AS BIGINT) AS v FROM ({train(5000, 37, 5, 3)} UNION ALL {train(5000, 41, 7)} UNION ALL {train(5000, 64, 1)}) GROUP BY idat",
+    "impulse_train": f"WITH {D} SELECT idat, CAST(0 AS INTEGER) AS ichan, CAST(0 AS INTEGER) AS ipol, CAST(v + CASE WHEN idat % 37 = 3 THEN 5000 ELSE 0 END AS BIGINT) AS v FROM d, nd WHERE ichan = 0 AND ipol = 0 AND idat < ndat",
+    "superposition": f"WITH {D} SELECT idat, CAST(0 AS INTEGER) AS ichan, CAST(0 AS INTEGER) AS ipol, CAST(sum(v) + CASE WHEN idat % 41 = 0 THEN 700 ELSE 0 END + CASE WHEN idat % 64 = 0 THEN 1 ELSE 0 END AS BIGINT) AS v FROM d, nd WHERE ipol = 0 AND idat < ndat GROUP BY idat",
     "multiplex": f"WITH {D} SELECT (idat // 16 * 8 + ichan * 2 + ipol) * 16 + idat % 16 AS idat, v FROM d",
     "dual": f"WITH {D} SELECT idat, ichan, ipol, v FROM d",
     "parallel_input": f"WITH {D} SELECT idat, ichan, ipol, v * 2 AS v FROM d",
@@ -282,6 +278,11 @@ ORACLE["phase_locked_filterbank"] = f"""WITH {Z}, st AS (SELECT (idat * 1000 + 5
     x AS (SELECT turn, ibin, ichan, ipol, f, sum(re * cos({_C}) - im * sin({_C})) AS r, sum(re * sin({_C}) + im * cos({_C})) AS i, count(*) AS c
         FROM z JOIN st ON idat BETWEEN first AND first + 7, (SELECT range AS f FROM range(8)) GROUP BY turn, ibin, ichan, ipol, f)
     SELECT ibin, ichan, ipol, CAST(f AS INTEGER) AS ifreq, {six('sum(r * r + i * i)', 'power')}, count(*) AS hits FROM x WHERE c = 8 GROUP BY ibin, ichan, ipol, f"""
+_R = "(-2 * pi() * f * (idat - first) / 16)"
+ORACLE["phase_locked_real"] = f"""WITH {D}, z AS (SELECT idat, ichan, ipol, v % 41 - 20 AS v FROM d), st AS (SELECT (idat * 1000 + 500) // 32000 AS turn, {ibin('idat * 1000 + 500', 32_000, 4)} AS ibin, min(idat) AS first FROM z GROUP BY ALL),
+    x AS (SELECT turn, ibin, ichan, ipol, f, sum(v * cos({_R})) AS r, sum(v * sin({_R})) AS i, count(*) AS c
+        FROM z JOIN st ON idat BETWEEN first AND first + 15, (SELECT range AS f FROM range(8)) GROUP BY turn, ibin, ichan, ipol, f)
+    SELECT ibin, ichan, ipol, CAST(f AS INTEGER) AS ifreq, {six('sum(r * r + i * i)', 'power')}, count(*) AS hits FROM x WHERE c = 16 GROUP BY ibin, ichan, ipol, f"""
 ORACLE["baseline_decay"] = f"""WITH {D}, b AS (SELECT a.idat, a.ichan, a.ipol, a.v, sum(o.v * pow(0.9375::DOUBLE, a.idat - o.idat) * CASE WHEN o.idat = 0 THEN 1 ELSE 0.0625::DOUBLE END) AS base
     FROM d a JOIN d o ON a.ichan = o.ichan AND a.ipol = o.ipol AND o.idat <= a.idat GROUP BY ALL) SELECT idat, ichan, ipol, round(v - base, 3) + 0.0 AS v FROM b"""
 
@@ -336,6 +337,8 @@ ORACLE["dedisperse"] = f"WITH {Z}, {_DEDISPERSED} SELECT idat, ichan, ipol, {six
 ORACLE["filterbank_freq_res"] = f"WITH {Z}, {filterbank(4, 8, 1, 2)} SELECT idat, ichan, ipol, {BOTH} FROM y"
 ORACLE["filterbank_dedisperse"] = f"WITH {Z}, {filterbank(4, 8, 1, 1, _chirp(0.01, 32, 'k'))} SELECT idat, ichan, ipol, {rounded('re', 're', 3)}, {rounded('im', 'im', 3)} FROM y"
 ORACLE["filterbank_power_dedisperse"] = f"WITH {Z}, {filterbank(4, 8, 1, 1, _chirp(0.01, 32, 'k'))} SELECT idat, ichan, CAST(0 AS INTEGER) AS ipol, {rounded('sum(re * re + im * im)', 'v', 2)} FROM y GROUP BY idat, ichan"
+#: Delays between the sixteen channels are under a sample; the first one starts after the sample of wrap-around, 4000 microseconds late.
+ORACLE["fold_path_voltages"] = f"WITH {Z}, {filterbank(4, 4, 1, 1, _chirp(0.01, 16, 'k'))}, pw AS (SELECT idat, ichan, sum(re * re + im * im) AS v FROM y GROUP BY idat, ichan) SELECT ichan, CAST(0 AS INTEGER) AS ipol, CAST((4000 + idat * 4000 + 2000) % 64000 * 16 // 64000 AS INTEGER) AS ibin, {rounded('sum(v)', 'total', 2)}, count(*) AS hits FROM pw GROUP BY ALL"
 _D = "(-2 * pi() * (k - 4) * (idat % 8) / 8)"
 ORACLE["cross_bandpass"] = f"""WITH {Z}, f AS (SELECT idat // 8 AS p, ichan, ipol, k, sum(re * cos({_D}) - im * sin({_D})) AS re, sum(re * sin({_D}) + im * cos({_D})) AS im FROM z, nd, (SELECT range AS k FROM range(8)) WHERE idat < ndat // 8 * 8 GROUP BY ALL),
     g AS (SELECT p, ichan, k, max(re) FILTER (WHERE ipol = 0) AS a, max(im) FILTER (WHERE ipol = 0) AS b, max(re) FILTER (WHERE ipol = 1) AS c, max(im) FILTER (WHERE ipol = 1) AS d FROM f GROUP BY ALL)

@@ -10,13 +10,30 @@ import re
 from dataclasses import dataclass, field
 
 from cadenza.meta import INTENSITY, Signal
-from cadenza.operators import delays, detection, digitize, folding, frames, integration, kurtosis, rescale, selection
+from cadenza.operators import delays, detection, digitize, folding, frames, integration, kurtosis, masking, rescale, responses, selection
 
 
 @dataclass(frozen=True)
 class Step:
+    """An operator by name. of names the steps that it stands for after rewriting."""
+
     name: str
     args: dict = field(default_factory=dict)
+    of: tuple[str, ...] = ()
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        return self.of or (self.name,)
+
+
+@dataclass(frozen=True)
+class Hook:
+    """A step that goes before the first one of a name: a dump of what reaches it, or a mask. Steps that are done together stay together, and the hook goes
+    before all of them; with alone, the named step stands by itself."""
+
+    before: str
+    step: Step
+    alone: bool = False
 
 
 OPERATORS = {
@@ -34,36 +51,45 @@ OPERATORS = {
     "rescale": rescale.rescale,
     "digitize": digitize.digitize,
     "filterbank_digitize": digitize.filterbank_digitize,
-    "sample_delay": lambda s, dm=None: delays.sample_delay(s, delays.dispersion_delays(s, dm)),
+    "sample_delay": lambda s, dm=None, shift=None: delays.sample_delay(s, delays.dispersion_delays(s, dm) if shift is None else shift),
     "channelize": frames.channelize,
     "power_filterbank": frames.power_filterbank,
     "dedisperse": frames.dedisperse,
     "inverse_filterbank": frames.inverse_filterbank,
 }
-SELECTS = ("chan_pol_select", "poln_select", "truncate", "chomp")
 
 
-def rewrite(steps: list[Step]) -> list[Step]:
-    """Adjacent time and frequency sums become one; a polarization or time selection moves before a detection that keeps it apart."""
+def _fused(steps: list[Step], apart: set[int]) -> list[Step]:
     out: list[Step] = []
-    for step in steps:
+    for k, step in enumerate(steps):
         if step.name in ("tscrunch", "fscrunch"):
-            step = Step("scrunch", {"time" if step.name == "tscrunch" else "freq": step.args["factor"]})
-        if step.name == "scrunch" and out and out[-1].name == "scrunch":
-            last = out.pop().args
-            step = Step("scrunch", {k: last.get(k, 1) * step.args.get(k, 1) for k in ("time", "freq")})
-        if step.name in ("truncate", "chomp") and out and out[-1].name == "detect":
-            out.insert(len(out) - 1, step)
-            continue
-        if step.name == "chan_pol_select" and "pol" not in step.args and out and out[-1].name == "detect":
+            step = Step("scrunch", {"time" if step.name == "tscrunch" else "freq": step.args["factor"]}, step.names)
+        if step.name == "scrunch" and out and out[-1].name == "scrunch" and k not in apart:
+            last = out.pop()
+            step = Step("scrunch", {k: last.args.get(k, 1) * step.args.get(k, 1) for k in ("time", "freq")}, last.names + step.names)
+        moves = step.name in ("truncate", "chomp") or step.name == "chan_pol_select" and "pol" not in step.args
+        if moves and out and out[-1].name == "detect":
             out.insert(len(out) - 1, step)
             continue
         out.append(step)
     return out
 
 
-def build(source: Signal, steps: list[Step]) -> Signal:
-    for step in rewrite(steps):
+def rewrite(steps: list[Step], hooks: list[Hook] | None = None) -> list[Step]:
+    """Adjacent time and frequency sums become one; a polarization or time selection moves before a detection that keeps it apart; then hooks are put in."""
+    hooks = hooks or []
+    first = lambda name: next((k for k, s in enumerate(steps) if s.name == name), None)
+    out = _fused(steps, {first(h.before) for h in hooks if h.alone})
+    for hook in hooks:
+        at = next((k for k, s in enumerate(out) if hook.before in s.names and (not hook.alone or s.names[0] == hook.before)), None)
+        if at is None:
+            raise ValueError(f"no step {hook.before} to go before")
+        out.insert(at, hook.step)
+    return out
+
+
+def build(source: Signal, steps: list[Step], hooks: list[Hook] | None = None) -> Signal:
+    for step in rewrite(steps, hooks):
         source = OPERATORS[step.name](source, **step.args)
     return source
 
@@ -152,4 +178,4 @@ def dump(s: Signal, path: str) -> Signal:
     return s.then("dump", s.df.sparkSession.read.schema(s.df.schema).parquet(path))
 
 
-OPERATORS |= {"dump": dump, "derotate": frames.derotate, "convolve": frames.convolve, "sample_delay": delays.sample_delay}
+OPERATORS |= {"dump": dump, "mask_times": masking.mask_times, "apply_weights": masking.apply_weights, "derotate": frames.derotate, "convolve": frames.convolve, "respond": responses.respond}

@@ -466,11 +466,16 @@ def _round_trip(nbit):
 
 
 def q_impulse_train(s, d):
-    return _samples(generators.impulse_train(s, 10_000, 37, 5, 3))
+    """Pulses put into one channel and polarization of the events, of the signal's length."""
+    sig = selection.chan_pol_select(powers(s, d), (0, 0), (0, 0))
+    return _samples(integration.superpose([sig, generators.impulse_train(s, sig.meta.ndat, 37, 5000, 3)]))
 
 
 def q_superposition(s, d):
-    return _samples(integration.superpose([generators.impulse_train(s, 5000, 37, 5, 3), generators.impulse_train(s, 5000, 41, 7), generators.impulse_train(s, 5000, 64, 1)]))
+    """The channels of the first polarization on top of each other, and two trains."""
+    sig = selection.poln_select(powers(s, d), 0)
+    bands = [selection.chan_pol_select(sig, (c, c)) for c in range(4)]
+    return _samples(integration.superpose([*bands, generators.impulse_train(s, sig.meta.ndat, 41, 700), generators.impulse_train(s, sig.meta.ndat, 64, 1)]))
 
 
 def q_multiplex(s, d):
@@ -611,6 +616,19 @@ def q_phase_locked_filterbank(s, d):
     return frames.phase_locked_filterbank(voltages(s, d), 8, 32_000, 4).select("ibin", "ichan", "ipol", "ifreq", *six("power"), "hits")
 
 
+def q_phase_locked_real(s, d):
+    """Eight channels of transforms of sixteen real samples."""
+    sig = powers(s, d)
+    sig = Signal(sig.df.withColumn("v", F.col("v") % 41 - 20), sig.meta.but(state=NYQUIST))
+    return frames.phase_locked_filterbank(sig, 8, 32_000, 4).select("ibin", "ichan", "ipol", "ifreq", *six("power"), "hits")
+
+
+def q_fold_path_voltages(s, d):
+    """Voltages split into sixteen channels, dedispersed as they are split, detected, delayed and folded."""
+    out = pipeline.fold_path(voltages(s, d), 64_000, 16, dm=0.01, channels="4:D")
+    return out.select("ichan", "ipol", "ibin", (F.round("total", 2) + 0.0).alias("total"), "hits")
+
+
 def q_baseline_decay(s, d):
     return rescale.baseline_decay(powers(s, d), 16.0).df.select("idat", "ichan", "ipol", (F.round("v", 3) + 0.0).alias("v"))
 

@@ -125,3 +125,29 @@ def test_responses_in_series_add_what_they_wrap_around():
     assert np.array_equal(c.decimated(4).points, (c.points[::2] + c.points[1::2]) / 2)
     with pytest.raises(ValueError):
         a * response.Response(np.ones(4))
+
+
+def test_bins_of_long_periods_are_exact(spark):
+    from pyspark.sql import functions as F
+
+    from cadenza.operators import folding
+
+    period, nbin = 3_000_000_000_001_237, 2048  # their product is above 2**53
+    edges = [-(-k * period // nbin) + d for k in (0, 1, 777, 1024, 2047) for d in (-1, 0, 1)] + [5 * period - 1, 5 * period]
+    df = spark.createDataFrame([(x,) for x in edges], "us long")
+    got = [tuple(r) for r in df.select(folding.phase_bin(F.col("us"), period, nbin), folding.turn(F.col("us"), period)).collect()]
+    assert got == [(x % period * nbin // period, x // period) for x in edges]
+    with pytest.raises(ValueError):
+        folding.phase_bin(F.col("us"), 1 << 60, 8)
+
+
+def test_period_of_a_calibrator_and_rate_of_a_fold():
+    from cadenza.meta import ObsMeta, Signal
+    from cadenza.operators import folding
+
+    cal = ObsMeta(mode="CAL", cal_frequency=11.125, rate=1e4, ndat=10**6)
+    assert folding.fold_period_us(cal) == round(1e6 / 11.125) and folding.fold_period_us(cal, 5000) == 5000
+    with pytest.raises(ValueError):
+        folding.fold_period_us(cal.but(mode="PSR"))
+    meta = folding.folded_meta(Signal(None, cal), 89_888, 64)
+    assert meta.rate == pytest.approx(64 / 0.089888) and meta.ndat == 64

@@ -1,6 +1,6 @@
 import pytest
 
-from cadenza.plans.pipeline import Step, build, parse_channels, rewrite
+from cadenza.plans.pipeline import Hook, Step, build, parse_channels, rewrite
 from cadenza.queries import powers, voltages
 
 
@@ -52,3 +52,28 @@ def test_rfi_filter_zeroes_the_strong_channel(spark, sf_dir):
 
     rows = QUERIES["rfi_filter"](spark, sf_dir).groupBy("ichan").sum("v").toPandas().set_index("ichan")["sum(v)"]
     assert rows[77] == 0 and (rows > 0).sum() >= 120
+
+
+def test_hooks_go_before_a_named_step_and_leave_fusion(spark, sf_dir, tmp_path):
+    steps = [Step("detect"), Step("chan_pol_select", {"chan": (0, 1)}), Step("tscrunch", {"factor": 2}), Step("fscrunch", {"factor": 2}), Step("digitize", {"nbit": 8})]
+    dump = Step("dump", {"path": str(tmp_path / "seen")})
+    assert [s.name for s in rewrite(steps, [Hook("fscrunch", dump)])] == ["chan_pol_select", "detect", "dump", "scrunch", "digitize"]
+    alone = rewrite(steps, [Hook("fscrunch", dump, alone=True)])
+    assert [s.name for s in alone] == ["chan_pol_select", "detect", "scrunch", "dump", "scrunch", "digitize"] and alone[2].args == {"time": 2} and alone[4].args == {"freq": 2}
+    assert [s.name for s in rewrite(steps, [Hook("detect", dump), Hook("digitize", dump)])] == ["chan_pol_select", "dump", "detect", "scrunch", "dump", "digitize"]
+    with pytest.raises(ValueError, match="no step rescale"):
+        rewrite(steps, [Hook("rescale", dump)])
+    plain, hooked = build(voltages(spark, sf_dir), steps), build(voltages(spark, sf_dir), steps, [Hook("fscrunch", dump)])
+    rows = lambda x: sorted(map(tuple, x.df.select("idat", "ichan", "ipol", "v").collect()))
+    assert rows(plain) == rows(hooked) and spark.read.parquet(str(tmp_path / "seen")).count() == powers(spark, sf_dir).meta.ndat * 2
+    assert hooked.df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_delay_steps(spark, sf_dir):
+    from cadenza.operators import delays
+
+    sig = powers(spark, sf_dir)
+    rows = lambda x: sorted(map(tuple, x.df.select("idat", "ichan", "ipol", "v").collect()))
+    assert rows(build(sig, [Step("sample_delay", {"dm": 5.0})])) == rows(delays.sample_delay(sig, delays.dispersion_delays(sig, 5.0)))
+    shift = [(0, 0), (1, 2), (2, 1), (3, 0)]
+    assert rows(build(sig, [Step("sample_delay", {"shift": shift})])) == rows(delays.sample_delay(sig, shift))
