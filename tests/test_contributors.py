@@ -1,0 +1,87 @@
+"""Sub-integrations of several contributors: completeness, late ones, those that stop, and the end of a stream."""
+
+import time
+from collections import Counter
+
+import numpy as np
+
+from cadenza.streaming.contributors import streaming_contributions
+from cadenza.streaming.subint import run_to_table
+
+SCHEMA = "contributor int, us long, ichan int, ipol int, v double"
+PERIOD, NBIN, LENGTH = 1000, 4, 10_000
+
+
+def feed(spark, folder, batches):
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/b={k:03d}-{time.monotonic_ns()}")
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/b=*")
+
+
+def samples(rng, contributor, low, high, n=40):
+    return [(contributor, int(us), int(c), 0, float(rng.integers(1, 9))) for us, c in zip(rng.integers(low, high, n), rng.integers(0, 2, n))]
+
+
+def ends(*contributors):
+    return [(k, None, c, 0, None) for k in contributors for c in (0, 1)]
+
+
+def folded(rows):
+    total, hits = Counter(), Counter()
+    for _, us, c, _, v in rows:
+        if us is not None:
+            key = (us // LENGTH, c, us % PERIOD * NBIN // PERIOD)
+            total[key] += v
+            hits[key] += 1
+    return {k: (total[k], hits[k]) for k in total}
+
+
+def summed(out):
+    total, hits = Counter(), Counter()
+    for r in out:
+        total[r.division, r.ichan, r.ibin] += r.total
+        hits[r.division, r.ichan, r.ibin] += r.hits
+    return {k: (total[k], hits[k]) for k in total}
+
+
+def test_every_sample_comes_out_once_however_contributors_interleave(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    batches = [
+        samples(rng, 0, 0, 30_000) + samples(rng, 1, 0, 15_000),  # contributor 2 has sent nothing: nothing is complete
+        samples(rng, 2, 0, 12_000) + samples(rng, 1, 15_000, 30_000),  # all have passed division 0
+        samples(rng, 0, 30_000, 60_000) + samples(rng, 2, 2000, 40_000, 80),  # contributor 2 comes late to division 0
+        samples(rng, 1, 30_000, 60_000) + ends(0, 1),
+        samples(rng, 2, 40_000, 60_000) + ends(2),
+    ]
+    rows = feed(spark, str(tmp_path / "in"), batches[:3])
+    run = lambda s: run_to_table(streaming_contributions(s, 3, PERIOD, NBIN, LENGTH), str(tmp_path / "out"), str(tmp_path / "cp"))
+    run(rows)
+    early = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {r.division for r in early} == {0, 1} and {r.part for r in early if r.division == 0} == {0, 1}
+    assert all(r.part == 0 for r in early if r.division > 0)
+    run(feed(spark, str(tmp_path / "in"), batches[3:]))  # from the checkpoint
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert summed(out) == folded([r for b in batches for r in b])
+    assert {r.part for r in out if r.division > 0} == {0}
+    assert spark.read.format("statestore").load(str(tmp_path / "cp")).count() == 0
+
+
+def test_a_contributor_that_stops_is_given_up(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    first = samples(rng, 0, 0, 30_000) + samples(rng, 1, 0, 9000)  # contributor 1 sends nothing more
+    stream = streaming_contributions(feed(spark, str(tmp_path / "in"), [first]), 2, PERIOD, NBIN, LENGTH, patience_ms=1500)
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds").start()
+    try:
+        read = lambda: spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()
+        begun = time.monotonic()
+        while time.monotonic() - begun < 60 and not (query.lastProgress and summed(read()) == folded(first)):
+            time.sleep(0.5)
+        assert summed(read()) == folded(first)
+        back = samples(rng, 1, 9000, 21_000)  # it comes back: further records of what was given out
+        feed(spark, str(tmp_path / "in"), [back])
+        while time.monotonic() - begun < 120 and summed(read()) != folded(first + back):
+            time.sleep(0.5)
+        out = read()
+        assert summed(out) == folded(first + back) and {r.part for r in out} == {0, 1}
+    finally:
+        query.stop()
