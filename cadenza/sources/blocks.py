@@ -1,4 +1,4 @@
-"""Files as fixed-size blocks of bytes: one splittable Spark source for all raw formats, and writing in place.
+"""Files as fixed-size blocks of bytes: one splittable Spark source for all raw formats, and one file written by many tasks.
 
 A format says where its blocks start and how large they are; a split is a run of whole blocks, read by seeking, so that a
 file of any size is dealt over the cluster and no row is larger than a block. Paths are local or mounted, or URIs of file systems
@@ -7,14 +7,17 @@ that Arrow opens (file, hdfs, s3, gs).
 
 from __future__ import annotations
 
+import base64
+import contextlib
 import json
+import os
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 SCHEMA = "file int, block long, raw binary"
 
@@ -47,7 +50,9 @@ class BlockReader(DataSourceReader):
             out += [Split(k, f["path"], f["start"], f["size"], at, min(each, total - at), f["end"]) for at in range(0, total, each)]
         return out
 
-    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Split | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no file has a block
+            return
         file, path, start, size, first, count, end = partition.value
         with opened(path) as f:
             for block in range(first, first + count):
@@ -56,6 +61,53 @@ class BlockReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block], pa.int64()), pa.array([raw], pa.binary())], ["file", "block", "raw"])
 
 
+class Follower(DataSourceStreamReader):
+    """Blocks of the files of a folder as they grow: the offset is the number of whole blocks of each file, so a partial last one waits.
+
+    Offsets are in Spark's checkpoint: a restart goes on behind the last block that was committed. Files have a number by their order of appearance;
+    names only ever join the list.
+    """
+
+    def __init__(self, options: dict) -> None:
+        self.folder, self.start, self.size = options["folder"], int(options.get("start", 0)), int(options["size"])
+        self.suffix, self.split, self.most = options.get("suffix", ""), int(options.get("split", 64 << 20)), int(options.get("most", 1 << 62))
+        self.told: dict[str, int] = {}
+
+    def initialOffset(self) -> dict:
+        return {"names": "[]", "blocks": "[]"}
+
+    def _whole(self) -> dict[str, int]:
+        system, inner = fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
+        found = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+        files = sorted((f for f in found if f.type == fs.FileType.File and f.base_name.endswith(self.suffix) and not f.base_name.startswith(".")), key=lambda f: f.base_name)
+        return {f.base_name: max(0, (f.size or 0) - self.start) // self.size for f in files}
+
+    def latestOffset(self) -> dict:
+        """At most ``most`` new blocks of all files at a time."""
+        left = self.most
+        for name, blocks in self._whole().items():
+            new = min(left, blocks - self.told.get(name, 0))
+            if name in self.told or new > 0:
+                self.told[name] = self.told.get(name, 0) + max(0, new)
+                left -= max(0, new)
+        return {"names": json.dumps(list(self.told)), "blocks": json.dumps(list(self.told.values()))}
+
+    def partitions(self, start: dict, end: dict) -> list[Split]:
+        known = lambda o: dict(zip(json.loads(o["names"]), json.loads(o["blocks"])))
+        before, now, out = known(start), known(end), []
+        self.told = {k: max(v, self.told.get(k, 0)) for k, v in now.items()} | {k: v for k, v in self.told.items() if k not in now}
+        each = max(1, self.split // self.size)
+        for number, (name, blocks) in enumerate(now.items()):
+            path = f"{self.folder.rstrip('/')}/{name}"
+            out += [Split(number, path, self.start, self.size, at, min(each, blocks - at), self.start + blocks * self.size) for at in range(before.get(name, 0), blocks, each)]
+        return out
+
+    read = BlockReader.read
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held for blocks that were given out."""
+
+
 class BlockSource(DataSource):
     """spark.read.format("cadenza_blocks").option("files", json of [{path, start, size, end}]).load()"""
 
@@ -69,6 +121,12 @@ class BlockSource(DataSource):
     def reader(self, schema) -> BlockReader:
         return BlockReader(dict(self.options))
 
+    def streamReader(self, schema) -> Follower:
+        return Follower(dict(self.options))
+
+    def writer(self, schema, overwrite: bool) -> BlockWriter:
+        return BlockWriter(dict(self.options))
+
 
 def read_blocks(spark: SparkSession, files: list[tuple[str, int, int, int]], split: int = 64 << 20) -> DataFrame:
     """(file, block, raw) of files (path, start, size, end): blocks of size bytes from start on; the last may be shorter."""
@@ -77,28 +135,72 @@ def read_blocks(spark: SparkSession, files: list[tuple[str, int, int, int]], spl
     return spark.read.format("cadenza_blocks").option("files", json.dumps(named)).option("split", split).load()
 
 
-def write_in_place(blocks: DataFrame, path: str, head: bytes, size: int, length: int, tail: bytes = b"") -> None:
-    """Writes (block, raw) of ``size`` bytes each, ``length`` in all, behind a head into one file on a mounted path.
+def follow_blocks(spark: SparkSession, folder: str, size: int, start: int = 0, suffix: str = "", split: int = 64 << 20, most: int = 1 << 62) -> DataFrame:
+    """A stream of (file, block, raw) of the files of a folder, whole blocks of ``size`` bytes behind ``start`` bytes of head, as they are written; new
+    files join. A batch takes ``most`` blocks at most."""
+    spark.dataSource.register(BlockSource)
+    options = {"folder": folder, "size": size, "start": start, "suffix": suffix, "split": split, "most": most}
+    return spark.readStream.format("cadenza_blocks").options(**options).load()
+
+
+class Placed(WriterCommitMessage):
+    def __init__(self, written: int) -> None:
+        self.written = written
+
 
-    The driver writes the head and the tail and sets the length; tasks write each block at its own place, so the data never pass through the driver
-    and a repeated task writes the same bytes again.
+class BlockWriter(DataSourceArrowWriter):
+    """Blocks at their places in one file, beside the target until the job commits.
+
+    A task that runs again writes the same bytes again. The driver writes the head and the tail, sets the length and gives the file its name once all
+    tasks have reported and no block is missing; a job that fails leaves the target as it was.
     """
-    with open(path, "wb") as f:
-        f.write(head)
-        f.truncate(len(head) + length)
-        f.seek(len(head) + length)
-        f.write(tail)
-    start = len(head)
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = 0
-        with open(path, "r+b") as f:
-            for batch in batches:
-                for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    f.seek(start + block * size)
+
+    def __init__(self, options: dict) -> None:
+        self.path, self.size, self.length = options["path"], int(options["size"]), int(options["length"])
+        self.head, self.tail = (base64.b64decode(options.get(c, "")) for c in ("head", "tail"))
+        self.written = int(options.get("written", self.length))
+        folder, name = os.path.split(os.path.abspath(self.path))
+        self.beside = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Placed:
+        done, f = 0, None
+        try:
+            for batch in iterator:
+                for block, raw in zip(batch.column("block").to_pylist(), batch.column("raw").to_pylist()):
+                    f = f or os.fdopen(os.open(self.beside, os.O_RDWR | os.O_CREAT, 0o644), "r+b")
+                    f.seek(len(self.head) + block * self.size)
                     done += f.write(raw)
-        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["bytes"])
+        finally:
+            if f is not None:
+                f.close()
+        return Placed(done)
+
+    def commit(self, messages: list[Placed | None]) -> None:
+        done = sum(m.written for m in messages if m is not None)
+        if done != self.written:
+            self.abort(messages)
+            raise OSError(f"{done} bytes were written instead of {self.written}")
+        with os.fdopen(os.open(self.beside, os.O_RDWR | os.O_CREAT, 0o644), "r+b") as f:
+            f.write(self.head)
+            f.truncate(len(self.head) + self.length)
+            f.seek(len(self.head) + self.length)
+            f.write(self.tail)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(self.beside, self.path)
+
+    def abort(self, messages: list[Placed | None]) -> None:
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(self.beside)
+
+
+def write_in_place(blocks: DataFrame, path: str, head: bytes, size: int, length: int, tail: bytes = b"", written: int | None = None) -> None:
+    """Writes (block, raw) of ``size`` bytes each, ``length`` in all, behind a head into one file on a mounted path.
 
-    done = blocks.select("block", "raw").mapInArrow(put, "bytes long").agg(F.sum("bytes")).first()[0] or 0
-    if done != length:
-        raise OSError(f"{done} bytes were written instead of {length}")
+    Tasks write each block at its own place, so the data never pass through the driver. The file appears whole or not at all. Blocks that are missing
+    are zeros where ``written``, the bytes that blocks hold in all, allows for them.
+    """
+    blocks.sparkSession.dataSource.register(BlockSource)
+    options = {"path": path, "size": size, "length": length, "head": base64.b64encode(head).decode(), "tail": base64.b64encode(tail).decode()}
+    options |= {} if written is None else {"written": written}
+    blocks.select("block", "raw").write.format("cadenza_blocks").options(**options).mode("append").save()
