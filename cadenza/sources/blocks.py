@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 SCHEMA = "file int, block long, raw binary"
+FOLLOWED = "file string, block long, raw binary"  # of a stream, whose files have no numbers
 
 
 def opened(path: str):
@@ -35,10 +36,21 @@ def head_of(path: str, size: int = 1 << 16) -> tuple[bytes, int]:
 
 
 class Split(InputPartition):
-    def __init__(self, file: int, path: str, start: int, size: int, first: int, count: int, end: int) -> None:
+    def __init__(self, file: int | str, path: str, start: int, size: int, first: int, count: int, end: int) -> None:
         super().__init__((file, path, start, size, first, count, end))
 
 
+def blocks_of(partition: Split | None, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    if partition is None:  # no file has a block
+        return
+    file, path, start, size, first, count, end = partition.value
+    with opened(path) as f:
+        for block in range(first, first + count):
+            f.seek(start + block * size)
+            raw = f.read(min(size, end - start - block * size))
+            yield pa.RecordBatch.from_arrays([pa.array([file], kind), pa.array([block], pa.int64()), pa.array([raw], pa.binary())], ["file", "block", "raw"])
+
+
 class BlockReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.files, self.split = json.loads(options["files"]), int(options.get("split", 64 << 20))
@@ -51,58 +63,37 @@ class BlockReader(DataSourceReader):
         return out
 
     def read(self, partition: Split | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # no file has a block
-            return
-        file, path, start, size, first, count, end = partition.value
-        with opened(path) as f:
-            for block in range(first, first + count):
-                f.seek(start + block * size)
-                raw = f.read(min(size, end - start - block * size))
-                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block], pa.int64()), pa.array([raw], pa.binary())], ["file", "block", "raw"])
+        return blocks_of(partition, pa.int32())
 
 
 class Follower(DataSourceStreamReader):
-    """Blocks of the files of a folder as they grow: the offset is the number of whole blocks of each file, so a partial last one waits.
+    """Blocks of the files of a folder as they grow: the offset is the number of whole blocks of each file by name, so a partial last one waits.
 
-    Offsets are in Spark's checkpoint: a restart goes on behind the last block that was committed. Files have a number by their order of appearance;
-    names only ever join the list.
+    Offsets are in Spark's checkpoint: a restart goes on behind the last batch that was planned. A batch takes all that has come, cut into splits.
     """
 
     def __init__(self, options: dict) -> None:
-        self.folder, self.start, self.size = options["folder"], int(options.get("start", 0)), int(options["size"])
-        self.suffix, self.split, self.most = options.get("suffix", ""), int(options.get("split", 64 << 20)), int(options.get("most", 1 << 62))
-        self.told: dict[str, int] = {}
+        self.folder, self.start, self.size = options["folder"].rstrip("/"), int(options.get("start", 0)), int(options["size"])
+        self.suffix, self.split = options.get("suffix", ""), int(options.get("split", 64 << 20))
 
     def initialOffset(self) -> dict:
-        return {"names": "[]", "blocks": "[]"}
+        return {}
 
-    def _whole(self) -> dict[str, int]:
+    def latestOffset(self) -> dict:
         system, inner = fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
         found = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
-        files = sorted((f for f in found if f.type == fs.FileType.File and f.base_name.endswith(self.suffix) and not f.base_name.startswith(".")), key=lambda f: f.base_name)
+        files = (f for f in found if f.type == fs.FileType.File and f.base_name.endswith(self.suffix) and not f.base_name.startswith("."))
         return {f.base_name: max(0, (f.size or 0) - self.start) // self.size for f in files}
 
-    def latestOffset(self) -> dict:
-        """At most ``most`` new blocks of all files at a time."""
-        left = self.most
-        for name, blocks in self._whole().items():
-            new = min(left, blocks - self.told.get(name, 0))
-            if name in self.told or new > 0:
-                self.told[name] = self.told.get(name, 0) + max(0, new)
-                left -= max(0, new)
-        return {"names": json.dumps(list(self.told)), "blocks": json.dumps(list(self.told.values()))}
-
     def partitions(self, start: dict, end: dict) -> list[Split]:
-        known = lambda o: dict(zip(json.loads(o["names"]), json.loads(o["blocks"])))
-        before, now, out = known(start), known(end), []
-        self.told = {k: max(v, self.told.get(k, 0)) for k, v in now.items()} | {k: v for k, v in self.told.items() if k not in now}
-        each = max(1, self.split // self.size)
-        for number, (name, blocks) in enumerate(now.items()):
-            path = f"{self.folder.rstrip('/')}/{name}"
-            out += [Split(number, path, self.start, self.size, at, min(each, blocks - at), self.start + blocks * self.size) for at in range(before.get(name, 0), blocks, each)]
+        each, out = max(1, self.split // self.size), []
+        for name, blocks in sorted(end.items()):
+            path = f"{self.folder}/{name}"
+            out += [Split(path, path, self.start, self.size, at, min(each, blocks - at), self.start + blocks * self.size) for at in range(start.get(name, 0), blocks, each)]
         return out
 
-    read = BlockReader.read
+    def read(self, partition: Split | None) -> Iterator[pa.RecordBatch]:
+        return blocks_of(partition, pa.string())
 
     def commit(self, end: dict) -> None:
         """Nothing is held for blocks that were given out."""
@@ -116,7 +107,7 @@ class BlockSource(DataSource):
         return "cadenza_blocks"
 
     def schema(self) -> str:
-        return SCHEMA
+        return FOLLOWED if "folder" in self.options else SCHEMA
 
     def reader(self, schema) -> BlockReader:
         return BlockReader(dict(self.options))
@@ -135,11 +126,11 @@ def read_blocks(spark: SparkSession, files: list[tuple[str, int, int, int]], spl
     return spark.read.format("cadenza_blocks").option("files", json.dumps(named)).option("split", split).load()
 
 
-def follow_blocks(spark: SparkSession, folder: str, size: int, start: int = 0, suffix: str = "", split: int = 64 << 20, most: int = 1 << 62) -> DataFrame:
-    """A stream of (file, block, raw) of the files of a folder, whole blocks of ``size`` bytes behind ``start`` bytes of head, as they are written; new
-    files join. A batch takes ``most`` blocks at most."""
+def follow_blocks(spark: SparkSession, folder: str, size: int, start: int = 0, suffix: str = "", split: int = 64 << 20) -> DataFrame:
+    """A stream of (file, its path, block, raw) of the files of a folder, whole blocks of ``size`` bytes behind ``start`` bytes of head, as they are written;
+    new files join."""
     spark.dataSource.register(BlockSource)
-    options = {"folder": folder, "size": size, "start": start, "suffix": suffix, "split": split, "most": most}
+    options = {"folder": folder, "size": size, "start": start, "suffix": suffix, "split": split}
     return spark.readStream.format("cadenza_blocks").options(**options).load()
 
 
