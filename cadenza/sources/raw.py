@@ -72,11 +72,41 @@ def read_raw(spark: SparkSession, paths: list[str], block: int = BLOCK) -> list[
     return out
 
 
+def heads_of(spark: SparkSession, paths: list[str], size: int = 4096) -> list[tuple[bytes, int]]:
+    """The first bytes and the length of each file, read in tasks."""
+
+    def run(batches):
+        for pdf in batches:
+            found = [head_of(p, size) for p in pdf["path"]]
+            yield pd.DataFrame({"i": pdf["i"], "head": [h for h, _ in found], "length": [n for _, n in found]})
+
+    rows = spark.createDataFrame(list(enumerate(paths)), "i long, path string").repartition(max(1, min(64, len(paths))), "i").mapInPandas(run, "i long, head binary, length long")
+    return [(bytes(r["head"]), r["length"]) for r in sorted(rows.collect(), key=lambda r: r["i"])]
+
+
 def read_multi(spark: SparkSession, paths: list[str], block: int = BLOCK) -> Signal:
-    """Files that follow each other in time, in any order of names, as one signal."""
-    from cadenza.operators.integration import serial
+    """Files with text headers that follow each other in time, in any order of names, as one signal: one scan over the blocks of all, whatever their
+    number. Each file's first sample is a number beside its name."""
+    from cadenza.meta import combined_ndat
+
+    files = []
+    for path, (head, length) in zip(paths, heads_of(spark, paths)):
+        h = parse_ascii(head.decode("latin-1"))
+        meta, start = ascii_meta(h), int(h.get("HDR_SIZE", 4096))
+        files.append((meta.but(ndat=min(meta.ndat or 1 << 62, meta.nsamples(length - start))), path, start, length))
+    files.sort(key=lambda f: f[0].start_us)
+    total, meta = combined_ndat([f[0] for f in files]), files[0][0]
+    samples, size = whole_samples(meta, block)
+    counts = [f[0].ndat for f in files]
+    firsts = np.concatenate([[0], np.cumsum(counts)]).tolist()
+
+    def one(file, k, raw):
+        v, per = numbers(raw, meta, True), meta.nchan * meta.npol * meta.ndim
+        return columns(v[: len(v) // per * per].reshape(-1, meta.nchan, meta.npol, meta.ndim)[: max(0, counts[file] - k * samples)], firsts[file] + k * samples)
 
-    return serial(sorted(read_raw(spark, paths, block), key=lambda s: s.meta.start_us))
+    named = [(path, start, size, length) for _, path, start, length in files]
+    out = decoded(read_blocks(spark, named), meta, one, "float" if meta.nbit == -32 else "int")
+    return out.then("multi", out.df, ndat=total)
 
 
 def read_filterbank(spark: SparkSession, path: str, block: int = BLOCK) -> Signal:

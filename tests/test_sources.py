@@ -114,3 +114,25 @@ def test_text_lines(spark, tmp_path):
     raw.write_text(volts(spark, 30), str(tmp_path / "t"))
     lines = [tuple(map(int, r["value"].split())) for r in spark.read.text(str(tmp_path / "t")).collect()]
     assert sorted(lines) == sorted(map(tuple, volts(spark, 30).df.select("idat", "ichan", "ipol", "re", "im").collect()))
+
+
+def test_many_files_are_one_scan(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from cadenza.meta import PPQQ, ObsMeta, Signal
+    from cadenza.sources import raw
+
+    meta = ObsMeta(nchan=2, npol=1, nbit=8, rate=1000.0, centre_frequency=1400.0, bandwidth=2.0, start_us=1_704_067_200_000_000, state=PPQQ, telescope="A", source="B")
+    df = spark.range(300).selectExpr("id AS idat", "explode(sequence(0, 1)) AS ichan", "0 AS ipol").withColumn("v", F.expr("CAST((idat * 7 + ichan * 3) % 100 AS INT)"))
+    names = []
+    for k, (low, high) in enumerate([(0, 90), (90, 100), (100, 260), (260, 300)]):
+        part = Signal(df.filter(f"idat >= {low} AND idat < {high}").withColumn("idat", F.col("idat") - low), meta.but(ndat=high - low, start_us=meta.start_us + low * 1000))
+        names.append(str(tmp_path / f"{9 - k}.raw"))
+        raw.write_raw(part, names[-1], samples=32)
+    whole = raw.read_multi(spark, sorted(names), block=64)
+    assert whole.meta.ndat == 300 and whole.meta.start_us == meta.start_us
+    key = lambda x: sorted(map(tuple, x.select("idat", "ichan", "ipol", "v").collect()))
+    assert key(whole.df) == key(df)
+    assert whole.df._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+    with pytest.raises(ValueError, match="do not follow"):
+        raw.read_multi(spark, [names[0], names[2]])
