@@ -31,7 +31,7 @@ def piece_bytes(p, i):
 def plain(rows, sides):
     """(doc_id, n_a, ..., groups_sha256) of each row, by ends of tokens and nothing else; whole texts are encoded at once."""
     one, two = sides
-    letters = alignment.byte_letters()
+    letters, pieces = alignment.byte_letters(), [piece_bytes(two, i) for i in range(two.get_piece_size())]
     per_row, count = [], Counter()
     for doc, text in rows:
         if not text:
@@ -39,7 +39,7 @@ def plain(rows, sides):
             continue
         a, b = one.encode(" " + text, add_special_tokens=False), two.encode(text)
         raw_a = [bytes(letters[c] for c in t) for t in a.tokens]
-        raw_b = [piece_bytes(two, i) for i in b]
+        raw_b = [pieces[i] for i in b]
         if not b"".join(raw_a) == b"".join(raw_b) == (" " + text).encode():
             per_row.append((doc, None))
             continue
