@@ -44,14 +44,14 @@ def plain(rows, sides):
             per_row.append((doc, None))
             continue
         ends = [dict(zip(np.cumsum([len(x) for x in raw]).tolist(), range(len(raw)))) for raw in (raw_a, raw_b)]
-        groups, links, i, j = [], [], 0, 0
+        ids, groups, links, i, j = a.ids, [], [], 0, 0
         for at in sorted(set(ends[0]) & set(ends[1])):
             k, m = ends[0][at] + 1, ends[1][at] + 1
-            groups.append(",".join(map(str, a.ids[i:k])) + "|" + ",".join(map(str, b[j:m])))
-            links.append((a.ids[k - 1], b[m - 1]))
+            groups.append(",".join(map(str, ids[i:k])) + "|" + ",".join(map(str, b[j:m])))
+            links.append((ids[k - 1], b[m - 1]))
             i, j = k, m
         count.update(links)
-        per_row.append((doc, (len(a.ids), len(b), groups, links)))
+        per_row.append((doc, (len(ids), len(b), groups, links)))
     most = defaultdict(int)
     for (_, y), n in count.items():
         most[y] = max(most[y], n)
