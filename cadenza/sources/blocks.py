@@ -36,30 +36,30 @@ def head_of(path: str, size: int = 1 << 16) -> tuple[bytes, int]:
 
 
 class Split(InputPartition):
-    def __init__(self, file: int | str, path: str, start: int, size: int, first: int, count: int, end: int) -> None:
-        super().__init__((file, path, start, size, first, count, end))
+    def __init__(self, file: int | str, path: str, start: int, size: int, first: int, count: int, end: int, overlap: int = 0) -> None:
+        super().__init__((file, path, start, size, first, count, end, overlap))
 
 
 def blocks_of(partition: Split | None, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     if partition is None:  # no file has a block
         return
-    file, path, start, size, first, count, end = partition.value
+    file, path, start, size, first, count, end, overlap = partition.value
     with opened(path) as f:
         for block in range(first, first + count):
             f.seek(start + block * size)
-            raw = f.read(min(size, end - start - block * size))
+            raw = f.read(min(size + overlap, end - start - block * size))
             yield pa.RecordBatch.from_arrays([pa.array([file], kind), pa.array([block], pa.int64()), pa.array([raw], pa.binary())], ["file", "block", "raw"])
 
 
 class BlockReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.files, self.split = json.loads(options["files"]), int(options.get("split", 64 << 20))
+        self.files, self.split, self.overlap = json.loads(options["files"]), int(options.get("split", 64 << 20)), int(options.get("overlap", 0))
 
     def partitions(self) -> list[Split]:
         out = []
         for k, f in enumerate(self.files):
             total, each = -(-max(0, f["end"] - f["start"]) // f["size"]), max(1, self.split // f["size"])
-            out += [Split(k, f["path"], f["start"], f["size"], at, min(each, total - at), f["end"]) for at in range(0, total, each)]
+            out += [Split(k, f["path"], f["start"], f["size"], at, min(each, total - at), f["end"], self.overlap) for at in range(0, total, each)]
         return out
 
     def read(self, partition: Split | None) -> Iterator[pa.RecordBatch]:
@@ -119,11 +119,12 @@ class BlockSource(DataSource):
         return BlockWriter(dict(self.options))
 
 
-def read_blocks(spark: SparkSession, files: list[tuple[str, int, int, int]], split: int = 64 << 20) -> DataFrame:
-    """(file, block, raw) of files (path, start, size, end): blocks of size bytes from start on; the last may be shorter."""
+def read_blocks(spark: SparkSession, files: list[tuple[str, int, int, int]], split: int = 64 << 20, overlap: int = 0) -> DataFrame:
+    """(file, block, raw) of files (path, start, size, end): blocks of size bytes from start on, with the ``overlap`` bytes behind each, which the next one has
+    again; the last may be shorter."""
     spark.dataSource.register(BlockSource)
     named = [dict(zip(("path", "start", "size", "end"), f)) for f in files]
-    return spark.read.format("cadenza_blocks").option("files", json.dumps(named)).option("split", split).load()
+    return spark.read.format("cadenza_blocks").option("files", json.dumps(named)).option("split", split).option("overlap", overlap).load()
 
 
 def follow_blocks(spark: SparkSession, folder: str, size: int, start: int = 0, suffix: str = "", split: int = 64 << 20) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 
 from cadenza.meta import Signal
-from cadenza.sources import fits, raw
+from cadenza.sources import fits, raw, tracks
 from cadenza.sources.blocks import head_of
 from cadenza.sources.headers import cards, parse_ascii, read_filterbank_header, vdif_header
 
@@ -47,6 +47,9 @@ FORMATS = [
     Format("guppi", _tried(lambda h: "BLOCSIZE" in cards(h[: 1 << 16])[0]), raw.read_guppi),
     Format("raw", _tried(lambda h: {"HDR_VERSION", "NCHAN", "TSAMP"} <= set(parse_ascii(h[:4096].decode("latin-1")))), lambda spark, path, **k: raw.read_raw(spark, [path], **k)[0]),
     Format("vdif", _tried(_vdif), raw.read_vdif),
+    Format("mark5b", _tried(tracks.is_mark5b), tracks.read_mark5b),
+    Format("vlba", _tried(tracks.is_kind("vlba")), tracks.read_tracks),
+    Format("mark4", _tried(tracks.is_kind("mark4")), tracks.read_tracks),
 ]
 
 

@@ -1,0 +1,186 @@
+"""Track-multiplexed and bit-stream recordings, made bit by bit from samples by hand."""
+
+from datetime import UTC, datetime
+
+import numpy as np
+import pytest
+
+from cadenza.sources import registry, tracks
+from cadenza.sources.headers import micros
+
+#: Tracks of the sign bits of each channel's first sample, by (tracks, bits, fan-out).
+FIRST = {(8, 1, 1): range(8), (16, 2, 4): (0, 8), (32, 2, 4): (0, 16, 1, 17), (32, 1, 2): (0, 4, 8, 12, 16, 20, 24, 28, 1, 5, 9, 13, 17, 21, 25, 29), (64, 2, 4): (0, 16, 1, 17, 32, 48, 33, 49)}
+
+
+def added():
+    """The payload's modulation by a register of sixteen stages, shifted one at a time."""
+    stages, out = [1] * 16, []
+    for i in range(20000):
+        for skip in range(2 if i % 8 == 7 else 1):
+            bit = stages[10] ^ stages[12] ^ stages[13] ^ stages[15]
+            stages = [bit, *stages[:15]]
+            if not skip:
+                out.append(bit)
+    return out
+
+
+def code_bits(text):
+    return [int(b) for d in text for b in f"{int(d):04b}"]
+
+
+def recording(kind, ntrack, nbit, fanout, frames, rate, seed=1):
+    """(bytes, codes by frame) of frames that begin at MJD 55197 (2010-01-01), 1 s."""
+    first, step, rng, modulation = FIRST[ntrack, nbit, fanout], 2 if ntrack >= 32 else 1, np.random.default_rng(seed), added()
+    codes = rng.integers(0, 1 << nbit, (frames, 20000, fanout, len(first)))
+    out = []
+    for k in range(frames):
+        payload = np.zeros((20000, ntrack), np.uint8)
+        for c, track in enumerate(first):
+            for f in range(fanout):
+                for b in range(nbit):
+                    payload[:, track + step * (f + fanout * b)] = codes[k, :, f, c] >> b & 1
+        tenths = 10_000_000 + round(k * 20000 * fanout / rate * 1e7)  # of a microsecond
+        if kind == "vlba":
+            head = [1] * 32 + code_bits(f"197{tenths // 10_000_000:05d}{tenths % 10_000_000 // 1000:04d}") + [0] * 16
+            payload ^= np.array(modulation, np.uint8)[:, None]
+            words = np.concatenate([np.repeat(np.array(head, np.uint8)[:, None], ntrack, 1), payload, np.zeros((64, ntrack), np.uint8)])
+        else:
+            ms = tenths % 10_000_000 // 10_000
+            head = [1] * 32 + code_bits(f"0001{'000001'}{ms:03d}") + [0] * 12
+            payload[:96] = np.array(head, np.uint8)[:, None]
+            payload[-64:] = 0
+            words = payload
+        out.append(np.packbits(words, axis=1, bitorder="little").tobytes())
+    return out, codes
+
+
+def values(codes, kind, nbit):
+    table = np.array({1: [1.0, -1.0], 2: [-3.3359, 1.0, -1.0, 3.3359]}[nbit], np.float32)
+    v = table[codes]
+    if kind == "mark4":
+        v[:, :96] = v[:, -64:] = 0
+    return v.reshape(-1, codes.shape[-1])
+
+
+def array(s, n):
+    """(samples, which were read) of a signal's first n samples, in channels as recorded."""
+    pdf = s.df.toArrow().to_pandas()
+    out, seen = np.zeros((n, s.meta.nchan * s.meta.npol), np.float32), np.zeros(n, int)
+    out[pdf["idat"], pdf["ichan"] * s.meta.npol + pdf["ipol"]] = pdf["v"]
+    np.add.at(seen, pdf["idat"], 1)
+    return out, seen
+
+
+ABOUT = micros(datetime(2010, 3, 1, tzinfo=UTC))
+
+
+@pytest.mark.parametrize(("kind", "ntrack", "nbit", "fanout", "npol"), [("vlba", 8, 1, 1, 1), ("mark4", 16, 2, 4, 2), ("vlba", 32, 2, 4, 2), ("mark4", 32, 1, 2, 1), ("vlba", 64, 2, 4, 2), ("mark4", 64, 2, 4, 1)])
+def test_samples_come_back_whatever_the_tracks(spark, tmp_path, kind, ntrack, nbit, fanout, npol):
+    frames, codes = recording(kind, ntrack, nbit, fanout, 3, 16e6)
+    path = tmp_path / "x"
+    path.write_bytes(bytes(ntrack // 8 * 50) + b"".join(frames))  # fifty words before the first frame
+    assert registry.format_of(str(path)).name == kind
+    s = registry.open_signal(spark, str(path), {"source": "J3"}, fanout=fanout, nbit=nbit, npol=npol, about_us=ABOUT, block=1)
+    want = values(codes, kind, nbit)
+    assert (s.meta.npol, s.meta.nchan * npol, s.meta.rate, s.meta.source, s.meta.machine) == (npol, want.shape[1], 16e6, "J3", kind)
+    assert s.meta.ndat == len(want) and s.meta.start_us == micros(datetime(2010, 1, 1, 0, 0, 1, tzinfo=UTC))
+    got, seen = array(s, len(want))
+    assert (seen == want.shape[1]).all() and (got == want).all()
+
+
+def spoiled(frames, ntrack):
+    """Frames of which one has a sync of noise, one has lost five bytes, one a time that is none, one a dead track; some bytes stand between two."""
+    out, word = [bytearray(f) for f in frames], ntrack // 8
+    out[1][: 32 * word] = bytes(np.random.default_rng(5).integers(0, 256, 32 * word).astype(np.uint8))
+    del out[3][9000:9005]
+    out[5][32 * word : 36 * word] = b"\xff" * 4 * word
+    for i in range(0, 96 * word, word):
+        out[7][i] &= 0xFE
+    out[8] += b"abc"
+    return b"".join(out)
+
+
+@pytest.mark.parametrize("block", [1, 200_000, 1 << 22])
+def test_damaged_frames_are_left_out_and_the_others_keep_their_times(spark, tmp_path, block):
+    frames, codes = recording("vlba", 32, 2, 4, 11, 16e6)
+    path = tmp_path / "x"
+    path.write_bytes(spoiled(frames, 32) + frames[0][:5000])  # the last one is cut off
+    s = tracks.read_tracks(spark, str(path), 4, about_us=ABOUT, block=block)
+    want = values(codes, "vlba", 2)
+    got, seen = array(s, len(want))
+    read = seen.reshape(11, -1)
+    assert [k for k in range(11) if not read[k].any()] == [1, 3, 5]
+    whole = [k for k in range(11) if k not in (1, 3, 5)]
+    assert (read[whole] == 4).all() and (got.reshape(11, -1)[whole] == want.reshape(11, -1)[whole]).all()
+
+
+def test_a_shift_by_a_word_does_not_double_a_frame(spark, tmp_path):
+    """One word is lost, so that blocks begin inside the syncs of all later frames."""
+    frames, codes = recording("mark4", 32, 2, 4, 6, 16e6)
+    frames[1] = frames[1][:-400] + frames[1][-396:]
+    path = tmp_path / "x"
+    path.write_bytes(b"".join(frames))
+    s = tracks.read_tracks(spark, str(path), 4, about_us=ABOUT, block=1)
+    got, seen = array(s, 6 * 80000)
+    assert set(seen.reshape(6, -1)[[0, 2, 3, 4, 5]].ravel()) == {4} and not seen.reshape(6, -1)[1].any()
+    assert (got.reshape(6, -1)[2:] == values(codes, "mark4", 2).reshape(6, -1)[2:]).all()
+
+
+def test_codes_start_over():
+    day = lambda y, m, d: micros(datetime(y, m, d, tzinfo=UTC))
+    assert tracks.julian_us(999, 5, day(2009, 7, 1)) == day(2009, 6, 17) + 5  # MJD 54999
+    assert tracks.julian_us(0, 0, day(2009, 6, 1)) == day(2009, 6, 18)  # MJD 55000, asked for from the day before the code starts over
+    assert tracks.julian_us(999, 0, day(2012, 3, 20)) == day(2012, 3, 13)
+    assert tracks.nearest(1, 1000, lambda k: 600 * k) == 601
+    assert len(tracks.modulation()) == 20000 and tracks.modulation().tolist() == added()
+    assert tracks.channel_rate(4, 4.1e6) == 16e6
+
+
+def stream_file(nstream_bits, frames, per_second, seed=2):
+    """Frames from 55999 (the code 999), second 86399 on, across midnight."""
+    rng, out, payloads = np.random.default_rng(seed), [], []
+    for k in range(frames):
+        second, number = 86399 + (k + per_second - 2) // per_second, (k + per_second - 2) % per_second
+        day, second = 999 + second // 86400, second % 86400
+        code = f"{day % 1000:03d}{second:05d}"
+        payload = rng.integers(0, 256, 10000).astype(np.uint8)
+        head = np.array([0xABADDEED, number, int(code, 16), 0], "<u4").tobytes()
+        out.append(head + payload.tobytes())
+        payloads.append(payload)
+    return out, payloads
+
+
+@pytest.mark.parametrize(("nchan", "nbit", "npol"), [(4, 2, 2), (1, 1, 1), (2, 2, 1)])
+def test_bit_streams(spark, tmp_path, nchan, nbit, npol):
+    frames, payloads = stream_file(nchan * nbit * npol, 7, 4)
+    per = 80000 // (nchan * nbit * npol)
+    frames[2] = b"\0" + frames[2][1:]  # no sync
+    frames[4] = frames[4][:500] + frames[4][501:]  # a byte lost
+    path = tmp_path / "x"
+    path.write_bytes(b"".join(frames))
+    assert registry.format_of(str(path)).name == "mark5b"
+    s = registry.open_signal(spark, str(path), rate=4.0 * per, nchan=nchan, nbit=nbit, npol=npol, about_us=micros(datetime(2012, 3, 20, tzinfo=UTC)), block=1)
+    assert s.meta.start_us == micros(datetime(2012, 3, 13, 23, 59, 59, 500_000, tzinfo=UTC))
+    got, seen = array(s, 7 * per)
+    table = {1: [-1.0, 1.0], 2: [-3.3359, 1.0, -1.0, 3.3359]}[nbit]
+    for k in range(7):
+        if k in (2, 4):
+            assert not seen[k * per : (k + 1) * per].any()
+            continue
+        bits = np.unpackbits(payloads[k], bitorder="little").reshape(per, nchan * npol, nbit)
+        want = np.array(table, np.float32)[sum(bits[:, :, b].astype(int) << b for b in range(nbit))]
+        assert (got[k * per : (k + 1) * per] == want).all()
+
+
+def test_settings_that_cannot_be_are_refused(spark, tmp_path):
+    frames, _ = recording("mark4", 16, 2, 4, 2, 16e6)
+    path = tmp_path / "x"
+    path.write_bytes(b"".join(frames))
+    for settings in ({"fanout": 3}, {"fanout": 4, "nbit": 4}, {"fanout": 4, "npol": 4}):
+        with pytest.raises(ValueError):
+            tracks.read_tracks(spark, str(path), **settings)
+    (tmp_path / "y").write_bytes(b"\xff" * 2_000_000)
+    with pytest.raises(ValueError, match="no sync"):
+        tracks.read_tracks(spark, str(tmp_path / "y"), 4)
+    with pytest.raises(ValueError, match="no frame"):
+        tracks.read_mark5b(spark, str(tmp_path / "y"), 1e6, 1)
