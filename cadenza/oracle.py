@@ -351,3 +351,17 @@ ORACLE["inverse_filterbank_overlap"] = f"""WITH {D}, nn AS (SELECT count(*) // 1
     w AS (SELECT p, i - p * 4 AS j, k, ipol, re, im FROM c JOIN p ON i >= p * 4 AND i < p * 4 + 8),
     f AS (SELECT p, k, m, ipol, sum(re * cos({_F}) - im * sin({_F})) AS re, sum(re * sin({_F}) + im * cos({_F})) AS im FROM w, (SELECT range AS m FROM range(8)) GROUP BY ALL)
     SELECT p * 256 + t - 128 AS idat, CAST(0 AS INTEGER) AS ichan, ipol, {rounded(f'sum(re * cos({_G}) - im * sin({_G})) / 8', 're', 3)}, {rounded(f'sum(re * sin({_G}) + im * cos({_G})) / 8', 'im', 3)} FROM f, (SELECT range AS t FROM range(128, 384)) GROUP BY p, t, ipol"""
+
+
+def _levels(together: bool) -> str:
+    """r: settings by integration of 64 samples, from -1 (gain 1, level 0) on; wanted are variance 1 and mean 0 within 0.05. Digitizers in order know
+    whether one up to them is far off, or whether they are."""
+    return f"""{D}, st AS (SELECT idat // 64 AS k, ichan * 2 + ipol AS dg, count(*) AS n, avg(CAST(v AS DOUBLE)) AS m, var_pop(CAST(v AS DOUBLE)) AS q FROM d GROUP BY ALL),
+    r AS (SELECT CAST(-1 AS BIGINT) AS k, dg, CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS variance, 1.0::DOUBLE AS gain, 0.0::DOUBLE AS level, FALSE AS far FROM (SELECT DISTINCT dg FROM st)
+    UNION ALL SELECT k, dg, n, y, w, CASE WHEN w > 0 AND abs(w - 1) >= 0.05::DOUBLE THEN gain * sqrt(1 / w) ELSE gain END, CASE WHEN w > 0 AND NOT up AND abs(y) > 0.05::DOUBLE THEN m ELSE level END, far
+    FROM (SELECT *, {'bool_or(far) OVER (ORDER BY dg)' if together else 'far'} AS up FROM (SELECT *, w > 0 AND abs(w - 1) > 0.25::DOUBLE AS far
+        FROM (SELECT st.k, st.dg, st.n, st.m, gain, level, gain * (st.m - level) AS y, gain * gain * st.q AS w FROM r JOIN st ON st.k = r.k + 1 AND st.dg = r.dg))))"""
+
+
+ORACLE["level_setting"] = f"WITH RECURSIVE {_levels(True)} SELECT k + 1 AS iteration, least((k + 1) * 64, ndat) AS epoch, CAST(dg // 2 AS INTEGER) AS ichan, CAST(dg % 2 AS INTEGER) AS ipol, n, {six('mean', 'mean')}, {six('variance', 'variance')}, {six('gain', 'gain')}, {six('level', 'level')}, far FROM r, nd WHERE k >= 0"
+ORACLE["level_apply"] = f"WITH RECURSIVE {_levels(False)} SELECT idat, ichan, ipol, {six('gain * (v - level)', 'v')} FROM d JOIN r ON r.k = idat // 64 - 1 AND r.dg = ichan * 2 + ipol"

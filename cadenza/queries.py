@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cadenza.functions.response import taper
 from cadenza.functions.sk_limits import limits
 from cadenza.meta import ANALYTIC, COHERENCE, INTENSITY, NYQUIST, PP, PPQQ, STOKES, ObsMeta, Signal
-from cadenza.operators import chebyshev, delays, detection, digitize, folding, frames, integration, kurtosis, masking, rescale, responses, selection
+from cadenza.operators import chebyshev, delays, detection, digitize, folding, frames, integration, kurtosis, leveling, masking, rescale, responses, selection
 from cadenza.plans import pipeline
 from cadenza.sources import generators
 
@@ -441,6 +441,21 @@ def q_level_lookup(s, d):
     return digitize.lookup(Signal(sig.df.withColumn("v", F.col("v") % 4), sig.meta), digitize.level_table(2)).df.select(*SAMPLES)
 
 
+LEVELS = leveling.Target(variance=1.0, variance_tolerance=0.05, mean_tolerance=0.05, watch=True)
+
+
+def q_level_setting(s, d):
+    """Gains and levels by integrations of 64 samples, over the whole table, all digitizers together."""
+    out = leveling.set_levels(powers(s, d), 64, LEVELS)
+    return out.select("iteration", "epoch", "ichan", "ipol", "n", *six("mean", "variance", "gain", "level"), "far")
+
+
+def q_level_apply(s, d):
+    """Samples after the gain and level that the integration before them set, each digitizer for itself."""
+    sig = powers(s, d)
+    return leveling.apply_levels(sig, leveling.set_levels(sig, 64, LEVELS, together=False), 64).df.select("idat", "ichan", "ipol", *six("v"))
+
+
 def q_two_bit_correct(s, d):
     sig = powers(s, d)
     levels = s.range(65).select(F.col("id").alias("nlow"), (F.col("id") * 2).alias("low"), (F.col("id") * 5 + 1).alias("high"))
