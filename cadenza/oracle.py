@@ -365,3 +365,7 @@ def _levels(together: bool) -> str:
 
 ORACLE["level_setting"] = f"WITH RECURSIVE {_levels(True)} SELECT k + 1 AS iteration, least((k + 1) * 64, ndat) AS epoch, CAST(dg // 2 AS INTEGER) AS ichan, CAST(dg % 2 AS INTEGER) AS ipol, n, {six('mean', 'mean')}, {six('variance', 'variance')}, {six('gain', 'gain')}, {six('level', 'level')}, far FROM r, nd WHERE k >= 0"
 ORACLE["level_apply"] = f"WITH RECURSIVE {_levels(False)} SELECT idat, ichan, ipol, {six('gain * (v - level)', 'v')} FROM d JOIN r ON r.k = idat // 64 - 1 AND r.dg = ichan * 2 + ipol"
+#: Mean, unit and largest code of unsigned filterbank samples, by bits.
+UNSIGNED = {1: (0.5, 1.0, 1), 2: (1.5, 1.0, 3), 4: (7.5, 1.25, 15), 16: (32768.0, 32768.0 / 6, 65535)}
+for _n, (_m, _u, _t) in UNSIGNED.items():
+    ORACLE[f"filterbank_digitize{_n}"] = f"WITH {D} SELECT idat, CAST(3 - ichan AS INTEGER) AS ichan, ipol, CAST(greatest(0, least({_t}, trunc((v - 5000) / 4096.0::DOUBLE * {_u!r}::DOUBLE + {_m}::DOUBLE + 0.5::DOUBLE))) AS INTEGER) AS v FROM d"

@@ -426,6 +426,14 @@ def q_filterbank_digitize(s, d):
     return _samples(digitize.filterbank_digitize(Signal(sig.df.withColumn("v", (F.col("v") - 5000) / 4096.0), sig.meta), 8))
 
 
+def _filterbank_digitize(nbit):
+    def run(s, d):
+        sig = powers(s, d)
+        return _samples(digitize.filterbank_digitize(Signal(sig.df.withColumn("v", (F.col("v") - 5000) / 4096.0), sig.meta), nbit))
+
+    return run
+
+
 def q_table_digitize(s, d):
     """Eight-bit codes by the scale and offset of each block of 64 samples."""
     sig = powers(s, d)
@@ -672,6 +680,10 @@ QUERIES = {k[2:]: f for k, f in globals().items() if k.startswith("q_")} | {
     "rescale_meanstd": _rescaled(rescale.mean_std, None),
     "rescale_interval": _rescaled(rescale.mean_std, 100),
     "rescale_medianmad": _rescaled(rescale.median_mad, 200),
+    "filterbank_digitize1": _filterbank_digitize(1),
+    "filterbank_digitize2": _filterbank_digitize(2),
+    "filterbank_digitize4": _filterbank_digitize(4),
+    "filterbank_digitize16": _filterbank_digitize(16),
     "digitize1": _digitize(1),
     "digitize2": _digitize(2),
     "digitize4": _digitize(4),
