@@ -41,7 +41,7 @@ from cadenza.llm.gsaca import suffix_arrays
 
 GRAM = 32
 FINE = 32  # windows of a piece
-CHUNK = 1 << 20  # bytes of text hashed at a time
+CHUNK = 1 << 18  # bytes of text hashed at a time: about 60 times as much memory at the peak
 A, B, C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -290,7 +290,7 @@ def repeated_in_blocks(pieces: list[bytes], block: np.ndarray, length: int) -> n
     sizes = np.array([len(p) for p in pieces])
     ends = np.cumsum(sizes + 1)
     raw = np.frombuffer(b"\0".join(pieces) + bytes(9), dtype=np.uint8)
-    symbols = raw[: ends[-1]].astype(np.int64)
+    symbols = raw[: ends[-1]].astype(np.int32)
     last = np.append(block[1:] != block[:-1], True)
     first = np.append(0, np.flatnonzero(last)[:-1] + 1)
     rank = np.arange(len(pieces)) - np.repeat(first, np.diff(np.append(first, len(pieces))))
@@ -298,8 +298,10 @@ def repeated_in_blocks(pieces: list[bytes], block: np.ndarray, length: int) -> n
     symbols[ends - 1] = np.where(last, 0, rank + 1)  # separators differ within a block; the closing one is the smallest
     bounds = np.append(0, ends[last])
     order = suffix_arrays(symbols, bounds)
-    left = np.repeat(ends - 1, sizes + 1) - np.arange(ends[-1])  # bytes up to the piece's end
-    blocks = np.repeat(block, sizes + 1)
+    del symbols
+    left = np.repeat((ends - 1).astype(order.dtype), sizes + 1)  # bytes up to the piece's end
+    left -= np.arange(ends[-1], dtype=order.dtype)
+    blocks = np.repeat(block.astype(order.dtype), sizes + 1)
     a, b = order[:-1], order[1:]
     near = np.flatnonzero((left[a] >= length) & (left[b] >= length) & (blocks[a] == blocks[b]))
     a, b = a[near], b[near]
@@ -320,7 +322,7 @@ def _runs_of(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist()))
 
 
-BLOCK_BYTES = 1 << 21  # of blocks of one size class sorted at a time
+BLOCK_BYTES = 1 << 20  # of blocks of one size class sorted at a time: about 40 times as much memory at the peak
 
 
 def settle(blocks: DataFrame, length: int) -> DataFrame:

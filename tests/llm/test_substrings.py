@@ -87,3 +87,61 @@ def test_hot_keys_are_halved_until_suffix_arrays_take_them(spark, monkeypatch):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.remove_repeats(docs).collect()}
     assert [got[i] for i in range(len(near))] == brute(near)
     assert widths and widths[0] == 32 and max(sorted_rows) <= 128
+
+
+class Tasks:
+    """Stands for a DataFrame whose task is then run here, on given batches."""
+
+    sparkSession = None
+
+    def __getattr__(self, name):
+        return lambda *columns: self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def peak_mb(tasks, batches):
+    """Peak of Python's and NumPy's memory while a task works on batches, and the rows that it gives."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in tasks.run(iter(batches)))
+        return tracemalloc.get_traced_memory()[1] / 1e6, rows
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_sorting_blocks_is_bounded(monkeypatch):
+    """5 MB of small blocks in one task, of two pieces that share 230 bytes: a worker that sorted 2 MB of them at a time held 180 MB for it."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(substrings, "partitions", lambda spark: 1)
+    letters = np.frombuffer(b"abcdefgh", np.uint8)[RNG.integers(0, 8, (10_000, 270))]
+    rows = [(k, b"d", 0, True, row[side : side + 250].tobytes()) for k, row in enumerate(letters) for side in (0, 20)]
+    batches = pa.table([pa.array(c) for c in zip(*rows)], names=["key", "doc", "start", "once", "piece"]).to_batches(10_000)
+    tasks = Tasks()
+    substrings.settle(tasks, 200)
+    peak, ranges = peak_mb(tasks, batches)
+    assert ranges == 20_000 and peak < 90
+
+
+@pytest.mark.parametrize("level", [0, 1, None])
+def test_memory_of_hashing_texts_is_bounded(level):
+    """2000 texts of 2 kB in one batch: a worker that hashed 1 MB of them at a time held over 50 MB for it."""
+    import pyarrow as pa
+
+    texts = np.frombuffer(b"abcdefgh", np.uint8)[RNG.integers(0, 8, (2000, 2000))]
+    batch = pa.record_batch([pa.array([t.tobytes().decode() for t in texts])], ["text"])
+    tasks, every = Tasks(), lambda key: key & np.uint64(3) == 0
+    substrings.undecided(tasks, [every, every], 200, "text") if level is None else substrings.segments(tasks, level, [every, every], 200, "text")
+    peak, rows = peak_mb(tasks, [batch])
+    assert rows > 2000 and peak < 30
+
+
+def test_suffix_arrays_take_four_bytes_a_position():
+    got = suffix_arrays(np.array([2, 1, 2, 0, 1, 0]), np.array([0, 4, 6]))
+    assert got.dtype == np.int32 and got.tolist() == [3, 1, 2, 0, 5, 4]
+    assert not len(suffix_arrays(np.zeros(0, np.int32), np.array([0])))
